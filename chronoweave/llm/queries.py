@@ -3,6 +3,12 @@
 from __future__ import annotations
 
 from .mixing import OP9_SQL, op9
+from .pii import op4
+from .url_filter import op10
 
-QUERIES = {"op9_mix_sources": op9}
+QUERIES = {
+    "op4_personal_data": op4,
+    "op9_mix_sources": op9,
+    "op10_url_filter": op10,
+}
 ORACLE_SQL = {"op9_mix_sources": OP9_SQL}
