@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from .mixing import OP9_SQL, op9
 from .pii import op4
+from .simhash import op1
 from .url_filter import op10
 
 QUERIES = {
+    "op1_simhash": op1,
     "op4_personal_data": op4,
     "op9_mix_sources": op9,
     "op10_url_filter": op10,
