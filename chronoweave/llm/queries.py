@@ -7,12 +7,14 @@ from .embed_dedup import op2
 from .mixing import OP9_SQL, op9
 from .pii import op4
 from .simhash import op1
+from .toxicity import op5
 from .url_filter import op10
 
 QUERIES = {
     "op1_simhash": op1,
     "op2_embedding_dedup": op2,
     "op4_personal_data": op4,
+    "op5_toxicity": op5,
     "op6_nearest": op6,
     "op9_mix_sources": op9,
     "op10_url_filter": op10,
