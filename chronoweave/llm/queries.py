@@ -7,6 +7,7 @@ from .embed_dedup import op2
 from .mixing import OP9_SQL, op9
 from .pii import op4
 from .simhash import op1
+from .token_files import op7
 from .toxicity import op5
 from .url_filter import op10
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op4_personal_data": op4,
     "op5_toxicity": op5,
     "op6_nearest": op6,
+    "op7_token_files": op7,
     "op9_mix_sources": op9,
     "op10_url_filter": op10,
 }
