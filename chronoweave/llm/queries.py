@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .ann import op6
 from .embed_dedup import op2
+from .lm_score import OP3_SQL, op3
 from .mixing import OP9_SQL, op9
 from .pii import op4
 from .simhash import op1
@@ -14,6 +15,7 @@ from .url_filter import op10
 QUERIES = {
     "op1_simhash": op1,
     "op2_embedding_dedup": op2,
+    "op3_lm_score": op3,
     "op4_personal_data": op4,
     "op5_toxicity": op5,
     "op6_nearest": op6,
@@ -21,4 +23,4 @@ QUERIES = {
     "op9_mix_sources": op9,
     "op10_url_filter": op10,
 }
-ORACLE_SQL = {"op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op3_lm_score": OP3_SQL, "op9_mix_sources": OP9_SQL}
