@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, text_of
 
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 8_000_000
 
 
 def squeeze(data: bytes) -> bytes:
@@ -59,7 +59,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
 
     chunk = F.pmod(F.xxhash64("id", "text"), F.lit(n))
     packed = rows.select(chunk.alias("chunk"), "id", "text").mapInPandas(run, "chunk bigint, blob binary")
-    return packed.repartition(n, "chunk"), n
+    return packed.repartition("chunk"), n
 
 
 def unpack(blobs: pd.Series) -> tuple[list, list[str]]:

@@ -8,6 +8,7 @@ from .lm_score import OP3_SQL, op3
 from .mixing import OP9_SQL, op9
 from .pii import op4
 from .simhash import op1
+from .sp_lattice import op8
 from .token_files import op7
 from .toxicity import op5
 from .url_filter import op10
@@ -20,6 +21,7 @@ QUERIES = {
     "op5_toxicity": op5,
     "op6_nearest": op6,
     "op7_token_files": op7,
+    "op8_sentencepiece": op8,
     "op9_mix_sources": op9,
     "op10_url_filter": op10,
 }
