@@ -167,14 +167,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
-    """docs without the rows whose group has a row with a smaller id; rows with a null id stay.
+    """docs with one document of each group, that with the smallest id. Rows with a null id stay.
 
-    Of rows that share the kept id, all stay only if there is one; else one of them does.
+    Where rows share an id, one of them is kept.
     """
-    found = near_duplicates(docs, id_col, text_col, words)
-    out = found.where(F.col("id").isNotNull() & (F.col("id") != F.col("component_id"))).select(F.col("id").alias("_dropped")).distinct()
-    out = docs.join(out, docs[id_col] == F.col("_dropped"), "left_anti")
-    return out
+    found = cut(near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
+    out = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_dropped")).distinct()
+    kept = docs.join(out, docs[id_col] == F.col("_dropped"), "left_anti")
+    if found.groupBy("id").count().where("count > 1").isEmpty():
+        return kept
+    rest = kept.where(kept[id_col].isNull())
+    return kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(rest)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
