@@ -1 +1 @@
-"""TBD"""
+"""Column functions: grounding, Gaussian similarity, text. All are native expressions."""

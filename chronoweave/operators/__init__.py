@@ -1 +1 @@
-"""TBD"""
+"""Relational operators: candidates, scoring engines, fusion, ranking and metrics, significance, generators."""
