@@ -63,21 +63,22 @@ def tagger_similarity(pairs: DataFrame, expressions: DataFrame, mode: str, quest
 
     expressions (key, expr, anchor): what a tagger found in each text.
     """
+    pairs = pairs.select(F.col(question).alias("_question"), F.col(paragraph).alias("_paragraph"))
     if mode in ("merge", "union"):
         g = text_gaussians(expressions, key)
-        q = g.select(F.col(key).alias(question), F.struct("mu", "var", "a", "b").alias("q"))
-        p = g.select(F.col(key).alias(paragraph), F.struct("mu", "var", "a", "b").alias("p"))
-        both = pairs.join(q, question, "left").join(p, paragraph, "left")
+        q = g.select(F.col(key).alias("_question"), F.struct("mu", "var", "a", "b").alias("q"))
+        p = g.select(F.col(key).alias("_paragraph"), F.struct("mu", "var", "a", "b").alias("p"))
+        both = pairs.join(q, "_question", "left").join(p, "_paragraph", "left")
         s = gaussian.clamped_similarity(F.col("q"), F.col("p")) if mode == "merge" else gaussian.interval_similarity(F.col("q.a"), F.col("q.b"), F.col("p.a"), F.col("p.b"))
-        return both.select(question, paragraph, F.coalesce(s, F.lit(0.0)).alias("score"))
+        return both.select(F.col("_question").alias(question), F.col("_paragraph").alias(paragraph), F.coalesce(s, F.lit(0.0)).alias("score"))
     fold = {"max": F.max, "mean": F.avg, "product": F.product}[mode]
     e = expressions.select(F.col(key), day_interval(ground(F.col("expr"), F.col("anchor"))).alias("i"))
-    q = e.select(F.col(key).alias(question), F.col("i").alias("q"), F.lit(True).alias("has_q"))
-    p = e.select(F.col(key).alias(paragraph), F.col("i").alias("p"), F.lit(True).alias("has_p"))
-    both = pairs.join(q, question, "left").join(p, paragraph, "left")
+    q = e.select(F.col(key).alias("_question"), F.col("i").alias("q"), F.lit(True).alias("has_q"))
+    p = e.select(F.col(key).alias("_paragraph"), F.col("i").alias("p"), F.lit(True).alias("has_p"))
+    both = pairs.join(q, "_question", "left").join(p, "_paragraph", "left")
     s = F.coalesce(gaussian.interval_similarity(F.col("q.a"), F.col("q.b"), F.col("p.a"), F.col("p.b")), F.lit(0.0))
     s = F.when(F.col("has_q") & F.col("has_p"), s)
-    return both.groupBy(question, paragraph).agg(F.coalesce(fold(s), F.lit(0.0)).alias("score"))
+    return both.groupBy(F.col("_question").alias(question), F.col("_paragraph").alias(paragraph)).agg(F.coalesce(fold(s), F.lit(0.0)).alias("score"))
 
 
 class TemporalHead:

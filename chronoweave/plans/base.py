@@ -45,7 +45,7 @@ def kl_similarity(qa: str, qb: str, da: str, db: str) -> str:
 
 #: SQL: orders as questions, their lines as candidate passages with intervals, a second score, and gold marks.
 CANDIDATES = f"""cand AS (
-  SELECT o_orderkey AS q, l_linenumber AS idx, {day('o_orderdate')} AS qa, {day('o_orderdate')} + 30 AS qb,
+  SELECT o_orderkey AS q, row_number() OVER (PARTITION BY o_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) AS idx, {day('o_orderdate')} AS qa, {day('o_orderdate')} + 30 AS qb,
     {day('l_shipdate')} AS pa, {day('l_shipdate')} + l_linenumber * 7 AS pb, l_quantity / (1 + l_discount) AS sem, l_returnflag = 'R' AS gold
   FROM orders JOIN lineitem ON o_orderkey = l_orderkey)"""
 
