@@ -6,7 +6,7 @@ n-gram occurs; each step to a shorter context costs a factor of 0.4, and a word
 counts are over the other documents: a document's own n-grams are subtracted, else every n-gram would be known.
 
 Counts live in a table partitioned by the n-gram's hash. A chunk of documents joins it with its distinct n-grams
-(chunks.py), and the counts that come back are summed per document. N-grams are known by 64-bit hashes.
+(chunks.py), and the counts that come back are summed per document. N-grams are known by 56-bit hashes.
 
 Nulls: a null text is an empty one: no words, score 0, mean null. A null id stays. Rows that repeat are other documents
 to each other. Where a document is the only one with words, its words have probability 0.5 each. An empty table gives an
@@ -25,12 +25,13 @@ from .common import WORD, cut, text_of
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_KEEP = np.uint64(0xFFFFFFFFFFFFFF00)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    return (x ^ (x >> np.uint64(31))) & _KEEP
 
 
 def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -81,16 +82,15 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def score(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, texts = unpack(docs["blob"])
         doc, grams = ngrams(texts, order)
-        keys = np.unique(np.concatenate([g[g > 0] for g in grams]))
-        total = np.concatenate([np.zeros(0, np.int64), *(load_counts(c) for c in answers.sort_values("bucket")["counts"])])
+        words = len(doc)
+        keys, at = np.unique(np.concatenate(grams), return_inverse=True)
+        counts = np.concatenate([np.zeros(0, np.int64), *(load_counts(c) for c in answers.sort_values("bucket")["counts"])])
+        total = np.concatenate([np.zeros(len(keys) - len(counts), np.int64), counts])  # the key 0 isn't asked for
+        pair, _ = pd.factorize(np.tile(doc, order) * np.int64(len(keys)) + at)
+        own = np.bincount(pair)[pair] if len(pair) else pair
         size = np.bincount(doc, minlength=len(ids)).astype(np.int64)
-        others, known = [], []
-        for g in grams:
-            at = np.minimum(np.searchsorted(keys, g), max(0, len(keys) - 1))
-            pair = doc * np.int64(len(keys) + 1) + at
-            _, back, own = np.unique(pair, return_inverse=True, return_counts=True)
-            others.append(np.where(g > 0, total[at] - own[back], 0) if len(g) else np.zeros(0, np.int64))
-            known.append(g > 0)
+        known = [g > 0 for g in grams]
+        others = [np.where(known[k], (total[at] - own)[k * words : (k + 1) * words], 0) for k in range(order)]
         rest = n_words - size[doc]
         p = np.maximum(others[0], UNSEEN) / np.maximum(rest, 1)
         for k in range(1, order):
