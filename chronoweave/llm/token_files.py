@@ -1,7 +1,6 @@
 """Token ids in binary files: canonical length-limited Huffman codes from global counts, decoded by table in blocks.
 
-Two passes over the texts: the first counts ids over all documents (as many rows as the vocabulary reach the driver),
-the second encodes. A file holds a range of documents in ascending order of id:
+Texts are encoded once; the ids, compressed, wait in the shared folder until their counts over all documents are known. A file holds a range of documents in ascending order of id:
 
     "CWH1", then as little-endian unsigned 32-bit integers: documents, blocks, bytes of codes;
     for each document its number of ids (32 bits) and, signed 64 bits, its id (-2**63 for null);
@@ -12,7 +11,7 @@ Block lengths add up to bit offsets, so every block can be decoded alone, and al
 side with one table of 2**LIMIT entries. Files, and the codebook of code lengths, are binary values of Parquet tables in the
 shared folder, as only Spark's writers reach every store.
 
-Words between ASCII white space are encoded one by one, as the tokenizer drops white space; a worker remembers words.
+Words between ASCII white space are encoded one by one, as the tokenizer drops white space.
 
 Nulls: a null text is an empty one (its only id is the end id); null ids come first. Rows that repeat are each written;
 among equal ids the order is that of the codes. An empty table gives an empty result.
@@ -20,6 +19,7 @@ among equal ids the order is that of the codes. An empty table gives an empty re
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import struct
@@ -30,23 +30,29 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_rows, shared_folder, text_of
+from .chunks import expand, squeeze
+from .common import batch_rows, cut, shared_folder, text_of
 
 END, LIMIT, BLOCK, FILE_IDS, MOST_FILES = 1, 16, 128, 4_000_000, 65_536
 _NULL = -(1 << 63)
-_REMEMBERED = 300_000
-#: Lower-case Latin words, perhaps with a tail of punctuation: a word and its tail are separate pre-tokens.
-_LATIN = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
+#: Documents in a row while they are ids.
+RUN = 512
+#: Latin letters, of which a word is one pre-token; and punctuation that may follow, which is another.
+_LATIN, _TAIL = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?"
+_COMPOSED = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
 
 class WordEncoder:
     """Ids of texts, equal to those of the tokenizers library for a tokenizer that drops white space.
 
-    Plain Latin words go straight to the library's BPE model; all others through its whole pipeline.
+    Each distinct word of a batch is encoded once: plain Latin words, apart from punctuation at their end, by the library's BPE
+    model, all others through its whole pipeline.
     """
 
     def __init__(self, path: str):
@@ -60,43 +66,56 @@ class WordEncoder:
         plain = [b for b in range(256) if chr(b) in shown]  # these bytes stand for themselves, the others follow in order
         other = iter(c for c in shown if ord(c) > 255)
         self.bytes = {b: chr(b) if b in plain else next(other) for b in range(256)}
-        self.known: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= _REMEMBERED:
-                self.known.clear()
-            m = _LATIN.fullmatch(unicodedata.normalize("NFC", word).lower())
-            if m and m[2]:
-                ids = self.word(m[1]) + self.word(m[2])
-            elif m:
-                ids = [t.id for t in self.model.tokenize(m[1].encode().decode("latin-1").translate(self.bytes))]
-            else:
-                ids = self.tokenizer.encode(word, add_special_tokens=False).ids
-            self.known[word] = ids
-        return ids
-
-    def texts(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts with an end id each, one after the other; and how many each has."""
-        import pyarrow as pa
-        import pyarrow.compute as pc
 
+    def _latin(self, word: str) -> list[int]:
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
+        return [t.id for t in self.model.tokenize(shown)]
+
+    def _any(self, word: str) -> list[int]:
+        m = None if word.isascii() else _COMPOSED.fullmatch(unicodedata.normalize("NFC", word).lower())
+        if m:
+            return self._latin(m[1]) + (self.tokenizer.encode(m[2], add_special_tokens=False).ids if m[2] else [])
+        return self.tokenizer.encode(word, add_special_tokens=False).ids
+
+    def words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one after the other, and how many each has."""
+        low = pc.utf8_lower(words)
+        latin = pc.match_substring_regex(pc.ascii_rtrim(words, _TAIL), _LATIN)
+        stem = pc.ascii_rtrim(low, _TAIL)
+        # a stem and its tail each stand for themselves; any other word is a stem without a tail
+        tail = pc.utf8_ltrim(pc.if_else(latin, low, ""), "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
+        stem = pc.if_else(latin, stem, words)
+        own = {}
+        for part, is_latin in ((stem.filter(latin).unique(), True), (stem.filter(pc.invert(latin)).unique(), False), (tail.filter(latin).unique(), False)):
+            for w in part.to_pylist():
+                own[w] = self._latin(w) if is_latin else self._any(w)
+        ids = [own[s] + own[t] if t else own[s] for s, t in zip(stem.to_pylist(), tail.to_pylist(), strict=True)]
+        return np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+
+    def runs(self, texts: pd.Series, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each run of `size` texts: its start, all ids of its texts with an end id each, and how many each has."""
         split = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
         words = pc.list_flatten(split).dictionary_encode()
-        own = [self.word(w) for w in words.dictionary.to_pylist()]
-        n_own = np.array([len(x) for x in own] + [1], np.int64)
-        flat = np.array([i for x in own for i in x] + [END], np.int64)
+        gc.disable()  # millions of small objects, none in a cycle
+        try:
+            own, n_own = self.words(words.dictionary)
+        finally:
+            gc.enable()
+        flat, n_own = np.append(own, END).astype(np.uint32), np.append(n_own, 1)
         first = np.cumsum(n_own) - n_own
-        n_words = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
-        ends = np.cumsum(n_words + 1) - 1
-        codes = np.full(int(n_words.sum()) + len(n_words), len(own), np.int64)
-        inner = np.ones(len(codes), bool)
-        inner[ends] = False
-        codes[inner] = words.indices.to_numpy(zero_copy_only=False)
-        n = n_own[codes]
-        ids = flat[np.repeat(first[codes] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        return ids, np.add.reduceat(n, np.r_[0, ends[:-1] + 1]) if len(ends) else np.zeros(0, np.int64)
+        codes = words.indices.to_numpy(zero_copy_only=False)
+        edges = np.r_[0, np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))].astype(np.int64)
+        for a in range(0, len(texts), size):
+            z = min(a + size, len(texts))
+            of_run = np.insert(codes[edges[a] : edges[z]], edges[a + 1 : z + 1] - edges[a], len(n_own) - 1)
+            n = n_own[of_run]
+            ids = flat[np.repeat(first[of_run] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+            yield a, ids, np.add.reduceat(n, edges[a:z] - edges[a] + np.arange(z - a))
+
+    def texts(self, texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, and how many each has."""
+        parts = [(ids, n) for _, ids, n in self.runs(texts, max(1, len(texts)))]
+        return parts[0] if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
@@ -216,19 +235,38 @@ def read_file(data: bytes, ids_of: np.ndarray, used: np.ndarray) -> tuple[np.nda
     return head["id"], n, ids
 
 
-def count_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> np.ndarray:
-    """How often each id occurs over all documents, end ids included."""
+def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """ids, n, tokens: documents in runs, with their numbers of ids and, compressed, the ids themselves."""
+    batch_rows(docs.sparkSession, 6_000)
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, total = WordEncoder(tokenizer), np.zeros(0, np.int64)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        encoder = WordEncoder(tokenizer)
         for b in batches:
-            own = np.bincount(encoder.texts(b["text"])[0], minlength=len(total))
+            doc = [None if pd.isna(i) else int(i) for i in b["id"]]
+            for a, ids, n in encoder.runs(b["text"], RUN):
+                yield pd.DataFrame({"ids": [doc[a : a + len(n)]], "n": [n], "tokens": [squeeze(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]})
+
+    rows = docs.select(docs[id_col].cast("bigint").alias("id"), text_of(docs[text_col]).alias("text"))
+    return rows.mapInPandas(run, "ids array<bigint>, n array<bigint>, tokens binary")
+
+
+def _tokens(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def count_ids(runs: DataFrame) -> np.ndarray:
+    """How often each id occurs over all documents, end ids included: as many rows as the vocabulary come to the driver."""
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(0, np.int64)
+        for data in (x for b in batches for x in b["tokens"]):
+            own = np.bincount(_tokens(data), minlength=len(total))
             own[: len(total)] += total
             total = own
         at = np.flatnonzero(total)
         yield pd.DataFrame({"token": at, "n": total[at]})
 
-    rows = docs.select(text_of(docs[text_col]).alias("text")).mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
+    rows = runs.select("tokens").mapInPandas(count, "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()
     counts = np.zeros(1 + max([END, *(r["token"] for r in rows)]), np.int64)
     for r in rows:
         counts[r["token"]] = r["n"]
@@ -238,29 +276,30 @@ def count_ids(docs: DataFrame, tokenizer: str, text_col: str = "text") -> np.nda
 def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> None:
     """Writes folder/codebook and folder/files."""
     spark = docs.sparkSession
-    batch_rows(spark, 2_000)
-    counts = count_ids(docs, tokenizer, text_col)
+    runs = cut(tokenize(docs, tokenizer, id_col, text_col))
+    batch_rows(spark, 8)
+    counts = count_ids(runs)
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codebook")
     n_files = int(max(1, min(MOST_FILES, counts.sum() // file_ids)))
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), text_of(docs[text_col]).alias("text"))
-    bounds = sorted(set(rows.approxQuantile("id", [k / n_files for k in range(1, n_files)], 0.1 / n_files))) if n_files > 1 else []
+    own = runs.select(F.explode("ids").alias("id"))
+    bounds = sorted(set(own.approxQuantile("id", [k / n_files for k in range(1, n_files)], 0.1 / n_files))) if n_files > 1 else []
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
         for b in batches:
-            ids, n = encoder.texts(b["text"])
-            data, marks = encode_documents(ids, n, lengths, codes)
-            where = np.searchsorted(bounds, b["id"].fillna(_NULL).to_numpy(np.float64), side="left") if bounds else 0
-            yield pd.DataFrame({"file": where, "id": b["id"].astype("Int64"), "n": n, "codes": data, "marks": marks})
+            for ids, n, data in zip(b["ids"], b["n"], b["tokens"], strict=True):
+                n = np.asarray(n, np.int64)
+                coded, marks = encode_documents(_tokens(data), n, lengths, codes)
+                where = np.searchsorted(bounds, np.array([_NULL if pd.isna(i) else i for i in ids], np.float64), side="left") if bounds else 0
+                yield pd.DataFrame({"file": where, "id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"), "n": n, "codes": coded, "marks": marks})
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["id", "codes"], na_position="first", kind="stable")
         ids = [None if pd.isna(i) else int(i) for i in pdf["id"]]
         return pd.DataFrame({"file": [key[0]], "n_ids": [int(pdf["n"].sum())], "data": [build_file(ids, pdf["n"].tolist(), pdf["codes"].tolist(), pdf["marks"].tolist())]})
 
-    coded = rows.mapInPandas(encode, "file bigint, id bigint, n bigint, codes binary, marks binary")
+    coded = runs.mapInPandas(encode, "file bigint, id bigint, n bigint, codes binary, marks binary")
     files = coded.groupBy("file").applyInPandas(build, "file bigint, n_ids bigint, data binary")
     files.write.option("compression", "uncompressed").parquet(f"{folder}/files")
 
