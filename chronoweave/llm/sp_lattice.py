@@ -31,6 +31,8 @@ from .chunks import expand, pack, squeeze, unpack
 from .common import batch_rows
 
 WORD_CHARS = 256
+#: Parts of the word table for each chunk of documents.
+WORD_PARTS = 4
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
@@ -158,7 +160,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         return pd.DataFrame({"id": ids, "ids": out, "exact": [pieces.decode(o) == t for o, t in zip(out, texts, strict=True)]})
 
     asked = packed.groupBy("chunk").applyInPandas(ask, "bucket bigint, chunk bigint, words binary")
-    distinct = asked.groupBy("bucket").applyInPandas(words, "word string").distinct()
+    distinct = asked.groupBy("bucket").applyInPandas(words, "word string")
+    distinct = distinct.repartition(WORD_PARTS * n, "word").distinct()  # small parts: the edges of each are sorted in memory
     paths = best_paths(distinct, pieces).withColumn("bucket", F.pandas_udf(own_bucket, "bigint")("word"))
     answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket bigint, sizes binary, paths binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(encode, f"id {kind}, ids array<int>, exact boolean")
