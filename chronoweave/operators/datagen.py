@@ -21,6 +21,11 @@ KINDS = (0.30, 0.04, 0.01, 0.65)
 GRAINS = (0.25, 0.25, 0.25, 0.25)
 
 
+def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with columns that later expressions refer to rather than repeat: a generator of one row is between them."""
+    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def by_share(u: Column, shares: tuple[float, ...], options: list[Column]) -> Column:
     out, total = None, 0.0
     for share, option in zip(shares[:-1], options[:-1], strict=True):
@@ -95,33 +100,36 @@ def synthetic_pairs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
     """sent0, sent0_date, sent1, sent1_date, score: n expressions with four random partners and their own interval each."""
     rows = spark.range(n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
     own, other = F.col("id").cast("string"), F.concat_ws("/", "id", "j")
-    rows = rows.select("id", "j", random_expression(seed, own).alias("e0"), random_day(uniform(seed, own, F.lit("a0")), F.lit("1900-01-01").cast("date"), F.lit(LAST_DAY).cast("date")).alias("d0"), random_expression(seed + 1, other).alias("e1"), random_day(uniform(seed, other, F.lit("a1")), F.lit("1900-01-01").cast("date"), F.lit(LAST_DAY).cast("date")).alias("d1"))
-    g0 = ground(F.col("e0"), F.col("d0"))
-    same = F.when(g0["start"] == g0["end"], F.date_format(g0["start"], "yyyy-MM-dd")).otherwise(F.concat_ws(",", F.date_format(g0["start"], "yyyy-MM-dd"), F.date_format(g0["end"], "yyyy-MM-dd")))
-    rows = rows.withColumn("e1", F.when(F.col("j") == 4, same).otherwise(F.col("e1")))
-    return labelled(rows, seed)
+    first, last = F.lit("1900-01-01").cast("date"), F.lit(LAST_DAY).cast("date")
+    rows = fixed(
+        rows, e0=random_expression(seed, own), d0=random_day(uniform(seed, own, F.lit("a0")), first, last),
+        other=random_expression(seed + 1, other), d1=random_day(uniform(seed, other, F.lit("a1")), first, last),
+    )
+    rows = fixed(rows, g=ground(F.col("e0"), F.col("d0")))
+    start, end = F.date_format("g.start", "yyyy-MM-dd"), F.date_format("g.end", "yyyy-MM-dd")
+    own_days = F.when(F.col("g.start") == F.col("g.end"), start).otherwise(F.concat_ws(",", start, end))
+    rows = fixed(rows, e1=F.when(F.col("j") == 4, own_days).otherwise(F.col("other")))
+    return labelled(rows.select("id", "j", "e0", "d0", "e1", "d1"), seed)
 
 
 def labelled(rows: DataFrame, seed: int = 42) -> DataFrame:
     """rows (id, j, e0, d0, e1, d1) as training tuples; pairs that don't ground within the calendar are dropped."""
-    score = gaussian.expression_similarity(F.col("e0"), F.col("d0"), F.col("e1"), F.col("d1"))
-    u0, u1 = uniform(seed, F.col("id"), F.lit("t0")), uniform(seed, F.col("id"), F.col("j"), F.lit("t1"))
-    out = rows.select(
-        expression_text(F.col("e0"), u0).alias("sent0"), F.date_format("d0", "yyyy-MM-dd").alias("sent0_date"),
-        expression_text(F.col("e1"), u1).alias("sent1"), F.date_format("d1", "yyyy-MM-dd").alias("sent1_date"), score.alias("score"),
-        ground(F.col("e0"), F.col("d0"))["start"].alias("s0"), ground(F.col("e1"), F.col("d1"))["start"].alias("s1"),
-    )
+    rows = fixed(rows, g0=ground(F.col("e0"), F.col("d0")), g1=ground(F.col("e1"), F.col("d1")), u0=uniform(seed, F.col("id"), F.lit("t0")), u1=uniform(seed, F.col("id"), F.col("j"), F.lit("t1")))
     first = F.lit(FIRST_DAY).cast("date")
-    return out.where(F.col("score").isNotNull() & (F.col("s0") >= first) & (F.col("s1") >= first)).drop("s0", "s1")
+    rows = rows.withColumn("score", gaussian.bounds_similarity(F.col("g0"), F.col("g1"))).where(F.col("score").isNotNull() & (F.col("g0.start") >= first) & (F.col("g1.start") >= first))
+    return rows.select(
+        expression_text(F.col("e0"), F.col("u0")).alias("sent0"), F.date_format("d0", "yyyy-MM-dd").alias("sent0_date"),
+        expression_text(F.col("e1"), F.col("u1")).alias("sent1"), F.date_format("d1", "yyyy-MM-dd").alias("sent1_date"), "score",
+    )
 
 
 def document_pairs(entries: DataFrame, seed: int = 42) -> DataFrame:
     """entries (id, text, values array<string>, dct date): the text against four random expressions and one of each value's own, all at the document's date."""
     rows = entries.withColumn("e0", F.explode("values")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
     key = F.concat_ws("/", "id", "e0", "j")
-    rows = rows.withColumn("e1", F.when(F.col("j") == 4, F.col("e0")).otherwise(random_expression(seed, key)))
-    score = gaussian.expression_similarity(F.col("e0"), F.col("dct"), F.col("e1"), F.col("dct"))
-    return rows.select(text.one_line(F.col("text")).alias("sent0"), F.date_format("dct", "yyyy-MM-dd").alias("sent0_date"), expression_text(F.col("e1"), uniform(seed, key, F.lit("t"))).alias("sent1"), F.date_format("dct", "yyyy-MM-dd").alias("sent1_date"), score.alias("score")).where("score IS NOT NULL")
+    rows = fixed(rows, e1=F.when(F.col("j") == 4, F.col("e0")).otherwise(random_expression(seed, key)), u=uniform(seed, key, F.lit("t")))
+    rows = rows.withColumn("score", gaussian.expression_similarity(F.col("e0"), F.col("dct"), F.col("e1"), F.col("dct"))).where("score IS NOT NULL")
+    return rows.select(text.one_line(F.col("text")).alias("sent0"), F.date_format("dct", "yyyy-MM-dd").alias("sent0_date"), expression_text(F.col("e1"), F.col("u")).alias("sent1"), F.date_format("dct", "yyyy-MM-dd").alias("sent1_date"), "score")
 
 
 def relation_phrases(rows: DataFrame, month: str, years: str, months: str, back: str) -> DataFrame:
