@@ -21,10 +21,10 @@ from .common import batch_rows, text_of
 CHUNK_CHARS = 8_000_000
 
 
-def squeeze(data: bytes) -> bytes:
+def squeeze(data: bytes, level: int = 3) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(data)
+    return zstandard.ZstdCompressor(level=level).compress(data)
 
 
 def expand(data: bytes) -> bytes:

@@ -31,8 +31,6 @@ from .chunks import expand, pack, squeeze, unpack
 from .common import batch_rows
 
 WORD_CHARS = 256
-#: Parts of the word table for each chunk of documents.
-WORD_PARTS = 4
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
@@ -80,15 +78,15 @@ class Pieces:
         return b"".join([self.text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """words (word, distinct and hash-partitioned by word). Returns word, path: ids, or -1 - codepoint where no piece is."""
+def best_paths(words: DataFrame, pieces: Pieces, by: str) -> DataFrame:
+    """words (by, word), distinct and hash-partitioned by `by`. Returns by, word, path: ids, or -1 - codepoint where no piece is."""
     table = F.broadcast(pieces.table(words.sparkSession))
     spans = words.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
     spans = spans.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + pieces.longest, F.length("word")))))
     spans = spans.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a")))
     edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("b") == F.col("a") + 1))
     edge = F.struct("b", F.col("a"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(_UNKNOWN)).alias("score"))
-    lattice = edges.groupBy("word").agg(F.sort_array(F.collect_list(edge), asc=True).alias("edges"))
+    lattice = edges.groupBy(by, "word").agg(F.sort_array(F.collect_list(edge), asc=True).alias("edges"))
     # sort_array puts the longest last piece of a position first; the fold goes on only for a better path, or an equal one with a shorter piece
     start = F.expr("struct(array(struct(0.0D as s, 0 as a, 0 as id)) as done, struct(cast(null as double) as s, 0 as a, 0 as id) as best, 1 as at)")
 
@@ -99,7 +97,7 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
         same = e["b"] == state["at"]
         return F.struct(F.when(same, state["done"]).otherwise(F.concat(state["done"], F.array(state["best"]))).alias("done"), F.when(same, better).otherwise(path).alias("best"), e["b"].alias("at"))
 
-    folded = lattice.select("word", F.aggregate("edges", start, step, lambda s: F.concat(s["done"], F.array(s["best"]))).alias("back"))
+    folded = lattice.select(by, "word", F.aggregate("edges", start, step, lambda s: F.concat(s["done"], F.array(s["best"]))).alias("back"))
     none = F.array().cast("array<int>")
 
     def walk(state, _):
@@ -107,7 +105,7 @@ def best_paths(words: DataFrame, pieces: Pieces) -> DataFrame:
         return F.when(state["at"] == 0, state).otherwise(F.struct(at["a"].alias("at"), F.concat(F.array(at["id"]), state["path"]).alias("path")))
 
     path = F.aggregate(F.sequence(F.lit(1), F.size("back")), F.struct((F.size("back") - 1).alias("at"), none.alias("path")), walk, lambda s: s["path"])
-    return folded.select("word", path.alias("path"))
+    return folded.select(by, "word", path.alias("path"))
 
 
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -117,26 +115,20 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     kind = docs.schema[id_col].dataType.simpleString()
     batch_rows(docs.sparkSession, 500)
 
-    def bucket(word: str) -> int:
+    def by_bucket(words: list[str]) -> dict[int, list[str]]:
         import xxhash
 
-        return xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass")) % n
-
-    def by_bucket(texts: list[str]) -> dict[int, list[str]]:
         out: dict[int, list[str]] = {}
-        for w in sorted({w for t in texts for w in words_of(t)}):
-            out.setdefault(bucket(w), []).append(w)
+        for w in sorted(words):
+            out.setdefault(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % n, []).append(w)
         return out
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = by_bucket(unpack(pdf["blob"])[1])
-        return pd.DataFrame({"bucket": list(asked), "chunk": key[0], "words": [squeeze(pickle.dumps(w)) for w in asked.values()]})
-
-    def words(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"word": list({w for x in pdf["words"] for w in pickle.loads(expand(x))})}, dtype=object)
+        asked = by_bucket(list({w for t in unpack(pdf["blob"])[1] for w in words_of(t)}))
+        return pd.DataFrame({"bucket": list(asked), "chunk": key[0], "words": [squeeze(pickle.dumps(w), 9) for w in asked.values()]})
 
-    def own_bucket(batch: pd.Series) -> pd.Series:
-        return pd.Series([bucket(w) for w in batch], dtype="int64")
+    def words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"bucket": key[0], "word": list({w for x in pdf["words"] for w in pickle.loads(expand(x))})})
 
     def answer(key: tuple, asked: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
         known = dict(zip(paths["word"], paths["path"], strict=True))
@@ -144,26 +136,35 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         for chunk, x in zip(asked["chunk"], asked["words"], strict=True):
             own = [known[w] for w in pickle.loads(expand(x))]
             sizes, flat = np.array([len(p) for p in own], "<u2"), np.concatenate([np.zeros(0, "<i4"), *own]).astype("<i4")
-            rows.append((chunk, key[0], squeeze(sizes.tobytes()), squeeze(flat.tobytes())))
+            rows.append((chunk, key[0], squeeze(sizes.tobytes()), squeeze(flat.view(np.uint8).reshape(-1, 4).T.tobytes())))
         return pd.DataFrame(rows, columns=["chunk", "bucket", "sizes", "paths"])
 
     def encode(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         ids, texts = unpack(docs["blob"])
-        asked, known = by_bucket(texts), {}
+        at: dict[str, int] = {}
+        codes = [np.fromiter((at.setdefault(w, len(at)) for w in words_of(t)), np.int32) for t in texts]
+        asked = by_bucket(list(at))
+        found, exact = [np.zeros(0, np.int32)] * len(at), np.zeros(len(at), bool)
         for b, s, p in zip(answers["bucket"], answers["sizes"], answers["paths"], strict=True):
-            sizes, flat = np.frombuffer(expand(s), "<u2"), np.frombuffer(expand(p), "<i4").tolist()
-            at = 0
-            for w, k in zip(asked[b], sizes.tolist(), strict=True):
-                known[w] = pieces.expand(flat[at : at + k])
-                at += k
-        out = [[i for w in words_of(t) for i in known[w]] for t in texts]
-        return pd.DataFrame({"id": ids, "ids": out, "exact": [pieces.decode(o) == t for o, t in zip(out, texts, strict=True)]})
-
-    asked = packed.groupBy("chunk").applyInPandas(ask, "bucket bigint, chunk bigint, words binary")
-    distinct = asked.groupBy("bucket").applyInPandas(words, "word string")
-    distinct = distinct.repartition(WORD_PARTS * n, "word").distinct()  # small parts: the edges of each are sorted in memory
-    paths = best_paths(distinct, pieces).withColumn("bucket", F.pandas_udf(own_bucket, "bigint")("word"))
-    answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket bigint, sizes binary, paths binary")
+            ends = np.cumsum(np.frombuffer(expand(s), "<u2").astype(np.int64)).tolist()
+            flat = np.ascontiguousarray(np.frombuffer(expand(p), np.uint8).reshape(4, -1).T).view("<i4").ravel().tolist()
+            start = 0
+            for w, end in zip(asked[b], ends, strict=True):
+                own = pieces.expand(flat[start:end])
+                start, k = end, at[w]
+                found[k] = np.array(own, np.int32)
+                exact[k] = b"".join([pieces.text[i] for i in own]) == w.encode("utf-8", "surrogatepass")
+        n_own = np.fromiter(map(len, found), np.int64, len(found))
+        flat, first = np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum(n_own) - n_own
+        out = []
+        for c in codes:
+            k = n_own[c]
+            out.append(flat[np.repeat(first[c] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))])
+        return pd.DataFrame({"id": ids, "ids": out, "exact": [bool(exact[c].all()) for c in codes]})
+
+    asked = packed.groupBy("chunk").applyInPandas(ask, "bucket bigint, chunk bigint, words binary").repartition(n, "bucket")
+    table = asked.groupBy("bucket").applyInPandas(words, "bucket bigint, word string").repartition(n, "bucket")
+    answers = asked.groupBy("bucket").cogroup(best_paths(table, pieces, "bucket").groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket bigint, sizes binary, paths binary")
     return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(encode, f"id {kind}, ids array<int>, exact boolean")
 
 
