@@ -22,7 +22,8 @@ def _squeeze_sql(t: str) -> str:
 
 
 def _norm_sql(t: str) -> str:
-    return _squeeze_sql(f"regexp_replace({_PUNCT.format(t=f'lower({t})')}, '\\b(a|an|the)\\b', ' ', 'g')")
+    bare = _PUNCT.format(t=f"lower({t})")
+    return f"array_to_string(list_filter(regexp_split_to_array({bare}, '\\s+'), lambda w: w NOT IN ('', 'a', 'an', 'the')), ' ')"
 
 
 def _u_sql(seed: int, *keys: str) -> str:
