@@ -84,13 +84,15 @@ class WordEncoder:
         stem = pc.ascii_rtrim(low, _TAIL)
         # a stem and its tail each stand for themselves; any other word is a stem without a tail
         tail = pc.utf8_ltrim(pc.if_else(latin, low, ""), "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
-        stem = pc.if_else(latin, stem, words)
-        own = {}
-        for part, is_latin in ((stem.filter(latin).unique(), True), (stem.filter(pc.invert(latin)).unique(), False), (tail.filter(latin).unique(), False)):
-            for w in part.to_pylist():
-                own[w] = self._latin(w) if is_latin else self._any(w)
-        ids = [own[s] + own[t] if t else own[s] for s, t in zip(stem.to_pylist(), tail.to_pylist(), strict=True)]
-        return np.fromiter((i for x in ids for i in x), np.int64), np.fromiter(map(len, ids), np.int64, len(ids))
+        stem, tail = pc.if_else(latin, stem, words).dictionary_encode(), tail.dictionary_encode()
+        plain = pc.match_substring_regex(stem.dictionary, _LATIN).to_pylist()
+        own = [self._latin(w) if p else self._any(w) for w, p in zip(stem.dictionary.to_pylist(), plain, strict=True)]
+        own += [self._any(w) if w else [] for w in tail.dictionary.to_pylist()]
+        size = np.fromiter(map(len, own), np.int64, len(own))
+        flat, first = np.fromiter((i for x in own for i in x), np.int64, int(size.sum())), np.cumsum(size) - size
+        pair = np.stack([stem.indices.to_numpy(zero_copy_only=False), tail.indices.to_numpy(zero_copy_only=False) + len(plain)], axis=1).astype(np.int64).ravel()
+        n = size[pair]
+        return flat[np.repeat(first[pair] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n.reshape(-1, 2).sum(axis=1)
 
     def runs(self, texts: pd.Series, size: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each run of `size` texts: its start, all ids of its texts with an end id each, and how many each has."""
