@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import batch_rows, text_of
 
 CHUNK_CHARS = 8_000_000
+#: Characters that a task packs at a time.
+FLUSH_CHARS = 16_000_000
 
 
 def squeeze(data: bytes, level: int = 3) -> bytes:
@@ -43,7 +45,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
         held, size = {}, 0
 
         def flush() -> pd.DataFrame:
-            return pd.DataFrame({"chunk": list(held), "blob": [squeeze(pickle.dumps(x)) for x in held.values()]})
+            return pd.DataFrame({"chunk": list(held), "blob": [squeeze(pickle.dumps(x), 6) for x in held.values()]})
 
         for b in batches:
             for chunk, i, t in zip(b["chunk"], b["id"], b["text"], strict=True):
@@ -51,7 +53,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
                 ids.append(None if pd.isna(i) else i)
                 texts.append(t)
                 size += len(t)
-            if size > 2 * chunk_chars:
+            if size > FLUSH_CHARS:
                 yield flush()
                 held, size = {}, 0
         if held:

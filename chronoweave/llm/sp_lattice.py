@@ -31,6 +31,8 @@ from .chunks import expand, pack, squeeze, unpack
 from .common import batch_rows
 
 WORD_CHARS = 256
+#: Characters of the documents that a Python worker holds at a time.
+CHUNK_CHARS = 4_000_000
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
@@ -111,7 +113,7 @@ def best_paths(words: DataFrame, pieces: Pieces, by: str) -> DataFrame:
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, ids array<int>, exact (the ids decode to the text), for every row of docs."""
     pieces = Pieces(model)
-    packed, n = pack(docs, id_col, text_col)
+    packed, n = pack(docs, id_col, text_col, CHUNK_CHARS)
     kind = docs.schema[id_col].dataType.simpleString()
     batch_rows(docs.sparkSession, 500)
 
