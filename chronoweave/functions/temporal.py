@@ -177,3 +177,8 @@ def year_interval(text: Column) -> Column:
 def question_subtype(question: Column) -> Column:
     # The names of the two kinds of question.
     return F.when(F.lower(question).startswith("what is the time"), "L1_arithmetic").otherwise("L2_time_event")
+
+
+def tag_years(text: Column) -> Column:
+    """The tagger without a server: each distinct year as an expression, array<struct<text, value>>."""
+    return F.transform(year_tokens(text), lambda y: F.struct(y.cast("string").alias("text"), y.cast("string").alias("value")))

@@ -49,29 +49,33 @@ def evidence(*columns: str) -> Column:
     return F.filter(F.array(*columns), lambda x: x.isNotNull() & (x != ""))
 
 
-def contiguous_splits(rows: DataFrame, order: list[str], fraction: float = 1.0) -> DataFrame:
-    """Training tuples by position: the first 90 % train, then, from 98 %, a hundredth each for val and test; the rest none.
+def positions(rows: DataFrame, order: list[str]) -> DataFrame:
+    """rows with `position`, their exact place from 0 on in that order, at any size: counts of range partitions, then a number in each.
 
-    Positions are exact at any size: counts of range partitions, then a row number in each.
+    The number of partitions is given, so that nothing coalesces them between the count and the numbering.
     """
-    parts = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
     parts = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
     counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    total = counts.agg(F.floor(F.sum("_c") * F.lit(fraction)).alias("_n"))
-    offsets = counts.select("_p", before.alias("_b"))
-    out = parts.join(F.broadcast(offsets), "_p").crossJoin(F.broadcast(total)).withColumn("position", F.col("_i") + F.col("_b"))
+    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    return parts.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").withColumn("position", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+
+
+def contiguous_splits(rows: DataFrame, order: list[str], fraction: float = 1.0) -> DataFrame:
+    """Training tuples by position: the first 90 % train, then, from 98 %, a hundredth each for val and test; the rest none."""
+    total = rows.agg(F.floor(F.count("*") * F.lit(fraction)).alias("_n"))
+    out = positions(rows, order).crossJoin(F.broadcast(total))
     at, n = F.col("position"), F.col("_n")
     split = F.when(at < F.floor(n * 0.9), "train").when(at < F.floor(n * 0.98), None).when(at < F.floor(n * 0.99), "val").when(at < n, "test")
-    return out.withColumn("split", split).drop("_p", "_i", "_b", "_n")
+    return out.withColumn("split", split).drop("_n")
 
 
 def val_test_split(items: DataFrame, key: str, name: str, fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """The first round-half-even(n * fraction) items of a seeded order are val, the rest test."""
-    u = uniform(seed, F.lit(name), F.col(key))
     n = items.agg(F.bround(F.count("*") * F.lit(fraction)).cast("bigint").alias("_v"))
-    rn = F.row_number().over(W.orderBy("_u", key))
-    return items.withColumn("_u", u).withColumn("_r", rn).crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("_r") <= F.col("_v"), "val").otherwise("test")).drop("_u", "_r", "_v")
+    placed = positions(items.withColumn("_u", uniform(seed, F.lit(name), F.col(key))), ["_u", key])
+    return placed.crossJoin(F.broadcast(n)).withColumn("split", F.when(F.col("position") < F.col("_v"), "val").otherwise("test")).drop("_u", "position", "_v")
 
 
 def nearest_dated(questions: DataFrame, candidates: DataFrame, pool: int = 20, take: int = 5, seed: int = 42) -> DataFrame:
@@ -101,9 +105,10 @@ def top_negatives(scores: DataFrame, positives: DataFrame, n: int) -> DataFrame:
 
 def stage_finetune(train: DataFrame, val: DataFrame, order: str) -> DataFrame:
     """Training rows, then val rows in turn until there are ceil(10 * train / 9): part, position, and the row's order key."""
-    t = train.select(F.lit("train").alias("part"), F.col(order).alias("key"), (F.row_number().over(W.orderBy(order)) - 1).cast("bigint").alias("position"))
+    def numbered(rows: DataFrame) -> DataFrame:
+        return positions(rows.select(F.col(order).alias("key")), ["key"])
+
     n_t, n_v = train.count(), val.count()
     extra = max(0, -(-10 * n_t // 9) - n_t) if n_v else 0
-    v = val.select(F.col(order).alias("key"), (F.row_number().over(W.orderBy(order)) - 1).cast("bigint").alias("i"))
-    tail = train.sparkSession.range(extra).withColumn("i", F.pmod("id", F.lit(max(1, n_v)))).join(v, "i")
-    return t.union(tail.select(F.lit("val"), "key", (F.col("id") + n_t)))
+    tail = train.sparkSession.range(extra).withColumn("i", F.pmod("id", F.lit(max(1, n_v)))).join(numbered(val).withColumnRenamed("position", "i"), "i")
+    return numbered(train).select(F.lit("train").alias("part"), "key", "position").union(tail.select(F.lit("val"), "key", F.col("id") + n_t))

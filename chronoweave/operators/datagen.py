@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import gaussian, text
 from ..functions.temporal import FIRST_DAY, LAST_DAY, date_bounds, ground, interval_bounds
 from ..functions.text import choose, uniform
+from .benchmarks import positions
 
 #: Shares of date, offset, reference and interval among partner expressions.
 KINDS = (0.30, 0.04, 0.01, 0.65)
@@ -155,9 +156,9 @@ def tagged_values(corpus: DataFrame) -> DataFrame:
 
 
 def shuffled_union(parts: list[DataFrame], key: list[str], seed: int = 42) -> DataFrame:
-    """All parts in one random order: a distributed sort by a hash of the row."""
-    whole = reduce(DataFrame.unionByName, parts)
-    return whole.orderBy(uniform(seed, *[F.col(k) for k in key]), *key)
+    """All parts in one random order, with each row's `position` in it: a distributed sort by a hash of the row."""
+    whole = reduce(DataFrame.unionByName, parts).withColumn("_u", uniform(seed, *[F.col(k) for k in key]))
+    return positions(whole, ["_u", *key]).drop("_u")
 
 
 def spearman(rows: DataFrame, label: str, score: str) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import time
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,3 +61,30 @@ def attach_answers(items: DataFrame, raw: DataFrame, question: str = "question",
     """items with gold_answers: all raw answers of the question's exact text, or an empty array."""
     golds = raw.groupBy(question).agg(F.sort_array(F.collect_list(answer)).alias("gold_answers"))
     return items.join(golds, question, "left").withColumn("gold_answers", F.coalesce("gold_answers", F.array().cast("array<string>")))
+
+
+def generate_answers(prompts: DataFrame, key: str, messages: str, generator: Callable[[list[list[dict]]], list[str]], retries: int = 5) -> DataFrame:
+    """key, prediction: the generator, any function from conversations to texts, runs on batches; a failing batch is tried again with growing waits."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            talks = [[dict(m) for m in talk] for talk in b[messages]]
+            for attempt in range(retries + 1):
+                try:
+                    yield pd.DataFrame({key: b[key], "prediction": generator(talks)})
+                    break
+                except OSError:
+                    if attempt == retries:
+                        raise
+                    time.sleep(min(30.0, 0.5 * 2**attempt))
+
+    kind = prompts.schema[key].dataType.simpleString()
+    return prompts.select(key, messages).mapInPandas(run, f"{key} {kind}, prediction string")
+
+
+def extract_first(talks: list[list[dict]]) -> list[str]:
+    """The generator without a model: the first passage's first sentence."""
+    out = []
+    for talk in talks:
+        passage = talk[-1]["content"].partition("[1] ")[2].partition("\n")[0]
+        out.append(passage.partition(". ")[0])
+    return out

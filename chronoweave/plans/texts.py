@@ -196,7 +196,7 @@ def gen_real_world(spark: SparkSession, sf_dir: str) -> DataFrame:
 def shuffle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
     whole = datagen.shuffled_union([o.where("o_orderstatus = 'F'").select("k"), o.where("o_orderstatus <> 'F'").select("k")], ["k"])
-    return whole.withColumn("place", F.row_number().over(W.orderBy(text.uniform(42, F.col("k")), "k")).cast("bigint"))
+    return whole.select("k", (F.col("position") + 1).alias("place"))
 
 
 @query(f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_u_sql(42, chr(39) + 'orders' + chr(39), 'o_orderkey::VARCHAR')}, o_orderkey) AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN rn <= round_even(n * 0.2, 0) THEN 'val' ELSE 'test' END AS split FROM r")

@@ -53,3 +53,23 @@ def test_config():
         with pytest.raises(ValueError):
             reports.Config.parse(bad)
     assert reports.alpha_svg([{"run_type": "h", "alpha": 0.1, "mrr": 0.2}, {"run_type": "h", "alpha": 0.2, "mrr": 0.3}]).startswith("<svg")
+
+
+def test_sql_functions(spark):
+    from chronoweave.functions import sql
+
+    sql.register(spark)
+    r = spark.sql("SELECT day_index(DATE'2021-11-09'), round(temporal_similarity(365242, 365607, 365608, 365972), 6), temporal_kl(1, 2, 1, 2), cosine_similarity(array(1D, 0D), array(1D, 1D)), year_tokens('in 1999, 2005 and 1999'), squad_normalize('The  Cat, an a-b!')").first()
+    assert tuple(r)[:3] == (373225, 0.142522, 0.0) and abs(r[3] - 0.5**0.5) < 1e-12 and r[4] == [1999, 2005] and r[5] == "cat ab"
+
+
+def test_generate(spark):
+    from pyspark.sql import functions as F
+
+    from chronoweave.functions import temporal, text
+    from chronoweave.operators import qa
+
+    rows = spark.createDataFrame([(1, "q", ["A led it. Then", "B"])], "i int, question string, p array<string>")
+    asked = rows.select("i", text.prompt(F.col("question"), F.col("p"), "s").alias("m"))
+    assert qa.generate_answers(asked, "i", "m", qa.extract_first).first()["prediction"] == "A led it"
+    assert [x["value"] for x in rows.select(temporal.tag_years(F.lit("1999 or 2001")).alias("t")).first()["t"]] == ["1999", "2001"]
