@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import batch_rows, cut
 
-POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 12_000, 500, 5, 6.0
+POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 12_000, 500, 5, 4.0
 THRESHOLD = 0.7
 _WORDS = re.compile(r"\w+")
 
@@ -104,7 +104,7 @@ def operating_point(f: np.ndarray, positive: np.ndarray) -> float:
     return float((cuts[best - 1] + cuts[best]) / 2)
 
 
-def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, rounds: int = 600, rate: float = 0.05, l2: float = 1e-5) -> tuple[np.ndarray, float]:
+def fit_nnpu(rows: list[np.ndarray], positive: np.ndarray, n_features: int, prior: float, rounds: int = 600, rate: float = 0.05, l2: float = 1e-2) -> tuple[np.ndarray, float]:
     """Weights and bias of a logistic classifier; rows hold the indices of each document's features. Adam, full batches."""
     at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
     doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
