@@ -36,8 +36,11 @@ def expand(data: bytes) -> bytes:
 
 
 def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> tuple[DataFrame, int]:
-    """chunk, blob: documents by the hash of their id and text; and how many chunks there are. A null text is empty."""
-    rows = docs.select(docs[id_col].alias("id"), text_of(docs[text_col]).alias("text"))
+    """chunk, blob: documents by the hash of their id and text; and how many chunks there are. A null text is empty.
+
+    Ids travel as strings: pandas would make floats of long integers beside a null.
+    """
+    rows = docs.select(docs[id_col].cast("string").alias("id"), text_of(docs[text_col]).alias("text"))
     n = max(1, -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk_chars))
     batch_rows(docs.sparkSession, 500)
 
@@ -50,7 +53,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
         for b in batches:
             for chunk, i, t in zip(b["chunk"], b["id"], b["text"], strict=True):
                 ids, texts = held.setdefault(chunk, ([], []))
-                ids.append(None if pd.isna(i) else i)
+                ids.append(i)
                 texts.append(t)
                 size += len(t)
             if size > FLUSH_CHARS:

@@ -61,7 +61,6 @@ def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
 def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
     """id, n_words, log_score (natural logarithm), for every row of docs."""
     packed, n = pack(docs, id_col, text_col)
-    kind = docs.schema[id_col].dataType.simpleString()
     n_words = int(cut(docs.select(F.regexp_count(text_of(docs[text_col]), F.lit(WORD)).cast("bigint").alias("n"))).agg(F.sum("n")).first()[0] or 0)
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -101,7 +100,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     asked = packed.groupBy("chunk").applyInPandas(ask, "bucket bigint, chunk bigint, keys binary, counts binary")
     answers = asked.groupBy("bucket").applyInPandas(answer, "chunk bigint, bucket bigint, counts binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, f"id {kind}, n_words bigint, log_score double")
+    scores = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "id string, n_words bigint, log_score double")
+    return scores.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def op3(spark, sf_dir: str) -> DataFrame:

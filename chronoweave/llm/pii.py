@@ -129,8 +129,9 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             spans = [[{"start": a, "end": e, "kind": k, "score": s} for a, e, k, s in find_spans(t)] for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "spans": spans})
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInPandas(scan, f"id {kind}, spans array<struct<start:bigint,end:bigint,kind:string,score:double>>")
+    rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))  # as a string: pandas would make floats of long integers beside a null
+    found = rows.mapInPandas(scan, "id string, spans array<struct<start:bigint,end:bigint,kind:string,score:double>>")
+    return found.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -114,7 +114,6 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """id, ids array<int>, exact (the ids decode to the text), for every row of docs."""
     pieces = Pieces(model)
     packed, n = pack(docs, id_col, text_col, CHUNK_CHARS)
-    kind = docs.schema[id_col].dataType.simpleString()
     batch_rows(docs.sparkSession, 500)
 
     def by_bucket(words: list[str]) -> dict[int, list[str]]:
@@ -167,7 +166,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     asked = packed.groupBy("chunk").applyInPandas(ask, "bucket bigint, chunk bigint, words binary").repartition(n, "bucket")
     table = asked.groupBy("bucket").applyInPandas(words, "bucket bigint, word string").repartition(n, "bucket")
     answers = asked.groupBy("bucket").cogroup(best_paths(table, pieces, "bucket").groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket bigint, sizes binary, paths binary")
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(encode, f"id {kind}, ids array<int>, exact boolean")
+    encoded = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(encode, "id string, ids array<int>, exact boolean")
+    return encoded.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:

@@ -246,9 +246,9 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
         for b in batches:
             doc = [None if pd.isna(i) else int(i) for i in b["id"]]
             for a, ids, n in encoder.runs(b["text"], RUN):
-                yield pd.DataFrame({"ids": [doc[a : a + len(n)]], "n": [n], "tokens": [squeeze(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]})
+                yield pd.DataFrame({"ids": [np.array(doc[a : a + len(n)], object)], "n": [n], "tokens": [squeeze(ids.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes())]})
 
-    rows = docs.select(docs[id_col].cast("bigint").alias("id"), text_of(docs[text_col]).alias("text"))
+    rows = docs.select(docs[id_col].cast("bigint").cast("string").alias("id"), text_of(docs[text_col]).alias("text"))
     return rows.mapInPandas(run, "ids array<bigint>, n array<bigint>, tokens binary")
 
 
@@ -294,14 +294,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
                 n = np.asarray(n, np.int64)
                 coded, marks = encode_documents(_tokens(data), n, lengths, codes)
                 where = np.searchsorted(bounds, np.array([_NULL if pd.isna(i) else i for i in ids], np.float64), side="left") if bounds else 0
-                yield pd.DataFrame({"file": where, "id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"), "n": n, "codes": coded, "marks": marks})
+                yield pd.DataFrame({"file": where, "id": [None if pd.isna(i) else str(int(i)) for i in ids], "n": n, "codes": coded, "marks": marks})
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["id", "codes"], na_position="first", kind="stable")
-        ids = [None if pd.isna(i) else int(i) for i in pdf["id"]]
-        return pd.DataFrame({"file": [key[0]], "n_ids": [int(pdf["n"].sum())], "data": [build_file(ids, pdf["n"].tolist(), pdf["codes"].tolist(), pdf["marks"].tolist())]})
+        ids, codes = [_NULL if i is None else int(i) for i in pdf["id"]], pdf["codes"].tolist()
+        pdf = pdf.iloc[sorted(range(len(ids)), key=lambda r: (ids[r], codes[r]))]
+        ids.sort()
+        return pd.DataFrame({"file": [key[0]], "n_ids": [int(pdf["n"].sum())], "data": [build_file([None if i == _NULL else i for i in ids], pdf["n"].tolist(), pdf["codes"].tolist(), pdf["marks"].tolist())]})
 
-    coded = runs.mapInPandas(encode, "file bigint, id bigint, n bigint, codes binary, marks binary")
+    coded = runs.mapInPandas(encode, "file bigint, id string, n bigint, codes binary, marks binary")
     files = coded.groupBy("file").applyInPandas(build, "file bigint, n_ids bigint, data binary")
     files.write.option("compression", "uncompressed").parquet(f"{folder}/files")
 

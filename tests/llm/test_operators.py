@@ -23,6 +23,7 @@ LONG = "lorem ipsum dolor " * 40_000
 ROWS = [
     (1, "The quick brown fox jumps over the lazy dog", "a"), (2, "The quick brown fox jumps over the lazy dog", "b"), (3, None, None), (4, "", "a"), (5, " \n\t", "c"), (None, "no id here at all", None),
     (6, "one", "a"), (7, "one two", "b"), (7, "one two", "b"), (8, LONG, "c"), (9, "Ünï " * 5 + "日本語 ▁ \n\n  x", "c"), (10, "a@b.co 10.0.0.1 +1 555 123 4567", "d"),
+    (9_007_199_254_740_993, "an id beyond the doubles", "d"),
 ]
 
 
