@@ -1,11 +1,14 @@
 """Embedding near-duplicates: spherical k-means cells, blocked cosine products within cells, one row kept of a group.
 
 Equal vectors are put together first. Centroids are fitted on `SAMPLE` vectors at most, taken in hash order; that bounds
-the fit, not the search. Every vector goes to its `PROBES` nearest cells, so that pairs near a cell's edge meet:
-at a cosine of exactly 0.9 in 64 dimensions more than 99 % of pairs share a cell, at 0.96 all that we measured.
-Within a cell vectors are dealt into blocks, and each pair of blocks is one group; a pair of vectors counts only in the
-smallest cell that both are in. A block pair returns a count for each vector and a spanning forest of its links,
-never the pairs, so a large group of copies costs no more rows than it has members.
+the fit, not the search, which is exact. A vector's home is its nearest cell, and it visits every later cell that can be
+the home of a vector linked to it: of vectors within the threshold's angle of x, some lie on the far side of the plane
+between two centroids only if x is at most that angle's sine away from the plane. So each pair meets in the later of its two
+homes, and only there. How many cells a vector visits follows from the data: few where cells lie far apart, and all of
+them where vectors are spread evenly in many dimensions, as no bound separates cells there.
+Within a cell its own vectors and its visitors are dealt into blocks, and each pair of blocks with one of its own is one
+group. A block pair returns a count for each vector and a spanning forest of its links, never the pairs, so a large group
+of copies costs no more rows than it has members.
 
 Vectors that are null, zero or hold a null or non-finite component, and rows with a null id, link with nothing: their
 n_links is 0 and they are their own component (null for a null id). Vectors of different lengths don't link. Rows that
@@ -14,6 +17,7 @@ repeat count as rows. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,7 +29,7 @@ from .common import batch_rows, cut
 from .components import components
 from .simhash import _forest
 
-CELL_ROWS, MOST_CELLS, SAMPLE, PROBES, BLOCK = 4096, 4096, 32_768, 4, 2048
+CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK, VISITORS = 4096, 4096, 32_768, 2048, 8192
 
 
 def usable(vector: Column) -> Column:
@@ -52,6 +56,19 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 42) ->
     return c
 
 
+def visits(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Home of each unit vector, and for each vector and cell whether it is its home or a later cell that can hold a link."""
+    product = x @ c.T
+    home = product.argmax(axis=1)
+    reach = math.sqrt(max(0.0, 1 - threshold**2)) if threshold > 0 else math.inf
+    goes = np.arange(len(c)) == home[:, None]
+    for h in np.unique(home):
+        i = np.flatnonzero(home == h)
+        apart = np.linalg.norm(c[h + 1 :] - c[h], axis=1)
+        goes[i, h + 1 :] = (product[i, h, None] - product[i, h + 1 :] <= reach * apart + 1e-9) | math.isinf(reach)
+    return home, goes
+
+
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """id, n_links, component_id, kept for every row of vectors."""
     spark = vectors.sparkSession
@@ -73,30 +90,33 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 x = unit(b["v"])
                 c = centres.get(dim)
                 if c is None:
-                    cells = np.zeros((len(b), 1), np.int32)
+                    home, goes = np.zeros(len(b), np.int32), np.ones((len(b), 1), bool)
                 else:
-                    p = min(PROBES, len(c))
-                    cells = np.sort(np.argpartition(-(x @ c.T), p - 1, axis=1)[:, :p].astype(np.int32), axis=1)
-                yield pd.DataFrame({"dim": dim, "rep": b["rep"].to_numpy(), "cnt": b["cnt"].to_numpy(), "cells": [y.tobytes() for y in cells], "cell": list(cells), "x": [y.tobytes() for y in x]})
-
-    assigned = cut(classes.select("dim", "rep", "cnt", "v").mapInPandas(assign, "dim int, rep bigint, cnt bigint, cells binary, cell array<int>, x binary"))
-    assigned = assigned.withColumn("cell", F.explode("cell"))
-    blocks = assigned.groupBy("dim", "cell").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("n"))
-    dealt = assigned.join(blocks, ["dim", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    dealt = dealt.select("dim", "cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cnt", "cells", "x")
+                    home, goes = visits(x, c, threshold)
+                yield pd.DataFrame({"dim": dim, "rep": b["rep"].to_numpy(), "cnt": b["cnt"].to_numpy(), "home": home, "cell": [np.flatnonzero(y).astype(np.int32) for y in goes], "x": [y.tobytes() for y in x]})
+
+    assigned = cut(classes.select("dim", "rep", "cnt", "v").mapInPandas(assign, "dim int, rep bigint, cnt bigint, home int, cell array<int>, x binary"))
+    assigned = assigned.withColumn("cell", F.explode("cell")).withColumn("own", F.col("cell") == F.col("home"))
+    n_blocks = [F.ceil(F.count_if(own) / F.lit(float(size))).cast("int").alias(name) for own, size, name in ((F.col("own"), BLOCK, "n_own"), (~F.col("own"), VISITORS, "n_visit"))]
+    blocks = assigned.groupBy("dim", "cell").agg(*n_blocks).where("n_own > 0")
+    at = F.xxhash64("rep")
+    block = F.when(F.col("own"), F.pmod(at, F.col("n_own"))).otherwise(F.col("n_own") + F.pmod(at, F.greatest("n_visit", F.lit(1))))
+    others = F.col("n_own") + F.when(F.col("own"), F.col("n_visit")).otherwise(F.lit(0)) - 1
+    dealt = assigned.join(blocks, ["dim", "cell"]).withColumn("block", block.cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), others)))
+    dealt = dealt.select("dim", "cell", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "cnt", "x")
+    dealt = dealt.repartition("dim", "cell", "lo", "hi")  # else a cell's block pairs all stay in the task of the join
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        dim, cell, lo, hi = (int(x) for x in key)
+        dim, _, lo, hi = (int(x) for x in key)
         pdf = pdf.sort_values("rep")
         a, b = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
 
         def read(p: pd.DataFrame):
-            return p["rep"].to_numpy(), p["cnt"].to_numpy(), np.frombuffer(b"".join(p["cells"]), np.int32).reshape(len(p), -1), np.frombuffer(b"".join(p["x"]), np.float64).reshape(-1, dim)
+            return p["rep"].to_numpy(), p["cnt"].to_numpy(), np.frombuffer(b"".join(p["x"]), np.float64).reshape(-1, dim)
 
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "n": [], "to": [], "link": []})
-        (ra, ca, la, xa), (rb, cb, lb, xb) = read(a), read(b)
+        (ra, ca, xa), (rb, cb, xb) = read(a), read(b)
         na, nb, src, dst = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64), [], []
         for s in range(0, len(a), 256):
             i, j = np.nonzero(xa[s : s + 256] @ xb.T >= threshold)
@@ -105,8 +125,6 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                 i, j = i[i < j], j[i < j]
             for t in range(0, len(i), 1 << 18):
                 x, y = i[t : t + (1 << 18)], j[t : t + (1 << 18)]
-                shared = np.where((la[x][:, :, None] == lb[y][:, None, :]).any(axis=2), la[x], MOST_CELLS).min(axis=1)
-                x, y = x[shared == cell], y[shared == cell]
                 na += np.bincount(x, weights=cb[y], minlength=len(a)).astype(np.int64)
                 nb += np.bincount(y, weights=ca[x], minlength=len(b)).astype(np.int64)
                 u, v = _forest(ra[x], rb[y])

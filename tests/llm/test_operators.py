@@ -113,6 +113,26 @@ def test_near_vectors(spark):
     assert all(got[i]["n_links"] == 0 and got[i]["component_id"] == i for i in range(900, 906)) and got[None]["component_id"] is None
 
 
+def test_no_link_is_lost_between_cells(spark, monkeypatch):
+    monkeypatch.setattr(embed_dedup, "CELL_ROWS", 6)
+    monkeypatch.setattr(embed_dedup, "BLOCK", 16)
+    monkeypatch.setattr(embed_dedup, "VISITORS", 64, raising=False)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 64)) / 8
+    x[:300] = x[0] / np.linalg.norm(x[0]) + rng.normal(size=(300, 64)) / 8 * 0.32  # one large group, near the threshold
+    x[300:400] = x[400:500] + rng.normal(size=(100, 64)) / 8 * 0.4
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {r["id"]: r for r in embed_dedup.near_vectors(df).collect()}
+    u = x / np.linalg.norm(x, axis=1)[:, None]
+    near = u @ u.T >= 0.9
+    assert 30_000 < near[:300, :300].sum() < 89_000
+    label = np.arange(len(x))
+    for _ in range(30):
+        label = np.array([label[near[i]].min() for i in range(len(x))])
+    assert [got[i]["n_links"] for i in range(900)] == [near[i].sum() - 1 for i in range(900)]
+    assert [got[i]["component_id"] for i in range(900)] == label.tolist()
+
+
 # 3: language model
 
 def test_lm_scores(spark):
