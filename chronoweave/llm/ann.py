@@ -3,8 +3,10 @@
 A vector's dimensions are cut into pairs, each with 16 centres. Codes and centres minimise a residual whose part
 parallel to the vector weighs more than the rest, as that part is what changes large inner products. Centres are
 fitted on `SAMPLE` vectors at most, in hash order; every vector is encoded and scanned. A query's tables hold its
-products with all centres, two four-bit codes to a lookup; the best `RERANK` of every block of the index are scored
-again on the original vectors in double precision, and the best of all blocks are the result.
+products with all centres, two four-bit codes to a lookup. The best `RERANK` of every block of the index are scored
+on the original vectors in double precision first. An entry keeps the norm of what its code leaves of it, which times
+the query's norm bounds the error of its approximate product (Cauchy and Schwarz); every entry that can reach the last of
+the k best by that bound is scored too, so no neighbour is lost, and the best of all blocks are the result.
 
 Equal vectors are one entry of the index with as many of their smallest ids as a result can hold, which is exact and
 keeps a large group of copies from filling the rerank. Queries and index are dealt into blocks, and each pair of blocks
@@ -78,11 +80,14 @@ class Quantizer:
                     self.centres[m, c] = np.linalg.solve(left, right)
             along[:, m] = ((own - self.centres[m][codes[:, m]]) * own).sum(axis=1)
 
-    def encode(self, x: np.ndarray) -> np.ndarray:
-        """Two codes to a byte."""
-        codes = self._codes(self._pad(x), 2)
+    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Two codes to a byte; the norm of each vector's residual, and what rounding in a query's tables can add to it."""
+        x = self._pad(x)
+        codes = self._codes(x, 2)
+        rest = np.sqrt(sum(((x[:, m] - self.centres[m][codes[:, m]]) ** 2).sum(axis=1) for m in range(self.parts)))
+        rest += (self.parts + 4) * float(np.finfo(np.float32).eps) * (np.sqrt((x**2).sum(axis=(1, 2))) + rest)
         codes = np.pad(codes, ((0, 0), (0, self.parts % 2)))
-        return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8)
+        return (codes[:, 0::2] | codes[:, 1::2] << 4).astype(np.uint8), rest
 
     def tables(self, q: np.ndarray) -> np.ndarray:
         """For each byte of a code, its two centres' products with the query."""
@@ -114,9 +119,10 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             x = np.array(list(b["v"]))
             for at in range(0, len(b), 4096):
                 p = b.iloc[at : at + 4096]
-                yield pd.DataFrame({"ib": p["ib"], "ids": p["ids"], "x": [y.tobytes() for y in x[at : at + 4096]], "code": [y.tobytes() for y in quantizer.encode(x[at : at + 4096])]})
+                code, rest = quantizer.encode(x[at : at + 4096])
+                yield pd.DataFrame({"ib": p["ib"], "ids": p["ids"], "x": [y.tobytes() for y in x[at : at + 4096]], "code": [y.tobytes() for y in code], "rest": rest})
 
-    index = entries.withColumn("ib", F.pmod(F.xxhash64("v"), F.lit(n_index))).select("ib", "ids", "v").mapInPandas(encode, "ib bigint, ids array<bigint>, x binary, code binary")
+    index = entries.withColumn("ib", F.pmod(F.xxhash64("v"), F.lit(n_index))).select("ib", "ids", "v").mapInPandas(encode, "ib bigint, ids array<bigint>, x binary, code binary, rest double")
     index = index.withColumn("qb", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_query - 1).cast("bigint"))))
     asked = asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(n_query))).withColumn("ib", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_index - 1).cast("bigint"))))
 
@@ -126,21 +132,27 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_
             x = np.frombuffer(b"".join(ix["x"]), np.float64).reshape(len(ix), -1)
             codes = np.ascontiguousarray(np.frombuffer(b"".join(ix["code"]), np.uint8).reshape(len(ix), -1).T)
             ids = [np.asarray(i, np.int64) for i in ix["ids"]]
-            size = np.array([len(i) for i in ids])
+            size, rest = np.array([len(i) for i in ids]), ix["rest"].to_numpy()
+            first = max(RERANK, k + 1)
+
+            def last_of(exact: np.ndarray, best: np.ndarray) -> float:
+                """The score from which on there are k ids besides the query's, or the least."""
+                order = np.argsort(-exact, kind="stable")
+                return exact[order[: np.searchsorted(np.cumsum(size[best[order]]), k + 1) + 1][-1]]
+
             for qid, v in zip(qs["id"], qs["v"], strict=True):
                 q = np.asarray(v, np.float64)
                 best = np.arange(len(x))
-                if len(x) > RERANK:
+                if len(x) > first:
                     t = quantizer.tables(q)
                     approx = t[0][codes[0]]
                     for j in range(1, len(t)):
                         approx += t[j][codes[j]]
-                    best = np.argpartition(-approx, RERANK)[:RERANK]
+                    best = np.argpartition(-approx, first)[:first]
+                    last = last_of((x[best] * q).sum(axis=1), best)
+                    best = np.flatnonzero(~(approx + rest * np.linalg.norm(q) < last) | ~np.isfinite(approx))
                 exact = (x[best] * q).sum(axis=1)
-                order = np.argsort(-exact, kind="stable")
-                enough = order[: np.searchsorted(np.cumsum(size[best[order]]), k + 1) + 1]
-                last = exact[enough[-1]]
-                enough = order[exact[order] >= last]
+                enough = np.flatnonzero(exact >= last_of(exact, best))
                 got = np.concatenate([ids[i] for i in best[enough]])
                 score = np.repeat(exact[enough], size[best[enough]])
                 score, got = score[got != qid], got[got != qid]

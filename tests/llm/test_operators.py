@@ -223,6 +223,22 @@ def test_search(spark):
     assert ann.search(df.where("vec_id >= 1000"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("noise", [0.29, 0.14])
+def test_search_in_a_group_of_near_copies(spark, noise):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(3000, 64)) / 8
+    x[:1000] = x[0] + rng.normal(size=(1000, 64)) / 8 * noise  # cosine about 0.92 and 0.98
+    x[1000:1003] = x[0]
+    df = spark.createDataFrame([(i, [float(z) for z in v]) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    got = {}
+    for r in ann.search(df, df["vec_id"] % 50 == 0).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = r["vec_id"]
+    for i in range(0, 3000, 50):
+        score = (x * x[i]).sum(axis=1)
+        score[i] = -np.inf
+        assert [got[i][k] for k in range(1, 21)] == np.lexsort((np.arange(3000), -score))[:20].tolist()
+
+
 # 7: token files
 
 def test_huffman():
