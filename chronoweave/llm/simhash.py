@@ -169,10 +169,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5) -> DataFrame:
     """docs with one document of each group, that with the smallest id. Rows with a null id stay.
 
+    Groups are what fingerprints within the radius and shingle sets of a similarity of 0.8 or more connect.
     Where rows share an id, one of them is kept.
     """
+    from .shingles import similar_documents
+
     found = cut(near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
-    out = found.where(F.col("id") != F.col("component_id")).select(F.col("id").alias("_dropped")).distinct()
+    links = found.select(F.col("id").alias("src"), F.col("component_id").alias("dst")).union(similar_documents(docs, id_col, text_col, words))
+    out = components(links).select(F.col("node").alias("_dropped"))
     kept = docs.join(out, docs[id_col] == F.col("_dropped"), "left_anti")
     if found.groupBy("id").count().where("count > 1").isEmpty():
         return kept

@@ -25,7 +25,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near-duplicates, by SimHash over shingles of five words, the document with the smallest id stays."""
+    """Of every group of near-duplicates, by SimHash and by similarity of 0.8 over shingles of five words, the document with the smallest id stays."""
     return drop_near_duplicates(docs, words=5)
 
 
