@@ -107,11 +107,12 @@ def interval_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TURNS_SQL = "a AS (SELECT conv_id, turn, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt, lead(text, 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS later FROM conversations)"
 
 
-def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each turn as a prediction; the beginnings of the next two as answers."""
+def _turns(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
+    """Each turn as a prediction; the next two, or the first characters of each, as answers."""
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prediction"), F.lead("text").over(w).alias("a"), F.lead("text", 2).over(w).alias("b"))
-    golds = F.transform(F.filter(F.array("a", "b"), lambda x: x.isNotNull()), lambda x: F.substring(x, 1, 40))
+    golds = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
+    golds = golds if chars is None else F.transform(golds, lambda x: F.substring(x, 1, chars))
     return rows.select("conv_id", "turn", "prediction", golds.alias("golds"))
 
 
@@ -122,7 +123,7 @@ def qa_em_f1_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_TURNS_SQL} SELECT conv_id, turn, ((coalesce({_norm_sql('substr(nxt, 1, 40)')}, '?') = {_norm_sql('prediction')}) OR (coalesce({_norm_sql('substr(later, 1, 40)')}, '?') = {_norm_sql('prediction')}))::INT::BIGINT AS em FROM (SELECT conv_id, turn, split_part(prediction, chr(10), 1) AS prediction, nxt, later FROM a) WHERE nxt IS NOT NULL")
 def qa_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir).where(F.size("golds") > 0)
+    rows = _turns(spark, sf_dir, 40).where(F.size("golds") > 0)
     p = text.normalize_answer(F.substring_index("prediction", "\n", 1))
     return rows.select("conv_id", "turn", F.exists("golds", lambda g: text.normalize_answer(g) == p).cast("bigint").alias("em"))
 
