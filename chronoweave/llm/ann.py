@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut
+from .common import batch_bytes, cut
 from .embed_dedup import usable
 
 CENTRES, SAMPLE, RERANK, INDEX_BLOCK, QUERY_BLOCK = 16, 20_000, 128, 8192, 2048
@@ -98,7 +98,7 @@ class Quantizer:
 
 def search(vectors: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The k nearest to each row of vectors where `queries` holds: query_id, rank, vec_id, score."""
-    batch_rows(vectors.sparkSession, 10_000)
+    batch_bytes(vectors.sparkSession)
     rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"))
     rows = rows.where(F.col("id").isNotNull() & usable(F.col("v"))).withColumn("dim", F.size("v"))
     out = "query_id bigint, vec_id bigint, score double"

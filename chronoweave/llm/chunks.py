@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, text_of
+from .common import batch_bytes, text_of
 
 CHUNK_CHARS = 8_000_000
 #: Characters that a task packs at a time.
@@ -42,7 +42,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chunk_
     """
     rows = docs.select(docs[id_col].cast("string").alias("id"), text_of(docs[text_col]).alias("text"))
     n = max(1, -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // chunk_chars))
-    batch_rows(docs.sparkSession, 500)
+    batch_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held, size = {}, 0

@@ -25,9 +25,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def batch_rows(spark: SparkSession, rows: int) -> None:
-    """Bounds the rows of an Arrow batch, so that a batch of whole texts stays small in a Python worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+#: Bytes of an Arrow batch: what a Python worker gets of whole texts at a time, one text at least.
+BATCH_BYTES = 8 << 20
+
+
+def batch_bytes(spark: SparkSession) -> None:
+    """Bounds Arrow batches by bytes. All operators set the same bound, so it doesn't matter which of several lazy plans runs first."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def text_of(col: str | Column) -> Column:

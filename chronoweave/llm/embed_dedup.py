@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut
+from .common import batch_bytes, cut
 from .components import components
 from .simhash import _forest
 
@@ -72,7 +72,7 @@ def visits(x: np.ndarray, c: np.ndarray, threshold: float) -> tuple[np.ndarray,
 def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", threshold: float = 0.9) -> DataFrame:
     """id, n_links, component_id, kept for every row of vectors."""
     spark = vectors.sparkSession
-    batch_rows(spark, 10_000)
+    batch_bytes(spark)
     rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].alias("v"))
     valid = F.col("id").isNotNull() & usable(F.col("v"))
     classes = cut(rows.where(valid).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("cnt")).withColumn("dim", F.size("v")))

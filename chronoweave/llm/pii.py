@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows
+from .common import batch_bytes
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -122,7 +122,7 @@ def redact(text: str | None, spans: list[tuple[int, int, str, float]]) -> str |
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, spans array<struct<start,end,kind,score>>. Texts stay in their task."""
-    batch_rows(docs.sparkSession, 500)
+    batch_bytes(docs.sparkSession)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -136,7 +136,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the personal data of its text column replaced; all rows, columns and types stay."""
-    batch_rows(docs.sparkSession, 500)
+    batch_bytes(docs.sparkSession)
 
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:

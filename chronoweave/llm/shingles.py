@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut
+from .common import batch_bytes, cut
 from .components import components
 from .simhash import SEED
 
@@ -74,7 +74,7 @@ def _possible(n: Column, at: Column, m: Column, to: Column, threshold: float) ->
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """src, dst: links between ids that connect all documents that similarities of at least `threshold` connect."""
-    batch_rows(docs.sparkSession, 500)
+    batch_bytes(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
 

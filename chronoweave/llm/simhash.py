@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut
+from .common import batch_bytes, cut
 from .components import components
 
 RADIUS = 3
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """id, fp (the fingerprint's bits as a signed long)."""
-    batch_rows(docs.sparkSession, 500)
+    batch_bytes(docs.sparkSession)
 
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
@@ -114,7 +114,7 @@ def links(prints: DataFrame) -> DataFrame:
     spark = prints.sparkSession
     count = prints.count()
     n = max(1, -(-count * (len(_ONE) + len(_TWO) // 2) // BUCKET_VARIANTS))
-    batch_rows(spark, 10_000)
+    batch_bytes(spark)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -1,56 +1,62 @@
 """SentencePiece encoding and decoding on a relational lattice.
 
-Texts are cut into words: a line break, or a run of spaces with what follows up to the next space or line break. Every distinct word of
-the corpus is encoded once. Its substrings of up to the longest piece's length are exploded and joined by equality with the piece
-table; the edges found are grouped by word and folded from left to right with Spark's aggregate(): each position keeps its
-best path, the largest sum of piece scores (ties: the shorter last piece). The best path's ids go back to the chunks of documents that
-asked for the word (chunks.py).
+Texts are cut into words: a line break, or a run of spaces with what follows up to the next space or line break; and words into
+parts, where two neighbouring characters are neighbours in no piece of the table, so that no piece can span the cut and the best path of a
+word is that of its parts. Every distinct part of the corpus is encoded once. Its substrings of up to the longest piece's
+length are exploded and joined by equality with the piece table; the edges found are grouped by their end and then by part, and folded
+from left to right with Spark's aggregate(): each position keeps its best path, the largest sum of piece scores (ties: the
+shorter last piece). Parts of any length are encoded whole: beyond SEGMENT characters their substrings are exploded by
+segments, each with the characters before it that a piece can reach back to, and the fold carries the last scores across.
+
+A task keeps its documents as numbers of words, by chunks of about CHUNK_CHARS characters, and asks the table of parts, which is
+partitioned by hash, once for each distinct part of a chunk. There are as many buckets as the number of asked parts needs, and
+never more rows than parts are asked for. A frequent word is asked for once by each chunk.
 
 A character without a piece is an edge for its UTF-8 byte pieces, scored below every piece. As in the library, a space is put
 before a text that isn't empty, and decoding takes it off; line breaks and literal U+2581 are bytes, so decoding gives
-back every text exactly. Words are cut after WORD_CHARS characters, which bounds the fold; no piece crosses a cut.
+back every text exactly.
 
 The path is the best by score. The installed model was made by merging pairs, and the library replays its merges, so
 its ids for a word can differ; see README.md for how often. The piece table is the model's, whose size bounds what is broadcast.
 
-Nulls: a null text is an empty one, with no ids; a null id stays. Rows that repeat are each encoded. An empty table gives
-an empty result.
+Nulls: a null text is an empty one, with no ids; a null id stays. Rows that repeat are each encoded, and ties between rows have no
+effect. Very long texts and words are encoded whole; one text is held by one task at a time. An empty table gives an empty
+result. Only the id and text columns are read, so no other column's name can clash.
 """
 
 from __future__ import annotations
 
 import pickle
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chunks import expand, pack, squeeze, unpack
-from .common import batch_rows
+from .chunks import expand, squeeze
+from .common import batch_bytes, cut, shuffle_parts, text_of
 
-WORD_CHARS = 256
-#: Characters of the documents that a Python worker holds at a time.
-CHUNK_CHARS = 4_000_000
+#: Characters of the documents that a Python worker holds at a time, parts that a bucket is asked for, characters of a segment.
+CHUNK_CHARS, BUCKET_PARTS, SEGMENT = 8_000_000, 400_000, 256
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
 _UNKNOWN = -1e12
+#: Bits of a packed edge below the piece's length.
+_LOW = 32
 
 
 def words_of(text: str) -> list[str]:
     """The text's words with a space before the first; joined they are the text with that space."""
-    if not text:
-        return []
-    words = _SPLIT.findall(" " + text)
-    if len(text) < WORD_CHARS or max(map(len, words)) <= WORD_CHARS:
-        return words
-    return [w[a : a + WORD_CHARS] for w in words for a in range(0, len(w), WORD_CHARS)]
+    return _SPLIT.findall(" " + text) if text else []
 
 
 class Pieces:
-    """The model's pieces: texts with plain spaces, ids, scores; and the ids of the 256 bytes."""
+    """The model's pieces: texts with plain spaces, ids, scores; the ids of the 256 bytes; and which characters are neighbours in a piece."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -68,10 +74,35 @@ class Pieces:
                 self.text.append(piece.replace(_SPACE, " ").encode())
                 self.rows.append((piece.replace(_SPACE, " "), i, float(model.get_score(i))))
         self.longest = max(len(p) for p, _, _ in self.rows)
+        self.neighbours = np.array(sorted({ord(a) << 21 | ord(b) for p, _, _ in self.rows for a, b in zip(p, p[1:], strict=False)}), np.int64)
 
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(pd.DataFrame(self.rows, columns=["piece", "id", "score"]), "piece string, id int, score double")
 
+    def reach(self, spark: SparkSession, tail: int) -> DataFrame:
+        """The last `tail` characters of the pieces that have so many, and the length of the longest piece with them."""
+        longest: dict[str, int] = {}
+        for p, _, _ in self.rows:
+            if len(p) >= tail:
+                longest[p[-tail:]] = max(longest.get(p[-tail:], 0), len(p))
+        return spark.createDataFrame(pd.DataFrame(list(longest.items()), columns=["tail", "reach"]), "tail string, reach int")
+
+    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all words, one after another, and how many each word has."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        text = "".join(words)
+        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        pair = code[:-1] << 21 | code[1:]
+        at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
+        begins = np.r_[True, self.neighbours[at] != pair]
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
+        begins[ends[:-1]] = True
+        start = np.flatnonzero(begins)
+        n = np.diff(np.searchsorted(start, np.r_[0, ends]))
+        bounds = [*start.tolist(), len(text)]
+        return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], n
+
     def expand(self, path: list[int]) -> list[int]:
         """Ids of a path in which characters without a piece are -1 - codepoint."""
         return [j for i in path for j in ([i] if i >= 0 else [self.bytes[b] for b in chr(-1 - i).encode("utf-8", "surrogatepass")])]
@@ -80,100 +111,199 @@ class Pieces:
         return b"".join([self.text[i] for i in ids]).decode("utf-8", "surrogatepass")[1:]
 
 
-def best_paths(words: DataFrame, pieces: Pieces, by: str) -> DataFrame:
-    """words (by, word), distinct and hash-partitioned by `by`. Returns by, word, path: ids, or -1 - codepoint where no piece is."""
-    table = F.broadcast(pieces.table(words.sparkSession))
-    spans = words.withColumn("a", F.explode(F.sequence(F.lit(0), F.length("word") - 1)))
-    spans = spans.withColumn("b", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + pieces.longest, F.length("word")))))
-    spans = spans.withColumn("piece", F.substring("word", F.col("a") + 1, F.col("b") - F.col("a")))
-    edges = spans.join(table, "piece", "left").where(F.col("id").isNotNull() | (F.col("b") == F.col("a") + 1))
-    edge = F.struct("b", F.col("a"), F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(_UNKNOWN)).alias("score"))
-    lattice = edges.groupBy(by, "word").agg(F.sort_array(F.collect_list(edge), asc=True).alias("edges"))
-    # sort_array puts the longest last piece of a position first; the fold goes on only for a better path, or an equal one with a shorter piece
-    start = F.expr("struct(array(struct(0.0D as s, 0 as a, 0 as id)) as done, struct(cast(null as double) as s, 0 as a, 0 as id) as best, 1 as at)")
-
-    def step(state, e):
-        before = F.coalesce(F.get(state["done"], e["a"])["s"], state["best"]["s"])  # position `at` itself isn't in done yet
-        path = F.struct((before + e["score"]).alias("s"), e["a"].alias("a"), e["id"].alias("id"))
-        better = F.when(state["best"]["s"].isNull() | (path["s"] >= state["best"]["s"]), path).otherwise(state["best"])
-        same = e["b"] == state["at"]
-        return F.struct(F.when(same, state["done"]).otherwise(F.concat(state["done"], F.array(state["best"]))).alias("done"), F.when(same, better).otherwise(path).alias("best"), e["b"].alias("at"))
-
-    folded = lattice.select(by, "word", F.aggregate("edges", start, step, lambda s: F.concat(s["done"], F.array(s["best"]))).alias("back"))
-    none = F.array().cast("array<int>")
-
-    def walk(state, _):
-        at = F.get(F.col("back"), state["at"])
-        return F.when(state["at"] == 0, state).otherwise(F.struct(at["a"].alias("at"), F.concat(F.array(at["id"]), state["path"]).alias("path")))
-
-    path = F.aggregate(F.sequence(F.lit(1), F.size("back")), F.struct((F.size("back") - 1).alias("at"), none.alias("path")), walk, lambda s: s["path"])
-    return folded.select(by, "word", path.alias("path"))
-
-
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def best_paths(parts: DataFrame, pieces: Pieces, *by: str) -> DataFrame:
+    """parts (by, base, skip, part), hash-partitioned by one of `by`, which tell parts apart: a segment of a part, the characters of the part
+    before it, and how many characters in front belong to the segment before.
+
+    Returns by, back: for each position of the part, after one for its begin, the edge that the best path comes by, as `came_by` reads it.
+    """
+    spark, tail = parts.sparkSession, 4
+    ends = parts.withColumn("b", F.explode(F.sequence(F.col("skip") + 1, F.length("part"))))
+    ends = ends.withColumn("tail", F.substring("part", F.greatest(F.lit(1), F.col("b") - (tail - 1)), F.least(F.lit(tail), "b")))
+    ends = ends.join(F.broadcast(pieces.reach(spark, tail)), "tail", "left")
+    spans = ends.withColumn("n", F.explode(F.sequence(F.lit(1), F.least(F.coalesce("reach", F.lit(tail - 1)), "b"))))
+    spans = spans.withColumn("piece", F.substring("part", F.col("b") - F.col("n") + 1, F.col("n")))
+    edges = spans.join(F.broadcast(pieces.table(spark)), "piece", "left").where(F.col("id").isNotNull() | (F.col("n") == 1))
+    came = F.shiftleft((F.lit(pieces.longest) - F.col("n")).cast("bigint"), _LOW) + F.coalesce("id", -1 - F.ascii("piece")).cast("bigint")
+    edge = F.struct("n", F.coalesce("score", F.lit(_UNKNOWN)).alias("score"), came.alias("came"))
+    edges = edges.select(*by, (F.col("base") + F.col("b") - F.col("skip")).alias("at"), edge.alias("edge"))
+    lattice = edges.groupBy(*by, "at").agg(F.collect_list("edge").alias("edges")).groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("at", "edges"))).alias("ends"))
+    ends = F.col("ends.edges")
+
+    def step(done: Column, edges: Column) -> Column:  # of equal sums the shorter piece has the larger `came`
+        paths = F.transform(edges, lambda e: F.struct((F.element_at(done, -e["n"])["sum"] + e["score"]).alias("sum"), e["came"].alias("came")))
+        return F.concat(done, F.array(F.array_max(paths)))
+
+    def segment(done: Column, k: Column) -> Column:  # done: arrays of positions; the last one's end is all that pieces reach back to
+        last = F.element_at(done, -1)
+        begin = F.slice(last, F.greatest(F.lit(1), F.size(last) - pieces.longest + 1), F.lit(pieces.longest))
+        own = F.aggregate(F.slice(ends, k * SEGMENT + 1, F.lit(SEGMENT)), begin, step)
+        return F.concat(done, F.array(own))
+
+    start = "array(struct(0.0D as sum, 0L as came))"
+    short = F.transform(F.aggregate(ends, F.expr(start), step), lambda x: x["came"])
+    many = F.aggregate(F.sequence(F.lit(0), F.floor((F.size("ends") - 1) / SEGMENT).cast("int")), F.expr(f"array({start})"), segment)
+    # each segment's array begins with the end of the one before
+    long = F.flatten(F.transform(many, lambda own, k: F.transform(F.when(k == 0, own).otherwise(F.slice(own, F.least(F.lit(pieces.longest), (k - 1) * SEGMENT + 1) + 1, F.lit(SEGMENT))), lambda x: x["came"])))
+    return lattice.select(*by, F.when(F.size("ends") <= SEGMENT, short).otherwise(long).alias("back"))
+
+
+def ragged(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., n[0] of them, then the same for 1, and so on."""
+    return np.repeat(first - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
+def walk_back(back: np.ndarray, n: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The paths of parts whose positions' edges stand one after another in `back`, n for each part. Returns ids, and how many each part has."""
+    begin = np.cumsum(n) - n
+    at, part, found = begin + n - 1, np.arange(len(n)), []
+    size = np.zeros(len(n), np.int64)
+    while len(part):
+        go = at > begin[part]
+        at, part = at[go], part[go]
+        found.append((part, ((back[at] & 0xFFFFFFFF).astype(np.uint32).view(np.int32))))
+        size[part] += 1
+        at = at - (longest - ((back[at] - found[-1][1]) >> _LOW))
+    ids = np.empty(int(size.sum()), np.int32)
+    ends = np.cumsum(size)
+    for k, (part, own) in enumerate(found):
+        ids[ends[part] - 1 - k] = own
+    return ids, size
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, chunk_chars: int = CHUNK_CHARS, bucket_parts: int = BUCKET_PARTS) -> DataFrame:
     """id, ids array<int>, exact (the ids decode to the text), for every row of docs."""
-    pieces = Pieces(model)
-    packed, n = pack(docs, id_col, text_col, CHUNK_CHARS)
-    batch_rows(docs.sparkSession, 500)
+    spark, pieces = docs.sparkSession, Pieces(model)
+    batch_bytes(spark)
 
-    def by_bucket(words: list[str]) -> dict[int, list[str]]:
+    def hashed(parts: list[str]) -> np.ndarray:
         import xxhash
 
-        out: dict[int, list[str]] = {}
-        for w in sorted(words):
-            out.setdefault(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) % n, []).append(w)
-        return out
-
-    def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        asked = by_bucket(list({w for t in unpack(pdf["blob"])[1] for w in words_of(t)}))
-        return pd.DataFrame({"bucket": list(asked), "chunk": key[0], "words": [squeeze(pickle.dumps(w), 9) for w in asked.values()]})
-
-    def words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"bucket": key[0], "word": list({w for x in pdf["words"] for w in pickle.loads(expand(x))})})
-
-    def answer(key: tuple, asked: pd.DataFrame, paths: pd.DataFrame) -> pd.DataFrame:
-        known = dict(zip(paths["word"], paths["path"], strict=True))
-        rows = []
-        for chunk, x in zip(asked["chunk"], asked["words"], strict=True):
-            own = [known[w] for w in pickle.loads(expand(x))]
-            sizes, flat = np.array([len(p) for p in own], "<u2"), np.concatenate([np.zeros(0, "<i4"), *own]).astype("<i4")
-            rows.append((chunk, key[0], squeeze(sizes.tobytes()), squeeze(flat.view(np.uint8).reshape(-1, 4).T.tobytes())))
-        return pd.DataFrame(rows, columns=["chunk", "bucket", "sizes", "paths"])
-
-    def encode(docs: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids, texts = unpack(docs["blob"])
-        at: dict[str, int] = {}
-        codes = [np.fromiter((at.setdefault(w, len(at)) for w in words_of(t)), np.int32) for t in texts]
-        asked = by_bucket(list(at))
-        found, exact = [np.zeros(0, np.int32)] * len(at), np.zeros(len(at), bool)
-        for b, s, p in zip(answers["bucket"], answers["sizes"], answers["paths"], strict=True):
-            ends = np.cumsum(np.frombuffer(expand(s), "<u2").astype(np.int64)).tolist()
-            flat = np.ascontiguousarray(np.frombuffer(expand(p), np.uint8).reshape(4, -1).T).view("<i4").ravel().tolist()
-            start = 0
-            for w, end in zip(asked[b], ends, strict=True):
-                own = pieces.expand(flat[start:end])
-                start, k = end, at[w]
-                found[k] = np.array(own, np.int32)
-                exact[k] = b"".join([pieces.text[i] for i in own]) == w.encode("utf-8", "surrogatepass")
-        n_own = np.fromiter(map(len, found), np.int64, len(found))
-        flat, first = np.concatenate([np.zeros(0, np.int32), *found]), np.cumsum(n_own) - n_own
-        out = []
-        for c in codes:
-            k = n_own[c]
-            out.append(flat[np.repeat(first[c] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))])
-        return pd.DataFrame({"id": ids, "ids": out, "exact": [bool(exact[c].all()) for c in codes]})
-
-    asked = packed.groupBy("chunk").applyInPandas(ask, "bucket bigint, chunk bigint, words binary").repartition(n, "bucket")
-    table = asked.groupBy("bucket").applyInPandas(words, "bucket bigint, word string").repartition(n, "bucket")
-    answers = asked.groupBy("bucket").cogroup(best_paths(table, pieces, "bucket").groupBy("bucket")).applyInPandas(answer, "chunk bigint, bucket bigint, sizes binary, paths binary")
-    encoded = packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(encode, "id string, ids array<int>, exact boolean")
+        return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in parts), np.uint64, len(parts))
+
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        task, k = TaskContext.get().partitionId(), 0
+        ids, codes, known, size = [], [], {}, 0
+
+        def flush() -> pd.DataFrame:
+            nonlocal ids, codes, known, size, k
+            words, flat = list(known), np.concatenate([np.zeros(0, np.int32), *codes])
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for frequent words
+            rank = np.empty(len(words), np.int32)
+            rank[often] = np.arange(len(words), dtype=np.int32)
+            parts, n = pieces.parts([words[i] for i in often.tolist()])
+            asked = list(dict.fromkeys(parts))
+            asked = [asked[i] for i in np.argsort(hashed(asked), kind="stable").tolist()]
+            place = {w: i for i, w in enumerate(asked)}
+            own = np.fromiter(map(place.__getitem__, parts), np.int32, len(parts))
+            planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T)
+            coded = (ids, np.fromiter(map(len, codes), np.int64, len(codes)), squeeze(planes.tobytes()), n.astype(np.int32), own)
+            row = (task << 32 | k, len(asked), squeeze(pickle.dumps(coded)), squeeze(pickle.dumps(asked)))
+            ids, codes, known, size, k = [], [], {}, 0, k + 1
+            return pd.DataFrame([row], columns=["chunk", "n_asked", "coded", "asked"])
+
+        for b in batches:
+            for i, t in zip(b["id"], b["text"], strict=True):
+                codes.append(np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int32))
+                ids.append(i)
+                size += len(t)
+                if size >= chunk_chars:
+                    yield flush()
+        if ids:
+            yield flush()
+
+    rows = docs.select(docs[id_col].cast("string").alias("id"), text_of(docs[text_col]).alias("text"))
+    chunks = cut(rows.mapInPandas(number, "chunk bigint, n_asked bigint, coded binary, asked binary"))
+    n = max(1, -(-int(chunks.agg(F.sum("n_asked")).first()[0] or 0) // bucket_parts))
+    spread = max(n, shuffle_parts(spark))
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for chunk, x in zip(batch["chunk"], batch["asked"], strict=True):
+                asked = pickle.loads(expand(x))
+                bucket = ((hashed(asked) >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int64)
+                edge = np.searchsorted(bucket, np.arange(spread + 1))
+                rows = [(b, chunk, squeeze(pickle.dumps(asked[edge[b] : edge[b + 1]]))) for b in np.flatnonzero(np.diff(edge)).tolist()]
+                yield pd.DataFrame(rows, columns=["bucket", "chunk", "asked"])
+
+    def distinct(blobs) -> list[str]:
+        return sorted({w for x in blobs for w in pickle.loads(expand(x))})
+
+    def segments(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, before = [], pieces.longest - 1
+        for k, w in enumerate(distinct(pdf["asked"])):
+            if len(w) <= SEGMENT:
+                rows.append((k, 0, 0, w))
+            else:
+                rows += [(k, a, min(a, before), w[max(0, a - before) : a + SEGMENT]) for a in range(0, len(w), SEGMENT)]
+        out = pd.DataFrame(rows, columns=["k", "base", "skip", "part"])
+        return out.assign(bucket=key[0])[["bucket", "k", "base", "skip", "part"]]
+
+    def answer(asked: pa.Table, paths: pa.Table) -> pa.Table:
+        blobs, order = asked["asked"].to_pylist(), np.argsort(paths["k"].to_numpy())
+        words = distinct(blobs)
+        lists = paths["back"].combine_chunks().take(pa.array(order))
+        edges = np.asarray(lists.offsets)
+        ids, size = walk_back(lists.values.to_numpy(zero_copy_only=False), np.diff(edges), pieces.longest)
+        if (ids < 0).any():
+            own = [pieces.expand(x.tolist()) for x in np.split(ids, np.cumsum(size)[:-1])]
+            ids, size = np.array([i for x in own for i in x], np.int32), np.fromiter(map(len, own), np.int64, len(own))
+        first = np.cumsum(size) - size
+        texts = [pieces.text[i] for i in ids.tolist()]
+        exact = np.array([b"".join(texts[a : a + z]) == w.encode("utf-8", "surrogatepass") for a, z, w in zip(first.tolist(), size.tolist(), words, strict=True)], np.uint8)
+        place, rows = {w: i for i, w in enumerate(words)}, []
+        for x in blobs:
+            at = np.fromiter(map(place.__getitem__, pickle.loads(expand(x))), np.int64)
+            flat = ids[ragged(first[at], size[at])]
+            planes = np.ascontiguousarray(flat.astype("<i4").view(np.uint8).reshape(-1, 4).T)
+            rows.append(squeeze(pickle.dumps((size[at].astype(np.int32), planes.tobytes(), exact[at]))))
+        bucket = asked["bucket"].combine_chunks()
+        return pa.table({"chunk": asked["chunk"].combine_chunks(), "bucket": bucket, "paths": pa.array(rows, pa.binary())})
+
+    def planes_of(data: bytes) -> np.ndarray:
+        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+    def encode(coded: pa.Table, answers: pa.Table) -> pa.Table:
+        ids, n_words, codes, n_parts, own = pickle.loads(expand(coded["coded"][0].as_py()))
+        codes = planes_of(expand(codes))
+        order = np.argsort(answers["bucket"].to_numpy())
+        blobs = answers["paths"].to_pylist()
+        got = [pickle.loads(expand(blobs[i])) for i in order.tolist()]
+        flat = np.concatenate([np.zeros(0, np.int32), *(planes_of(x[1]) for x in got)])
+        n = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in got)]).astype(np.int64)
+        exact = np.concatenate([np.zeros(0, np.uint8), *(x[2] for x in got)])
+        flat, n_own = flat[ragged((np.cumsum(n) - n)[own], n[own])], n[own]  # parts in the order of the chunk's words
+        last = np.cumsum(n_parts)
+        sums = np.r_[0, np.cumsum(n_own)]
+        first, size = sums[last - n_parts], sums[last] - sums[last - n_parts]
+        bad = np.r_[0, np.cumsum(1 - exact[own].astype(np.int64))]
+        bad = bad[last] - bad[last - n_parts]
+        batches, ends = [], np.cumsum(n_words)
+        step = np.searchsorted(ends, np.arange(0, int(ends[-1]), 200_000)) if len(ends) else []
+        cuts = sorted({0, *np.asarray(step).tolist(), len(ids)})
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            c = codes[ends[a] - n_words[a] : ends[b - 1]]
+            per, begin = size[c], np.cumsum(n_words[a:b]) - n_words[a:b]
+            total, wrong = np.r_[0, np.cumsum(per)], np.r_[0, np.cumsum(bad[c])]
+            offsets = total[np.r_[begin, len(c)]].astype(np.int32)
+            ok = np.diff(wrong[np.r_[begin, len(c)]]) == 0
+            values = pa.array(flat[ragged(first[c], per)])
+            batches.append(pa.record_batch({"id": pa.array(ids[a:b], pa.string()), "ids": pa.ListArray.from_arrays(pa.array(offsets), values), "exact": pa.array(ok)}))
+        return pa.Table.from_batches(batches)
+
+    asked = chunks.select("chunk", "asked").mapInPandas(ask, "bucket bigint, chunk bigint, asked binary").repartition(spread, "bucket")
+    parts = asked.groupBy("bucket").applyInPandas(segments, "bucket bigint, k int, base int, skip int, part string").repartition(spread, "bucket")
+    paths = best_paths(parts, pieces, "k", "bucket")
+    answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, paths binary")
+    coded = chunks.select("chunk", "coded")
+    encoded = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(encode, "id string, ids array<int>, exact boolean")
     return encoded.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 
 def decode_documents(encoded: DataFrame, model: str, ids_col: str = "ids") -> DataFrame:
-    """encoded with `text`, the ids' text; null for null ids."""
+    """encoded with `text`, the ids' text; null for null ids. A column `text` that encoded has gives way."""
     pieces = Pieces(model)
-    batch_rows(encoded.sparkSession, 500)
+    batch_bytes(encoded.sparkSession)
     decode = F.pandas_udf(lambda batch: pd.Series([None if x is None else pieces.decode(x) for x in batch], dtype=object), "string")
     return encoded.withColumn("text", decode(encoded[ids_col]))
 

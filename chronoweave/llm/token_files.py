@@ -37,7 +37,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import batch_rows, cut, shared_folder, text_of
+from .common import batch_bytes, cut, shared_folder, text_of
 
 END, LIMIT, BLOCK, FILE_IDS, MOST_FILES = 1, 16, 128, 4_000_000, 65_536
 _NULL = -(1 << 63)
@@ -239,7 +239,7 @@ def read_file(data: bytes, ids_of: np.ndarray, used: np.ndarray) -> tuple[np.nda
 
 def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """ids, n, tokens: documents in runs, with their numbers of ids and, compressed, the ids themselves."""
-    batch_rows(docs.sparkSession, 6_000)
+    batch_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = WordEncoder(tokenizer)
@@ -279,7 +279,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     """Writes folder/codebook and folder/files."""
     spark = docs.sparkSession
     runs = cut(tokenize(docs, tokenizer, id_col, text_col))
-    batch_rows(spark, 8)
+    batch_bytes(spark)
     counts = count_ids(runs)
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
@@ -311,7 +311,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
     """id, start, n_tokens, ids_crc32 of every document; with_ids: also ids array<bigint>."""
     lengths = np.frombuffer(spark.read.parquet(f"{folder}/codebook").first()["lengths"], np.uint8)
     files = spark.read.schema("file bigint, n_ids bigint, data binary").parquet(f"{folder}/files")
-    batch_rows(spark, 4)
+    batch_bytes(spark)
 
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = decode_table(lengths)

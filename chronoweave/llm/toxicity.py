@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_rows, cut
+from .common import batch_bytes, cut
 
 POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 12_000, 500, 5, 4.0
 THRESHOLD = 0.7
@@ -146,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u_ids = docs.select(docs[id_col].alias("id")).where(F.col("id").isNotNull() & learn).distinct().orderBy(order, "id").limit(unlabelled).select("id", F.lit(False).alias("positive"))
     ids = p_ids.union(u_ids)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    batch_rows(spark, 500)
+    batch_bytes(spark)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -176,7 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A column of docs: the score of each whole text, from 0 to 1."""
-    batch_rows(docs.sparkSession, 500)
+    batch_bytes(docs.sparkSession)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:

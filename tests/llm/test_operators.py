@@ -284,32 +284,57 @@ def test_word_encoder(t):
 
 # 8: SentencePiece
 
+def best_path(pieces, known, word):
+    path = [(0.0, 0, 0)]
+    for b in range(1, len(word) + 1):
+        options = []
+        for a in range(max(0, b - pieces.longest), b):
+            found = known.get(word[a:b]) or ((-1 - ord(word[a]), -1e12) if b == a + 1 else None)
+            if found:
+                options.append((path[a][0] + found[1], a, found[0]))
+        path.append(max(options, key=lambda o: (o[0], o[1])))
+    at, ids = len(word), []
+    while at:
+        ids.append(path[at][2])
+        at = path[at][1]
+    return pieces.expand(ids[::-1])
+
+
 def test_sentencepiece(spark):
+    rng = np.random.default_rng(12)
+    letters = "".join(rng.choice(list("etaoinshrdlu"), 5_000))
+    rows = ROWS + [(20, f"go {letters} and {letters[:256]} {letters[:257]} {letters[3:520]}", "a"), (21, "é" * 700 + "日本" * 300, "b"), (22, " " * 600 + "x", "b"), (23, "\x00 \x7f\r\n \U0001f600 e\u0301", "b")]
+    rows += [(100 + i, " ".join(rng.choice(["alpha", "beta", "gamma,", "the", "(of)", "1.5", letters[i : i + 12]], 12)), "c") for i in range(60)]
     pieces = sp_lattice.Pieces(sp_lattice.model_path())
     known = {p: (i, s) for p, i, s in pieces.rows}
-    encoded = sp_lattice.encode_documents(docs(spark, ROWS), sp_lattice.model_path())
+    encoded = sp_lattice.encode_documents(docs(spark, rows), sp_lattice.model_path())
     got = encoded.collect()
-    assert all(r["exact"] for r in got) and len(got) == len(ROWS)
-    texts = {i: t or "" for i, t, _ in ROWS}
+    assert all(r["exact"] for r in got) and len(got) == len(rows)
+    texts = {i: t or "" for i, t, _ in rows}
+    paths = {}
     for r in got:
         assert pieces.decode(r["ids"]) == texts[r["id"]]
-
-    def best(word):
-        path = [(0.0, 0, [])]
-        for b in range(1, len(word) + 1):
-            options = []
-            for a in range(max(0, b - pieces.longest), b):
-                found = known.get(word[a:b]) or ((-1 - ord(word[a]), -1e12) if b == a + 1 else None)
-                if found:
-                    options.append((path[a][0] + found[1], a, path[a][2] + [found[0]]))
-            path.append(max(options, key=lambda o: (o[0], o[1])))
-        return pieces.expand(path[-1][2])
-
-    for r in got:
-        if len(texts[r["id"]]) < 1000:
-            assert r["ids"] == [i for w in sp_lattice.words_of(texts[r["id"]]) for i in best(w)]
+        words = sp_lattice.words_of(texts[r["id"]])
+        for w in set(words) - set(paths):
+            paths[w] = best_path(pieces, known, w)
+        assert r["ids"] == [i for w in words for i in paths[w]]
     back = sp_lattice.decode_documents(encoded.drop("exact"), sp_lattice.model_path())
     assert {r["id"]: r["text"] for r in back.collect()} == texts
+    small = sp_lattice.encode_documents(docs(spark, rows).repartition(5), sp_lattice.model_path(), chunk_chars=100, bucket_parts=7)
+    assert sorted(map(str, small.collect())) == sorted(map(str, got))
+    assert sp_lattice.encode_documents(docs(spark, []), sp_lattice.model_path()).count() == 0
+
+
+def test_parts_join_to_their_words_and_no_piece_spans_a_cut():
+    pieces = sp_lattice.Pieces(sp_lattice.model_path())
+    words = [" hello,", "\n", " 12345", "日本語", " a", "(x)[y]"]
+    parts, n = pieces.parts(words)
+    at = np.r_[0, np.cumsum(n)]
+    assert ["".join(parts[a:b]) for a, b in zip(at, at[1:])] == words and len(parts) > len(words)
+    texts = {p for p, _, _ in pieces.rows}
+    for w, a, b in zip(words, at, at[1:]):
+        cuts = set(np.cumsum([len(x) for x in parts[a:b]])[:-1].tolist())
+        assert not any(w[i:j] in texts and any(i < c < j for c in cuts) for i in range(len(w)) for j in range(i + 2, len(w) + 1))
 
 
 # 9: mixing
