@@ -8,9 +8,10 @@ from left to right with Spark's aggregate(): each position keeps its best path,
 shorter last piece). Parts of any length are encoded whole: beyond SEGMENT characters their substrings are exploded by
 segments, each with the characters before it that a piece can reach back to, and the fold carries the last scores across.
 
-A task keeps its documents as numbers of words, by chunks of about CHUNK_CHARS characters, and asks the table of parts, which is
-partitioned by hash, once for each distinct part of a chunk. There are as many buckets as the number of asked parts needs, and
-never more rows than parts are asked for. A frequent word is asked for once by each chunk.
+A task keeps its documents as numbers of parts, by chunks of about CHUNK_CHARS characters, and asks the table of parts, which is
+partitioned by hash, once for each distinct part of a chunk: a row for each bucket that it asks, so never more rows than parts that
+are asked for. A frequent part is asked for once by each chunk. A chunk's documents are those that its task reads one after
+another; should a repeated task read others, the answers don't fit their checksum and the job ends with an error.
 
 A character without a piece is an edge for its UTF-8 byte pieces, scored below every piece. As in the library, a space is put
 before a text that isn't empty, and decoding takes it off; line breaks and literal U+2581 are bytes, so decoding gives
@@ -38,10 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import batch_bytes, cut, shuffle_parts, text_of
+from .common import batch_bytes, shuffle_parts, text_of
 
-#: Characters of the documents that a Python worker holds at a time, parts that a bucket is asked for, characters of a segment.
-CHUNK_CHARS, BUCKET_PARTS, SEGMENT = 8_000_000, 400_000, 256
+#: Characters of the documents that a Python worker holds at a time, characters for each bucket of the table of parts, and those of a segment.
+CHUNK_CHARS, BUCKET_CHARS, SEGMENT = 8_000_000, 8_000_000, 256
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
@@ -171,58 +172,67 @@ def walk_back(back: np.ndarray, n: np.ndarray, longest: int) -> tuple[np.ndarray
     return ids, size
 
 
-def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, chunk_chars: int = CHUNK_CHARS, bucket_parts: int = BUCKET_PARTS) -> DataFrame:
+def _hashed(parts: list[str]) -> np.ndarray:
+    import xxhash
+
+    return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in parts), np.uint64, len(parts))
+
+
+def _store(numbers: np.ndarray) -> bytes:
+    return squeeze(np.ascontiguousarray(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T).tobytes())
+
+
+def _load(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(expand(data), np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _numbered(ids: list, codes: list[np.ndarray], words: list[str], pieces: Pieces) -> bytes:
+    """A chunk: its distinct parts, the more frequent ones first; and its documents' ids, lengths in parts and parts by number."""
+    flat = np.concatenate([np.zeros(0, np.int32), *codes])
+    parts, n = pieces.parts(words)
+    number: dict[str, int] = {}
+    own = np.fromiter((number.setdefault(w, len(number)) for w in parts), np.int32, len(parts))
+    flat_n = n[flat]
+    sizes = np.diff(np.r_[0, np.cumsum(flat_n)][np.r_[0, np.cumsum(np.fromiter(map(len, codes), np.int64, len(codes)))]])
+    flat = own[ragged((np.cumsum(n) - n)[flat], flat_n)]
+    often = np.log2(np.maximum(1, np.bincount(flat, minlength=len(number)))).astype(np.int32)
+    asked = sorted(number, key=lambda w: (-often[number[w]], w))
+    rank = np.empty(len(asked), np.int32)
+    rank[np.fromiter(map(number.__getitem__, asked), np.int64, len(asked))] = np.arange(len(asked), dtype=np.int32)
+    return pickle.dumps((squeeze(pickle.dumps(asked)), squeeze(pickle.dumps((ids, sizes.astype(np.int32)))), _store(rank[flat])))
+
+
+def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """id, ids array<int>, exact (the ids decode to the text), for every row of docs."""
     spark, pieces = docs.sparkSession, Pieces(model)
     batch_bytes(spark)
 
-    def hashed(parts: list[str]) -> np.ndarray:
-        import xxhash
-
-        return np.fromiter((xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in parts), np.uint64, len(parts))
-
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        task, k = TaskContext.get().partitionId(), 0
+        chunk = TaskContext.get().partitionId() << 32
         ids, codes, known, size = [], [], {}, 0
-
-        def flush() -> pd.DataFrame:
-            nonlocal ids, codes, known, size, k
-            words, flat = list(known), np.concatenate([np.zeros(0, np.int32), *codes])
-            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")  # small numbers for frequent words
-            rank = np.empty(len(words), np.int32)
-            rank[often] = np.arange(len(words), dtype=np.int32)
-            parts, n = pieces.parts([words[i] for i in often.tolist()])
-            asked = list(dict.fromkeys(parts))
-            asked = [asked[i] for i in np.argsort(hashed(asked), kind="stable").tolist()]
-            place = {w: i for i, w in enumerate(asked)}
-            own = np.fromiter(map(place.__getitem__, parts), np.int32, len(parts))
-            planes = np.ascontiguousarray(rank[flat].view(np.uint8).reshape(-1, 4).T)
-            coded = (ids, np.fromiter(map(len, codes), np.int64, len(codes)), squeeze(planes.tobytes()), n.astype(np.int32), own)
-            row = (task << 32 | k, len(asked), squeeze(pickle.dumps(coded)), squeeze(pickle.dumps(asked)))
-            ids, codes, known, size, k = [], [], {}, 0, k + 1
-            return pd.DataFrame([row], columns=["chunk", "n_asked", "coded", "asked"])
-
         for b in batches:
             for i, t in zip(b["id"], b["text"], strict=True):
                 codes.append(np.fromiter((known.setdefault(w, len(known)) for w in words_of(t)), np.int32))
                 ids.append(i)
                 size += len(t)
                 if size >= chunk_chars:
-                    yield flush()
+                    yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, list(known), pieces)]})
+                    ids, codes, known, size, chunk = [], [], {}, 0, chunk + 1
         if ids:
-            yield flush()
+            yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, list(known), pieces)]})
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), text_of(docs[text_col]).alias("text"))
-    chunks = cut(rows.mapInPandas(number, "chunk bigint, n_asked bigint, coded binary, asked binary"))
-    n = max(1, -(-int(chunks.agg(F.sum("n_asked")).first()[0] or 0) // bucket_parts))
-    spread = max(n, shuffle_parts(spark))
+    spread = max(shuffle_parts(spark), -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars))
+    chunks = rows.mapInPandas(number, "chunk bigint, blob binary").repartition("chunk")
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for chunk, x in zip(batch["chunk"], batch["asked"], strict=True):
-                asked = pickle.loads(expand(x))
-                bucket = ((hashed(asked) >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int64)
-                edge = np.searchsorted(bucket, np.arange(spread + 1))
+            for chunk, x in zip(batch["chunk"], batch["blob"], strict=True):
+                asked = pickle.loads(expand(pickle.loads(x)[0]))
+                hashes = _hashed(asked)
+                order = np.argsort(hashes, kind="stable")
+                bucket = ((hashes[order] >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int64)
+                asked, edge = [asked[i] for i in order.tolist()], np.searchsorted(bucket, np.arange(spread + 1))
                 rows = [(b, chunk, squeeze(pickle.dumps(asked[edge[b] : edge[b + 1]]))) for b in np.flatnonzero(np.diff(edge)).tolist()]
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "asked"])
 
@@ -253,50 +263,43 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
         exact = np.array([b"".join(texts[a : a + z]) == w.encode("utf-8", "surrogatepass") for a, z, w in zip(first.tolist(), size.tolist(), words, strict=True)], np.uint8)
         place, rows = {w: i for i, w in enumerate(words)}, []
         for x in blobs:
-            at = np.fromiter(map(place.__getitem__, pickle.loads(expand(x))), np.int64)
-            flat = ids[ragged(first[at], size[at])]
-            planes = np.ascontiguousarray(flat.astype("<i4").view(np.uint8).reshape(-1, 4).T)
-            rows.append(squeeze(pickle.dumps((size[at].astype(np.int32), planes.tobytes(), exact[at]))))
-        bucket = asked["bucket"].combine_chunks()
-        return pa.table({"chunk": asked["chunk"].combine_chunks(), "bucket": bucket, "paths": pa.array(rows, pa.binary())})
-
-    def planes_of(data: bytes) -> np.ndarray:
-        return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(4, -1).T).view("<i4").ravel()
+            own = pickle.loads(expand(x))
+            at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
+            check = int(np.bitwise_xor.reduce(_hashed(own)))
+            rows.append(pickle.dumps((check, squeeze(pickle.dumps((size[at].astype(np.int32), exact[at]))), _store(ids[ragged(first[at], size[at])]))))
+        return pa.table({"chunk": asked["chunk"].combine_chunks(), "bucket": asked["bucket"].combine_chunks(), "paths": pa.array(rows, pa.binary())})
 
     def encode(coded: pa.Table, answers: pa.Table) -> pa.Table:
-        ids, n_words, codes, n_parts, own = pickle.loads(expand(coded["coded"][0].as_py()))
-        codes = planes_of(expand(codes))
-        order = np.argsort(answers["bucket"].to_numpy())
+        asked, docs, codes = pickle.loads(coded["blob"][0].as_py())
+        (ids, n_parts), codes, hashes = pickle.loads(expand(docs)), _load(codes), _hashed(pickle.loads(expand(asked)))
         blobs = answers["paths"].to_pylist()
-        got = [pickle.loads(expand(blobs[i])) for i in order.tolist()]
-        flat = np.concatenate([np.zeros(0, np.int32), *(planes_of(x[1]) for x in got)])
-        n = np.concatenate([np.zeros(0, np.int32), *(x[0] for x in got)]).astype(np.int64)
-        exact = np.concatenate([np.zeros(0, np.uint8), *(x[2] for x in got)])
-        flat, n_own = flat[ragged((np.cumsum(n) - n)[own], n[own])], n[own]  # parts in the order of the chunk's words
-        last = np.cumsum(n_parts)
-        sums = np.r_[0, np.cumsum(n_own)]
-        first, size = sums[last - n_parts], sums[last] - sums[last - n_parts]
-        bad = np.r_[0, np.cumsum(1 - exact[own].astype(np.int64))]
-        bad = bad[last] - bad[last - n_parts]
-        batches, ends = [], np.cumsum(n_words)
-        step = np.searchsorted(ends, np.arange(0, int(ends[-1]), 200_000)) if len(ends) else []
-        cuts = sorted({0, *np.asarray(step).tolist(), len(ids)})
+        got = [pickle.loads(blobs[i]) for i in np.argsort(answers["bucket"].to_numpy()).tolist()]
+        meta = [pickle.loads(expand(m)) for _, m, _ in got]
+        n = np.concatenate([np.zeros(0, np.int64), *(m[0] for m in meta)])
+        check = int(np.bitwise_xor.reduce(hashes)) if len(hashes) else 0
+        for c, *_ in got:
+            check ^= c
+        if len(coded) != 1 or len(n) != len(hashes) or check:
+            raise RuntimeError("a chunk was read again with other documents; write docs to a table first")
+        flat = np.concatenate([np.zeros(0, np.int32), *(_load(f) for _, _, f in got)])
+        order, begin = np.argsort(hashes, kind="stable"), np.cumsum(n) - n
+        first, size, bad = np.empty_like(n), np.empty_like(n), np.empty_like(n)
+        first[order], size[order], bad[order] = begin, n, 1 - np.concatenate([np.zeros(0, np.int64), *(m[1] for m in meta)])
+        batches, ends = [], np.cumsum(n_parts, dtype=np.int64)
+        cuts = sorted({0, len(ids), *np.searchsorted(ends, np.arange(0, int(ends[-1]), 200_000)).tolist()})
         for a, b in zip(cuts, cuts[1:], strict=False):
-            c = codes[ends[a] - n_words[a] : ends[b - 1]]
-            per, begin = size[c], np.cumsum(n_words[a:b]) - n_words[a:b]
-            total, wrong = np.r_[0, np.cumsum(per)], np.r_[0, np.cumsum(bad[c])]
-            offsets = total[np.r_[begin, len(c)]].astype(np.int32)
-            ok = np.diff(wrong[np.r_[begin, len(c)]]) == 0
-            values = pa.array(flat[ragged(first[c], per)])
-            batches.append(pa.record_batch({"id": pa.array(ids[a:b], pa.string()), "ids": pa.ListArray.from_arrays(pa.array(offsets), values), "exact": pa.array(ok)}))
+            bounds = np.r_[0, ends[a:b] - (ends[a - 1] if a else 0)]
+            c = codes[ends[a] - n_parts[a] : ends[b - 1]]
+            total, wrong = np.r_[0, np.cumsum(size[c])][bounds], np.r_[0, np.cumsum(bad[c])][bounds]
+            values = pa.array(flat[ragged(first[c], size[c])])
+            batches.append(pa.record_batch({"id": pa.array(ids[a:b], pa.string()), "ids": pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), values), "exact": pa.array(np.diff(wrong) == 0)}))
         return pa.Table.from_batches(batches)
 
-    asked = chunks.select("chunk", "asked").mapInPandas(ask, "bucket bigint, chunk bigint, asked binary").repartition(spread, "bucket")
+    asked = chunks.mapInPandas(ask, "bucket bigint, chunk bigint, asked binary").repartition(spread, "bucket")
     parts = asked.groupBy("bucket").applyInPandas(segments, "bucket bigint, k int, base int, skip int, part string").repartition(spread, "bucket")
     paths = best_paths(parts, pieces, "k", "bucket")
     answers = asked.groupBy("bucket").cogroup(paths.groupBy("bucket")).applyInArrow(answer, "chunk bigint, bucket bigint, paths binary")
-    coded = chunks.select("chunk", "coded")
-    encoded = coded.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(encode, "id string, ids array<int>, exact boolean")
+    encoded = chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(encode, "id string, ids array<int>, exact boolean")
     return encoded.withColumn("id", F.col("id").cast(docs.schema[id_col].dataType))
 
 

@@ -320,7 +320,7 @@ def test_sentencepiece(spark):
         assert r["ids"] == [i for w in words for i in paths[w]]
     back = sp_lattice.decode_documents(encoded.drop("exact"), sp_lattice.model_path())
     assert {r["id"]: r["text"] for r in back.collect()} == texts
-    small = sp_lattice.encode_documents(docs(spark, rows).repartition(5), sp_lattice.model_path(), chunk_chars=100, bucket_parts=7)
+    small = sp_lattice.encode_documents(docs(spark, rows).repartition(5), sp_lattice.model_path(), chunk_chars=100, bucket_chars=3_000)
     assert sorted(map(str, small.collect())) == sorted(map(str, got))
     assert sp_lattice.encode_documents(docs(spark, []), sp_lattice.model_path()).count() == 0
 
