@@ -11,7 +11,9 @@ blocks and order what they own by a hash.
 Nulls: a null source is a source of its own, last in order; a null text has no words; a null id is an id.
 Documents without words are in no block (`taken` 0). Rows that repeat an id are separate documents; ties in the
 permutation are broken by size and text hash, so rows that still tie are equal and interchangeable.
-An empty table gives an empty result.
+A very long text spans as many blocks as it needs. Columns of docs may have any names: they travel in one struct.
+An empty table gives an empty result. A window without partition and one row for the tree hold a number for each source,
+not for its rows.
 """
 
 from __future__ import annotations
@@ -26,9 +28,13 @@ from .common import WORD, cut, text_of
 
 #: Leading bits of the permutation hash that split a source: no window holds more than a 65,536th of a source.
 FINE_HEX = 4
-#: Draws with a larger standard deviation take the rounded normal quantile; quotas stay exact either way.
-EXACT_SD = 512
-_PRIME = 2147483647
+#: Words of a block, and blocks of a shard, the unit that is shuffled locally.
+BLOCK_WORDS, SHARD_BLOCKS = 8_192, 32
+#: Standard deviation up to which a draw inverts the distribution function, which takes steps in proportion; beyond it, it is by rejection.
+#: Both draw from the same distribution.
+INVERT_SD = 256
+#: Tries of a rejection, each of which succeeds more often than not.
+TRIES = 128
 
 
 def _let(value: Column, body) -> Column:
@@ -54,21 +60,20 @@ def _log_factorial(n: Column) -> Column:
 def hypergeometric(total: Column, good: Column, draws: Column, *keys: Column) -> Column:
     """How many of `draws` blocks, out of `total`, are of the source that has `good` of them.
 
-    Inverse distribution function from 12 standard deviations below the mean.
+    Inverse distribution function from 12 standard deviations below the mean; for large draws ratio-of-uniforms rejection under
+    a table mountain hat (Stadlober 1990), whose probabilities come from log factorials.
     """
     n, k, d = (c.cast("double") for c in (total, good, draws))
     low, high = F.greatest(F.lit(0.0), d + k - n), F.least(k, d)
     mean = d * k / F.greatest(n, F.lit(1.0))
     sd = F.sqrt(mean * F.greatest(n - k, F.lit(0.0)) / F.greatest(n, F.lit(1.0)) * F.greatest(n - d, F.lit(0.0)) / F.greatest(n - 1, F.lit(1.0)))
-    u, v = _uniform(F.lit("u"), *keys), _uniform(F.lit("v"), *keys)
-    normal = F.sqrt(-2 * F.ln(u)) * F.cos(2 * math.pi * v)
+    u = _uniform(F.lit("u"), *keys)
+
+    def varying(x: Column) -> Column:  # the part of the log probability that depends on the outcome
+        return -_log_factorial(x) - _log_factorial(k - x) - _log_factorial(d - x) - _log_factorial(n - k - d + x)
 
     def exact(first: Column) -> Column:
-        log_p = (
-            _log_factorial(k) - _log_factorial(first) - _log_factorial(k - first)
-            + _log_factorial(n - k) - _log_factorial(d - first) - _log_factorial(n - k - d + first)
-            - _log_factorial(n) + _log_factorial(d) + _log_factorial(n - d)
-        )
+        log_p = _log_factorial(k) + _log_factorial(n - k) - _log_factorial(n) + _log_factorial(d) + _log_factorial(n - d) + varying(first)
         last = F.least(high, F.ceil(mean + 12 * sd + 2).cast("double"))
         state = F.struct(F.exp(log_p).alias("p"), F.lit(0.0).alias("below"), first.alias("x"))
 
@@ -79,9 +84,19 @@ def hypergeometric(total: Column, good: Column, draws: Column, *keys: Column) ->
 
         return F.aggregate(F.sequence(first.cast("bigint"), last.cast("bigint")), state, step, lambda s: s["x"])
 
+    def rejected(top: Column) -> Column:  # top: the log probability of the mode, but for the constant part
+        centre, width = mean + 0.5, 2 * math.sqrt(2 / math.e) * F.sqrt(sd * sd + 0.5) + (3 - 2 * math.sqrt(3 / math.e))
+
+        def tried(i: Column) -> Column:
+            x, y = _uniform(F.lit("x"), i, *keys), _uniform(F.lit("y"), i, *keys)
+            z = F.floor(centre + width * (y - 0.5) / x).cast("double")
+            return F.when((z >= low) & (z <= high) & (2 * F.ln(x) <= varying(F.least(high, F.greatest(low, z))) - top), z)
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), lambda s, i: F.coalesce(s, tried(i)), lambda s: F.coalesce(s, F.floor(centre).cast("double")))
+
     start = F.greatest(low, F.floor(mean - 12 * sd - 2).cast("double"))
-    many = F.least(high, F.greatest(low, F.round(mean + sd * normal)))
-    return F.when(low >= high, low).when(sd > EXACT_SD, many).otherwise(_let(start, exact)).cast("bigint")
+    mode = F.least(high, F.greatest(low, F.floor((d + 1) * (k + 1) / (n + 2))))
+    return F.when(low >= high, low).when(sd > INVERT_SD, _let(varying(mode), rejected)).otherwise(_let(start, exact)).cast("bigint")
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_repeat: int = 3) -> DataFrame:
@@ -171,17 +186,33 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     return rows, targets
 
 
-def _perm(block: Column, quota: Column, block_words: int, seed: int) -> Column:
-    n = F.ceil(quota / F.lit(float(block_words))).cast("bigint")
-    return F.pmod(F.pmod(F.lit(_PRIME), n) * block + F.lit(seed), n)
+def permuted_blocks(targets: DataFrame, seed: int, block_words: int) -> DataFrame:
+    """Each source's blocks in the order of a keyed hash. Returns sidx, block, perm: one-to-one from 0 to the source's blocks.
+
+    A window holds the blocks with the same leading bits only, a 65,536th of a source's.
+    """
+    n = F.ceil(F.col("quota") / F.lit(float(block_words))).cast("bigint")
+    blocks = targets.where("quota > 0").select("sidx", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("block"))
+    h = F.xxhash64(F.lit(seed), F.col("sidx"), F.col("block"))
+    blocks = blocks.withColumn("h", h).withColumn("fine", F.shiftright("h", 64 - 4 * FINE_HEX))
+    before = W.partitionBy("sidx").orderBy("fine").rowsBetween(W.unboundedPreceding, -1)  # 65,536 rows a source at most
+    parts = blocks.groupBy("sidx", "fine").agg(F.count("*").alias("n")).withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    own = W.partitionBy("sidx", "fine").orderBy("h", "block")
+    return blocks.join(parts, ["sidx", "fine"]).select("sidx", "block", (F.col("before") + F.row_number().over(own) - 1).alias("perm"))
+
+
+def owned_blocks(targets: DataFrame, seed: int, block_words: int, blocks_per_shard: int) -> DataFrame:
+    """sidx, block, perm, shard: who owns each block of each source's stream."""
+    leaves = shard_blocks(targets, seed, block_words, blocks_per_shard)
+    return permuted_blocks(targets, seed, block_words).join(leaves, ["sidx", "perm"]).select("sidx", "block", "perm", "shard")
 
 
-def mix_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 42, block_words: int = 65_536, blocks_per_shard: int = 256, max_repeat: int = 3) -> DataFrame:
+def mix_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 42, block_words: int = BLOCK_WORDS, blocks_per_shard: int = SHARD_BLOCKS, max_repeat: int = 3) -> DataFrame:
     """The mix as spans of words: shard, shard_order, id, source, size, source_size, target, epoch, word_start,
     word_end; and `part`, `rn`, which with the source tell rows that repeat an id apart.
 
     Each source gives exactly its target, rounded to a word. Documents of which nothing is taken have one row with
-    a null shard.
+    a null shard; so would have words in a block that no shard owns.
     """
     rows, targets = _placed(docs, id_col, text_col, source_col, seed, max_repeat, carry=False)
     quota, size, pos, total = F.col("quota"), F.col("size"), F.col("pos"), F.col("source_size")
@@ -197,16 +228,14 @@ def mix_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
     epochs = F.sequence(F.lit(0).cast("bigint"), F.lit(max_repeat - 1).cast("bigint"))
     out = rows.withColumn("span", F.explode_outer(F.flatten(F.transform(epochs, spans))))
-    out = out.withColumn("perm", F.when(F.col("span").isNotNull(), _perm(F.col("span.block"), quota, block_words, seed)))
-    blocks = shard_blocks(targets, seed, block_words, blocks_per_shard)
-    out = out.join(blocks, ["sidx", "perm"], "left")
+    out = out.withColumn("block", F.col("span.block")).join(owned_blocks(targets, seed, block_words, blocks_per_shard), ["sidx", "block"], "left")
     return out.select(
         "shard", F.xxhash64(F.lit(seed), "sidx", "perm", "h", "span.epoch").alias("shard_order"), "id", "source", "size", "source_size", "target",
         "span.epoch", "span.word_start", "span.word_end", F.col("fine").alias("part"), "rn",
     )
 
 
-def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 42, block_words: int = 65_536, blocks_per_shard: int = 256, max_repeat: int = 3) -> DataFrame:
+def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", *, seed: int = 42, block_words: int = BLOCK_WORDS, blocks_per_shard: int = SHARD_BLOCKS, max_repeat: int = 3) -> DataFrame:
     """The mix as whole documents with all columns of docs, repeated where the target asks for it.
 
     A copy that the quota's end cuts is kept if at least half of its words are within. Rows come shard by shard, in
@@ -216,16 +245,14 @@ def mix_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     quota, size, first = F.col("quota"), F.col("size"), F.col("e") * F.col("source_size") + F.col("pos")
     out = rows.withColumn("e", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(max_repeat - 1).cast("bigint"))))
     out = out.where((size > 0) & (first < quota) & (2 * (F.least(first + size, quota) - first) >= size))
-    out = out.withColumn("perm", _perm(F.floor(first / block_words).cast("bigint"), quota, block_words, seed))
-    blocks = shard_blocks(targets, seed, block_words, blocks_per_shard)
-    out = out.join(blocks, ["sidx", "perm"])
+    out = out.withColumn("block", F.floor(first / block_words).cast("bigint")).join(owned_blocks(targets, seed, block_words, blocks_per_shard), ["sidx", "block"])
     out = out.repartition("shard").sortWithinPartitions("shard", F.xxhash64(F.lit(seed), "sidx", "perm", "h", "e"))
     return out.select("row.*")
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     spans = mix_spans(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    taken = F.sum(F.coalesce(F.col("word_end") - F.col("word_start"), F.lit(0)))
+    taken = F.sum(F.when(F.col("shard").isNotNull(), F.col("word_end") - F.col("word_start")).otherwise(0))  # what the tree's shards own
     by = spans.groupBy("id", "size", "source", "source_size", "target", "part", "rn").agg(taken.cast("bigint").alias("taken"))
     return by.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 

@@ -18,14 +18,15 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import batch_bytes, cut
 from .components import components
 from .simhash import SEED
 
-#: Documents that the order of shingles is taken from, and in how many of them a shingle is a common one.
-SAMPLE, COMMON = 4_000, 4
+#: Documents that the order of shingles is taken from, in how many of them a shingle is a common one, and how many of those are told apart.
+SAMPLE, COMMON, MOST_COMMON = 4_000, 4, 200_000
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -39,6 +40,13 @@ def shingle_set(text: str | None, words: int) -> np.ndarray:
     return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), SEED) for x in parts], np.uint64).view(np.int64))
 
 
+def _whole(shingles: np.ndarray) -> np.ndarray:
+    """A set's 128-bit hash as two numbers."""
+    import xxhash
+
+    return np.frombuffer(xxhash.xxh3_128_digest(shingles.tobytes()), np.int64)
+
+
 def _sets(docs: DataFrame, words: int) -> DataFrame:
     """docs (id, text). Returns id, s: the set's bytes."""
 
@@ -81,38 +89,47 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for t in b["text"]:
-                yield pd.DataFrame({"token": shingle_set(t, words)})
+                s = shingle_set(t, words)
+                yield pd.DataFrame({"token": np.r_[s, _whole(s)[:1]]})
 
     counted = sample.select("text").repartition(F.xxhash64("text")).mapInPandas(singles, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
-    top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(200_000).toPandas().sort_values("token")
+    top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).toPandas().sort_values("token")
     common, common_n = top["token"].to_numpy(np.int64), top["n"].to_numpy(np.int64)
 
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
+    def sampled(tokens: np.ndarray) -> np.ndarray:
+        if not len(common):
+            return np.zeros(len(tokens), np.int64)
+        at = np.minimum(np.searchsorted(common, tokens), len(common) - 1)
+        return np.where(common[at] == tokens, common_n[at], 0)
 
+    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            out = []
+            ids, ns, ats, tokens = [], [], [], []
             for i, t in zip(b["id"], b["text"], strict=True):
                 s = shingle_set(t, words)
                 if not len(s):
                     continue
-                count = np.zeros(len(s), np.int64)
-                if len(common):
-                    at = np.minimum(np.searchsorted(common, s), len(common) - 1)
-                    count = np.where(common[at] == s, common_n[at], 0)
-                first = s[np.lexsort((s, count))][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
-                out.append((i, xxhash.xxh3_128_digest(s.tobytes()), len(s), first))
-            if out:
-                yield pd.DataFrame(out, columns=["id", "digest", "n", "first"])
-
+                first = s[np.lexsort((s, sampled(s)))][: len(s) - math.ceil(threshold * len(s) - 1e-9) + 1]
+                whole = _whole(s)  # the whole set is an entry too, at place -1; its other half stands for the size
+                tokens += [whole[:1], first]
+                ns += [whole[1:], np.full(len(first), len(s))]
+                ats.append(np.arange(-1, len(first), dtype=np.int32))
+                ids += [i] * (len(first) + 1)
+            if ids:
+                token = np.concatenate(tokens)
+                out = pd.DataFrame({"id": ids, "n": np.concatenate(ns), "at": np.concatenate(ats), "token": token})
+                yield out.assign(salts=(sampled(token) // COMMON).astype(np.int32))
+
+    # One exchange of all entries. A token that the sample has often is dealt to several tasks, the more the more common it is.
     kind = docs.schema[id_col].dataType.simpleString()
-    made = cut(rows.mapInPandas(prefixes, f"id {kind}, digest binary, n int, first array<bigint>"))
-    reps = made.groupBy("digest").agg(F.min("id").alias("rep"))
-    found = made.select("id", "digest").join(reps, "digest").where("id != rep").select(F.col("id").alias("src"), F.col("rep").alias("dst"))
-    entries = made.join(reps, "digest").where("id = rep").dropDuplicates(["digest"])
-    posted = entries.select("id", "n", F.posexplode("first").alias("at", "token"))
-    hub = posted.groupBy("token").agg(F.min(F.struct("id", "n", "at")).alias("hub"), F.count("*").alias("met")).where("met > 1")
-    shared = cut(posted.join(hub.drop("met"), "token"))
+    posted = rows.mapInPandas(prefixes, f"id {kind}, n bigint, at int, token bigint, salts int")
+    posted = posted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts") + 1)).repartition("token", "salt")
+    local = posted.groupBy("token", "salt").agg(F.min(F.struct("id", "n", "at")).alias("hub"), F.count("*").alias("met"))
+    shared = cut(posted.join(local, ["token", "salt"]).where("met > 1 or salts > 0").drop("met", "salt"))
+    hubs = shared.where("salts > 0").groupBy("token").agg(F.min("hub").alias("least"))  # MOST_COMMON rows at most
+    shared = shared.join(F.broadcast(hubs), "token", "left").withColumn("hub", F.coalesce("least", "hub")).drop("least", "salts")
+    found = cut(shared.where("at < 0 and id != hub.id and n = hub.n").select(F.col("id").alias("src"), F.col("hub.id").alias("dst")).distinct())
+    shared = cut(shared.where("at >= 0").join(found.select(F.col("src").alias("id")), "id", "left_anti"))
     near = _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), threshold)
     tried = cut(shared.where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
     links = _verified(tried, rows, words, threshold)

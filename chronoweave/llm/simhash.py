@@ -10,12 +10,13 @@ Of any three differing bits two lie in the same 32-bit half, so variants in two
 Where variants collide, everything is linked to one fingerprint within one bit of the variant: all others are within
 two, so the link is at most three bits long (it is verified), no pairs are listed and no link between components is
 missed. A variant is met by at most 1,057 fingerprints, so no bucket grows with a group. Variants travel as sorted
-arrays, a hundred thousands to a row, because a row each would cost several times the input; buckets are as many as
+arrays of differences, because a row each would cost several times the input; buckets are as many as
 the number of variants asks for.
 
 Nulls: a null text is an empty one, whose fingerprint is zero; a null id belongs to no component label but its row
-stays. Empty texts are linked like any others. Rows that repeat an id are separate rows with equal labels. An empty
-table gives an empty result.
+stays. Empty texts are linked like any others. Very long texts are hashed whole, some shingles at a time. Rows that repeat
+an id are separate rows with the same label if their texts are linked; among equal fingerprints the smallest id names the group.
+Only the id and text columns are read, so no other column's name can clash. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .chunks import load_sorted, store_sorted
 from .common import batch_bytes, cut
 from .components import components
 
@@ -109,11 +111,11 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
-def links(prints: DataFrame) -> DataFrame:
+def links(prints: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> DataFrame:
     """prints (fp, distinct). Returns src, dst: links of at most three bits that connect all that such links connect."""
     spark = prints.sparkSession
     count = prints.count()
-    n = max(1, -(-count * (len(_ONE) + len(_TWO) // 2) // BUCKET_VARIANTS))
+    n = max(1, -(-count * (len(_ONE) + len(_TWO) // 2) // bucket_variants))
     batch_bytes(spark)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -122,7 +124,7 @@ def links(prints: DataFrame) -> DataFrame:
                 fps = batch["fp"].to_numpy(np.int64)[a : a + 2_000].view(np.uint64)
                 even = fps[np.bitwise_count(fps) % 2 == 0]
                 for near, f, masks in ((True, fps, _ONE), (False, even, _TWO)):
-                    rows = [(b, near, v.tobytes(), m.tobytes()) for b, v, m in _emit(f, masks, n)] if len(f) else []
+                    rows = [(b, near, store_sorted(v), m.tobytes()) for b, v, m in _emit(f, masks, n)] if len(f) else []
                     if rows:
                         yield pd.DataFrame(rows, columns=["bucket", "near", "variants", "masks"])
 
@@ -130,7 +132,7 @@ def links(prints: DataFrame) -> DataFrame:
         def read(rows: pd.DataFrame, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             if not len(rows):
                 return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            mixed = np.frombuffer(b"".join(rows["variants"]), np.uint64)
+            mixed = np.concatenate([load_sorted(v) for v in rows["variants"]])
             return mixed, (mixed * _UNMIX) ^ masks[np.frombuffer(b"".join(rows["masks"]), np.uint16)]
 
         near = pdf["near"].to_numpy(bool)
@@ -170,18 +172,19 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """docs with one document of each group, that with the smallest id. Rows with a null id stay.
 
     Groups are what fingerprints within the radius and shingle sets of a similarity of 0.8 or more connect.
-    Where rows share an id, one of them is kept.
+    Where rows share an id, one of them is kept. Columns of docs may have any names.
     """
     from .shingles import similar_documents
 
     found = cut(near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
     links = found.select(F.col("id").alias("src"), F.col("component_id").alias("dst")).union(similar_documents(docs, id_col, text_col, words))
-    out = components(links).select(F.col("node").alias("_dropped"))
-    kept = docs.join(out, docs[id_col] == F.col("_dropped"), "left_anti")
-    if found.groupBy("id").count().where("count > 1").isEmpty():
-        return kept
-    rest = kept.where(kept[id_col].isNull())
-    return kept.where(kept[id_col].isNotNull()).dropDuplicates([id_col]).unionByName(rest)
+    out = components(links).select(F.col("node").alias("dropped"))
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
+    kept = rows.join(out, F.col("id") == F.col("dropped"), "left_anti")
+    if not found.groupBy("id").count().where("count > 1").isEmpty():
+        rest = kept.where("id IS NULL")
+        kept = kept.where("id IS NOT NULL").dropDuplicates(["id"]).unionByName(rest)
+    return kept.select("row.*")
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

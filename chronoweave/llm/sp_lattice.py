@@ -88,21 +88,23 @@ class Pieces:
                 longest[p[-tail:]] = max(longest.get(p[-tail:], 0), len(p))
         return spark.createDataFrame(pd.DataFrame(list(longest.items()), columns=["tail", "reach"]), "tail string, reach int")
 
-    def parts(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The parts of all words, one after another, and how many each word has."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        text = "".join(words)
-        code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
-        pair = code[:-1] << 21 | code[1:]
-        at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
-        begins = np.r_[True, self.neighbours[at] != pair]
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)))
-        begins[ends[:-1]] = True
-        start = np.flatnonzero(begins)
-        n = np.diff(np.searchsorted(start, np.r_[0, ends]))
-        bounds = [*start.tolist(), len(text)]
-        return [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)], n
+    def parts(self, words: list[str], block: int = 16_384) -> tuple[list[str], np.ndarray]:
+        """The parts of all words, one after another, and how many each word has; `block` words are looked at together."""
+        parts, counts = [], [np.zeros(0, np.int64)]
+        for k in range(0, len(words), block):
+            own = words[k : k + block]
+            text = "".join(own)
+            code = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            pair = code[:-1] << 21 | code[1:]
+            at = np.minimum(np.searchsorted(self.neighbours, pair), len(self.neighbours) - 1)
+            begins = np.r_[True, self.neighbours[at] != pair]
+            ends = np.cumsum(np.fromiter(map(len, own), np.int64, len(own)))
+            begins[ends[:-1]] = True
+            start = np.flatnonzero(begins)
+            counts.append(np.diff(np.searchsorted(start, np.r_[0, ends])))
+            bounds = [*start.tolist(), len(text)]
+            parts += [text[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        return parts, np.concatenate(counts)
 
     def expand(self, path: list[int]) -> list[int]:
         """Ids of a path in which characters without a piece are -1 - codepoint."""

@@ -1,5 +1,6 @@
 """The corpus operators on small tables: brute force, round trips, nulls, empty and long texts, repeats, ties, clashing names."""
 
+import functools
 import math
 import re
 import zlib
@@ -364,6 +365,39 @@ def test_hypergeometric(spark):
     assert mean == pytest.approx(6, abs=0.1) and var == pytest.approx(15 * 0.4 * 0.6 * 35 / 49, rel=0.1) and low >= 0 and high <= 15
 
 
+def test_large_hypergeometric_draws(spark):
+    n, k, d = 40_000_000, 9_000_000, 30_000_000  # a standard deviation of 1,143
+    rows = spark.range(8000).select(mixing.hypergeometric(*(F.lit(x).cast("bigint") for x in (n, k, d)), F.col("id")).alias("x"))
+    sd = (d * k / n * (1 - k / n) * (n - d) / (n - 1)) ** 0.5
+    mean, var, skew, kurt, odd = rows.agg(F.avg("x"), F.variance("x"), F.skewness("x"), F.kurtosis("x"), F.avg(F.col("x") % 2)).first()
+    assert sd > mixing.INVERT_SD and mean == pytest.approx(d * k / n, abs=4 * sd / 8000**0.5) and var == pytest.approx(sd * sd, rel=0.08)
+    assert abs(skew) < 0.12 and abs(kurt) < 0.25 and odd == pytest.approx(0.5, abs=0.03)
+
+
+@pytest.mark.parametrize("quota", [1, 7, 640, 63 * 64, 5000])
+def test_blocks_are_permuted_and_owned_once(spark, quota):
+    targets = spark.createDataFrame([("a", 1, quota), (None, 2, 300), ("z", 3, 0)], "source string, sidx int, quota bigint")
+    own = mixing.owned_blocks(targets, 42, 64, 5).toPandas()
+    for sidx, q in ((1, quota), (2, 300)):
+        part = own[own["sidx"] == sidx].sort_values("block")
+        n = -(-q // 64)
+        assert part["block"].tolist() == list(range(n)) and sorted(part["perm"]) == list(range(n))
+        assert n < 20 or np.corrcoef(part["block"], part["perm"])[0, 1] < 0.5
+    assert own.groupby("shard").size().max() <= 5 and not (own["sidx"] == 3).any()
+
+
+def test_mix_query_counts_what_shards_own(spark, tmp_path, monkeypatch):
+    rows = [(i, "w " * (1 + i % 7), f"s{i % 4}") for i in range(400)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.setattr(mixing, "mix_spans", functools.partial(mixing.mix_spans, block_words=64, blocks_per_shard=5))
+    whole = mixing.op9(spark, str(tmp_path))
+    taken = whole.agg(F.sum("taken")).first()[0]
+    assert whole.columns == ["doc_id", "size", "source_size", "target", "taken"] and abs(taken - 1597) <= 2
+    real = mixing.shard_blocks
+    monkeypatch.setattr(mixing, "shard_blocks", lambda *a: real(*a).where("not (sidx = 1 and perm = 0)"))
+    assert mixing.op9(spark, str(tmp_path)).agg(F.sum("taken")).first()[0] == taken - 64
+
+
 def test_native_plan(spark):
     plan = mixing.mix_spans(docs(spark, ROWS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
