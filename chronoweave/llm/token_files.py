@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .chunks import expand, squeeze
 from .common import batch_bytes, cut, shared_folder, text_of
 
-END, LIMIT, BLOCK, FILE_IDS, MOST_FILES = 1, 16, 128, 4_000_000, 65_536
+END, LIMIT, BLOCK, FILE_IDS = 1, 16, 128, 4_000_000
 _NULL = -(1 << 63)
 #: Documents in a row while they are ids.
 RUN = 512
@@ -284,7 +284,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, id_col: str
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
     spark.createDataFrame([(lengths.tobytes(),)], "lengths binary").coalesce(1).write.parquet(f"{folder}/codebook")
-    n_files = int(max(1, min(MOST_FILES, counts.sum() // file_ids)))
+    n_files = int(max(1, counts.sum() // file_ids))  # the driver and each task hold a bound for each file
     own = runs.select(F.explode("ids").alias("id"))
     bounds = sorted(set(own.approxQuantile("id", [k / n_files for k in range(1, n_files)], 0.1 / n_files))) if n_files > 1 else []
 

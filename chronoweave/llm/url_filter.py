@@ -84,14 +84,14 @@ def match_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge_pages(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None, url: str = "url", html: str | None = "html") -> DataFrame:
-    """pages with `_host`, `_path`, `_rule`, `_verdict`, `_aliased` (an alias's block decided).
+    """pages with `_host`, `_path`, `_rule`, `_verdict`, `_aliased` (an alias's block decided); columns of pages that are called so give way.
 
     redirects (src, dst) are further edges, such as a crawler's redirect log.
     """
     edges = page_links(pages, url, html) if html else None
     if redirects is not None:
         edges = redirects.select("src", "dst") if edges is None else edges.unionByName(redirects.select("src", "dst"))
-    whole = F.struct(*[pages[c] for c in pages.columns]).alias("_page")
+    whole = F.struct(*[pages[c] for c in pages.columns if c.lower() not in ("_host", "_path", "_rule", "_verdict", "_aliased")]).alias("_page")
     sites = pages.select(host_of(pages[url]).alias("host"), path_of(pages[url]).alias("path"))
     if edges is not None:
         edges = cut(edges)

@@ -51,7 +51,8 @@ def test_no_edges(spark):
 
 # 1: SimHash
 
-def test_links_match_brute_force(spark):
+@pytest.mark.parametrize("bucket", [2_000_000, 5_000])
+def test_links_match_brute_force(spark, bucket):
     rng = np.random.default_rng(5)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = {int(x) for x in base}
@@ -69,9 +70,7 @@ def test_links_match_brute_force(spark):
         if (new == label).all():
             break
         label = new
-    found = simhash.links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp bigint"))
-    rows = found.collect()
-    assert all((r["src"] ^ r["dst"] & 0xFFFFFFFFFFFFFFFF) is not None for r in rows)
+    found = simhash.links(spark.createDataFrame([(int(x),) for x in f.view(np.int64)], "fp bigint"), bucket_variants=bucket)
     got = {r["node"]: r["component"] for r in components.components(found).collect()}
     comp = [got.get(int(x), int(x)) for x in f.view(np.int64)]
     assert len(set(zip(comp, label.tolist()))) == len(set(comp)) == len(set(label.tolist()))
@@ -83,10 +82,25 @@ def test_simhash_edges(spark):
     assert by_id[1] == by_id[2] == 1 and by_id[3] == by_id[4] == by_id[5] == 3 and by_id[7] == 7
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
     kept = simhash.drop_near_duplicates(docs(spark, ROWS))
+    clash = simhash.drop_near_duplicates(docs(spark, ROWS).withColumn("_dropped", F.lit(1)).withColumn("dropped", F.lit(2)))
+    assert clash.count() == kept.count()
     ids = sorted(str(r["doc_id"]) for r in kept.collect())
     assert ids.count("7") == 1 and "2" not in ids and "4" not in ids and "None" in ids and kept.columns == docs(spark, []).columns
 
 
+def test_fingerprint_of_many_shingles(monkeypatch):
+    import xxhash
+
+    monkeypatch.setattr(simhash, "_STEP", 7)
+    rng = np.random.default_rng(6)
+    for n in (3, 4, 40, 333):
+        words = rng.choice(["A", "b", "Cé", "d,", "E"], n).tolist()
+        lower = ["".join(c.lower() if c.isascii() else c for c in w) for w in words]
+        own = [xxhash.xxh64_intdigest(" ".join(lower[i : i + 3]).encode(), 42) for i in range(n - 2)]
+        want = sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in own) > len(own))
+        assert simhash.fingerprint(" \t".join(words)) == want
+
+
 def test_fingerprint_of_short_texts():
     import xxhash
 
@@ -179,6 +193,32 @@ def test_base_spans():
     assert not [k for _, _, k, _ in pii.find_spans("GB82 WEST 1234 5698 7654 33") if k == "iban"]
 
 
+def test_added_spans():
+    def kinds(t):
+        return [(t[a:b], k) for a, b, k, _ in pii.find_spans(t) if k not in pii.BASE]
+
+    assert kinds("GB82 WEST 1234 5698 7654 32 THANKS YOU") == [("GB82 WEST 1234 5698 7654 32", "iban")]
+    assert kinds("DE89370400440532013000 BIC COBADEFF") == [("DE89370400440532013000", "iban")] and kinds("DE8937040044053201300 0X") == []
+    assert kinds("ssn 078-05-1120") == [("078-05-1120", "ssn")] and kinds("078-05-1120") == kinds("000-00-0000 ssn") == kinds("lessn 078-05-1120") == []
+    score = {t: pii.find_spans(t)[0][3] for t in ("ip 10.0.0.1", "ship 10.0.0.1")}
+    assert score["ip 10.0.0.1"] == pytest.approx(1.0) and score["ship 10.0.0.1"] == pytest.approx(0.7)
+
+
+def test_pii_query(spark, tmp_path):
+    import hashlib
+
+    docs(spark, ROWS).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pii.op4(spark, str(tmp_path))
+    assert got.columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
+    rows = got.collect()
+    assert len(rows) == len(ROWS)
+    for r in rows:
+        text = next(t for i, t, _ in ROWS if i == r["doc_id"]) or ""
+        own = sorted(plain_spans(text), key=lambda x: (x[0], pii.KINDS.index(x[2])))
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for a, b, k in own).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in pii.BASE] == [sum(x[2] == k for x in own) for k in pii.BASE]
+
+
 def test_pii_rows(spark):
     got = {r["id"]: r["spans"] for r in pii.pii_spans(docs(spark, ROWS)).collect()}
     assert [s["kind"] for s in got[10]] == ["email", "ip", "phone"] and got[3] == [] and None in got
@@ -423,6 +463,8 @@ def test_urls(spark):
     assert got[10][2:] == ("org/es/", "block") and got[11][2:] == (None, "block")
     assert url_filter.judge_pages(pages, rules).count() == len(rows)
     assert url_filter.judge_pages(pages.limit(0), rules).count() == 0
+    clash = url_filter.judge_pages(pages.withColumn("_host", F.lit(1)).withColumn("suffix", F.lit(2)), rules)
+    assert clash.columns.count("_host") == 1 and {r["page_id"]: r["_host"] for r in clash.collect()}[1] == "bad.com"
 
 
 def test_redirect_log(spark):
