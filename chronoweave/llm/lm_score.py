@@ -5,12 +5,15 @@ S(w | context): count(context w) / count(context) for the longest context, of up
 n-gram occurs; each step to a shorter context costs a factor of 0.4, and a word that occurs nowhere counts 0.5. All
 counts are over the other documents: a document's own n-grams are subtracted, else every n-gram would be known.
 
-Counts live in a table partitioned by the n-gram's hash. A chunk of documents joins it with its distinct n-grams
-(chunks.py), and the counts that come back are summed per document. N-grams are known by 56-bit hashes.
+Counts live in a table partitioned by the n-gram's hash. A chunk of documents joins it with its distinct n-grams, pre-aggregated
+(chunks.py), and the counts that come back are summed per document. The table has as many buckets as the number of n-grams asks
+for; a chunk sends a row to each bucket that it asks, so there are never more rows than distinct n-grams of chunks. N-grams are
+known by 64-bit hashes: of N distinct ones about N / 2^64 share theirs with another, 1 in two million at 10^13.
 
 Nulls: a null text is an empty one: no words, score 0, mean null. A null id stays. Rows that repeat are other documents
 to each other. Where a document is the only one with words, its words have probability 0.5 each. An empty table gives an
-empty result.
+empty result. Very long texts are scored whole, in one chunk each; ties have no effect. Only the id and text columns are read, so
+no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -20,18 +23,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import bucket_edges, load_counts, load_sorted, pack, store_counts, store_sorted, unpack
+from .chunks import CHUNK_CHARS, bucket_edges, load_counts, load_sorted, pack, store_counts, store_sorted, unpack
 from .common import WORD, cut, text_of
 
 ORDER, BACKOFF, UNSEEN = 3, 0.4, 0.5
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_KEEP = np.uint64(0xFFFFFFFFFFFFFF00)
+#: N-grams that a bucket of the count table is asked for, on average.
+BUCKET_KEYS = 4_000_000
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return (x ^ (x >> np.uint64(31))) & _KEEP
+    return x ^ (x >> np.uint64(31))
 
 
 def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -58,10 +62,11 @@ def ngrams(texts: list[str], order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     return doc, out
 
 
-def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER) -> DataFrame:
+def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order: int = ORDER, *, chunk_chars: int = CHUNK_CHARS, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """id, n_words, log_score (natural logarithm), for every row of docs."""
-    packed, n = pack(docs, id_col, text_col)
+    packed, _ = pack(docs, id_col, text_col, chunk_chars)
     n_words = int(cut(docs.select(F.regexp_count(text_of(docs[text_col]), F.lit(WORD)).cast("bigint").alias("n"))).agg(F.sum("n")).first()[0] or 0)
+    n = max(1, -(-n_words * order // bucket_keys))
 
     def ask(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         _, grams = ngrams(unpack(pdf["blob"])[1], order)

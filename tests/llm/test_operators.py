@@ -168,6 +168,11 @@ def test_lm_scores(spark):
                     p = c / grams(i, n - 1).count(tuple(w[k - n + 1 : k])) if c else 0.4 * p
             total += math.log(p)
         assert got[i]["n_words"] == len(w) and got[i]["log_score"] == pytest.approx(total)
+    rng = np.random.default_rng(15)
+    rows = [(i, " ".join(rng.choice(["a", "B", "c", "dd", "e"], int(rng.integers(0, 30)))), "") for i in range(200)]
+    one = sorted((r["id"], r["n_words"], round(r["log_score"], 9)) for r in lm_score.score_documents(docs(spark, rows)).collect())
+    many = sorted((r["id"], r["n_words"], round(r["log_score"], 9)) for r in lm_score.score_documents(docs(spark, rows), chunk_chars=200, bucket_keys=300).collect())
+    assert one == many and len(one) == 200
     assert lm_score.score_documents(docs(spark, [])).count() == 0
 
 
