@@ -49,12 +49,15 @@ def _uniform(*keys: Column) -> Column:
 
 def _log_factorial(n: Column) -> Column:
     """ln n! by Stirling's series at n + 8; its error is below 1e-12."""
-    z = n + F.lit(8.0)
-    series = (z + 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z)
-    product = F.lit(1.0)
-    for k in range(1, 9):
-        product = product * (n + float(k))
-    return series - F.ln(product)
+
+    def stirling(n: Column) -> Column:
+        z = n + F.lit(8.0)
+        product = F.lit(1.0)
+        for k in range(1, 9):
+            product = product * (n + float(k))
+        return (z + 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) - F.ln(product)
+
+    return _let(n, stirling)
 
 
 def hypergeometric(total: Column, good: Column, draws: Column, *keys: Column) -> Column:
@@ -63,7 +66,11 @@ def hypergeometric(total: Column, good: Column, draws: Column, *keys: Column) ->
     Inverse distribution function from 12 standard deviations below the mean; for large draws ratio-of-uniforms rejection under
     a table mountain hat (Stadlober 1990), whose probabilities come from log factorials.
     """
-    n, k, d = (c.cast("double") for c in (total, good, draws))
+    given = F.struct(total.cast("double").alias("n"), good.cast("double").alias("k"), draws.cast("double").alias("d"))
+    return _let(given, lambda g: _drawn(g["n"], g["k"], g["d"], *keys))
+
+
+def _drawn(n: Column, k: Column, d: Column, *keys: Column) -> Column:
     low, high = F.greatest(F.lit(0.0), d + k - n), F.least(k, d)
     mean = d * k / F.greatest(n, F.lit(1.0))
     sd = F.sqrt(mean * F.greatest(n - k, F.lit(0.0)) / F.greatest(n, F.lit(1.0)) * F.greatest(n - d, F.lit(0.0)) / F.greatest(n - 1, F.lit(1.0)))
@@ -90,7 +97,7 @@ def hypergeometric(total: Column, good: Column, draws: Column, *keys: Column) ->
         def tried(i: Column) -> Column:
             x, y = _uniform(F.lit("x"), i, *keys), _uniform(F.lit("y"), i, *keys)
             z = F.floor(centre + width * (y - 0.5) / x).cast("double")
-            return F.when((z >= low) & (z <= high) & (2 * F.ln(x) <= varying(F.least(high, F.greatest(low, z))) - top), z)
+            return _let(z, lambda z: F.when((z < low) | (z > high), None).when(2 * F.ln(x) <= varying(z) - top, z))
 
         return F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("double"), lambda s, i: F.coalesce(s, tried(i)), lambda s: F.coalesce(s, F.floor(centre).cast("double")))
 

@@ -39,10 +39,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import batch_bytes, shuffle_parts, text_of
+from .common import batch_bytes, shuffle_parts, text_of, trim
 
 #: Characters of the documents that a Python worker holds at a time, characters for each bucket of the table of parts, and those of a segment.
-CHUNK_CHARS, BUCKET_CHARS, SEGMENT = 8_000_000, 8_000_000, 256
+CHUNK_CHARS, BUCKET_CHARS, SEGMENT = 6_000_000, 8_000_000, 256
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
@@ -220,8 +220,10 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 if size >= chunk_chars:
                     yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, list(known), pieces)]})
                     ids, codes, known, size, chunk = [], [], {}, 0, chunk + 1
+                    trim()
         if ids:
             yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, list(known), pieces)]})
+        trim()
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), text_of(docs[text_col]).alias("text"))
     spread = max(shuffle_parts(spark), -(-int(rows.agg(F.sum(F.length("text"))).first()[0] or 0) // bucket_chars))
@@ -295,6 +297,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             total, wrong = np.r_[0, np.cumsum(size[c])][bounds], np.r_[0, np.cumsum(bad[c])][bounds]
             values = pa.array(flat[ragged(first[c], size[c])])
             batches.append(pa.record_batch({"id": pa.array(ids[a:b], pa.string()), "ids": pa.ListArray.from_arrays(pa.array(total.astype(np.int32)), values), "exact": pa.array(np.diff(wrong) == 0)}))
+        trim()
         return pa.Table.from_batches(batches)
 
     asked = chunks.mapInPandas(ask, "bucket bigint, chunk bigint, asked binary").repartition(spread, "bucket")
