@@ -35,6 +35,25 @@ def batch_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+#: Ids whose hashes may be broadcast: 16 MB.
+BROADCAST_IDS = 2_000_000
+
+
+def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """rows (with a column id) that are, left_semi, or aren't, left_anti, among ids (id, checkpointed).
+
+    Counted first: few ids are broadcast, the hash of each, and rows stay where they are; more ids are joined by a shuffle.
+    """
+    if ids.count() > BROADCAST_IDS:
+        return rows.join(ids, "id", how)
+    seen = F.broadcast(ids.select(F.xxhash64("id").alias("_seen")).distinct())
+    near = rows.join(seen, F.xxhash64(rows["id"]) == F.col("_seen"), "left_semi").join(ids, "id", "left_semi")
+    if how == "left_semi":
+        return near
+    own = rows.join(seen, F.xxhash64(rows["id"]) == F.col("_seen"), "left_anti")
+    return own.unionByName(rows.join(seen, F.xxhash64(rows["id"]) == F.col("_seen"), "left_semi").join(ids, "id", "left_anti"))
+
+
 def trim() -> None:
     """Gives freed memory back to the system: Python workers live on, and later tasks use others of them."""
     import ctypes

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import batch_bytes, cut, trim
+from .common import among, batch_bytes, cut, trim
 from .components import components
 from .simhash import SEED
 
@@ -60,8 +60,8 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts' sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    texts = cut(_packed(docs.join(wanted, "id", "left_semi")))
+    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = cut(_packed(among(docs, wanted, "left_semi")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
 
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -88,7 +88,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """src, dst: links between ids that connect all documents that similarities of at least `threshold` connect."""
     batch_bytes(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
-    sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
+    last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    sample = rows.where(F.xxhash64("id") <= F.lit(last))
 
     def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:

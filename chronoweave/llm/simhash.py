@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import load_sorted, store_sorted
-from .common import batch_bytes, cut
+from .common import among, batch_bytes, cut
 from .components import components
 
 RADIUS = 3
@@ -178,9 +178,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     found = cut(near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
     links = found.select(F.col("id").alias("src"), F.col("component_id").alias("dst")).union(similar_documents(docs, id_col, text_col, words))
-    out = components(links).select(F.col("node").alias("dropped"))
+    out = cut(components(links).select(F.col("node").alias("id")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
-    kept = rows.join(out, F.col("id") == F.col("dropped"), "left_anti")
+    kept = among(rows, out, "left_anti")
     if not found.groupBy("id").count().where("count > 1").isEmpty():
         rest = kept.where("id IS NULL")
         kept = kept.where("id IS NOT NULL").dropDuplicates(["id"]).unionByName(rest)
