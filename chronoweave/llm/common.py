@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import tempfile
 
@@ -35,6 +36,12 @@ def batch_bytes(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of plans that nobody holds any more, which it else does when the driver's heap fills up."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Ids whose hashes may be broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
 

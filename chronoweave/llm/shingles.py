@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import among, batch_bytes, cut, trim
+from .common import among, batch_bytes, cut, release, trim
 from .components import components
 from .simhash import SEED
 
@@ -133,6 +133,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     # all columns and both filters on this side too, so that the exchange is the same and is used twice
     local = posted.groupBy("token", "salt").agg(F.min(F.struct("id", "n", "at")).alias("hub"), F.count("*").alias("met"), F.max("salts").alias("most"))
     shared = cut(posted.join(local, ["token", "salt"]).where("met > 1 or most > 0").drop("met", "salt", "most"))
+    del posted, local
+    release(docs.sparkSession)
     hubs = shared.where("salts > 0").groupBy("token").agg(F.min("hub").alias("least"))  # MOST_COMMON rows at most
     shared = shared.join(F.broadcast(hubs), "token", "left").withColumn("hub", F.coalesce("least", "hub")).drop("least", "salts")
     found = cut(shared.where("at < 0 and id != hub.id and n = hub.n").select(F.col("id").alias("src"), F.col("hub.id").alias("dst")).distinct())
@@ -140,6 +142,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     near = _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), threshold)
     tried = cut(shared.where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
     links = _verified(tried, rows, words, threshold)
+    del near
+    release(docs.sparkSession)
     member = cut(components(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
     named = shared.drop("hub").join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("token")

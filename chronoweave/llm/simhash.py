@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import load_sorted, store_sorted
-from .common import among, batch_bytes, cut
+from .common import among, batch_bytes, cut, release
 from .components import components
 
 RADIUS = 3
@@ -177,6 +177,7 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     from .shingles import similar_documents
 
     found = cut(near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
+    release(docs.sparkSession)  # of the variants
     links = found.select(F.col("id").alias("src"), F.col("component_id").alias("dst")).union(similar_documents(docs, id_col, text_col, words))
     out = cut(components(links).select(F.col("node").alias("id")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
