@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions.temporal import month_year_index
 from ..functions.text import uniform
 
@@ -52,14 +53,19 @@ def evidence(*columns: str) -> Column:
 def positions(rows: DataFrame, order: list[str]) -> DataFrame:
     """rows with `position`, their exact place from 0 on in that order, at any size: counts of range partitions, then a number in each.
 
-    The number of partitions is given, so that nothing coalesces them between the count and the numbering.
+    The sorted partitions are written once, with each row's partition and number, and are then counted and read as written: a second
+    exchange would have other bounds. All columns come along, whatever they are called; rows that tie in `order` stand in any order.
     """
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id())
-    parts = parts.withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
-    counts = parts.groupBy("_p").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
-    return parts.join(F.broadcast(counts.select("_p", before.alias("_b"))), "_p").withColumn("position", F.col("_i") + F.col("_b")).drop("_p", "_i", "_b")
+    whole = F.struct(*[rows[c] for c in rows.columns]).alias("row")
+    keys = [f"k{i}" for i in range(len(order))]
+    parts = rows.select(whole, *[rows[c].alias(k) for c, k in zip(order, keys, strict=True)]).repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    part = F.spark_partition_id()
+    parts = cut(parts.select("row", part.alias("part"), (F.monotonically_increasing_id() - F.shiftleft(part.cast("bigint"), 33)).alias("place")))
+    counts = parts.groupBy("part").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))  # a row for each partition
+    numbered = parts.join(F.broadcast(counts.select("part", before.alias("before"))), "part")
+    return numbered.select("row.*", (F.col("place") + F.col("before")).alias("position"))
 
 
 def contiguous_splits(rows: DataFrame, order: list[str], fraction: float = 1.0) -> DataFrame:

@@ -181,4 +181,5 @@ def cosent(rows: DataFrame, batch: str, label: str, score: str, scale: float = 1
     below = F.coalesce(F.sum("up").over(W.partitionBy(batch).orderBy(label).rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
     terms = by.withColumn("t", F.col("down") * below)
     out = terms.groupBy(batch).agg(F.sum("t").alias("t"), F.max(F.col("hi") - F.col("lo")).alias("g"))
-    return out.select(batch, F.when(F.col("t") > 0, F.log1p(F.col("t") * F.exp("g"))).otherwise(0.0).alias("loss"))
+    power = F.col("g") + F.ln("t")  # ln(1 + exp(power)), whichever side of 0 it lies
+    return out.select(batch, F.when(F.col("t") > 0, F.greatest(power, F.lit(0.0)) + F.log1p(F.exp(-F.abs(power)))).otherwise(0.0).alias("loss"))

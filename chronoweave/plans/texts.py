@@ -193,21 +193,25 @@ def gen_real_world(spark: SparkSession, sf_dir: str) -> DataFrame:
     return datagen.document_pairs(entries)
 
 
-@query(f"WITH u AS (SELECT o_orderkey AS k FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'F') SELECT k, row_number() OVER (ORDER BY {_u_sql(42, 'k::VARCHAR')}, k)::BIGINT AS place FROM u")
+#: Columns that tuples carry beside their key.
+_CARRIED = ("o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+
+
+@query(f"WITH u AS (SELECT o_orderkey AS k, * FROM orders) SELECT k, {', '.join(_CARRIED)}, row_number() OVER (ORDER BY {_u_sql(42, 'k::VARCHAR')}, k)::BIGINT AS place FROM u")
 def shuffle_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_orderstatus")
-    whole = datagen.shuffled_union([o.where("o_orderstatus = 'F'").select("k"), o.where("o_orderstatus <> 'F'").select("k")], ["k"])
-    return whole.select("k", (F.col("position") + 1).alias("place"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), *_CARRIED)
+    whole = datagen.shuffled_union([o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'")], ["k"])
+    return whole.select("k", *_CARRIED, (F.col("position") + 1).alias("place"))
 
 
-@query(f"WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY {_u_sql(42, chr(39) + 'orders' + chr(39), 'o_orderkey::VARCHAR')}, o_orderkey) AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey, CASE WHEN rn <= round_even(n * 0.2, 0) THEN 'val' ELSE 'test' END AS split FROM r")
+@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY {_u_sql(42, chr(39) + 'orders' + chr(39), 'o_orderkey::VARCHAR')}, o_orderkey) AS rn, count(*) OVER () AS n FROM orders) SELECT o_orderkey, {', '.join(_CARRIED)}, CASE WHEN rn <= round_even(n * 0.2, 0) THEN 'val' ELSE 'test' END AS split FROM r")
 def split_val_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmarks.val_test_split(table(spark, sf_dir, "orders").select("o_orderkey"), "o_orderkey", "orders")
+    return benchmarks.val_test_split(table(spark, sf_dir, "orders").select("o_orderkey", *_CARRIED), "o_orderkey", "orders")
 
 
-@query("WITH r AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, i::BIGINT AS position, CASE WHEN i < floor(n * 0.9) THEN 'train' WHEN i < floor(n * 0.98) THEN NULL WHEN i < floor(n * 0.99) THEN 'val' ELSE 'test' END AS split FROM r")
+@query(f"WITH r AS (SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n FROM orders) SELECT o_orderkey, {', '.join(_CARRIED)}, i::BIGINT AS position, CASE WHEN i < floor(n * 0.9) THEN 'train' WHEN i < floor(n * 0.98) THEN NULL WHEN i < floor(n * 0.99) THEN 'val' ELSE 'test' END AS split FROM r")
 def split_contiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return benchmarks.contiguous_splits(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"]).select("o_orderkey", "position", "split")
+    return benchmarks.contiguous_splits(table(spark, sf_dir, "orders").select("o_orderkey", *_CARRIED), ["o_orderkey"])
 
 
 @query("""WITH t AS (SELECT c_custkey AS key, row_number() OVER (ORDER BY c_custkey) - 1 AS position FROM customer), v AS (SELECT s_suppkey AS key, row_number() OVER (ORDER BY s_suppkey) - 1 AS i FROM supplier),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,16 +75,17 @@ def write_cache(scores: DataFrame, path: str) -> None:
 
 
 def read_cache(spark: SparkSession, path: str, strict: bool = False) -> DataFrame | None:
-    """Scores, or None where there are none or they have another shape; strict: an error instead."""
+    """Scores, or None where there is no such folder or it has other columns; strict: an error instead. Any other fault is raised."""
     try:
         found = spark.read.parquet(path)
-        if {"question", "paragraph", "score"} <= set(found.columns):
-            return found.select("question", "paragraph", F.col("score").cast("double").alias("score"))
-        if strict:
-            raise ValueError(f"{path} holds {found.columns}, not scores")
-    except Exception:
-        if strict:
+    except AnalysisException as e:
+        if strict or e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
+        return None
+    if {"question", "paragraph", "score"} <= set(found.columns):
+        return found.select("question", "paragraph", F.col("score").cast("double").alias("score"))
+    if strict:
+        raise ValueError(f"{path} holds {found.columns}, not scores")
     return None
 
 

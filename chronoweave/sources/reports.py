@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# The columns of the report format.
 COLUMNS = ("run_id", "run_type", "temporal_model", "semantic_model", "alpha", "benchmark", "num_queries", "mrr", "ndcg", "recall", "precision")
 
 
@@ -31,7 +32,7 @@ def report(rows: DataFrame, order: list[str]) -> str:
 def parse_rows(lines: DataFrame) -> DataFrame:
     """Rows of a report from its lines (value): those with eleven cells that aren't a head."""
     cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    rows = lines.select(cells.alias("c")).where((F.size("c") == len(COLUMNS)) & (F.get("c", F.lit(0)) != "run_id") & ~F.get("c", F.lit(0)).startswith("--"))
+    rows = lines.select(cells.alias("c")).where((F.size("c") == len(COLUMNS)) & ~F.lower(F.get("c", F.lit(0))).isin("run_id", "run id") & ~F.get("c", F.lit(0)).startswith("--"))
     kinds = {"alpha": "double", "num_queries": "int", "mrr": "double", "ndcg": "double", "recall": "double", "precision": "double"}
     return rows.select([F.nullif(F.get("c", F.lit(i)), F.lit("-")).try_cast(kinds.get(n, "string")).alias(n) for i, n in enumerate(COLUMNS)])
 

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import shared_folder
 from ..functions import gaussian
 
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
 def state_folder(spark: SparkSession) -> str:
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='stream-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def windowed(events: DataFrame, delay: str = "1 day", width: str = "1 day") -> DataFrame:
@@ -24,13 +24,17 @@ def windowed(events: DataFrame, delay: str = "1 day", width: str = "1 day") -> D
 
 
 def event_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events read as a stream into a table, once through."""
-    name = f"events_{uuid.uuid4().hex}"
+    """All events read as a stream, once through. Each trigger's windows replace the table in the shared folder; none stays with the driver."""
+    folder = state_folder(spark)
+
+    def store(windows: DataFrame, _: int) -> None:
+        windows.write.mode("overwrite").parquet(f"{folder}/windows")
+
     stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    run = windowed(stream).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", state_folder(spark)).trigger(availableNow=True).start()
+    run = windowed(stream).writeStream.outputMode("complete").foreachBatch(store).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     day = F.date_format(F.col("w.start"), "yyyy-MM-dd HH:mm:ss")
-    return spark.table(name).select("event_type", day.alias("day"), "n", F.round("total", 4).alias("total"))
+    return spark.read.parquet(f"{folder}/windows").select("event_type", day.alias("day"), "n", F.round("total", 4).alias("total"))
 
 
 def score_stream(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from chronoweave.sources import files, reports
 
@@ -73,3 +74,35 @@ def test_generate(spark):
     asked = rows.select("i", text.prompt(F.col("question"), F.col("p"), "s").alias("m"))
     assert qa.generate_answers(asked, "i", "m", qa.extract_first).first()["prediction"] == "A led it"
     assert [x["value"] for x in rows.select(temporal.tag_years(F.lit("1999 or 2001")).alias("t")).first()["t"]] == ["1999", "2001"]
+
+
+def test_positions_of_whole_rows(spark):
+    from chronoweave.operators import benchmarks, datagen
+
+    rows = spark.range(150_000).select((F.hash("id") % 1000).alias("part"), "id", F.lit("x").alias("row"), F.rand(3).alias("place"), F.lit(None).cast("string").alias("k0"))
+    placed = benchmarks.positions(rows, ["part", "id"])
+    assert placed.columns == [*rows.columns, "position"]
+    got = placed.toPandas().sort_values(["part", "id"])
+    assert got["position"].tolist() == list(range(150_000)) and got["id"].nunique() == 150_000
+    mixed = datagen.shuffled_union([rows.where("id < 100"), rows.where("id >= 100")], ["id"])
+    assert mixed.agg(F.countDistinct("position"), F.min("position"), F.max("position")).first()[:] == (150_000, 0, 149_999)
+    split = {r["split"]: r["count"] for r in benchmarks.contiguous_splits(rows, ["id"]).groupBy("split").count().collect()}
+    assert split == {"train": 135_000, None: 12_000, "val": 1_500, "test": 1_500}
+
+
+def test_cache_faults_are_raised(spark, tmp_path):
+    from chronoweave.sources import files
+
+    assert files.read_cache(spark, str(tmp_path / "none")) is None
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "part.parquet").write_bytes(b"not parquet")
+    with pytest.raises(Exception):
+        files.read_cache(spark, str(tmp_path / "bad"))
+
+
+def test_report_head_of_either_kind(spark):
+    from chronoweave.sources import reports
+
+    lines = ["| Run ID | " + " | ".join(reports.COLUMNS[1:]) + " |", "| run_id | " + " | ".join(reports.COLUMNS[1:]) + " |", "| a | b | - | c | 0.5 | q | 3 | 0.1 | 0.2 | 0.3 | 0.4 |"]
+    got = reports.parse_rows(spark.createDataFrame([(x,) for x in lines], "value string")).collect()
+    assert [(r["run_id"], r["alpha"]) for r in got] == [("a", 0.5)]
