@@ -4,29 +4,16 @@ from __future__ import annotations
 
 import gc
 import sys
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut, shared_folder  # noqa: F401  the operators take them from here
+
 #: Words of the corpus contracts: runs without space and without the ASCII controls 9 to 13.
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session, or one of our own where that is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Writes df to the shared folder and returns it with its lineage cut."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 #: Bytes of an Arrow batch: what a Python worker gets of whole texts at a time, one text at least.
 BATCH_BYTES = 8 << 20
 
