@@ -42,7 +42,7 @@ from .chunks import expand, squeeze
 from .common import batch_bytes, shuffle_parts, text_of, trim
 
 #: Characters of the documents that a Python worker holds at a time, characters for each bucket of the table of parts, and those of a segment.
-CHUNK_CHARS, BUCKET_CHARS, SEGMENT = 6_000_000, 8_000_000, 256
+CHUNK_CHARS, BUCKET_CHARS, SEGMENT = 3_000_000, 6_000_000, 256
 _SPACE = "▁"
 _SPLIT = re.compile(r"\n| *[^ \n]+| +")
 #: Below the sum of any path of real pieces: of two paths the one with fewer unknown characters wins.
@@ -218,8 +218,9 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 ids.append(i)
                 size += len(t)
                 if size >= chunk_chars:
-                    yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, list(known), pieces)]})
-                    ids, codes, known, size, chunk = [], [], {}, 0, chunk + 1
+                    words, known = list(known), {}
+                    yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, words, pieces)]})
+                    ids, codes, words, size, chunk = [], [], [], 0, chunk + 1
                     trim()
         if ids:
             yield pd.DataFrame({"chunk": [chunk], "blob": [_numbered(ids, codes, list(known), pieces)]})
@@ -271,6 +272,7 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             at = np.fromiter(map(place.__getitem__, own), np.int64, len(own))
             check = int(np.bitwise_xor.reduce(_hashed(own)))
             rows.append(pickle.dumps((check, squeeze(pickle.dumps((size[at].astype(np.int32), exact[at]))), _store(ids[ragged(first[at], size[at])]))))
+        trim()
         return pa.table({"chunk": asked["chunk"].combine_chunks(), "bucket": asked["bucket"].combine_chunks(), "paths": pa.array(rows, pa.binary())})
 
     def encode(coded: pa.Table, answers: pa.Table) -> pa.Table:
