@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import sys
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,12 +30,41 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+class Tables:
+    """Parquet tables in the shared folder: each is computed once, lineage ends there, and what is read no more can go.
+
+    A lost executor costs the tasks it was running, as the files outlive it. Shuffle files of the plan that wrote a table go when it's written.
+    """
+
+    CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """df, written under this name and read back."""
+        before = self.spark.conf.get(self.CLEANUP, "false")
+        self.spark.conf.set(self.CLEANUP, "true")
+        try:
+            df.write.parquet(f"{self.folder}/{name}")
+        finally:
+            self.spark.conf.set(self.CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(f"{self.folder}/{name}")
+
+    def drop(self, *names: str) -> None:
+        """Removes the tables of these names; no plan that is still to run may read them."""
+        jvm = self.spark.sparkContext._jvm
+        for name in names:
+            path = jvm.org.apache.hadoop.fs.Path(f"{self.folder}/{name}")
+            path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: Ids whose hashes may be broadcast: 16 MB.
 BROADCAST_IDS = 2_000_000
 
 
 def among(rows: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """rows (with a column id) that are, left_semi, or aren't, left_anti, among ids (id, checkpointed).
+    """rows (with a column id) that are, left_semi, or aren't, left_anti, among ids (id, written).
 
     Counted first: few ids are broadcast, the hash of each, and rows stay where they are; more ids are joined by a shuffle.
     """

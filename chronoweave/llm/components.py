@@ -1,7 +1,7 @@
 """Connected components over an edge table, by alternating large-star and small-star rounds.
 
 Every round keeps at most as many edges as the one before, needs O(log n) rounds in practice, and writes its edges to
-the shared checkpoint folder, so lineage stays short and a lost executor costs one round at most. Only a count and a
+the shared folder in place of the round before, so lineage stays short and a lost executor costs one round at most. Only a count and a
 checksum of the edges reach the driver.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import Tables
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,7 +24,8 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         return tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b"))).first())
 
     e = edges.where(edges[src].isNotNull() & edges[dst].isNotNull() & (edges[src] != edges[dst]))
-    e = cut(e.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct())
+    tables, k = Tables(edges.sparkSession), 0
+    e = tables.put("0", e.select(F.greatest(src, dst).alias("a"), F.least(src, dst).alias("b")).distinct())
     seen, now = None, state(e)
     while now != seen and now[0]:
         seen = now
@@ -33,6 +34,7 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("a"), F.col("m").alias("b"))
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = cut(small.union(root.select("a", F.col("m").alias("b"))).distinct())
-        now = state(e)
+        e = tables.put(str(k + 1), small.union(root.select("a", F.col("m").alias("b"))).distinct())
+        tables.drop(str(k))
+        k, now = k + 1, state(e)
     return e.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import among, batch_bytes, cut, release, trim
+from .common import Tables, among, batch_bytes, release, trim
 from .components import components
 from .simhash import SEED
 
@@ -60,8 +60,9 @@ def _packed(docs: DataFrame) -> DataFrame:
 
 def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs (a, b) of ids whose texts' sets are similar enough."""
-    wanted = cut(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
-    texts = cut(_packed(among(docs, wanted, "left_semi")))
+    tables = Tables(docs.sparkSession)
+    wanted = tables.put("wanted", pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
+    texts = tables.put("texts", _packed(among(docs, wanted, "left_semi")))
     both = pairs.join(texts.select(F.col("id").alias("a"), F.col("s").alias("x")), "a").join(texts.select(F.col("id").alias("b"), F.col("s").alias("y")), "b")
 
     def similar(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
@@ -76,7 +77,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -
                 out.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
             yield pd.Series(out, dtype=bool)
 
-    return cut(both.where(F.pandas_udf(similar, "boolean")("x", "y")).select("a", "b").distinct())
+    out = tables.put("similar", both.where(F.pandas_udf(similar, "boolean")("x", "y")).select("a", "b").distinct())
+    tables.drop("wanted", "texts")
+    return out
 
 
 def _possible(n: Column, at: Column, m: Column, to: Column, threshold: float) -> Column:
@@ -87,6 +90,7 @@ def _possible(n: Column, at: Column, m: Column, to: Column, threshold: float) ->
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """src, dst: links between ids that connect all documents that similarities of at least `threshold` connect."""
     batch_bytes(docs.sparkSession)
+    tables = Tables(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
     last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
     sample = rows.where(F.xxhash64("id") <= F.lit(last))
@@ -132,25 +136,28 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     posted = posted.withColumn("salt", F.pmod(F.xxhash64("id"), F.col("salts") + 1)).where("token IS NOT NULL AND salt IS NOT NULL").repartition("token", "salt")
     # all columns and both filters on this side too, so that the exchange is the same and is used twice
     local = posted.groupBy("token", "salt").agg(F.min(F.struct("id", "n", "at")).alias("hub"), F.count("*").alias("met"), F.max("salts").alias("most"))
-    shared = cut(posted.join(local, ["token", "salt"]).where("met > 1 or most > 0").drop("met", "salt", "most"))
+    shared = tables.put("met", posted.join(local, ["token", "salt"]).where("met > 1 or most > 0").drop("met", "salt", "most"))
     del posted, local
     release(docs.sparkSession)
     hubs = shared.where("salts > 0").groupBy("token").agg(F.min("hub").alias("least"))  # MOST_COMMON rows at most
     shared = shared.join(F.broadcast(hubs), "token", "left").withColumn("hub", F.coalesce("least", "hub")).drop("least", "salts")
-    found = cut(shared.where("at < 0 and id != hub.id and n = hub.n").select(F.col("id").alias("src"), F.col("hub.id").alias("dst")).distinct())
-    shared = cut(shared.where("at >= 0").join(found.select(F.col("src").alias("id")), "id", "left_anti"))
+    found = tables.put("equal", shared.where("at < 0 and id != hub.id and n = hub.n").select(F.col("id").alias("src"), F.col("hub.id").alias("dst")).distinct())
+    shared = tables.put("shared", shared.where("at >= 0").join(found.select(F.col("src").alias("id")), "id", "left_anti"))
+    tables.drop("met")
     near = _possible(F.col("n"), F.col("at"), F.col("hub.n"), F.col("hub.at"), threshold)
-    tried = cut(shared.where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
+    tried = tables.put("tried", shared.where((F.col("id") != F.col("hub.id")) & near).select(F.col("hub.id").alias("a"), F.col("id").alias("b")).distinct())
     links = _verified(tried, rows, words, threshold)
     del near
     release(docs.sparkSession)
-    member = cut(components(links.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    member = components(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))
     named = shared.drop("hub").join(member.withColumnRenamed("node", "id"), "id", "left").withColumn("of", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("token").agg(F.min("of").alias("lo"), F.max("of").alias("hi")).where("lo != hi").select("token")
-    named = cut(named.join(mixed, "token"))
+    named = tables.put("named", named.join(mixed, "token"))
+    tables.drop("shared")
     x, y = named.alias("x"), named.alias("y")
     apart = (F.col("x.token") == F.col("y.token")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.of") != F.col("y.of"))
     rest = x.join(y, apart & _possible(F.col("x.n"), F.col("x.at"), F.col("y.n"), F.col("y.at"), threshold))
-    rest = cut(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    rest = tables.put("rest", rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"))
+    tables.drop("named", "tried")
     links = links.union(_verified(rest, rows, words, threshold))
     return found.union(links.select(F.col("b").alias("src"), F.col("a").alias("dst")))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import load_sorted, store_sorted
-from .common import among, batch_bytes, cut, release
+from .common import Tables, among, batch_bytes, release
 from .components import components
 
 RADIUS = 3
@@ -159,12 +159,13 @@ def links(prints: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> DataFram
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """id, fp, component_id: the smallest id that links reach, for every row of docs."""
-    rows = cut(fingerprints(docs, id_col, text_col, words))
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("first_id")))
+    tables = Tables(docs.sparkSession)
+    rows = tables.put("rows", fingerprints(docs, id_col, text_col, words))
+    prints = tables.put("prints", rows.groupBy("fp").agg(F.min("id").alias("first_id")))
     member = components(links(prints)).withColumnsRenamed({"node": "fp", "component": "root"})
     prints = prints.join(member, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     label = prints.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    label = cut(prints.join(label, "root").select(F.col("fp").alias("l_fp"), "component_id"))
+    label = tables.put("label", prints.join(label, "root").select(F.col("fp").alias("l_fp"), "component_id"))
     return rows.join(label, rows["fp"] == F.col("l_fp")).select("id", "fp", "component_id")
 
 
@@ -176,10 +177,11 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     from .shingles import similar_documents
 
-    found = cut(near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
+    tables = Tables(docs.sparkSession)
+    found = tables.put("found", near_duplicates(docs, id_col, text_col, words).select("id", "component_id").where("id IS NOT NULL"))
     release(docs.sparkSession)  # of the variants
     links = found.select(F.col("id").alias("src"), F.col("component_id").alias("dst")).union(similar_documents(docs, id_col, text_col, words))
-    out = cut(components(links).select(F.col("node").alias("id")))
+    out = tables.put("out", components(links).select(F.col("node").alias("id")))
     rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[id_col].alias("id"))
     kept = among(rows, out, "left_anti")
     if not found.groupBy("id").count().where("count > 1").isEmpty():
