@@ -153,7 +153,8 @@ def links(prints: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> DataFram
         x, y = _forest(x[near_enough], y[near_enough])
         return pd.DataFrame({"src": x.view(np.int64), "dst": y.view(np.int64)})
 
-    variants = prints.select("fp").mapInPandas(emit, "bucket bigint, near boolean, variants binary, masks binary")
+    # a fingerprint makes hundreds of variants, so tasks follow their number and not that of the table's few files
+    variants = prints.select("fp").repartition(n, "fp").mapInPandas(emit, "bucket bigint, near boolean, variants binary, masks binary")
     return variants.groupBy("bucket").applyInPandas(meet, "src bigint, dst bigint")
 
 
