@@ -12,14 +12,16 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, text
-from ..functions.temporal import FIRST_DAY, LAST_DAY, date_bounds, ground, interval_bounds
+from ..functions.temporal import FIRST_DAY, LAST_DAY, date_bounds, ground, integers, interval_bounds, is_reference, let, offset_kind
 from ..functions.text import choose, uniform
 from .benchmarks import positions
 
-#: Shares of date, offset, reference and interval among partner expressions.
+# Shares of date, offset, reference and interval among partner expressions.
 KINDS = (0.30, 0.04, 0.01, 0.65)
 #: Shares of decade, year, month and day among dates.
 GRAINS = (0.25, 0.25, 0.25, 0.25)
+# The same among close ones that aren't days.
+CLOSE_GRAINS = (0.1, 0.3, 0.3, 0.3)
 
 
 def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -63,6 +65,25 @@ def random_offset(seed: int, key: Column) -> Column:
     return choose(uniform(seed, key, F.lit("form")), forms)
 
 
+def close_offset(seed: int, key: Column, e: Column) -> Column:
+    """An offset of the same kind and sign whose number is at most 4 away, from 1 to 15; null if there is none or e is no offset.
+
+    A single step may turn round. Of spans the second number counts.
+    """
+    kind, numbers = offset_kind(e), integers(e)
+    own = F.when(kind.startswith("t") & (F.length(kind) == 2), F.get(numbers, F.lit(1))).otherwise(F.get(numbers, F.lit(0))).try_cast("int")
+    low, high = F.greatest(F.lit(1), F.abs(own) - 4), F.least(F.lit(15), F.abs(own) + 4)
+    size = low + F.floor(uniform(seed, key, F.lit("close")) * (high - low + 1)).cast("int")
+    n, m = F.when(own < 0, -size).otherwise(size).cast("string"), size.cast("string")
+    unit = F.upper(F.right(kind, F.lit(1)))
+    step = F.when(uniform(seed, key, F.lit("turn")) < 0.5, "PREV_IMMEDIATE P").otherwise("NEXT_IMMEDIATE P")
+    made = (
+        F.when(F.length(kind) == 1, F.concat(F.lit("OFFSET P"), n, unit)).when(F.length(kind) == 2, F.concat(F.lit("THIS P"), m, unit, F.lit(" OFFSET P"), n, unit))
+        .when(kind.startswith("this"), F.concat(F.lit("THIS P"), n, unit)).otherwise(F.concat(step, n, unit))
+    )
+    return F.when(kind.isNotNull() & (low <= high), made)
+
+
 def random_reference(seed: int, key: Column) -> Column:
     return choose(uniform(seed, key, F.lit("ref")), ["PRESENT_REF", "THIS MO", "THIS NI"])
 
@@ -86,6 +107,36 @@ def random_expression(seed: int, key: Column, shares: tuple[float, ...] = KINDS)
     return by_share(uniform(seed, key, F.lit("kind")), shares, [random_date(seed, key), random_offset(seed, key), random_reference(seed, key), random_interval(seed, key)])
 
 
+def close_expression(seed: int, key: Column, e: Column, anchor: Column) -> Column:
+    """An expression near e: a date of its year, an interval within its own, a close offset or a reference, or, of these two, the anchor's day; else null.
+
+    Half of dates and intervals are days, the others of any grain.
+    """
+    coin, day = uniform(seed, key, F.lit("coin")) < 0.5, F.date_format(anchor, "yyyy-MM-dd")
+    own, span = date_bounds(e), interval_bounds(e)
+    first, last = F.trunc(own["start"], "year"), F.make_date(F.year(own["start"]), F.lit(12), F.lit(31))
+    date = F.when(coin, random_date(seed, key, first, last, (0.0, 0.0, 0.0, 1.0))).otherwise(random_date(seed, key, first, last, CLOSE_GRAINS))
+    days = F.datediff(span["end"], span["start"])
+    a, b = (F.date_add(span["start"], F.floor(uniform(seed, key, F.lit(n)) * (days + 1)).cast("int")) for n in ("a", "b"))
+    a, b = F.least(a, b), F.greatest(a, b)
+
+    def pair(form: str) -> Column:
+        return F.concat_ws(",", F.date_format(a, form), F.date_format(b, form))
+
+    grain = uniform(seed, key, F.lit("igrain"))
+    interval = F.when(coin | (grain >= 2 / 3), pair("yyyy-MM-dd")).when(grain < 1 / 3, pair("yyyy")).otherwise(pair("yyyy-MM"))
+    return (
+        F.when(own.isNotNull(), date).when(span.isNotNull() & (days >= 0), interval).when(offset_kind(e).isNotNull(), F.when(coin, day).otherwise(close_offset(seed, key, e)))
+        .when(is_reference(e), F.when(coin, random_reference(seed, key)).otherwise(day))
+    )
+
+
+def own_days(e: Column, anchor: Column) -> Column:
+    """The days that e stands for, as an expression: one day, or the first and last."""
+    return let(ground(e, anchor), lambda g: F.when(g["start"] == g["end"], F.date_format(g["start"], "yyyy-MM-dd")).when(
+        g.isNotNull(), F.concat_ws(",", F.date_format(g["start"], "yyyy-MM-dd"), F.date_format(g["end"], "yyyy-MM-dd"))))
+
+
 def expression_text(e: Column, u: Column) -> Column:
     """The expression in words."""
     family, n, unit = (F.regexp_extract(e, r"^(OFFSET|THIS|NEXT_IMMEDIATE|PREV_IMMEDIATE) P(-?\d+)([DWMY])", i) for i in (1, 2, 3))
@@ -125,10 +176,10 @@ def labelled(rows: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def document_pairs(entries: DataFrame, seed: int = 42) -> DataFrame:
-    """entries (id, text, values array<string>, dct date): the text against four random expressions and one of each value's own, all at the document's date."""
+    """entries (id, text, values array<string>, dct date): the text against four random expressions and each value's own days, all at the document's date."""
     rows = entries.withColumn("e0", F.explode("values")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
     key = F.concat_ws("/", "id", "e0", "j")
-    rows = fixed(rows, e1=F.when(F.col("j") == 4, F.col("e0")).otherwise(random_expression(seed, key)), u=uniform(seed, key, F.lit("t")))
+    rows = fixed(rows, e1=F.when(F.col("j") == 4, own_days(F.col("e0"), F.col("dct"))).otherwise(random_expression(seed, key)), u=uniform(seed, key, F.lit("t")))
     rows = rows.withColumn("score", gaussian.expression_similarity(F.col("e0"), F.col("dct"), F.col("e1"), F.col("dct"))).where("score IS NOT NULL")
     return rows.select(text.one_line(F.col("text")).alias("sent0"), F.date_format("dct", "yyyy-MM-dd").alias("sent0_date"), expression_text(F.col("e1"), F.col("u")).alias("sent1"), F.date_format("dct", "yyyy-MM-dd").alias("sent1_date"), "score")
 
@@ -148,6 +199,23 @@ def relation_phrases(rows: DataFrame, month: str, years: str, months: str, back:
     return rows.withColumn("phrase", phrase).withColumn("answer", F.date_format(target, "yyyy-MM")).where(inside)
 
 
+def relation_tuples(phrases: DataFrame, key: str, seed: int = 42, wrong: int = 4) -> DataFrame:
+    """phrases (key, phrase, answer yyyy-MM) as training tuples: the right month with score 1, and `wrong` distinct other months of the calendar by their similarity.
+
+    A row draws three times as many months as it needs, as equal ones and the answer fall out.
+    """
+    first, last = (int(d[:4]) for d in (FIRST_DAY, LAST_DAY))
+    at = F.transform(F.sequence(F.lit(1), F.lit(3 * wrong)), lambda i: F.floor(uniform(seed, F.col(key), F.lit("wrong"), i) * (12 * (last - first + 1))).cast("int"))
+    months = F.transform(at, lambda m: F.concat((first + F.floor(m / 12)).cast("string"), F.lit("-"), F.lpad((m % 12 + 1).cast("string"), 2, "0")))
+    others = F.slice(F.filter(F.array_distinct(months), lambda m: m != F.col("answer")), 1, wrong)
+    rows = phrases.select(key, "phrase", "answer", F.posexplode(F.concat(F.array("answer"), others)).alias("j", "month"))
+    score = F.when(F.col("j") == 0, 1.0).otherwise(gaussian.bounds_similarity(date_bounds(F.col("answer")), date_bounds(F.col("month"))))
+    span = (last - first + 1) * 365
+    days = [F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), F.floor(uniform(seed, F.col(key), F.col("j"), F.lit(c)) * span).cast("int")), "yyyy-MM-dd") for c in ("d0", "d1")]
+    named = F.concat(text.month_name(F.substring("month", 6, 2).cast("int"), 3), F.lit(", "), F.substring("month", 1, 4))
+    return rows.select(key, F.col("phrase").alias("sent0"), days[0].alias("sent0_date"), named.alias("sent1"), days[1].alias("sent1_date"), score.alias("score"))
+
+
 def tagged_values(corpus: DataFrame) -> DataFrame:
     """text, values, dct of a tagged corpus's entries that have explicit date or interval values and a document date."""
     kept = F.filter("timex3", lambda t: t["rulename"].contains("explicit") & t["value"].isNotNull() & (date_bounds(t["value"]).isNotNull() | interval_bounds(t["value"]).isNotNull()))

@@ -20,6 +20,11 @@ def fuse_left(temporal: DataFrame, semantic: DataFrame, keys: list[str]) -> Data
     return temporal.withColumnRenamed("score", "temporal").join(s, keys, "left").fillna(0.0, ["semantic"])
 
 
+def restricted(pairs: DataFrame, cache: DataFrame, keys: list[str]) -> DataFrame:
+    """A cache's scores (keys, score) of just these pairs; 0 for those it lacks. Repeated entries of the cache count once."""
+    return pairs.join(cache.groupBy(*keys).agg(F.max("score").alias("score")), keys, "left").fillna(0.0, ["score"])
+
+
 def linear(temporal: Column, semantic: Column, alpha: Column | float) -> Column:
     alpha = F.lit(alpha) if isinstance(alpha, float) else alpha
     return alpha * temporal + (1 - alpha) * semantic

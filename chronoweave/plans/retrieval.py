@@ -12,7 +12,7 @@ from .base import CANDIDATES, SCALED, kl_similarity, query, ranked_sql, table
 from .temporal import _dated_docs, candidates
 
 ALPHAS = tuple(round(i / 10, 1) for i in range(1, 10))
-KS = (1, 3, 5, 10)
+KS = (1, 5, 10, 20, 50, 100)
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,7 +159,7 @@ def metrics_from_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _MULTI_SQL = """im AS (
   SELECT q, k, coalesce(1.0 / min(CASE WHEN gold THEN rn END), 0) AS mrr, sum(CASE WHEN gold AND rn <= k THEN 1 ELSE 0 END) AS hit, sum(gold::INT) AS n, sum(CASE WHEN gold AND rn <= k THEN 1.0 / log2(rn + 1) ELSE 0 END) AS gain
-  FROM rk, (SELECT unnest([1, 3, 5, 10]) AS k) GROUP BY q, k),
+  FROM rk, (SELECT unnest([1, 5, 10, 20, 50, 100]) AS k) GROUP BY q, k),
 m AS (SELECT q, k, mrr, CASE WHEN n > 0 THEN gain / list_sum(list_transform(generate_series(1, least(n, k)::INT), lambda i: 1.0 / log2(i + 1))) ELSE 0 END AS ndcg, hit / k::DOUBLE AS p, CASE WHEN n > 0 THEN hit / n::DOUBLE ELSE 0 END AS r FROM im)"""
 
 
@@ -197,7 +197,7 @@ def macro_average(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"WITH {SCALED}, {_RUNS_SQL} SELECT run, o_orderpriority AS benchmark, count(*)::BIGINT AS n_items, round(avg(mrr), 6) AS mrr, round(avg(p), 6) AS precision, round(avg(r), 6) AS recall FROM ri JOIN orders ON q = o_orderkey GROUP BY ALL")
-def paper_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("q"), F.col("o_orderpriority").alias("benchmark"))
     per = ranking.mean_metrics(_run_items(spark, sf_dir).join(b, "q"), ["run", "benchmark"], ("mrr", "precision", "recall"))
     return per.select("run", "benchmark", "n_items", *[F.round(c, 6).alias(c) for c in ("mrr", "precision", "recall")])
