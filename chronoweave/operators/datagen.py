@@ -107,28 +107,29 @@ def random_expression(seed: int, key: Column, shares: tuple[float, ...] = KINDS)
     return by_share(uniform(seed, key, F.lit("kind")), shares, [random_date(seed, key), random_offset(seed, key), random_reference(seed, key), random_interval(seed, key)])
 
 
-def close_expression(seed: int, key: Column, e: Column, anchor: Column) -> Column:
-    """An expression near e: a date of its year, an interval within its own, a close offset or a reference, or, of these two, the anchor's day; else null.
+def close_expressions(rows: DataFrame, e: str, anchor: str, key: str, seed: int = 42) -> DataFrame:
+    """rows with `close`, an expression near e: a date of its year, an interval within its own, a close offset or a reference, or, of these two, the anchor's day; else null.
 
     Half of dates and intervals are days, the others of any grain.
     """
-    coin, day = uniform(seed, key, F.lit("coin")) < 0.5, F.date_format(anchor, "yyyy-MM-dd")
-    own, span = date_bounds(e), interval_bounds(e)
-    first, last = F.trunc(own["start"], "year"), F.make_date(F.year(own["start"]), F.lit(12), F.lit(31))
-    date = F.when(coin, random_date(seed, key, first, last, (0.0, 0.0, 0.0, 1.0))).otherwise(random_date(seed, key, first, last, CLOSE_GRAINS))
-    days = F.datediff(span["end"], span["start"])
-    a, b = (F.date_add(span["start"], F.floor(uniform(seed, key, F.lit(n)) * (days + 1)).cast("int")) for n in ("a", "b"))
-    a, b = F.least(a, b), F.greatest(a, b)
+    k, value = F.col(key), F.col(e)
+    rows = fixed(rows, _own=date_bounds(value), _span=interval_bounds(value), _kind=offset_kind(value), _coin=uniform(seed, k, F.lit("coin")) < 0.5)
+    days, coin, grain = F.datediff("_span.end", "_span.start"), F.col("_coin"), uniform(seed, k, F.lit("igrain"))
+    a, b = (F.date_add("_span.start", F.floor(uniform(seed, k, F.lit(n)) * (days + 1)).cast("int")) for n in ("a", "b"))
+    offset = F.when(F.col("_kind").isNotNull() & ~coin, close_offset(seed, k, value))
+    rows = fixed(rows, _first=F.trunc("_own.start", "year"), _last=F.make_date(F.year("_own.start"), F.lit(12), F.lit(31)), _a=F.least(a, b), _b=F.greatest(a, b), _offset=offset)
 
     def pair(form: str) -> Column:
-        return F.concat_ws(",", F.date_format(a, form), F.date_format(b, form))
+        return F.concat_ws(",", F.date_format("_a", form), F.date_format("_b", form))
 
-    grain = uniform(seed, key, F.lit("igrain"))
+    date = F.when(coin, random_date(seed, k, F.col("_first"), F.col("_last"), (0.0, 0.0, 0.0, 1.0))).otherwise(random_date(seed, k, F.col("_first"), F.col("_last"), CLOSE_GRAINS))
     interval = F.when(coin | (grain >= 2 / 3), pair("yyyy-MM-dd")).when(grain < 1 / 3, pair("yyyy")).otherwise(pair("yyyy-MM"))
-    return (
-        F.when(own.isNotNull(), date).when(span.isNotNull() & (days >= 0), interval).when(offset_kind(e).isNotNull(), F.when(coin, day).otherwise(close_offset(seed, key, e)))
-        .when(is_reference(e), F.when(coin, random_reference(seed, key)).otherwise(day))
+    day = F.date_format(anchor, "yyyy-MM-dd")
+    made = (
+        F.when(F.col("_own").isNotNull(), date).when(F.col("_a").isNotNull() & (days >= 0), interval)
+        .when(F.col("_kind").isNotNull(), F.when(coin, day).otherwise(F.col("_offset"))).when(is_reference(value), F.when(coin, random_reference(seed, k)).otherwise(day))
     )
+    return fixed(rows, close=made).drop("_own", "_span", "_kind", "_coin", "_first", "_last", "_a", "_b", "_offset")
 
 
 def own_days(e: Column, anchor: Column) -> Column:
