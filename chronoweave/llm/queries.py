@@ -1,12 +1,15 @@
-"""The ten operators' queries, and their SQL for DuckDB where SQL can express them."""
+"""The operators' queries, and their SQL for DuckDB where SQL can express them."""
 
 from __future__ import annotations
 
+from .alignment import op11
 from .ann import op6
 from .embed_dedup import op2
 from .lm_score import OP3_SQL, op3
 from .mixing import OP9_SQL, op9
+from .phrases import OP12_SQL, op12
 from .pii import op4
+from .quality import op13
 from .simhash import op1
 from .sp_lattice import op8
 from .token_files import op7
@@ -24,5 +27,8 @@ QUERIES = {
     "op8_sentencepiece": op8,
     "op9_mix_sources": op9,
     "op10_url_filter": op10,
+    "op11_token_alignment": op11,
+    "op12_phrases": op12,
+    "op13_line_quality": op13,
 }
-ORACLE_SQL = {"op3_lm_score": OP3_SQL, "op9_mix_sources": OP9_SQL}
+ORACLE_SQL = {"op3_lm_score": OP3_SQL, "op9_mix_sources": OP9_SQL, "op12_phrases": OP12_SQL}
