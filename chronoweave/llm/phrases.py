@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import Tables, batch_bytes, shuffle_parts, text_of
+from .common import Tables, batch_bytes, shuffle_parts, text_of, trim
 
 BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 MIN_COUNT, MAX_WORDS, COVERED, TOP, SCALE = 10, 3, 50, 2000, 1_000_000
@@ -74,6 +74,8 @@ def _words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                 [pa.array([chunk], pa.int64()), pa.array([_pack(np.concatenate(seq))], pa.binary()), _whole(pa.array(langs, pa.string())), _whole(pa.array(words, pa.string())), _whole(pa.array(np.concatenate(counts), pa.int64()))],
                 ["chunk", "seq", "left", "right", "n"],
             )
+            del tokens, places, at, n, seq, langs, words, counts, texts
+            trim()
 
     rows = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), text_of(docs[text_col]).alias("text")).where("text != ''")
     return rows.mapInArrow(run, "chunk bigint, seq binary, left array<string>, right array<string>, n array<bigint>")
@@ -115,6 +117,8 @@ def _pairs(level: DataFrame, named: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("chunk").slice(k, 1), pa.array([_pack(out)], pa.binary()), *(_whole(pa.array(v, pa.int64())) for v in (left, right, n))], ["chunk", "seq", "left", "right", "n"]
                 )
+                del pos, own, ids, rank, seq, place, at, both, pairs, back, n, out, left, right
+                trim()
 
     return rows.mapInArrow(run, "chunk bigint, seq binary, left array<bigint>, right array<bigint>, n array<bigint>")
 
