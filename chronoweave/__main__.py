@@ -67,8 +67,8 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
         raw = spark.read.option("multiLine", files.is_json_array(spark, a.input)).json(a.input)
         files.write_benchmark(building.build(a.name, raw), a.output)
     elif a.command == "tag":
-        items = files.read_json(spark, a.input, files.BENCHMARK).withColumn("key", F.xxhash64("question", F.array_join("paragraphs", "\x1f"))).drop("split")
-        files.write_benchmark(benchmarks.val_test_split(items, "key", a.input, a.val_fraction, a.seed).drop("key"), a.output)
+        items = files.read_items(spark, a.input, files.BENCHMARK).drop("split")
+        files.write_benchmark(benchmarks.val_test_split(items, "item_id", a.input, a.val_fraction, a.seed).drop("item_id"), a.output)
     elif a.command == "plot":
         rows = reports.filter_rows(reports.read_report(spark, a.report), a.benchmarks, a.run_types, a.semantic_models)
         results.put_text(spark, a.output, reports.alpha_svg([r.asDict() for r in rows.collect()]))

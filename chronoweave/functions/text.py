@@ -13,6 +13,11 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 ARTICLES = r"\b(a|an|the)\b"
 
 
+def strip(text: Column) -> Column:
+    """Without white space at either end."""
+    return F.regexp_replace(text, rf"^{SPACE}|{SPACE}\z", "")
+
+
 def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
@@ -31,7 +36,7 @@ def prefix(text: Column, chars: int = 400) -> Column:
 
 
 def one_line(text: Column) -> Column:
-    return F.trim(F.translate(text, "\n", " "))
+    return strip(F.translate(text, "\n", " "))
 
 
 def normalize_answer(text: Column) -> Column:
@@ -41,10 +46,10 @@ def normalize_answer(text: Column) -> Column:
 
 def strip_prediction(text: Column) -> Column:
     """Without a leading "answer:", quotes around, [n] marks, and all but the first line."""
-    t = F.trim(F.regexp_replace(F.trim(text), r"(?i)^answer\s*[:\-]\s*", ""))
+    t = strip(F.regexp_replace(strip(text), r"(?i)^answer\s*[:\-]\s*", ""))
     t = F.regexp_replace(F.regexp_replace(t, r'^"+|"+$', ""), r"^'+|'+$", "")
-    t = F.trim(F.regexp_replace(F.trim(t), r"\s*\[\d+\]\s*", " "))
-    return F.trim(F.substring_index(t, "\n", 1))
+    t = strip(F.regexp_replace(strip(t), r"\s*\[\d+\]\s*", " "))
+    return strip(F.substring_index(t, "\n", 1))
 
 
 def snippet(text: Column, width: int = 160) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text
-from .benchmarks import answered, evidence, split_context, top_negatives
+from .benchmarks import answered, evidence, positions, split_context
 from .scoring import bm25
 
 # The mark of a question without an answer, the types that a name may end in, the length of a passage.
@@ -55,7 +55,7 @@ def either_level(items: DataFrame) -> DataFrame:
 def sentences(items: DataFrame, kind: str | None = None) -> DataFrame:
     """Distinct sentences of all contexts, missing gold ones at the end; gold are those that hold an annotated sentence."""
     def cut(t: Column) -> Column:
-        return F.transform(F.split(t, r" \. "), lambda s: F.trim(s))
+        return F.transform(F.split(t, r" \. "), lambda s: text.strip(s))
 
     gold = cut(F.col("annotated_para"))
     rows = settled(items, kind).select(F.trim("updated_question").alias("question"), gold.alias("gold"), F.array_union(F.flatten(F.transform("context", lambda c: cut(c["text"]))), gold).alias("paragraphs"))
@@ -136,11 +136,29 @@ def fetch_bm25(items: DataFrame, key: str, k: int, k1: float = 1.5, b: float = 0
     return placed.where(F.col("place") <= k).select(F.col("key").alias(key), "place", "paragraph")
 
 
+def best_others(items: DataFrame, scores: DataFrame, own: DataFrame, texts: DataFrame, n: int) -> DataFrame:
+    """item_id, paragraph, score, rn: each item's n best texts that aren't its own, all of them if they are fewer; ties in the texts' order.
+
+    scores (item_id, paragraph, score) hold pairs that share a word; all others score 0 and aren't listed. An item whose positive scores
+    don't fill its n places gets as many texts by their place in the corpus as may stand in the way (its scored and own ones) and it still needs.
+    """
+    hits = scores.join(own, ["item_id", "paragraph"], "left_anti")
+    have = hits.groupBy("item_id").agg(F.count("*").alias("hits"), F.count_if(F.col("score") > 0).alias("good"))
+    mine = own.groupBy("item_id").agg(F.count("*").alias("mine"))
+    short = items.distinct().join(have, "item_id", "left").join(mine, "item_id", "left").fillna(0, ["hits", "good", "mine"]).where(F.col("good") < n)
+    places = short.select("item_id", F.explode(F.sequence(F.lit(0).cast("bigint"), n - F.col("good") + F.col("hits") + F.col("mine") - 1)).alias("position"))
+    blank = places.join(positions(texts.select("paragraph"), ["paragraph"]), "position").select("item_id", "paragraph")
+    blank = blank.join(own, ["item_id", "paragraph"], "left_anti").join(hits.select("item_id", "paragraph"), ["item_id", "paragraph"], "left_anti")
+    rows = hits.select("item_id", "paragraph", "score").unionByName(blank.withColumn("score", F.lit(0.0)))
+    best = W.partitionBy("item_id").orderBy(F.col("score").desc(), "paragraph")
+    return rows.withColumn("rn", F.row_number().over(best)).where(F.col("rn") <= n)
+
+
 def with_negatives(candidates: DataFrame, n: int, seed: int = 42) -> DataFrame:
     """candidates (item_id, question, paragraph, is_gold) with negatives, shuffled: item_id, question, idx, paragraph, is_gold.
 
     0: as they are, without idx; -1: the gold paragraphs and all distinct paragraphs, which is items times texts by definition (`shared_corpus`
-    keeps the texts once); above: the gold ones and the n best others by BM25 that share a word with the question. Where a text is there
+    keeps the texts once); above: the gold ones and the n best others by BM25, or all others if they are fewer. Where a text is there
     twice, the first place is the gold one. Anything else is an error.
     """
     if n < -1:
@@ -152,9 +170,9 @@ def with_negatives(candidates: DataFrame, n: int, seed: int = 42) -> DataFrame:
     if n == -1:
         rest = asked.crossJoin(texts)
     else:
-        scores = bm25(asked, texts, "item_id", "question", "paragraph", "paragraph")
-        best = top_negatives(scores, gold.select(F.col("item_id").alias("query_id"), F.col("paragraph").alias("id")).distinct(), n)
-        rest = best.select(F.col("query_id").alias("item_id"), F.col("id").alias("paragraph")).join(asked, "item_id").select("item_id", "question", "paragraph")
+        scores = bm25(asked, texts, "item_id", "question", "paragraph", "paragraph").select(F.col("query_id").alias("item_id"), F.col("id").alias("paragraph"), "score")
+        best = best_others(asked.select("item_id"), scores, gold.select("item_id", "paragraph").distinct(), texts, n)
+        rest = best.select("item_id", "paragraph").join(asked, "item_id").select("item_id", "question", "paragraph")
     rows = gold.withColumn("own", F.lit(1)).unionByName(rest.withColumn("own", F.lit(0)))
     order = W.partitionBy("item_id").orderBy(text.uniform(seed, F.col("item_id"), F.col("paragraph"), F.col("own")), "paragraph", "own")
     rows = rows.withColumn("idx", F.row_number().over(order) - 1)

@@ -15,6 +15,7 @@ from ..functions import gaussian, text
 from ..functions.temporal import FIRST_DAY, LAST_DAY, date_bounds, ground, integers, interval_bounds, is_reference, let, offset_kind
 from ..functions.text import choose, uniform
 from .benchmarks import positions
+from .ranking import value_ranks
 
 # Shares of date, offset, reference and interval among partner expressions.
 KINDS = (0.30, 0.04, 0.01, 0.65)
@@ -232,14 +233,12 @@ def shuffled_union(parts: list[DataFrame], key: list[str], seed: int = 42) -> Da
 
 def spearman(rows: DataFrame, label: str, score: str) -> DataFrame:
     """100 times the rank correlation of |label| and score. Ranks are over distinct values, whose counts are joined back."""
-    def ranks(c: Column, name: str) -> DataFrame:
-        n = rows.select(c.alias("v")).groupBy("v").agg(F.count("*").alias("c"))
-        below = F.coalesce(F.sum("c").over(W.orderBy("v").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        return n.select(F.col("v").alias(f"{name}_v"), (below + (F.col("c") + 1) / 2.0).alias(name))
-
-    x, y = F.abs(F.col(label)), F.col(score)
-    both = rows.select(x.alias("a"), y.alias("b")).join(ranks(x, "rx"), F.col("a") == F.col("rx_v")).join(ranks(y, "ry"), F.col("b") == F.col("ry_v"))
-    return both.agg((100 * F.corr("rx", "ry")).alias("spearman"))
+    both = rows.select(F.abs(F.col(label)).cast("double").alias("a"), F.col(score).cast("double").alias("b"))
+    counts = both.select(F.inline(F.array(*[F.struct(F.lit(c).alias("side"), F.col(c).alias("v")) for c in "ab"]))).groupBy("side", "v").agg(F.count("*").alias("n"))
+    ranks = value_ranks(counts, ["side"], "v")
+    for c in "ab":
+        both = both.join(ranks.where(F.col("side") == c).select(F.col("v").alias(c), F.col("rank").alias(f"r{c}")), c)
+    return both.agg((100 * F.corr("ra", "rb")).alias("spearman"))
 
 
 def cosent(rows: DataFrame, batch: str, label: str, score: str, scale: float = 1.0) -> DataFrame:

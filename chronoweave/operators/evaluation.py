@@ -11,29 +11,49 @@ from ..sources.files import cache_path, read_benchmark, read_cache
 from ..sources.reports import Config
 from . import fusion, ranking
 from .benchmarks import select_split
-from .building import evaluable
 
 
-def _runs_of(spark: SparkSession, config: Config, caches: str, benchmark: str, path: str, split: str) -> DataFrame:
-    rows = select_split(read_benchmark(spark, path), split)
-    keys, engines = ["question", "paragraph"], {}
-    for engine, models in (("temporal", config.temporal_models), ("semantic", config.semantic_models)):
-        for k, model in enumerate(models):
-            scores = read_cache(spark, cache_path(caches, benchmark, engine, model), strict=True)
-            rows = evaluable(rows, scores).join(scores.groupBy(*keys).agg(F.max("score").alias(f"{engine}{k}")), keys)
-            engines[model] = f"{engine}{k}"
-    scaled = [fusion.minmax(F.col(c), "item_id").alias(c) for c in engines.values()]
-    rows = rows.select("item_id", "idx", "is_gold", *scaled)
+def _complete(rows: DataFrame, needed: dict[str, str]) -> None:
+    """An error that names the caches (column: name) which lack pairs of rows, and how many."""
+    if needed:
+        lacks = rows.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in needed]).first().asDict()
+        if any(lacks.values()):
+            raise ValueError("no scores for pairs of the benchmark: " + ", ".join(f"{needed[c]} lacks {n}" for c, n in lacks.items() if n))
+
+
+def fused_runs(candidates: DataFrame, caches: dict[str, DataFrame], runs: list[tuple], split: str) -> DataFrame:
+    """item_id, idx, is_gold and a run's columns and score, a row for each run, of candidates (as `files.read_benchmark` gives them).
+
+    Scores are scaled over a question's whole bucket, the distinct paragraphs of all its items of any split, and then go to
+    the items of the split. Engines that a run uses alone, and temporal ones always, must have all the split's pairs, else it's
+    an error; a pair that only a fusion's semantic side lacks counts 0 there.
+    """
+    keys = ["question", "paragraph"]
+    pairs, columns = candidates.select(*keys).distinct(), {}
+    for k, (model, scores) in enumerate(caches.items()):
+        pairs = pairs.join(scores.groupBy(*keys).agg(F.max("score").alias(f"engine{k}")), keys, "left")
+        columns[model] = f"engine{k}"
+    alone = {m for _, kind, t, s, _ in runs for m in ((t, s) if kind != "hybrid" else (t,)) if m}
+    scaled = fusion.scale_buckets(pairs, list(columns.values()))
+    rows = select_split(candidates, split).select("item_id", "idx", "is_gold", *keys).join(scaled, keys)
+    _complete(rows, {columns[m]: m for m in caches if m in alone})
     parts = []
-    for run_id, kind, temporal, semantic, alpha in config.runs():
-        t, s = (F.col(engines[m]) if m else None for m in (temporal, semantic))
+    for run_id, kind, temporal, semantic, alpha in runs:
+        t, s = (F.coalesce(columns[m], F.lit(0.0)) if m else None for m in (temporal, semantic))
         score = fusion.linear(t, s, alpha) if kind == "hybrid" else t if s is None else s
         parts.append(F.struct(F.lit(run_id).alias("run_id"), F.lit(kind).alias("run_type"), F.lit(temporal).cast("string").alias("temporal_model"), F.lit(semantic).cast("string").alias("semantic_model"), F.lit(alpha).cast("double").alias("alpha"), F.round(score, 9).alias("score")))
-    return rows.select(F.lit(benchmark).alias("benchmark"), "item_id", "idx", "is_gold", F.inline(F.array(*parts)))
+    return rows.select("item_id", "idx", "is_gold", F.inline(F.array(*parts)))
+
+
+def _runs_of(spark: SparkSession, config: Config, caches: str, benchmark: str, path: str, split: str) -> DataFrame:
+    engines = [("temporal", m) for m in config.temporal_models] + [("semantic", m) for m in config.semantic_models]
+    found = {m: read_cache(spark, cache_path(caches, benchmark, e, m), strict=True) for e, m in engines}
+    rows = fused_runs(read_benchmark(spark, path), found, config.runs(), split)
+    return rows.select(F.lit(benchmark).alias("benchmark"), *rows.columns)
 
 
 def item_results(spark: SparkSession, config: Config, caches: str, split: str = "test") -> DataFrame:
-    """benchmark, run columns, item_id and all metrics of every run over the items that every cache covers. A cache that is missing is an error."""
+    """benchmark, run columns, item_id and all metrics of every run over all items of the split. A cache that is missing, or lacks pairs, is an error."""
     rows = reduce(DataFrame.union, [_runs_of(spark, config, caches, b, p, split) for b, p in config.benchmarks.items()])
     by = ["benchmark", "run_id", "run_type", "temporal_model", "semantic_model", "alpha", "item_id"]
     ranked = rows.withColumn("rn", ranking.rank_desc(["benchmark", "run_id", "item_id"]))
@@ -52,7 +72,7 @@ def paired_tests(items: DataFrame, alpha: float, metrics: tuple[str, ...] = ("mr
     rows = items.select("benchmark", "semantic_model", "temporal_model", "run_type", "alpha", "item_id", spread)
     base = rows.where("run_type = 'semantic'").select("benchmark", "semantic_model", "item_id", "metric", F.col("v").alias("b"))
     both = rows.where((F.col("run_type") == "hybrid") & (F.col("alpha") == alpha)).withColumnRenamed("v", "a").join(base, ["benchmark", "semantic_model", "item_id", "metric"])
-    both = both.select("benchmark", F.concat_ws("+", "semantic_model", "temporal_model").alias("baseline"), "metric", "a", "b", F.round(F.col("a") - F.col("b"), 9).alias("d")).withColumn("key", F.concat_ws("\x1f", "benchmark", "baseline", "metric"))
+    both = both.select("benchmark", "item_id", F.concat_ws("+", "semantic_model", "temporal_model").alias("baseline"), "metric", "a", "b", F.round(F.col("a") - F.col("b"), 9).alias("d")).withColumn("key", F.concat_ws("\x1f", "benchmark", "baseline", "metric"))
     d = F.col("d")
     means = both.groupBy("key", "benchmark", "baseline", "metric").agg(
         F.count("*").alias("n"), F.avg("b").alias("mean_baseline"), F.avg("a").alias("mean_hybrid"), F.avg("d").alias("mean_diff"), F.count_if(d > 0).alias("wins"), F.count_if(d < 0).alias("losses"),
@@ -61,4 +81,4 @@ def paired_tests(items: DataFrame, alpha: float, metrics: tuple[str, ...] = ("mr
     signed = ranking.signed_rank(both, ["key"]).withColumnRenamed("ties", "tied")
     tests = means.select("key", "n", "t").join(signed, "key", "left").fillna(0).withColumnRenamed("tied", "ties")
     tests = ranking.p_values(tests).select("key", "p_wilcoxon", "p_t")
-    return means.join(ranking.bootstrap_ci(both, "key", rounds=rounds).select("key", "low", "high"), "key").join(tests, "key").drop("key", "t")
+    return means.join(ranking.bootstrap_ci(both, "key", "item_id", rounds=rounds).select("key", "low", "high"), "key").join(tests, "key").drop("key", "t")

@@ -14,6 +14,13 @@ def minmax(score: Column, *by: str) -> Column:
     return F.when(high == low, 0.0).otherwise((score - low) / F.nullif(high - low, F.lit(0.0)))
 
 
+def scale_buckets(rows: DataFrame, scores: list[str], question: str = "question", paragraph: str = "paragraph") -> DataFrame:
+    """question, paragraph, scores: each scaled over the distinct paragraphs of all items that ask the question. Null scores stay null and don't count;
+    where a pair has several, the largest counts. Items get theirs back by a join on the pair."""
+    pairs = rows.groupBy(question, paragraph).agg(*[F.max(s).alias(s) for s in scores])
+    return pairs.select(question, paragraph, *[F.when(F.col(s).isNotNull(), minmax(F.col(s), question)).alias(s) for s in scores])
+
+
 def fuse_left(temporal: DataFrame, semantic: DataFrame, keys: list[str]) -> DataFrame:
     """All temporal scores with the semantic ones, 0 where there is none."""
     s = semantic.withColumnRenamed("score", "semantic")

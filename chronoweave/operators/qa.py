@@ -17,11 +17,19 @@ def _words(t: Column) -> Column:
 
 
 def _overlap(a: Column, b: Column) -> Column:
-    """Size of the multiset intersection."""
-    def count(x: Column, w: Column) -> Column:
-        return F.size(F.filter(x, lambda y: y == w))
-
-    return F.aggregate(F.array_distinct(a), F.lit(0), lambda s, w: s + F.least(count(a, w), count(b, w)))
+    """Size of the multiset intersection: one pass over the words of both, sorted, that counts each word's run on either side."""
+    def side(x: Column, n: int) -> Column:
+        return F.transform(x, lambda w: F.struct(w.alias("w"), F.lit(n).alias("side")))
+
+    def step(s: Column, x: Column) -> Column:
+        same = s["w"].eqNullSafe(x["w"])
+        left, right = ((x["side"] == k).cast("int") for k in (1, 2))
+        return F.struct(
+            x["w"].alias("w"), (F.when(same, s["a"]).otherwise(0) + left).alias("a"), (F.when(same, s["b"]).otherwise(0) + right).alias("b"), (s["n"] + F.when(same, 0).otherwise(F.least(s["a"], s["b"]))).alias("n")
+        )
+
+    start = F.struct(F.lit(None).cast("string").alias("w"), F.lit(0).alias("a"), F.lit(0).alias("b"), F.lit(0).alias("n"))
+    return F.aggregate(F.array_sort(F.concat(side(a, 1), side(b, 2))), start, step, lambda s: s["n"] + F.least(s["a"], s["b"]))
 
 
 def exact_match(prediction: Column, golds: Column) -> Column:

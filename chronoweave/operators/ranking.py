@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 METRICS = ("top", "mrr", "ndcg", "precision", "recall", "f1")
 
 
@@ -56,14 +58,28 @@ def best_alpha(swept: DataFrame, by: list[str], metric: str = "mrr") -> DataFram
     return swept.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
+def value_ranks(counts: DataFrame, by: list[str], value: str, n: str = "n") -> DataFrame:
+    """counts (by, value, n: how many rows have the value, other columns) with `rank`, the average rank of those rows within `by`, from 1.
+
+    Distinct values are dealt out by range and written once; each partition adds up its own counts, and the sums of the
+    partitions before it, one row for each group and partition, come on top. So neither a group nor all values meet in one task. `by` isn't null.
+    """
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = cut(counts.repartitionByRange(parts, *by, value).withColumn("_part", F.spark_partition_id()))
+    own = F.sum(n).over(W.partitionBy("_part", *by).orderBy(value).rowsBetween(W.unboundedPreceding, -1))
+    sums = placed.groupBy("_part", *by).agg(F.sum(n).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(*by).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    sums = sums.select("_part", *by, F.coalesce(before, F.lit(0)).alias("_before"))
+    ranked = placed.withColumn("_own", F.coalesce(own, F.lit(0))).join(sums, ["_part", *by])
+    return ranked.select(*counts.columns, (F.col("_before") + F.col("_own") + (F.col(n) + 1) / 2.0).alias("rank"))
+
+
 def signed_rank(paired: DataFrame, by: list[str], diff: str = "d") -> DataFrame:
-    """W+, W-, the number of non-zero differences and the tie term sum(t^3 - t), with average ranks."""
-    d = paired.where(F.col(diff) != 0).withColumn("_a", F.abs(diff))
-    w = W.partitionBy(*by)
-    ranked = d.withColumn("_r", F.rank().over(w.orderBy("_a")) + (F.count("*").over(W.partitionBy(*by, "_a")) - 1) / 2.0).withColumn("_t", F.count("*").over(W.partitionBy(*by, "_a")))
-    return ranked.groupBy(*by).agg(
-        F.sum(F.when(F.col(diff) > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col(diff) < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"),
-        F.count("*").alias("n_nonzero"), F.sum((F.col("_t") * F.col("_t") - 1).cast("double")).alias("ties"),
+    """W+, W-, the number of non-zero differences and the tie term sum(t^3 - t), with average ranks, over distinct sizes of differences."""
+    d = paired.where(F.col(diff) != 0).groupBy(*by, F.abs(diff).alias("_a")).agg(F.count("*").alias("n"), F.count_if(F.col(diff) > 0).alias("_up"))
+    r, n = F.col("rank"), F.col("n")
+    return value_ranks(d, by, "_a").groupBy(*by).agg(
+        F.sum(r * F.col("_up")).alias("w_plus"), F.sum(r * (n - F.col("_up"))).alias("w_minus"), F.sum("n").alias("n_nonzero"), F.sum((n * (n * n - 1)).cast("double")).alias("ties"),
     )
 
 
@@ -104,16 +120,33 @@ def t_p(t: float, df: int) -> float:
     return 1 - front * f if swap else front * f
 
 
-def bootstrap_ci(paired: DataFrame, by: str, diff: str = "d", rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """Percentile interval of the mean difference. One group's differences are one task's rows: per-query metrics of one run."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, rng = np.sort(pdf[diff].to_numpy(float)), np.random.default_rng(seed)
-        means = np.concatenate([d[rng.integers(0, len(d), (min(100, rounds - a), len(d)))].mean(axis=1) for a in range(0, rounds, 100)])
-        low, high = np.percentile(means, [50 * (1 - level), 100 - 50 * (1 - level)])
-        return pd.DataFrame({by: [pdf[by].iloc[0]], "mean": [d.mean()], "low": [low], "high": [high]})
+#: A prime below 2^31: weights come from arithmetic modulo it, which SQL elsewhere can repeat.
+PRIME = 2_147_483_647
+ROUND_STEP = 1_103_515_245
+#: Where the weights 1, 2, ... begin in [0, PRIME): a Poisson distribution with mean 1, up to a share of 1e-9.
+POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
 
-    kind = paired.schema[by].dataType.simpleString()
-    return paired.groupBy(by).applyInPandas(run, f"{by} {kind}, mean double, low double, high double")
+
+def bootstrap_ci(paired: DataFrame, by: str, row: str, diff: str = "d", rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """by, mean, low, high: percentile interval of the mean difference over `rounds` resamples.
+
+    In each round each row counts as often as a Poisson draw says, which given their sum is a draw with replacement of as many rows. The
+    draw is a function of (seed, row, round): two keys of the row from its md5, mixed with the round by arithmetic modulo a
+    prime. So rounds are sums by (by, round) that partial aggregation shrinks where the rows are, rows never meet in one task, and
+    reruns agree. `row` names the row within its group.
+    """
+    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
+    a, c = (F.conv(F.substring(key, k, 8), 16, 10).cast("bigint") % PRIME for k in (1, 9))
+    rows = paired.select(F.col(by).alias("by"), F.col(diff).alias("d"), a.alias("a"), c.alias("c"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
+    rows = rows.withColumn("x", (F.col("a") * (F.col("round").cast("bigint") * ROUND_STEP % PRIME) + F.col("c")) % PRIME)
+    square = F.col("x") * F.col("x") % PRIME
+    rows = rows.withColumn("u", square * square % PRIME * F.col("x") % PRIME)  # the fifth power permutes the numbers below the prime
+    weight = sum((F.col("u") >= t).cast("int") for t in POISSON)
+    means = rows.withColumn("w", weight).groupBy("by", "round").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    ends = means.groupBy("by").agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("p"))
+    mean = paired.groupBy(F.col(by).alias("by")).agg(F.avg(diff).alias("mean"))
+    return mean.join(ends, "by").select(F.col("by").alias(by), "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
 def p_values(tests: DataFrame) -> DataFrame:
@@ -129,11 +162,6 @@ def p_values(tests: DataFrame) -> DataFrame:
     return tests.mapInPandas(run, schema)
 
 
-def average_rank(value: Column, by: list[str]) -> Column:
-    w = W.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count("*").over(W.partitionBy(*by, value)) - 1) / 2.0
-
-
 def expected_reciprocal_rank(n: Column, g: Column, offset: Column) -> Column:
     """Mean of 1 / (offset + R), where R is the rank of the first of g gold items among n tied ones in random order."""
     # p: probability that none of the first r - 1 is gold

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
 from ..functions import gaussian, temporal
-from ..operators import fusion, ranking, scoring
+from ..operators import evaluation, fusion, ranking, scoring
 from .base import CANDIDATES, SCALED, kl_similarity, query, ranked_sql, table
-from .temporal import _dated_docs, candidates
+from .temporal import DATED_SQL, _dated_docs, candidates
 
 ALPHAS = tuple(round(i / 10, 1) for i in range(1, 10))
 KS = (1, 5, 10, 20, 50, 100)
@@ -248,9 +249,44 @@ def paired_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.p_values(wilcoxon(spark, sf_dir).join(ttest(spark, sf_dir), "metric"))
 
 
-@query()
+_BOOTSTRAP_SQL = f"""{_PAIRED_SQL}, k AS (SELECT d, md5('42:' || q) AS h FROM pd),
+ac AS (SELECT d, ('0x' || substr(h, 1, 8))::BIGINT % {ranking.PRIME} AS a, ('0x' || substr(h, 9, 8))::BIGINT % {ranking.PRIME} AS c FROM k),
+x AS (SELECT d, r, (a * (r * {ranking.ROUND_STEP} % {ranking.PRIME}) + c) % {ranking.PRIME} AS x FROM ac, range(1, 10001) t(r)),
+s AS (SELECT d, r, x, (x * x % {ranking.PRIME}) * (x * x % {ranking.PRIME}) % {ranking.PRIME} AS s FROM x),
+w AS (SELECT d, r, {' + '.join(f'(s * x % {ranking.PRIME} >= {t})::INT' for t in ranking.POISSON)} AS w FROM s),
+m AS (SELECT r, sum(w * d) / nullif(sum(w), 0) AS m FROM w GROUP BY r)
+SELECT 'mrr' AS metric, (SELECT round(avg(d), 6) FROM pd) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m"""
+
+
+@query(_BOOTSTRAP_SQL)
 def bootstrap_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.bootstrap_ci(_paired(spark, sf_dir), "metric", rounds=2000)
+    """10,000 rounds."""
+    got = ranking.bootstrap_ci(_paired(spark, sf_dir), "metric", "q")
+    return got.select("metric", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+
+
+_SHARED_SQL = """WITH c AS (SELECT o_custkey AS question, o_orderkey AS item, l_partkey AS paragraph, bool_or(l_returnflag = 'R') AS gold FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY ALL),
+p AS (SELECT DISTINCT question, paragraph, (question * 7919 + paragraph * 104729) % 1009 AS t, (question * 31 + paragraph * 17) % 503 AS s FROM c),
+z AS (SELECT question, paragraph, CASE WHEN max(t) OVER w = min(t) OVER w THEN 0 ELSE (t - min(t) OVER w) / (max(t) OVER w - min(t) OVER w)::DOUBLE END AS t, CASE WHEN max(s) OVER w = min(s) OVER w THEN 0 ELSE (s - min(s) OVER w) / (max(s) OVER w - min(s) OVER w)::DOUBLE END AS s FROM p WINDOW w AS (PARTITION BY question)),
+f AS (SELECT item, paragraph, gold, unnest([{'run': 'fused', 's': 0.6 * t + 0.4 * s}, {'run': 'first', 's': t}, {'run': 'second', 's': s}]) AS u FROM c JOIN z USING (question, paragraph)),
+r AS (SELECT u.run AS run, item, gold, row_number() OVER (PARTITION BY u.run, item ORDER BY round(u.s, 9) DESC, paragraph DESC) AS rn FROM f),
+i AS (SELECT run, item, coalesce(1.0 / min(CASE WHEN gold THEN rn END), 0) AS mrr FROM r GROUP BY ALL)
+SELECT run, count(*)::BIGINT AS n, round(avg(mrr), 6) AS mrr FROM i GROUP BY run"""
+
+
+@query(_SHARED_SQL)
+def shared_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers as questions that several orders, the items, ask over parts: scores are scaled over a customer's parts in all orders, as `evaluate` does."""
+    orders, lines = (table(spark, sf_dir, t) for t in ("orders", "lineitem"))
+    c = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy(F.col("o_custkey").alias("question"), F.col("o_orderkey").alias("item_id"), F.col("l_partkey").alias("paragraph"))
+    c = c.agg(F.bool_or(F.col("l_returnflag") == "R").alias("is_gold")).withColumn("idx", F.col("paragraph")).withColumn("split", F.lit("test")).transform(cut)
+    pairs = c.select("question", "paragraph").distinct()
+    q, p = F.col("question"), F.col("paragraph")
+    caches = {"t": pairs.withColumn("score", ((q * 7919 + p * 104729) % 1009).cast("double")), "s": pairs.withColumn("score", ((q * 31 + p * 17) % 503).cast("double"))}
+    runs = [("fused", "hybrid", "t", "s", 0.6), ("first", "temporal", "t", None, None), ("second", "semantic", None, "s", None)]
+    rows = evaluation.fused_runs(c, caches, runs, "test").withColumnRenamed("run_id", "run").withColumn("rn", ranking.rank_desc(["run", "item_id"]))
+    items = ranking.item_metrics(rows, ["run", "item_id"], 5)
+    return items.groupBy("run").agg(F.count("*").alias("n"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
 _MATCH_SQL = f"""{_YEARS_SQL}, mt AS (SELECT q, count(*) AS n, count_if(py IN (qy, qz)) AS n_top, count_if(gold) AS g, count_if(gold AND py IN (qy, qz)) AS g_top FROM yn GROUP BY q)"""
@@ -387,7 +423,7 @@ def head_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.encode_temporal(rows, "embedding", "enc", scoring.TemporalHead.random(64, 32, 48, 16), "vec_id")
 
 
-@query("SELECT doc_id, (least(1990 + doc_id % 30, 1985 + doc_id % 7) BETWEEN 1985 AND 1990) AS early FROM documents")
+@query(f"SELECT doc_id, (list_min(y) BETWEEN 1985 AND 1990) AS early FROM ({DATED_SQL})")
 def year_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = temporal.year_tokens(F.col("text"))
     return _dated_docs(spark, sf_dir).select("doc_id", F.array_min(y).between(1985, 1990).alias("early"))

@@ -181,17 +181,21 @@ def month_year_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _dated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.concat(F.lit("In "), (1990 + F.col("doc_id") % 30).cast("string"), F.lit(" and "), (1985 + F.col("doc_id") % 7).cast("string"), F.lit(": "), F.regexp_replace("text", r"[0-9]", "#")).alias("text"))
+    return d.select("doc_id", F.concat(F.lit("In "), (1990 + F.col("doc_id") % 30).cast("string"), F.lit(" and "), (1985 + F.col("doc_id") % 7).cast("string"), F.lit(": "), "text").alias("text"))
 
 
-@query("SELECT doc_id, least(1990 + doc_id % 30, 1985 + doc_id % 7)::BIGINT AS first_year, greatest(1990 + doc_id % 30, 1985 + doc_id % 7)::BIGINT AS last_year, (CASE WHEN 1990 + doc_id % 30 = 1985 + doc_id % 7 THEN 1 ELSE 2 END)::BIGINT AS n_years FROM documents")
+#: SQL: the distinct years of each text.
+DATED_SQL = r"SELECT doc_id, list_transform(list_distinct(regexp_extract_all('In ' || (1990 + doc_id % 30) || ' and ' || (1985 + doc_id % 7) || ': ' || text, '@', 1)), lambda y: y::BIGINT) AS y FROM documents".replace("@", temporal.YEAR)
+
+
+@query(f"SELECT doc_id, list_min(y) AS first_year, list_max(y) AS last_year, len(y)::BIGINT AS n_years FROM ({DATED_SQL})")
 def year_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = temporal.year_tokens(F.col("text"))
     rows = _dated_docs(spark, sf_dir).select("doc_id", y.alias("y"))
     return rows.select("doc_id", F.array_min("y").cast("bigint").alias("first_year"), F.array_max("y").cast("bigint").alias("last_year"), F.size("y").cast("bigint").alias("n_years"))
 
 
-@query("SELECT doc_id, (greatest(1990 + doc_id % 30, 1985 + doc_id % 7) - least(1990 + doc_id % 30, 1985 + doc_id % 7) + 1)::BIGINT AS n_years FROM documents")
+@query(f"SELECT doc_id, (list_max(y) - list_min(y) + 1)::BIGINT AS n_years FROM ({DATED_SQL})")
 def query_year_interval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _dated_docs(spark, sf_dir).select("doc_id", F.size(temporal.year_interval(F.col("text"))).cast("bigint").alias("n_years"))
 

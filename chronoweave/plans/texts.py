@@ -107,27 +107,60 @@ def interval_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TURNS_SQL = "a AS (SELECT conv_id, turn, text AS prediction, lead(text) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS nxt, lead(text, 2) OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS later FROM conversations)"
 
 
-def _turns(spark: SparkSession, sf_dir: str, chars: int | None = None) -> DataFrame:
-    """Each turn as a prediction; the next two, or the first characters of each, as answers."""
+def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn as a prediction; the next two as answers."""
     w = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("prediction"), F.lead("text").over(w).alias("a"), F.lead("text", 2).over(w).alias("b"))
-    golds = F.filter(F.array("a", "b"), lambda x: x.isNotNull())
-    golds = golds if chars is None else F.transform(golds, lambda x: F.substring(x, 1, chars))
-    return rows.select("conv_id", "turn", "prediction", golds.alias("golds"))
+    return rows.select("conv_id", "turn", "prediction", F.filter(F.array("a", "b"), lambda x: x.isNotNull()).alias("golds"))
 
 
-@query()
+def _strip_sql(t: str) -> str:
+    """As strip_prediction does."""
+    def ends(x: str) -> str:
+        return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+
+    bare = ends(f"regexp_replace({ends(t)}, '^answer\\s*[:\\-]\\s*', '', 'i')")
+    bare = f"regexp_replace(regexp_replace({bare}, '^\"+|\"+$', '', 'g'), '^''+|''+$', '', 'g')"
+    marked = ends(f"regexp_replace({ends(bare)}, '\\s*\\[\\d+\\]\\s*', ' ', 'g')")
+    return ends(f"split_part({marked}, chr(10), 1)")
+
+
+_SCORES_SQL = f"""{_TURNS_SQL}, g AS (SELECT conv_id, turn, {_norm_sql(_strip_sql('prediction'))} AS p, unnest(CASE WHEN nxt IS NULL THEN [NULL] WHEN later IS NULL THEN [nxt] ELSE [nxt, later] END) AS g, row_number() OVER () AS id FROM a),
+t AS (SELECT *, {_norm_sql('g')} AS n, list_filter(string_split(p, ' '), lambda w: w <> '') AS pw, list_filter(string_split({_norm_sql('g')}, ' '), lambda w: w <> '') AS gw FROM g),
+o AS (SELECT *, coalesce(list_sum(list_transform(list_distinct(pw), lambda w: least(len(list_filter(pw, lambda x: x = w)), len(list_filter(gw, lambda x: x = w))))), 0)::DOUBLE AS c FROM t),
+s AS (SELECT conv_id, turn, p, bool_or(g IS NOT NULL) AS has, max((n = p)::INT) AS em, max(contains(p, n)::INT) AS containment,
+  max(CASE WHEN g IS NULL THEN 0 WHEN len(pw) = 0 OR len(gw) = 0 THEN (len(pw) = len(gw))::INT ELSE coalesce(2 * (c / len(pw)) * (c / len(gw)) / nullif(c / len(pw) + c / len(gw), 0), 0) END) AS f1 FROM o GROUP BY conv_id, turn, p)"""
+
+
+@query(f"WITH {_SCORES_SQL} SELECT conv_id, turn, em::DOUBLE AS em, round(f1, 6)::DOUBLE AS f1, containment::DOUBLE AS containment FROM s WHERE has")
+def qa_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact match, token F1 and containment of every turn that has answers."""
+    rows, p, g = _turns(spark, sf_dir).where(F.size("golds") > 0), F.col("prediction"), F.col("golds")
+    return rows.select("conv_id", "turn", qa.exact_match(p, g).alias("em"), F.round(qa.f1_score(p, g), 6).alias("f1"), qa.containment(p, g).alias("containment"))
+
+
+@query(f"WITH {_SCORES_SQL} SELECT round(avg(CASE WHEN has THEN em END), 6)::DOUBLE AS em, round(avg(CASE WHEN has THEN f1 END), 6)::DOUBLE AS f1, round(avg(CASE WHEN has THEN containment END), 6)::DOUBLE AS containment, round(avg(has::INT), 6) AS answered FROM s")
 def qa_em_f1_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return qa.qa_metrics(_turns(spark, sf_dir), "prediction", "golds").select(*[F.round(c, 6).alias(c) for c in ("em", "f1", "containment", "answered")])
 
 
-@query(f"WITH {_TURNS_SQL} SELECT conv_id, turn, ((coalesce({_norm_sql('substr(nxt, 1, 40)')}, '?') = {_norm_sql('prediction')}) OR (coalesce({_norm_sql('substr(later, 1, 40)')}, '?') = {_norm_sql('prediction')}))::INT::BIGINT AS em FROM (SELECT conv_id, turn, split_part(prediction, chr(10), 1) AS prediction, nxt, later FROM a) WHERE nxt IS NOT NULL")
+@query(f"WITH {_TURNS_SQL} SELECT conv_id, turn, ((coalesce({_norm_sql('nxt')}, '?') = {_norm_sql('prediction')}) OR (coalesce({_norm_sql('later')}, '?') = {_norm_sql('prediction')}))::INT::BIGINT AS em FROM (SELECT conv_id, turn, split_part(prediction, chr(10), 1) AS prediction, nxt, later FROM a) WHERE nxt IS NOT NULL")
 def qa_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _turns(spark, sf_dir, 40).where(F.size("golds") > 0)
+    rows = _turns(spark, sf_dir).where(F.size("golds") > 0)
     p = text.normalize_answer(F.substring_index("prediction", "\n", 1))
     return rows.select("conv_id", "turn", F.exists("golds", lambda g: text.normalize_answer(g) == p).cast("bigint").alias("em"))
 
 
+@query(r"""WITH p AS (SELECT conv_id, turn, (conv_id + turn) % 6 AS k, text FROM conversations)
+SELECT conv_id, turn, trim(regexp_replace(split_part(regexp_replace(regexp_replace(text, '^\s+', ''), '\s*\[\d+\]\s*', ' ', 'g'), chr(10), 1), '\s+$', '')) AS answer FROM p""")
+def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a generator might put them: after blank lines, with a heading, in quotes, with marks of sources; cleaned they are their first lines again."""
+    rows = table(spark, sf_dir, "conversations").withColumn("k", (F.col("conv_id") + F.col("turn")) % 6)
+    first = F.substring_index(F.regexp_replace(F.regexp_replace("text", r"^\s+", ""), r"\s*\[\d+\]\s*", " "), "\n", 1)
+    forms = [F.concat(F.lit("\n"), first), F.concat(F.lit("\n\nAnswer: "), "text"), F.concat(F.lit(" \t"), "text"), F.concat(F.lit("ANSWER -\n"), "text"), F.concat(F.lit("answer: \""), first, F.lit("\"\n")), F.concat(F.lit("[1] "), "text")]
+    return rows.select("conv_id", "turn", text.strip_prediction(F.get(F.array(*forms), F.col("k").cast("int"))).alias("answer"))
+
+
 @query("SELECT p_partkey, len(list_filter([p_brand, p_type], lambda x: x IS NOT NULL))::BIGINT AS n_evidence, (SELECT count(*) FROM part q WHERE q.p_brand = p.p_brand)::BIGINT AS n_answers FROM part p")
 def rag_join_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..checkpoints import cut
+
 BENCHMARK = "question string, paragraphs array<string>, answer array<int>, split string, reference_date string"
 TUPLES = "sent0 string, sent0_date string, sent1 string, sent1_date string, score double"
 TAGGED = "text string, timex3 array<struct<value string, rulename string>>, meta_data struct<dct string>"
@@ -28,11 +32,24 @@ def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("multiLine", is_json_array(spark, path)).json(path)
 
 
+def read_items(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON array, or one object a line, with item_id: the object's place, from 0, in the files by path and in each file.
+
+    A block of a file is read by one task in the file's order, so (path, block, number in the task) is an order over all objects.
+    Equal objects stay apart.
+    """
+    from ..operators.benchmarks import positions
+
+    rows = read_json(spark, path, schema)
+    own = rows.columns
+    rows = rows.select(F.struct(*own).alias("item"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return positions(rows, ["path", "block", "row"]).select(F.col("position").alias("item_id"), "item.*")
+
+
 def read_benchmark(spark: SparkSession, path: str) -> DataFrame:
-    """Flat candidates: item_id, question, idx, paragraph, is_gold, split, reference_date."""
-    items = read_json(spark, path, BENCHMARK)
-    item = F.xxhash64("question", F.array_join("paragraphs", "\x1f")).alias("item_id")
-    flat = items.select(item, "question", "answer", "split", "reference_date", F.posexplode("paragraphs").alias("idx", "paragraph"))
+    """Flat candidates: item_id (the item's place), question, idx, paragraph, is_gold, split, reference_date."""
+    items = read_items(spark, path, BENCHMARK)
+    flat = items.select("item_id", "question", "answer", "split", "reference_date", F.posexplode("paragraphs").alias("idx", "paragraph"))
     return flat.select("item_id", "question", "idx", "paragraph", F.coalesce(F.array_contains("answer", F.col("idx")), F.lit(False)).alias("is_gold"), "split", "reference_date")
 
 
@@ -70,8 +87,8 @@ def cache_path(root: str, benchmark: str, engine: str, model: str) -> str:
     return f"{root}/benchmark={benchmark.removesuffix('-full')}/engine={engine}/model={re.sub(r'[^A-Za-z0-9._-]+', '_', model)}"
 
 
-def write_cache(scores: DataFrame, path: str) -> None:
-    scores.select("question", "paragraph", F.col("score").cast("double").alias("score")).write.mode("overwrite").parquet(path)
+def write_cache(scores: DataFrame, path: str, mode: str = "overwrite") -> None:
+    scores.select("question", "paragraph", F.col("score").cast("double").alias("score")).write.mode(mode).parquet(path)
 
 
 def read_cache(spark: SparkSession, path: str, strict: bool = False) -> DataFrame | None:
@@ -89,13 +106,28 @@ def read_cache(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return None
 
 
-def cached_scores(spark: SparkSession, path: str, pairs: DataFrame, compute, parent: str | None = None) -> DataFrame:
-    """Scores of pairs from the cache or its parent if either covers them, else computed and written."""
-    from ..operators.fusion import covers
-
-    for place in filter(None, (path, parent)):
-        found = read_cache(spark, place)
-        if found is not None and covers(pairs, found, ["question", "paragraph"]):
-            return found.join(pairs, ["question", "paragraph"], "left_semi")
-    write_cache(compute(pairs), path)
-    return read_cache(spark, path, strict=True)
+def cached_scores(spark: SparkSession, path: str, pairs: DataFrame, compute: Callable[[DataFrame], DataFrame], parent: str | None = None) -> DataFrame:
+    """Scores of pairs (question, paragraph): the cache's, else the parent's, else computed.
+
+    Only pairs that neither holds are computed, and are appended to the cache as a new part. Where parts of a cache repeat
+    a pair its largest score counts, so writers that overlap do no harm. A pair for which `compute` returns nothing has no score.
+    """
+    keys = ["question", "paragraph"]
+    asked = cut(pairs.select(*keys).distinct())
+
+    def held(place: str | None, among: DataFrame) -> DataFrame | None:
+        found = read_cache(spark, place) if place else None
+        return None if found is None else found.join(among, keys, "left_semi").groupBy(*keys).agg(F.max("score").alias("score"))
+
+    own, told = held(path, asked), []
+    rest = asked if own is None else asked.join(own, keys, "left_anti")
+    inherited = held(parent, rest)
+    if inherited is not None:
+        told.append(cut(inherited))
+        rest = rest.join(told[0], keys, "left_anti")
+    rest = cut(rest)
+    if not rest.isEmpty():
+        write_cache(compute(rest), path, "append")
+    own = held(path, asked)
+    told = told if own is None else [own, *told]
+    return reduce(DataFrame.unionByName, told) if told else asked.withColumn("score", F.lit(None).cast("double")).where("false")

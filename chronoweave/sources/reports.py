@@ -52,7 +52,7 @@ def filter_rows(rows: DataFrame, benchmarks: list[str] | None = None, run_types:
 def axis(values: list[float]) -> tuple[float, float]:
     """Limits of a curve's axis: the range and a margin, within 0 and 1."""
     low, high = min(values), max(values)
-    margin = max(0.08 * (high - low), 0.02)
+    margin = max(0.08 * (high - low), 0.02) if high > low else 0.05
     return max(0.0, low - margin), min(1.0, high + margin)
 
 

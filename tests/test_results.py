@@ -53,8 +53,8 @@ def test_builders(spark):
 def test_negatives(spark):
     rows = [(1, "red car", "a red car", True), (1, "red car", "blue sky", False), (2, "tall tree", "the tall tree", True), (2, "tall tree", "red leaf", False)]
     items = spark.createDataFrame(rows, "item_id int, question string, paragraph string, is_gold boolean")
-    got = building.with_negatives(items, 1).collect()
-    assert {(r["item_id"], r["paragraph"]): r["is_gold"] for r in got} == {(1, "a red car"): True, (1, "red leaf"): False, (2, "the tall tree"): True}
+    got = building.with_negatives(items, 1).collect()  # a word in half of the texts weighs 0, so all others tie
+    assert {(r["item_id"], r["paragraph"]): r["is_gold"] for r in got} == {(1, "a red car"): True, (1, "blue sky"): False, (2, "the tall tree"): True, (2, "a red car"): False}
     whole = building.with_negatives(items, -1).collect()
     assert len(whole) == 2 * 5 and sum(r["is_gold"] for r in whole) == 2 and sorted(r["idx"] for r in whole if r["item_id"] == 1) == [0, 1, 2, 3, 4]
     assert building.with_negatives(items, 0) is items
