@@ -6,7 +6,7 @@ chain adds a weight for each pair of neighbouring marks. The most likely marks a
 document whose words stand in content lines for LEAST_CONTENT or more is kept, if the plain rules (50 words, repetition) don't fail it.
 
 Labels are of documents, not lines, so training starts with every line marked as its document is and on its own, and goes on with the lines of
-bad documents decoded anew, as long as they leave the document bad; only then are the weights of neighbouring marks learned. The fit takes a bounded sample of labelled documents
+bad documents decoded anew, as long as one of them is boilerplate; only then are the weights of neighbouring marks learned. The fit takes a bounded sample of labelled documents
 (DOCUMENTS of each label, by the hash of the id, none of more than SAMPLE_LINES lines); everything else covers whole texts.
 
 Null and empty texts have no words: all counts are zero and the rules fail them. A text's lines are told apart by '\\n' alone. Null ids stay. Repeated rows
@@ -208,14 +208,14 @@ def fit_chain(rows: list[np.ndarray], bad: np.ndarray, passes: int = 3, rounds:
         for step in range(1, rounds + 1):
             _, grad, steps = log_likelihood(chain, features, marks, length)
             both = np.concatenate([grad, steps.ravel()]) - l2 * np.concatenate([chain.weights, chain.steps.ravel()])
-            m, v = 0.9 * m + 0.1 * both, 0.999 * v + 0.001 * both**2
             both[N_FEATURES:] *= k > 0  # marks that are a document's can't tell how marks follow each other
+            m, v = 0.9 * m + 0.1 * both, 0.999 * v + 0.001 * both**2
             move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
             chain = Chain(chain.weights + move[:N_FEATURES], chain.steps + move[N_FEATURES:].reshape(2, 2))
         doc = np.repeat(np.arange(len(rows)), length)
         new = np.zeros_like(marks)
         new[mask] = viterbi(chain.weights[features[mask]].sum(axis=1), chain.steps, doc)
-        stays = bad & (new.sum(axis=1) > 0.5 * length)
+        stays = bad & new.any(axis=1)
         marks[stays] = new[stays]
     return chain
 
