@@ -9,7 +9,7 @@ A pair's two ids are its parents: the phrase without its last word and the one w
 counts of all its beginnings and ends, which are the parts of its cuts; and a phrase lies inside longer candidates
 if it lies inside one that is one word longer, so its children alone decide whether it is dropped.
 
-Each Arrow batch of texts is a chunk: it holds its texts as ids of its own, packed, and asks with one row for each distinct
+Texts are dealt with by chunks of some millions of characters: a chunk holds its texts as ids of its own, packed, and asks with one row for each distinct
 word or pair, counted, so a frequent phrase is a row for each chunk. Names go back to the chunks by a join. Where the frequent ones
 are few enough (counted) their table is broadcast, else both sides are shuffled; results are the same.
 
@@ -33,6 +33,8 @@ from .common import Tables, batch_bytes, shuffle_parts, text_of, trim
 
 BREAKS = bytes.maketrans(b",;:!?\n\x0b\x0c\r", b"." * 9)
 MIN_COUNT, MAX_WORDS, COVERED, TOP, SCALE = 10, 3, 50, 2000, 1_000_000
+#: Characters of a chunk, one text at least.
+CHUNK_CHARS = 3_000_000
 #: Named rows that may be broadcast, with both ids and the name 24 bytes each as data.
 BROADCAST_NAMES = 1_000_000
 
@@ -53,29 +55,39 @@ def _words(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
     """chunk, seq (words by place in the chunk's own list, from 1; 0 between pieces), left (language), right (word), n: a row a chunk."""
     batch_bytes(docs.sparkSession)
 
+    def pack(chunk: int, texts: dict[str, list[bytes]]) -> pa.RecordBatch:
+        seq, langs, words, counts, base = [], [], [], [], 0
+        for lang, own in texts.items():
+            tokens = b"\n".join([*own, b""]).lower().translate(BREAKS).replace(b".", b" . ").split()
+            places = {w: i for i, w in enumerate(dict.fromkeys([b".", *tokens]))}
+            at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
+            n = np.bincount(at, minlength=len(places))[1:]
+            seq.append(np.where(at > 0, at + base, 0))
+            base += len(n)
+            langs += [lang] * len(n)
+            words += list(places)[1:]
+            counts.append(n)
+        return pa.RecordBatch.from_arrays(
+            [pa.array([chunk], pa.int64()), pa.array([_pack(np.concatenate(seq))], pa.binary()), _whole(pa.array(langs, pa.string())), _whole(pa.array(words, pa.string())), _whole(pa.array(np.concatenate(counts), pa.int64()))],
+            ["chunk", "seq", "left", "right", "n"],
+        )
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for k, x in enumerate(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        for x in batches:
             texts: dict[str, list[bytes]] = {}
+            size = 0
             for lang, t in zip(x.column("lang").to_pylist(), x.column("text").to_pylist(), strict=True):
                 texts.setdefault(lang, []).append(t.encode())
-            seq, langs, words, counts, base = [], [], [], [], 0
-            for lang, own in texts.items():
-                tokens = b"\n".join([*own, b""]).lower().translate(BREAKS).replace(b".", b" . ").split()
-                places = {w: i for i, w in enumerate(dict.fromkeys([b".", *tokens]))}
-                at = np.fromiter(map(places.__getitem__, tokens), np.int64, len(tokens))
-                n = np.bincount(at, minlength=len(places))[1:]
-                seq.append(np.where(at > 0, at + base, 0))
-                base += len(n)
-                langs += [lang] * len(n)
-                words += list(places)[1:]
-                counts.append(n)
-            chunk = TaskContext.get().partitionId() << 32 | k
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([chunk], pa.int64()), pa.array([_pack(np.concatenate(seq))], pa.binary()), _whole(pa.array(langs, pa.string())), _whole(pa.array(words, pa.string())), _whole(pa.array(np.concatenate(counts), pa.int64()))],
-                ["chunk", "seq", "left", "right", "n"],
-            )
-            del tokens, places, at, n, seq, langs, words, counts, texts
-            trim()
+                size += len(t)
+                if size > CHUNK_CHARS:
+                    yield pack(chunk, texts)
+                    trim()
+                    chunk, texts, size = chunk + 1, {}, 0
+            if texts:
+                yield pack(chunk, texts)
+                trim()
+                chunk += 1
 
     rows = docs.select(F.coalesce(docs[lang_col], F.lit("und")).alias("lang"), text_of(docs[text_col]).alias("text")).where("text != ''")
     return rows.mapInArrow(run, "chunk bigint, seq binary, left array<string>, right array<string>, n array<bigint>")
