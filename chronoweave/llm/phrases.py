@@ -101,7 +101,9 @@ def _asked(level: DataFrame) -> DataFrame:
 def _named(level: DataFrame, min_count: int) -> DataFrame:
     """id, left, right, f of the pairs that the corpus holds min_count times or more."""
     f = _asked(level).groupBy("left", "right").agg(F.sum("n").alias("f")).where(F.col("f") >= min_count)
-    return f.select(F.monotonically_increasing_id().alias("id"), "left", "right", "f")
+    numbered = f.select(F.monotonically_increasing_id().alias("m"), "left", "right", "f")
+    parts, at = shuffle_parts(level.sparkSession), F.shiftright("m", 33)  # partitions are that many at most, so ids stay near the number of names
+    return numbered.select(((F.col("m") - F.shiftleft(at, 33)) * parts + at).alias("id"), "left", "right", "f")
 
 
 def _pairs(level: DataFrame, named: DataFrame) -> DataFrame:
