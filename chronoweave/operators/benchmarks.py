@@ -46,6 +46,46 @@ def shared_corpus(docs: DataFrame, positives: DataFrame, text: str = "text") ->
     return docs.select(text).union(positives.select(text)).distinct()
 
 
+def gold_index(docs: DataFrame, positives: DataFrame, key: str, text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The corpus that all queries share, (text, position), and for each query its gold ones: key, gold (ascending positions).
+
+    docs (text), positives (key, text). No query holds a copy of the corpus: a candidate is gold if its position is in the query's array.
+    """
+    corpus = positions(shared_corpus(docs, positives, text), [text])
+    gold = positives.select(key, text).distinct().join(corpus, text).groupBy(key).agg(F.array_sort(F.collect_list("position")).alias("gold"))
+    return corpus, gold
+
+
+def uniform_others(own: DataFrame, texts: DataFrame, take: int, seed: int = 42) -> DataFrame:
+    """qid, text, pick: for each question `take` distinct texts at random that aren't its own, all others if they are fewer.
+
+    own (qid, text): a row at least for each question, text null where it has none. Places are drawn in the numbered corpus by a
+    seeded hash of question and draw, and drawn again where they are own or taken, so no question meets all texts.
+    """
+    corpus = positions(texts.select("text").where("text IS NOT NULL").distinct(), ["text"])
+    n = corpus.count()
+    mine = cut(own.join(corpus, "text", "left").select("qid", "position").distinct())
+    asked = mine.groupBy("qid").agg(F.count("position").alias("mine"))
+    asked = cut(asked.withColumn("want", F.least(F.lit(take).cast("bigint"), F.lit(n) - F.col("mine"))).where("want > 0"))
+    got, first, draws = None, 0, 2 * take + 6
+    while True:
+        have = asked.withColumn("have", F.lit(0).cast("bigint")) if got is None else asked.join(got.groupBy("qid").agg(F.count("*").alias("have")), "qid", "left").fillna(0, ["have"])
+        short = have.where("have < want")
+        if short.isEmpty():
+            break
+        draw = F.explode(F.sequence(F.lit(first), F.lit(first + draws - 1)))
+        drawn = short.select("qid", "want", "have", draw.alias("draw"))
+        u = uniform(seed, F.col("qid"), F.col("draw")) + uniform(seed + 1, F.col("qid"), F.col("draw")) / 4294967296.0
+        drawn = drawn.withColumn("position", F.least(F.floor(u * n), F.lit(n - 1))).groupBy("qid", "want", "have", "position").agg(F.min("draw").alias("draw"))
+        drawn = drawn.join(mine.where("position IS NOT NULL"), ["qid", "position"], "left_anti")
+        drawn = drawn if got is None else drawn.join(got, ["qid", "position"], "left_anti")
+        drawn = drawn.withColumn("pick", F.col("have") + F.row_number().over(W.partitionBy("qid").orderBy("draw"))).where("pick <= want").select("qid", "position", "pick")
+        got = cut(drawn if got is None else got.unionByName(drawn))
+        first, draws = first + draws, 2 * draws
+    empty = asked.select("qid", F.lit(0).cast("bigint").alias("position"), F.lit(0).cast("bigint").alias("pick")).where("false")
+    return (empty if got is None else got).join(corpus, "position").select("qid", "text", "pick")
+
+
 def evidence(*columns: str) -> Column:
     return F.filter(F.array(*columns), lambda x: x.isNotNull() & (x != ""))
 
@@ -88,7 +128,8 @@ def nearest_dated(questions: DataFrame, candidates: DataFrame, pool: int = 20, t
     """Hard negatives: of the `pool` candidate texts nearest in months to the question's date, a seeded `take`.
 
     questions (qid, question, gold); candidates (text). Texts of the gold's month, and the gold, are left out. Ranks run on
-    distinct months, which are few, and only the nearest months' texts are joined.
+    distinct months, which are few, and only the nearest months' texts are joined. A question without a date takes its texts from all of them at random,
+    the gold left out; its ranks are null.
     """
     dated = candidates.select("text", month_year_index(F.col("text")).alias("m")).where("m IS NOT NULL").distinct()
     q = questions.select("qid", "gold", month_year_index(F.col("question")).alias("qm"), month_year_index(F.col("gold")).alias("gm")).where("qm IS NOT NULL")
@@ -100,7 +141,10 @@ def nearest_dated(questions: DataFrame, candidates: DataFrame, pool: int = 20, t
     rows = rows.where(F.col("gold").isNull() | (F.col("text") != F.col("gold")))
     ranked = rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(F.abs(F.col("m") - F.col("qm")), "m", "text"))).where(F.col("rank") <= pool)
     pick = F.row_number().over(W.partitionBy("qid").orderBy(uniform(seed, F.col("qid"), F.col("text")), "text"))
-    return ranked.withColumn("pick", pick).where(F.col("pick") <= take).select("qid", "text", "rank", "pick")
+    nearest = ranked.withColumn("pick", pick).where(F.col("pick") <= take).select("qid", "text", "rank", "pick")
+    undated = questions.where(month_year_index(F.col("question")).isNull()).select("qid", F.col("gold").alias("text"))
+    others = uniform_others(undated, candidates, take, seed).select("qid", "text", F.lit(None).cast("int").alias("rank"), F.col("pick").cast("int").alias("pick"))
+    return nearest.unionByName(others)
 
 
 def top_negatives(scores: DataFrame, positives: DataFrame, n: int) -> DataFrame:

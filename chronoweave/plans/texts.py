@@ -309,6 +309,32 @@ def hard_negatives_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("qid", "text", F.col("rank").cast("bigint").alias("rank"))
 
 
+_PLACE_SQL = f"least(floor(({_u_sql(42, 'qid::VARCHAR', 'draw::VARCHAR')} + {_u_sql(43, 'qid::VARCHAR', 'draw::VARCHAR')} / 4294967296.0::DOUBLE) * (SELECT count(*) FROM c))::BIGINT, (SELECT count(*) FROM c) - 1)"
+
+
+@query(f"""WITH c AS (SELECT t, m, row_number() OVER (ORDER BY t) - 1 AS pos FROM (SELECT DISTINCT strftime(o_orderdate, '%b, %Y') AS t, year(o_orderdate) * 12 + month(o_orderdate) AS m FROM orders)),
+q AS (SELECT o_orderkey AS qid, strftime(o_orderdate, '%b, %Y') AS gold, year(o_orderdate) * 12 + month(o_orderdate) AS m, o_orderkey % 7 > 0 AS dated FROM orders),
+r AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY abs(c.m - q.m), c.m, t) AS rank FROM q JOIN c ON c.m <> q.m WHERE dated),
+p AS (SELECT qid, t, row_number() OVER (PARTITION BY qid ORDER BY {_u_sql(42, 'qid::VARCHAR', 't')}, t) AS pick FROM r WHERE rank <= 20),
+d AS (SELECT qid, pos, min(draw) AS draw FROM (SELECT qid, draw, {_PLACE_SQL} AS pos FROM q, range(0, 16) x(draw) WHERE NOT dated) GROUP BY ALL),
+u AS (SELECT d.qid, c.t, row_number() OVER (PARTITION BY d.qid ORDER BY draw) AS pick FROM d JOIN c USING (pos) JOIN q ON q.qid = d.qid WHERE c.t <> q.gold)
+SELECT qid, t AS text, pick::BIGINT AS pick FROM p WHERE pick <= 5 UNION ALL SELECT qid, t, pick::BIGINT FROM u WHERE pick <= 5""")
+def hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five of the twenty nearest months for each order, or of all months for orders whose question has no date."""
+    t = F.date_format("o_orderdate", "MMM, yyyy")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("qid"), F.when(F.col("o_orderkey") % 7 > 0, t).otherwise("some day").alias("question"), t.alias("gold"))
+    return benchmarks.nearest_dated(o, o.select(F.col("gold").alias("text"))).select("qid", "text", F.col("pick").cast("bigint").alias("pick"))
+
+
+@query("""WITH c AS (SELECT text, row_number() OVER (ORDER BY text) - 1 AS pos FROM (SELECT text FROM documents UNION SELECT text FROM conversations) WHERE text IS NOT NULL)
+SELECT conv_id, string_agg(pos::VARCHAR, ',' ORDER BY pos) AS gold FROM (SELECT DISTINCT conv_id, pos FROM conversations JOIN c USING (text)) GROUP BY conv_id""")
+def corpus_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as queries whose turns are gold in a corpus of all documents and turns."""
+    docs, turns = (table(spark, sf_dir, t).where("text IS NOT NULL") for t in ("documents", "conversations"))
+    _, gold = benchmarks.gold_index(docs, turns, "conv_id")
+    return gold.select("conv_id", F.array_join(F.transform("gold", lambda g: g.cast("string")), ",").alias("gold"))
+
+
 @query("SELECT n_nationkey, count(*)::BIGINT AS n_negatives FROM nation JOIN (SELECT DISTINCT n_name AS other FROM nation) ON other <> n_name GROUP BY 1")
 def negatives_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every nation's question against all other nations' texts: the corpus is a fixed table of 25."""

@@ -8,11 +8,12 @@ from __future__ import annotations
 import json
 import math
 import re
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where a benchmark's items are under a root, by name; other names are paths themselves.
+# The names of benchmarks, whose items are under a root; other names are paths themselves.
 BENCHMARKS = (
     "time_sensitive_qa", "menat_qa", "menat_qa_granularity", "menat_qa_counterfactual", "menat_qa_expand", "menat_qa_narrow", "ts_retriever", "temp_reason_l1",
     "temp_reason_l2", "temp_reason", "chronoqa", "temp_rag_eval",
@@ -32,6 +33,7 @@ def number(x: float | None, places: int = 4) -> str:
     return f"{x:.{places}f}" if x is not None and math.isfinite(x) else "-"
 
 
+# How p-values are shown, and the limits and marks of significance.
 def p_text(p: float | None) -> str:
     if p is None or not math.isfinite(p):
         return "-"
@@ -46,16 +48,13 @@ def stars(p: float | None) -> str:
 
 
 def rate_text(rows: int, seconds: float) -> str:
-    if seconds <= 0:
-        return "n/a"
-    r = rows / seconds
-    return f"{r / 1e6:.2f}M rows/s" if r >= 1e6 else f"{r / 1e3:.1f}k rows/s" if r >= 1e3 else f"{r:.0f} rows/s"
+    """Rows a second, with thousands apart; "-" where no time has passed."""
+    return f"{rows / seconds:,.0f} rows/s" if seconds > 0 else "-"
 
 
 def duration_text(seconds: float) -> str:
-    minutes, s = divmod(max(0, int(seconds)), 60)
-    h, m = divmod(minutes, 60)
-    return f"{h}h{m:02d}m{s:02d}s" if h else f"{m}m{s:02d}s" if m else f"{s}s"
+    """Hours, minutes and seconds as Python shows them."""
+    return str(timedelta(seconds=max(0, round(seconds))))
 
 
 def _place(spark: SparkSession, path: str):

@@ -146,3 +146,29 @@ def test_multiset_overlap(spark):
     rows = [([str(x) for x in rng.integers(0, 5, rng.integers(0, 9))], [str(x) for x in rng.integers(0, 5, rng.integers(0, 9))]) for _ in range(200)]
     got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", qa._overlap(F.col("a"), F.col("b")).alias("n")).collect()
     assert all(r["n"] == sum((Counter(r["a"]) & Counter(r["b"])).values()) for r in got)
+
+
+def test_random_negatives_are_complete(spark):
+    from chronoweave.operators import benchmarks
+
+    texts = spark.createDataFrame([(f"t{i}",) for i in range(12)] + [("t1",), (None,)], "text string")
+    own = {q: {f"t{(q + k) % 14}" for k in range(q % 9)} for q in range(40)}
+    rows = spark.createDataFrame([(q, t) for q, ts in own.items() for t in ts or [None]], "qid int, text string")
+    got = benchmarks.uniform_others(rows, texts, 5).collect()
+    for q, ts in own.items():
+        mine = [r["text"] for r in got if r["qid"] == q]
+        assert len(mine) == len(set(mine)) == min(5, 12 - len({t for t in ts if int(t[1:]) < 12})) and not ts & set(mine)
+    assert sorted(map(tuple, benchmarks.uniform_others(rows.repartition(3), texts, 5).collect())) == sorted(map(tuple, got))
+    drawn = Counter(r["text"] for r in benchmarks.uniform_others(spark.range(1200).select(F.col("id").alias("qid"), F.lit("t0").alias("text")), texts, 3).collect())
+    assert "t0" not in drawn and len(drawn) == 11 and max(drawn.values()) < 1.3 * min(drawn.values())
+
+
+def test_entry_without_the_corpus_operators(monkeypatch):
+    import importlib.util
+
+    import __spark_entry__ as entry
+
+    assert len(entry._llm()[0]) == 14 or importlib.util.find_spec("chronoweave.llm") is None
+    found = importlib.util.find_spec
+    monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("chronoweave.llm", "corpus_pipeline")) else found(name, *a))
+    assert entry._llm() == ({}, {}) and "ground_any" in entry.queries()

@@ -12,8 +12,8 @@ from chronoweave.sources import files, results
 
 
 def test_small_formats(spark, tmp_path):
-    assert [results.rate_text(n, 2) for n in (4_000_000, 5_000, 10)] == ["2.00M rows/s", "2.5k rows/s", "5 rows/s"] and results.rate_text(1, 0) == "n/a"
-    assert [results.duration_text(s) for s in (3725, 65, 5.9, -1)] == ["1h02m05s", "1m05s", "5s", "0s"]
+    assert [results.rate_text(n, 2) for n in (4_000_000, 5_000, 10)] == ["2,000,000 rows/s", "2,500 rows/s", "5 rows/s"] and results.rate_text(1, 0) == "-"
+    assert [results.duration_text(s) for s in (3725, 65, 5.9, -1)] == ["1:02:05", "0:01:05", "0:00:06", "0:00:00"]
     assert [results.p_text(p) for p in (0.0, 1e-5, 0.04, None)] == ["0", "1.000e-05", "0.04", "-"] and [results.stars(p) for p in (1e-4, 0.004, 0.04, 0.4, None)] == ["***", "**", "*", "ns", "n/a"]
     assert results.slug("hybrid: a/b @0.5") == "hybrid_a_b_0.5" and results.slug("//") == "run"
     assert results.benchmark_path("r/", "menat_qa") == "r/menat_qa" and results.benchmark_path("r", "x/y.json") == "x/y.json"
