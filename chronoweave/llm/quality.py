@@ -28,7 +28,7 @@ from .common import batch_bytes, cut, text_of
 
 SYMBOLS, SPACES = b"#*$%&|<>", b" \t\n\x0b\x0c\r"
 LEAST_WORDS, MOST_REPEATED, LEAST_CONTENT = 50, 50, 0.5
-DOCUMENTS, SAMPLE_LINES = 3_000, 2_000
+DOCUMENTS, SAMPLE_LINES = 3_000, 256
 #: Where the ranges of a feature begin, but for the first.
 SHARES = (0.005, 0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.75)
 RANGES = (SHARES, SHARES, SHARES, SHARES, SHARES, (2, 4, 8, 16, 32, 64, 128), (2, 3, 4, 5, 6, 8, 10, 14), (0.5,), (0.5,))
