@@ -159,10 +159,12 @@ def viterbi(scores: np.ndarray, steps: np.ndarray, doc: np.ndarray) -> np.ndarra
 
 
 def log_likelihood(chain: Chain, features: np.ndarray, marks: np.ndarray, length: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-    """Of chains padded to one length, longest first, and its gradients: features (chains, places, groups), marks (chains, places), length."""
+    """Of chains padded to one length, longest first, and its gradients: features (lines of one chain after the other, groups), marks (chains, places), length."""
     n, most = marks.shape
     live = [int((length > t).sum()) for t in range(most)]
-    score = chain.weights[features].sum(axis=2)
+    mask = np.arange(most)[None] < length[:, None]
+    score = np.zeros((n, most))
+    score[mask] = chain.weights[features].sum(axis=1)
     unary = np.stack([np.zeros_like(score), score], axis=2)
     ahead, behind = np.zeros((n, most, 2)), np.zeros((n, most, 2))
     ahead[:, 0] = unary[:, 0]
@@ -174,17 +176,17 @@ def log_likelihood(chain: Chain, features: np.ndarray, marks: np.ndarray, length
         on = unary[:k, t + 1] + behind[:k, t + 1]
         behind[:k, t] = np.logaddexp(on[:, :1] + chain.steps[:, 0], on[:, 1:] + chain.steps[:, 1])
     log_z = np.logaddexp(*(ahead[np.arange(n), length - 1]).T)
-    mask = np.arange(most)[None] < length[:, None]
-    sure = np.where(mask, np.exp(ahead[:, :, 1] + behind[:, :, 1] - log_z[:, None]), 0.0)
-    grad = np.bincount(features[mask].ravel(), weights=np.repeat((marks - sure)[mask], features.shape[2]), minlength=len(chain.weights))
+    own = np.broadcast_to(log_z[:, None], mask.shape)
+    sure = np.exp(ahead[:, :, 1][mask] + behind[:, :, 1][mask] - own[mask])
+    grad = np.bincount(features.ravel(), weights=np.repeat(marks[mask] - sure, features.shape[1]), minlength=len(chain.weights))
     value = float((score * marks)[mask].sum() - log_z.sum())
     step_grad = np.zeros((2, 2))
     pairs = mask[:, 1:]
     for i in (0, 1):
         for j in (0, 1):
-            p = np.exp(ahead[:, :-1, i] + chain.steps[i, j] + unary[:, 1:, j] + behind[:, 1:, j] - log_z[:, None])
+            p = np.exp(ahead[:, :-1, i][pairs] + chain.steps[i, j] + unary[:, 1:, j][pairs] + behind[:, 1:, j][pairs] - own[:, 1:][pairs])
             seen = ((marks[:, :-1] == i) & (marks[:, 1:] == j))[pairs].sum()
-            step_grad[i, j] = seen - p[pairs].sum()
+            step_grad[i, j] = seen - p.sum()
             value += float(seen * chain.steps[i, j])
     return value, grad, step_grad
 
@@ -197,9 +199,7 @@ def fit_chain(rows: list[np.ndarray], bad: np.ndarray, passes: int = 3, rounds:
     most = int(length.max(initial=0))
     if not most or bad.all() or not bad.any():
         return chain
-    features = np.zeros((len(rows), most, len(RANGES)), np.int32)
-    for i, r in enumerate(rows):
-        features[i, : len(r)] = r
+    features = np.concatenate(rows)
     mask = np.arange(most)[None] < length[:, None]
     marks = np.where(mask, bad[:, None], 0).astype(np.int8)
     size = N_FEATURES + 4
@@ -214,7 +214,7 @@ def fit_chain(rows: list[np.ndarray], bad: np.ndarray, passes: int = 3, rounds:
             chain = Chain(chain.weights + move[:N_FEATURES], chain.steps + move[N_FEATURES:].reshape(2, 2))
         doc = np.repeat(np.arange(len(rows)), length)
         new = np.zeros_like(marks)
-        new[mask] = viterbi(chain.weights[features[mask]].sum(axis=1), chain.steps, doc)
+        new[mask] = viterbi(chain.weights[features].sum(axis=1), chain.steps, doc)
         stays = bad & new.any(axis=1)
         marks[stays] = new[stays]
     return chain

@@ -184,7 +184,8 @@ def test_viterbi_and_likelihood_match_all_paths():
     def value(c):
         return sum(score(c, i, marks[i, :n]) - np.log(sum(np.exp(score(c, i, p)) for p in itertools.product((0, 1), repeat=int(n)))) for i, n in enumerate(length))
 
-    got, grad, steps = quality.log_likelihood(chain, features, marks, length)
+    flat = np.concatenate([features[i, :n] for i, n in enumerate(length)])
+    got, grad, steps = quality.log_likelihood(chain, flat, marks, length)
     assert abs(got - value(chain)) < 1e-9
     for k in rng.choice(quality.N_FEATURES, 8, replace=False):
         up = quality.Chain(chain.weights + 1e-5 * (np.arange(quality.N_FEATURES) == k), chain.steps)
@@ -193,7 +194,6 @@ def test_viterbi_and_likelihood_match_all_paths():
         moved = chain.steps.copy()
         moved[i, j] += 1e-5
         assert abs((value(quality.Chain(chain.weights, moved)) - got) / 1e-5 - steps[i, j]) < 1e-3
-    flat = np.concatenate([features[i, :n] for i, n in enumerate(length)])
     path = quality.viterbi(chain.weights[flat].sum(axis=1), chain.steps, np.repeat(np.arange(4), length))
     best = [max(itertools.product((0, 1), repeat=int(n)), key=lambda p: score(chain, i, p)) for i, n in enumerate(length)]  # noqa: B023
     assert path.tolist() == [m for p in best for m in p]
