@@ -19,10 +19,10 @@ from .ranking import value_ranks
 
 # Shares of date, offset, reference and interval among partner expressions.
 KINDS = (0.30, 0.04, 0.01, 0.65)
-#: Shares of decade, year, month and day among dates.
-GRAINS = (0.25, 0.25, 0.25, 0.25)
-# The same among close ones that aren't days.
-CLOSE_GRAINS = (0.1, 0.3, 0.3, 0.3)
+# Shares of decade, year, month and day among dates.
+GRAINS = (0.1, 0.3, 0.3, 0.3)
+# Shortest and longest span in days that an interval's end is drawn from, by the grain of its first date.
+SPANS = ((365, 7300), (365, 7300), (30, 730), (1, 365))
 
 
 def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
@@ -89,19 +89,24 @@ def random_reference(seed: int, key: Column) -> Column:
     return choose(uniform(seed, key, F.lit("ref")), ["PRESENT_REF", "THIS MO", "THIS NI"])
 
 
-def random_interval(seed: int, key: Column) -> Column:
-    """Two dates of one grain, in order, as far apart as the grain allows."""
-    last = F.lit(LAST_DAY).cast("date")
-    a = random_day(uniform(seed, key, F.lit("from")), F.lit(FIRST_DAY).cast("date"), last)
-    u, w = uniform(seed, key, F.lit("igrain")), uniform(seed, key, F.lit("span"))
+def random_interval(seed: int, key: Column, first: Column | None = None, last: Column | None = None, grains: tuple[float, ...] = GRAINS) -> Column:
+    """The first day of a random date, and a random date of any grain from there to the end of a span, which is longer the coarser the first date was; the earlier start stands first."""
+    first, last = first if first is not None else F.lit(FIRST_DAY).cast("date"), last if last is not None else F.lit(LAST_DAY).cast("date")
+    grain, w = uniform(seed, key, F.lit("igrain")), uniform(seed, key, F.lit("span"))
+
+    def begun(day: Column) -> Column:
+        decade = F.make_date(F.year(day) - F.year(day) % 10, F.lit(1), F.lit(1))
+        start = by_share(grain, grains, [decade, F.trunc(day, "year"), F.trunc(day, "month"), day])
+        return F.struct(start.alias("start"), by_share(grain, grains, [(low + F.floor(w * (high - low + 1))).cast("int") for low, high in SPANS]).alias("days"))
 
-    def ending(low: int, high: int) -> Column:
-        return F.least(F.date_add(a, (low + F.floor(w * (high - low))).cast("int")), last)
+    def ended(x: Column) -> Column:
+        second = random_date(seed, F.concat_ws("/", key.cast("string"), F.lit("to")), x["start"], F.least(F.date_add(x["start"], x["days"]), last), grains)
+        return F.struct(F.date_format(x["start"], "yyyy-MM-dd").alias("a"), x["start"].alias("start"), second.alias("b"))
 
-    def pair(form: str, low: int, high: int) -> Column:
-        return F.concat_ws(",", F.date_format(a, form), F.date_format(ending(low, high), form))
+    def ordered(x: Column) -> Column:
+        return F.when(date_bounds(x["b"])["start"] < x["start"], F.concat_ws(",", x["b"], x["a"])).otherwise(F.concat_ws(",", x["a"], x["b"]))
 
-    return F.when(u < 1 / 3, pair("yyyy", 365, 7300)).when(u < 2 / 3, pair("yyyy-MM", 30, 730)).otherwise(pair("yyyy-MM-dd", 1, 365))
+    return let(let(let(random_day(uniform(seed, key, F.lit("from")), first, last), begun), ended), ordered)
 
 
 def random_expression(seed: int, key: Column, shares: tuple[float, ...] = KINDS) -> Column:
@@ -109,28 +114,25 @@ def random_expression(seed: int, key: Column, shares: tuple[float, ...] = KINDS)
 
 
 def close_expressions(rows: DataFrame, e: str, anchor: str, key: str, seed: int = 42) -> DataFrame:
-    """rows with `close`, an expression near e: a date of its year, an interval within its own, a close offset or a reference, or, of these two, the anchor's day; else null.
+    """rows with `close`, an expression near e: a date of its year, an interval drawn from its own days, a close offset or a reference, or, of these two, the anchor's day; else null.
 
     Half of dates and intervals are days, the others of any grain.
     """
     k, value = F.col(key), F.col(e)
     rows = fixed(rows, _own=date_bounds(value), _span=interval_bounds(value), _kind=offset_kind(value), _coin=uniform(seed, k, F.lit("coin")) < 0.5)
-    days, coin, grain = F.datediff("_span.end", "_span.start"), F.col("_coin"), uniform(seed, k, F.lit("igrain"))
-    a, b = (F.date_add("_span.start", F.floor(uniform(seed, k, F.lit(n)) * (days + 1)).cast("int")) for n in ("a", "b"))
+    coin, days_only = F.col("_coin"), (0.0, 0.0, 0.0, 1.0)
     offset = F.when(F.col("_kind").isNotNull() & ~coin, close_offset(seed, k, value))
-    rows = fixed(rows, _first=F.trunc("_own.start", "year"), _last=F.make_date(F.year("_own.start"), F.lit(12), F.lit(31)), _a=F.least(a, b), _b=F.greatest(a, b), _offset=offset)
-
-    def pair(form: str) -> Column:
-        return F.concat_ws(",", F.date_format("_a", form), F.date_format("_b", form))
-
-    date = F.when(coin, random_date(seed, k, F.col("_first"), F.col("_last"), (0.0, 0.0, 0.0, 1.0))).otherwise(random_date(seed, k, F.col("_first"), F.col("_last"), CLOSE_GRAINS))
-    interval = F.when(coin | (grain >= 2 / 3), pair("yyyy-MM-dd")).when(grain < 1 / 3, pair("yyyy")).otherwise(pair("yyyy-MM"))
+    rows = fixed(rows, _first=F.trunc("_own.start", "year"), _last=F.make_date(F.year("_own.start"), F.lit(12), F.lit(31)), _offset=offset)
+    date, interval = (
+        F.when(coin, draw(seed, k, F.col(a), F.col(b), days_only)).otherwise(draw(seed, k, F.col(a), F.col(b)))
+        for draw, a, b in ((random_date, "_first", "_last"), (random_interval, "_span.start", "_span.end"))
+    )
     day = F.date_format(anchor, "yyyy-MM-dd")
     made = (
-        F.when(F.col("_own").isNotNull(), date).when(F.col("_a").isNotNull() & (days >= 0), interval)
+        F.when(F.col("_own").isNotNull(), date).when(F.col("_span.start") <= F.col("_span.end"), interval)
         .when(F.col("_kind").isNotNull(), F.when(coin, day).otherwise(F.col("_offset"))).when(is_reference(value), F.when(coin, random_reference(seed, k)).otherwise(day))
     )
-    return fixed(rows, close=made).drop("_own", "_span", "_kind", "_coin", "_first", "_last", "_a", "_b", "_offset")
+    return fixed(rows, close=made).drop("_own", "_span", "_kind", "_coin", "_first", "_last", "_offset")
 
 
 def own_days(e: Column, anchor: Column) -> Column:

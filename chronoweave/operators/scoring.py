@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import gaussian, text
 from ..functions.temporal import day_interval, ground
 
+# Fixed value: the anchor of texts that have no reference date.
+DEFAULT_DATE = "2021-11-09"
+
 
 def candidate_pairs(items: DataFrame, question: str = "question", paragraph: str = "paragraph") -> DataFrame:
     """Each question with the union of its items' paragraphs, once each."""
@@ -134,8 +137,52 @@ def encode_texts(texts: DataFrame, text_col: str, encoder: Callable[[list[str]],
     return rows.mapInPandas(run, "text string, embedding array<float>")
 
 
+def text_id(role: str, t: Column) -> Column:
+    """Stands for a text in joins: 32 bytes, however long the text."""
+    return F.unhex(F.sha2(F.concat(F.lit(f"{role}:"), t), 256))
+
+
+def anchored_texts(items: DataFrame, default: str = DEFAULT_DATE) -> tuple[DataFrame, DataFrame]:
+    """The distinct questions and the distinct paragraphs to encode: id, text, anchor (date) each.
+
+    items (item_id, question, paragraph, reference_date), as `files.read_benchmark` gives them. A question's anchor is the
+    reference date of its first item; the default stands for dates that are missing or no dates, and for all
+    paragraphs. Null texts are left out; a text that is both is encoded in either role.
+    """
+    day = F.lit(default).cast("date")
+    first = F.min(F.struct("item_id", F.col("reference_date").try_cast("date").alias("d")))
+    asked = items.where("question IS NOT NULL").groupBy(F.col("question").alias("text")).agg(first.alias("first"))
+    told = items.where("paragraph IS NOT NULL").select(F.col("paragraph").alias("text")).distinct()
+    return (
+        asked.select(text_id("question", F.col("text")).alias("id"), "text", F.coalesce("first.d", day).alias("anchor")),
+        told.select(text_id("paragraph", F.col("text")).alias("id"), "text", day.alias("anchor")),
+    )
+
+
+def batch_encoder(model: Callable[[list[str], list[str]], tuple[np.ndarray, np.ndarray]]) -> Callable[[DataFrame], DataFrame]:
+    """An encoder for `temporal_similarity` of any function from texts and their dates (yyyy-mm-dd) to rows of means and deviations."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            mu, std = model(b["text"].tolist(), b["anchor"].tolist())
+            yield pd.DataFrame({"id": b["id"], "mu": list(np.asarray(mu, np.float64)), "std": list(np.asarray(std, np.float64))})
+
+    return lambda texts: texts.select("id", "text", F.date_format("anchor", "yyyy-MM-dd").alias("anchor")).mapInPandas(run, "id binary, mu array<double>, std array<double>")
+
+
+def temporal_similarity(items: DataFrame, encoder: Callable[[DataFrame], DataFrame], default: str = DEFAULT_DATE, temperature: float = gaussian.TEMPERATURE) -> DataFrame:
+    """question, paragraph, score for every distinct pair of items (see `anchored_texts`) without a null side.
+
+    encoder: from (id, text, anchor) to (id, mu, std), a row each. Every distinct text is encoded once, however many pairs it is in; vectors
+    meet the pairs by id, and texts come with the pairs.
+    """
+    asked, told = (encoder(t).select(F.col("id").alias(f"{s}_id"), F.struct("mu", "std").alias(s)) for s, t in zip(("q", "p"), anchored_texts(items, default), strict=True))
+    pairs = candidate_pairs(items).where("question IS NOT NULL AND paragraph IS NOT NULL")
+    both = pairs.withColumns({"q_id": text_id("question", F.col("question")), "p_id": text_id("paragraph", F.col("paragraph"))}).join(asked, "q_id").join(told, "p_id")
+    return both.select("question", "paragraph", gaussian.vector_similarity(F.col("q.mu"), F.col("q.std"), F.col("p.mu"), F.col("p.std"), temperature).alias("score"))
+
+
 #: Engines by name: what each needs and returns is in its docstring.
-ENGINES = {"bm25": bm25, "tagger": tagger_similarity, "semantic": encode_texts, "temporal": encode_temporal}
+ENGINES = {"bm25": bm25, "tagger": tagger_similarity, "semantic": encode_texts, "temporal": temporal_similarity}
 
 
 def engine(name: str) -> Callable:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import cut
 from ..functions import gaussian, temporal
 from ..operators import evaluation, fusion, ranking, scoring
-from .base import CANDIDATES, SCALED, kl_similarity, query, ranked_sql, table
+from .base import CANDIDATES, SCALED, day, kl_similarity, query, ranked_sql, table
 from .temporal import DATED_SQL, _dated_docs, candidates
 
 ALPHAS = tuple(round(i / 10, 1) for i in range(1, 10))
@@ -423,6 +423,30 @@ def head_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.encode_temporal(rows, "embedding", "enc", scoring.TemporalHead.random(64, 32, 48, 16), "vec_id")
 
 
+@query(
+    f"""WITH i AS (SELECT o_orderkey AS item, c_name AS q, p_name AS p, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderdate::DATE END AS d
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey),
+f AS (SELECT q, d FROM (SELECT q, d, row_number() OVER (PARTITION BY q ORDER BY item) AS rn FROM i) WHERE rn = 1), pr AS (SELECT DISTINCT q, p FROM i),
+k AS (SELECT pr.q, p, {day("coalesce(d, DATE '2021-11-09')")}::DOUBLE AS kq, {day("DATE '2021-11-09'")}::DOUBLE AS kp, length(pr.q)::DOUBLE AS lq, length(p)::DOUBLE AS lp FROM pr JOIN f USING (q)),
+x AS (SELECT *, unnest(generate_series(0, 7)) AS j, 0.5 + lq / 20 AS sq, 0.5 + lp / 20 AS sp FROM k), w AS (SELECT *, power(10000.0, 2.0 * (j // 2) / 8) AS r FROM x),
+m AS (SELECT *, lq / 10 + CASE WHEN j % 2 = 0 THEN sin(kq / r) ELSE cos(kq / r) END AS mq, lp / 10 + CASE WHEN j % 2 = 0 THEN sin(kp / r) ELSE cos(kp / r) END AS mp FROM w)
+SELECT q AS question, p AS paragraph, round(1 / (1 + sum(ln(sp / sq) + (sq * sq + (mq - mp) * (mq - mp)) / (2 * sp * sp) - 0.5) / 8) / 0.05, 5) AS score FROM m GROUP BY q, p"""
+)
+def temporal_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers' names, each at the date of its first order (every seventh order has none), against names of parts; the encoder takes date and length."""
+    t = {n: table(spark, sf_dir, n) for n in ("orders", "customer", "lineitem", "part")}
+    rows = t["orders"].join(t["customer"], F.expr("c_custkey = o_custkey")).join(t["lineitem"], F.expr("l_orderkey = o_orderkey")).join(t["part"], F.expr("p_partkey = l_partkey"))
+    dated = F.when(F.col("o_orderkey") % 7 != 0, F.date_format("o_orderdate", "yyyy-MM-dd"))
+    items = rows.select(F.col("o_orderkey").alias("item_id"), F.col("c_name").alias("question"), F.col("p_name").alias("paragraph"), dated.alias("reference_date"))
+
+    def encoder(texts: DataFrame) -> DataFrame:
+        n = F.length("text").cast("double")
+        mu = F.transform(gaussian.date_encoding(F.col("anchor"), 8), lambda x: x + n / 10)
+        return texts.select("id", mu.alias("mu"), F.array_repeat(0.5 + n / 20, 8).alias("std"))
+
+    return scoring.temporal_similarity(items, encoder).withColumn("score", F.round("score", 5))
+
+
 @query(f"SELECT doc_id, (list_min(y) BETWEEN 1985 AND 1990) AS early FROM ({DATED_SQL})")
 def year_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     y = temporal.year_tokens(F.col("text"))

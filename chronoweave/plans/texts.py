@@ -186,8 +186,14 @@ def cosent_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DAY_SQL = f"(DATE '2030-12-31' - floor(376564 * (1 - power(1 - {_u_sql(7, 'o_orderkey::VARCHAR', chr(39) + 'day' + chr(39))}, 1.0::DOUBLE / 3)))::INT)"
 
 
+def _date_sql(d: str, g: str, p: str) -> str:
+    """SQL: the date expression of a day and the draws for its grain and a decade's part."""
+    decade = f"substr(strftime({d}, '%Y'), 1, 3) || '0s' || CASE WHEN {p} < 0.5 THEN '' ELSE {_pick_sql(f'(({p} - 0.5) * 2)', "'-early'", "'-mid'", "'-late'")} END"
+    return f"CASE WHEN {g} < 0.1 THEN {decade} WHEN {g} < 0.4 THEN strftime({d}, '%Y') WHEN {g} < 0.7 THEN strftime({d}, '%Y-%m') ELSE strftime({d}, '%Y-%m-%d') END"
+
+
 @query(f"""WITH x AS (SELECT o_orderkey, {_DAY_SQL} AS d, {_u_sql(7, 'o_orderkey::VARCHAR', "'part'")} AS p, {_u_sql(7, 'o_orderkey::VARCHAR', "'grain'")} AS g FROM orders)
-SELECT o_orderkey, CASE WHEN g < 0.25 THEN substr(strftime(d, '%Y'), 1, 3) || '0s' || CASE WHEN p < 0.5 THEN '' ELSE {_pick_sql('((p - 0.5) * 2)', "'-early'", "'-mid'", "'-late'")} END WHEN g < 0.5 THEN strftime(d, '%Y') WHEN g < 0.75 THEN strftime(d, '%Y-%m') ELSE strftime(d, '%Y-%m-%d') END AS e FROM x""")
+SELECT o_orderkey, {_date_sql('d', 'g', 'p')} AS e FROM x""")
 def gen_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", datagen.random_date(7, F.col("o_orderkey")).alias("e"))
 
@@ -198,9 +204,18 @@ def gen_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", datagen.random_offset(7, F.col("o_orderkey")).alias("e"))
 
 
-@query()
+def _to_u(name: str) -> str:
+    return _u_sql(7, "o_orderkey || '/to'", f"'{name}'")
+
+
+@query(f"""WITH x AS (SELECT o_orderkey, DATE '2030-12-31' - floor(376564 * (1 - power(1 - {_u_sql(7, 'o_orderkey::VARCHAR', "'from'")}, 1.0::DOUBLE / 3)))::INT AS d, {_u_sql(7, 'o_orderkey::VARCHAR', "'igrain'")} AS g, {_u_sql(7, 'o_orderkey::VARCHAR', "'span'")} AS w,
+  {_to_u('day')} AS u2, {_to_u('part')} AS p2, {_to_u('grain')} AS g2 FROM orders),
+s AS (SELECT *, CASE WHEN g < 0.1 THEN make_date(year(d) // 10 * 10, 1, 1) WHEN g < 0.4 THEN make_date(year(d), 1, 1) WHEN g < 0.7 THEN make_date(year(d), month(d), 1) ELSE d END AS a,
+  CASE WHEN g < 0.4 THEN 365 + floor(w * 6936) WHEN g < 0.7 THEN 30 + floor(w * 701) ELSE 1 + floor(w * 365) END::INT AS days FROM x),
+e AS (SELECT *, least(a + days, DATE '2030-12-31') AS z FROM s), t AS (SELECT *, z - floor((z - a) * (1 - power(1 - u2, 1.0::DOUBLE / 3)))::INT AS b FROM e),
+v AS (SELECT *, {_date_sql('b', 'g2', 'p2')} AS second, CASE WHEN g2 < 0.1 THEN make_date(year(b) // 10 * 10 + CASE WHEN p2 < 0.5 THEN 0 ELSE {_pick_sql('((p2 - 0.5) * 2)', '0', '4', '7')} END, 1, 1) WHEN g2 < 0.4 THEN make_date(year(b), 1, 1) WHEN g2 < 0.7 THEN make_date(year(b), month(b), 1) ELSE b END AS b_start FROM t)
+SELECT o_orderkey, CASE WHEN b_start < a THEN second || ',' || strftime(a, '%Y-%m-%d') ELSE strftime(a, '%Y-%m-%d') || ',' || second END AS e FROM v""")
 def gen_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Random intervals; the tests hold that each grounds to an ordered one within the calendar."""
     return table(spark, sf_dir, "orders").select("o_orderkey", datagen.random_interval(7, F.col("o_orderkey")).alias("e"))
 
 

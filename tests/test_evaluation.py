@@ -172,3 +172,35 @@ def test_entry_without_the_corpus_operators(monkeypatch):
     found = importlib.util.find_spec
     monkeypatch.setattr(importlib.util, "find_spec", lambda name, *a: None if name.startswith(("chronoweave.llm", "corpus_pipeline")) else found(name, *a))
     assert entry._llm() == ({}, {}) and "ground_any" in entry.queries()
+
+
+def test_temporal_engine_encodes_each_text_once(spark, tmp_path):
+    """One question with two dates takes its first item's; a missing date and paragraphs take the default; every distinct text is encoded once."""
+    from pathlib import Path
+
+    from chronoweave.operators import scoring
+
+    items = spark.createDataFrame(
+        [(1, "who", "b", "2001-01-01"), (0, "who", "a", "1999-05-05"), (0, "who", "b", "1999-05-05"), (2, "when", "a", None), (3, "a", "a", "no date"), (4, None, "c", None), (5, "void", None, None)],
+        "item_id long, question string, paragraph string, reference_date string",
+    )
+    questions, paragraphs = scoring.anchored_texts(items)
+    assert {(r["text"], str(r["anchor"])) for r in questions.collect()} == {("who", "1999-05-05"), ("when", "2021-11-09"), ("a", "2021-11-09"), ("void", "2021-11-09")}
+    assert {(r["text"], str(r["anchor"])) for r in paragraphs.collect()} == {(t, "2021-11-09") for t in "abc"}
+    log = str(tmp_path)
+
+    def model(texts, days):
+        import numpy as np
+        import uuid
+
+        Path(log, uuid.uuid4().hex).write_text("\n".join(f"{t}@{d}" for t, d in zip(texts, days)))
+        year = np.array([[float(d[:4]) / 1000] for d in days])
+        return np.hstack([year, year * 0 + 1]), np.full((len(days), 2), 0.5)
+
+    got = {(r["question"], r["paragraph"]): r["score"] for r in scoring.temporal_similarity(items, scoring.batch_encoder(model), temperature=1.0).collect()}
+    seen = sorted(line for f in Path(log).iterdir() for line in f.read_text().split("\n"))
+    assert seen == sorted(["who@1999-05-05", "when@2021-11-09", "a@2021-11-09", "void@2021-11-09", *(f"{t}@2021-11-09" for t in "abc")])
+    assert set(got) == {("who", "a"), ("who", "b"), ("when", "a"), ("a", "a")} and got["when", "a"] == 1.0
+    want = 1 / (1 + (0.022**2 / (2 * 0.25)) / 2)  # variances are equal, so only the first dimension's gap is left
+    assert abs(got["who", "a"] - want) < 1e-9
+    assert scoring.temporal_similarity(items.where("false"), scoring.batch_encoder(model)).count() == 0

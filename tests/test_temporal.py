@@ -106,6 +106,16 @@ def test_head_forward():
     y = x.copy()
     y[0, 3:] = 99  # masked states change nothing
     assert np.allclose(mu, head.forward(y, mask, e)[0]) and (std > 0).all() and mu.shape == (2, 3)
+    w = head.w
+    for r, n in ((0, 3), (1, 5)):  # directly, a row and a state at a time
+        weight = [math.exp(sum(math.tanh(x[r, i] @ w["attend"][:, c] + w["attend_bias"][c]) * w["context"][c] for c in range(4))) for i in range(n)]
+        pooled = [sum(weight[i] * x[r, i, c] for i in range(n)) / sum(weight) for c in range(4)]
+        h = [sum(v * w["dense"][k, c] for k, v in enumerate([*pooled, *e[r]])) + w["dense_bias"][c] for c in range(6)]
+        mean = sum(h) / 6
+        spread = math.sqrt(sum((v - mean) ** 2 for v in h) / 6 + 1e-5)
+        h = [max(0.0, (v - mean) / spread * w["scale"][c] + w["shift"][c]) for c, v in enumerate(h)]
+        assert np.allclose(mu[r], [math.tanh(sum(h[c] * w["mean"][c, o] for c in range(6)) + w["mean_bias"][o]) for o in range(3)])
+        assert np.allclose(std[r], [math.exp(0.5 * (sum(h[c] * w["log_var"][c, o] for c in range(6)) + w["log_var_bias"][o])) for o in range(3)])
 
 
 def test_intervals_ground_in_order(spark):
