@@ -45,6 +45,19 @@ def fused_runs(candidates: DataFrame, caches: dict[str, DataFrame], runs: list[t
     return rows.select("item_id", "idx", "is_gold", F.inline(F.array(*parts)))
 
 
+def two_engines(candidates: DataFrame, temporal: DataFrame, semantic: DataFrame, split: str) -> DataFrame:
+    """Pairs as `diagnostics` takes them: candidates of the split with both engines' scores (t, s), and these scaled over the
+    question's whole bucket (nt, ns). A pair of the split that an engine has no score for is an error."""
+    keys = ["question", "paragraph"]
+    pairs = candidates.select(*keys).distinct()
+    for name, scores in (("t", temporal), ("s", semantic)):
+        pairs = pairs.join(scores.groupBy(*keys).agg(F.max("score").alias(name)), keys, "left")
+    scaled = pairs.select("*", *[F.when(F.col(c).isNotNull(), fusion.minmax(F.col(c), "question")).alias(f"n{c}") for c in ("t", "s")])
+    rows = select_split(candidates, split).select("item_id", "idx", "is_gold", *keys).join(scaled, keys)
+    _complete(rows, {"t": "temporal", "s": "semantic"})
+    return rows
+
+
 def _runs_of(spark: SparkSession, config: Config, caches: str, benchmark: str, path: str, split: str) -> DataFrame:
     engines = [("temporal", m) for m in config.temporal_models] + [("semantic", m) for m in config.semantic_models]
     found = {m: read_cache(spark, cache_path(caches, benchmark, e, m), strict=True) for e, m in engines}
