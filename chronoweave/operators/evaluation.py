@@ -33,34 +33,67 @@ def fused_runs(candidates: DataFrame, caches: dict[str, DataFrame], runs: list[t
     for k, (model, scores) in enumerate(caches.items()):
         pairs = pairs.join(scores.groupBy(*keys).agg(F.max("score").alias(f"engine{k}")), keys, "left")
         columns[model] = f"engine{k}"
-    alone = {m for _, kind, t, s, _ in runs for m in ((t, s) if kind != "hybrid" else (t,)) if m}
+    alone = {m for _, _, t, s, alpha in runs for m in ((t, s) if alpha is None else (t,)) if m}
     scaled = fusion.scale_buckets(pairs, list(columns.values()))
     rows = select_split(candidates, split).select("item_id", "idx", "is_gold", *keys).join(scaled, keys)
     _complete(rows, {columns[m]: m for m in caches if m in alone})
     parts = []
     for run_id, kind, temporal, semantic, alpha in runs:
         t, s = (F.coalesce(columns[m], F.lit(0.0)) if m else None for m in (temporal, semantic))
-        score = fusion.linear(t, s, alpha) if kind == "hybrid" else t if s is None else s
+        score = fusion.linear(t, s, alpha) if alpha is not None else t if s is None else s
         parts.append(F.struct(F.lit(run_id).alias("run_id"), F.lit(kind).alias("run_type"), F.lit(temporal).cast("string").alias("temporal_model"), F.lit(semantic).cast("string").alias("semantic_model"), F.lit(alpha).cast("double").alias("alpha"), F.round(score, 9).alias("score")))
     return rows.select("item_id", "idx", "is_gold", F.inline(F.array(*parts)))
 
 
-def two_engines(candidates: DataFrame, temporal: DataFrame, semantic: DataFrame, split: str) -> DataFrame:
-    """Pairs as `diagnostics` takes them: candidates of the split with both engines' scores (t, s), and these scaled over the
-    question's whole bucket (nt, ns). A pair of the split that an engine has no score for is an error."""
+def _buckets(candidates: DataFrame, engines: dict[str, DataFrame]) -> DataFrame:
+    """The distinct question and paragraph of all items, with each engine's score in the column of its name."""
     keys = ["question", "paragraph"]
     pairs = candidates.select(*keys).distinct()
-    for name, scores in (("t", temporal), ("s", semantic)):
+    for name, scores in engines.items():
         pairs = pairs.join(scores.groupBy(*keys).agg(F.max("score").alias(name)), keys, "left")
-    scaled = pairs.select("*", *[F.when(F.col(c).isNotNull(), fusion.minmax(F.col(c), "question")).alias(f"n{c}") for c in ("t", "s")])
-    rows = select_split(candidates, split).select("item_id", "idx", "is_gold", *keys).join(scaled, keys)
+    return pairs
+
+
+def two_engines(candidates: DataFrame, temporal: DataFrame, semantic: DataFrame, split: str) -> DataFrame:
+    """Pairs as `diagnostics` takes them: candidates of the split with both engines' scores (t, s), and these scaled over the
+    question's whole bucket (nt, ns). A pair of the split that an engine has no score for is an error."""
+    scaled = _buckets(candidates, {"t": temporal, "s": semantic}).select("*", *[F.when(F.col(c).isNotNull(), fusion.minmax(F.col(c), "question")).alias(f"n{c}") for c in ("t", "s")])
+    rows = select_split(candidates, split).select("item_id", "idx", "is_gold", "question", "paragraph").join(scaled, ["question", "paragraph"])
     _complete(rows, {"t": "temporal", "s": "semantic"})
     return rows
 
 
+def single(candidates: DataFrame, temporal: DataFrame | None, semantic: DataFrame | None, alpha: float, split: str | None = None) -> DataFrame:
+    """item_id, idx, is_gold, score of one run: an engine alone, or both fused over the question's bucket: linearly at alpha, or for a
+    negative one by reciprocal ranks at its size. A pair without a score is an error."""
+    engines = {n: x for n, x in (("temporal", temporal), ("semantic", semantic)) if x is not None}
+    if not engines:
+        raise ValueError("neither a temporal nor a semantic engine is given")
+    if not -1 <= alpha <= 1:
+        raise ValueError(f"alpha must lie between -1 and 1: {alpha}")
+    t, s = F.col("temporal"), F.col("semantic")
+    if len(engines) == 1:
+        score = F.col(next(iter(engines)))
+    elif alpha < 0:
+        score = fusion.reciprocal_rank(t, s, ["question"], -alpha)
+    else:
+        score = fusion.linear(fusion.minmax(t, "question"), fusion.minmax(s, "question"), float(alpha))
+    pairs = _buckets(candidates, engines).withColumn("score", F.round(score, 9))
+    rows = (select_split(candidates, split) if split else candidates).join(pairs, ["question", "paragraph"])
+    _complete(rows, {n: n for n in engines})
+    return rows.select("item_id", "idx", "is_gold", "score")
+
+
+def measured(scored: DataFrame, metric: str, k: int) -> DataFrame:
+    """One row of means over items: the metric, or every one for "all"."""
+    if metric != "all" and metric not in ranking.METRICS:
+        raise ValueError(f"no metric {metric!r}; there are all, {', '.join(ranking.METRICS)}")
+    items = ranking.item_metrics(scored.withColumn("rn", ranking.rank_desc(["item_id"])), ["item_id"], k)
+    return ranking.mean_metrics(items, [], ranking.METRICS if metric == "all" else (metric,))
+
+
 def _runs_of(spark: SparkSession, config: Config, caches: str, benchmark: str, path: str, split: str) -> DataFrame:
-    engines = [("temporal", m) for m in config.temporal_models] + [("semantic", m) for m in config.semantic_models]
-    found = {m: read_cache(spark, cache_path(caches, benchmark, e, m), strict=True) for e, m in engines}
+    found = {m: read_cache(spark, cache_path(caches, benchmark, e, m), strict=True) for e, m in config.engines()}
     rows = fused_runs(read_benchmark(spark, path), found, config.runs(), split)
     return rows.select(F.lit(benchmark).alias("benchmark"), *rows.columns)
 

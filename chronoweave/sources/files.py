@@ -82,6 +82,13 @@ def read_evidence(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(EVIDENCE).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").csv(path)
 
 
+def read_raw_answers(spark: SparkSession, path: str) -> DataFrame:
+    """question, answer, a row for each answer of raw items, whose `questions` pair a text with spans that may hold an answer."""
+    pairs = read_json(spark, path, "questions array<array<string>>").select(F.explode("questions").alias("q"))
+    spans = F.from_json(F.get("q", F.lit(1)), "array<struct<answer string>>")
+    return pairs.select(F.get("q", F.lit(0)).alias("question"), F.explode(spans).alias("span")).select("question", F.col("span.answer").alias("answer")).where(F.col("answer").isNotNull())
+
+
 def cache_path(root: str, benchmark: str, engine: str, model: str) -> str:
     """Folder of an engine's scores; "-full" at a benchmark's end names the same folder."""
     return f"{root}/benchmark={benchmark.removesuffix('-full')}/engine={engine}/model={re.sub(r'[^A-Za-z0-9._-]+', '_', model)}"
