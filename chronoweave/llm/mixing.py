@@ -30,10 +30,12 @@ from .common import WORD, cut, text_of
 FINE_HEX = 4
 #: Words of a block, and blocks of a shard, the unit that is shuffled locally.
 BLOCK_WORDS, SHARD_BLOCKS = 8_192, 32
+#: Blocks and shards that one row stands for until they are dealt out, so that no task emits all of a source's.
+BLOCK_RUN, SHARD_RUN = 1_024, 16
 #: Standard deviation up to which a draw inverts the distribution function, which takes steps in proportion; beyond it, it is by rejection.
 #: Both draw from the same distribution.
 INVERT_SD = 256
-#: Tries of a rejection, each of which succeeds more often than not.
+#: Tries of a rejection, each of which succeeds more often than not; where all fail, a chance below 2^-128, the mean is taken.
 TRIES = 128
 
 
@@ -128,13 +130,22 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), max_r
     return by.select("source", "sidx", "source_size", "weight", target.alias("target"), F.floor(target + 0.5).cast("bigint").alias("quota"))
 
 
+def _numbered(rows: DataFrame, n: Column, name: str, run: int, *by: str) -> DataFrame:
+    """Each of rows, which are few, n times (1 or more) with the numbers from 0 as `name`. The task that holds a row emits one row
+    for each run of numbers; these are dealt out by `by` and run, and become single numbers where they arrive."""
+    zero, size = F.lit(0).cast("bigint"), F.lit(run).cast("bigint")
+    runs = rows.withColumn("_n", n).withColumn("_run", F.explode(F.sequence(zero, F.floor((F.col("_n") - 1) / size)))).repartition(*by, "_run")
+    first = F.col("_run") * size
+    return runs.withColumn(name, F.explode(F.sequence(first, F.least(first + size, F.col("_n")) - 1))).drop("_n", "_run")
+
+
 def shard_blocks(targets: DataFrame, seed: int, block_words: int, shard_blocks_: int) -> DataFrame:
     """The splitting tree. Returns sidx, perm (a place in the source's permuted blocks), shard, n_shards."""
     blocks = F.ceil(F.col("quota") / F.lit(float(block_words))).cast("bigint")
     root = targets.select(F.struct("sidx", blocks.alias("n")).alias("b")).agg(F.sort_array(F.collect_list("b")).alias("b"))
     root = root.select(F.col("b.sidx").alias("sidx"), F.col("b.n").alias("quota"), F.aggregate("b", F.lit(0).cast("bigint"), lambda a, x: a + x["n"]).alias("total"))
     root = root.withColumn("leaves", F.greatest(F.lit(1), F.ceil(F.col("total") / F.lit(float(shard_blocks_)))).cast("bigint"))
-    shards = root.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("leaves") - 1))).repartition("shard")
+    shards = _numbered(root, F.col("leaves"), "shard", SHARD_RUN)
     total, leaves, shard = F.col("total"), F.col("leaves"), F.col("shard")
 
     def bound(leaf: Column) -> Column:  # blocks in all leaves before this one
@@ -199,7 +210,7 @@ def permuted_blocks(targets: DataFrame, seed: int, block_words: int) -> DataFram
     A window holds the blocks with the same leading bits only, a 65,536th of a source's.
     """
     n = F.ceil(F.col("quota") / F.lit(float(block_words))).cast("bigint")
-    blocks = targets.where("quota > 0").select("sidx", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("block"))
+    blocks = _numbered(targets.where("quota > 0").select("sidx", n.alias("n")), F.col("n"), "block", BLOCK_RUN, "sidx").select("sidx", "block")
     h = F.xxhash64(F.lit(seed), F.col("sidx"), F.col("block"))
     blocks = blocks.withColumn("h", h).withColumn("fine", F.shiftright("h", 64 - 4 * FINE_HEX))
     before = W.partitionBy("sidx").orderBy("fine").rowsBetween(W.unboundedPreceding, -1)  # 65,536 rows a source at most
