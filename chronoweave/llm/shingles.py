@@ -26,8 +26,9 @@ from .common import Tables, among, batch_bytes, release, trim
 from .components import components
 from .simhash import SEED
 
-#: Documents that the order of shingles is taken from, in how many of them a shingle is a common one, and how many of those are told apart.
-SAMPLE, COMMON, MOST_COMMON = 4_000, 4, 200_000
+#: Documents that the order of shingles is taken from, at least, and one of how many where there are more; in how many of them a shingle
+#: is a common one, and how many of those are told apart. The share keeps the documents that meet in an uncommon shingle as few in a large corpus as in a small one.
+SAMPLE, SHARE, COMMON, MOST_COMMON = 4_000, 12, 4, 200_000
 
 
 def shingle_set(text: str | None, words: int) -> np.ndarray:
@@ -87,13 +88,18 @@ def _possible(n: Column, at: Column, m: Column, to: Column, threshold: float) ->
     return F.least(n - at, m - to) >= F.lit(threshold / (1 + threshold)) * (n + m) - 1e-6
 
 
+def sampled_rows(rows: DataFrame) -> DataFrame:
+    """The rows (with a column id) of the smallest hashes of their ids: a share of them, SAMPLE at least."""
+    last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
+    return rows.where(F.xxhash64("id") <= F.lit(None if last is None else max(last, (1 << 64) // SHARE - (1 << 63))))
+
+
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """src, dst: links between ids that connect all documents that similarities of at least `threshold` connect."""
     batch_bytes(docs.sparkSession)
     tables = Tables(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
-    last = rows.select(F.xxhash64("id").alias("h")).orderBy("h").limit(SAMPLE).agg(F.max("h")).first()[0]
-    sample = rows.where(F.xxhash64("id") <= F.lit(last))
+    sample = sampled_rows(rows)
 
     def singles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
