@@ -29,7 +29,16 @@ from .common import batch_bytes, cut
 from .components import components
 from .simhash import _forest
 
-CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK, VISITORS = 4096, 4096, 32_768, 2048, 8192
+#: A vector is sent once to each block that it is compared with, so large blocks are few copies; a pair of them is what one group holds in memory.
+#: Rows of vectors of up to 64 components; longer ones have fewer, see `rows_for`.
+CELL_ROWS, MOST_CELLS, SAMPLE, BLOCK, VISITORS = 16_384, 4096, 32_768, 16_384, 32_768
+
+
+def rows_for(most: int, dim: Column | int) -> Column | int:
+    """`most` rows of vectors of 64 components, and fewer of longer ones in their measure, an eighth at least."""
+    if isinstance(dim, int):
+        return max(most // 8, most * 64 // max(dim, 64), 1)
+    return F.greatest(F.lit(max(most // 8, 1)), F.floor(F.lit(most * 64) / F.greatest(dim, F.lit(64)))).cast("int")
 
 
 def usable(vector: Column) -> Column:
@@ -40,11 +49,16 @@ def usable(vector: Column) -> Column:
 
 
 def unit(vectors) -> np.ndarray:
-    x = np.array(list(vectors), np.float64)
+    x = np.array(vectors if isinstance(vectors, np.ndarray) and vectors.ndim == 2 else list(vectors), np.float64)
     x /= np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def packed(vectors, single: bool) -> list[bytes]:
+    """The vectors as they came, in four bytes a component where they are of that type; `unit` of what is read back is that of the vectors."""
+    return [np.asarray(v, np.float32 if single else np.float64).tobytes() for v in vectors]
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 10, seed: int = 42) -> np.ndarray:
     c = x[np.sort(np.random.default_rng(seed).choice(len(x), k, replace=False))].copy()
     for _ in range(rounds):
@@ -74,12 +88,13 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     spark = vectors.sparkSession
     batch_bytes(spark)
     rows = vectors.select(vectors[id_col].cast("bigint").alias("id"), vectors[vector_col].alias("v"))
+    single = rows.schema["v"].dataType.simpleString() == "array<float>"
     valid = F.col("id").isNotNull() & usable(F.col("v"))
     classes = cut(rows.where(valid).groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("cnt")).withColumn("dim", F.size("v")))
     by_dim = sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect())
     centres = {}
     for dim, n in by_dim:
-        k = min(MOST_CELLS, -(-n // CELL_ROWS))
+        k = min(MOST_CELLS, -(-n // rows_for(CELL_ROWS, dim)))
         if k > 1:
             sample = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("v").toPandas()
             centres[dim] = spherical_kmeans(unit(sample["v"]), min(k, len(sample)))
@@ -93,11 +108,11 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
                     home, goes = np.zeros(len(b), np.int32), np.ones((len(b), 1), bool)
                 else:
                     home, goes = visits(x, c, threshold)
-                yield pd.DataFrame({"dim": dim, "rep": b["rep"].to_numpy(), "cnt": b["cnt"].to_numpy(), "home": home, "cell": [np.flatnonzero(y).astype(np.int32) for y in goes], "x": [y.tobytes() for y in x]})
+                yield pd.DataFrame({"dim": dim, "rep": b["rep"].to_numpy(), "cnt": b["cnt"].to_numpy(), "home": home, "cell": [np.flatnonzero(y).astype(np.int32) for y in goes], "x": packed(b["v"], single)})
 
     assigned = cut(classes.select("dim", "rep", "cnt", "v").mapInPandas(assign, "dim int, rep bigint, cnt bigint, home int, cell array<int>, x binary"))
     assigned = assigned.withColumn("cell", F.explode("cell")).withColumn("own", F.col("cell") == F.col("home"))
-    n_blocks = [F.ceil(F.count_if(own) / F.lit(float(size))).cast("int").alias(name) for own, size, name in ((F.col("own"), BLOCK, "n_own"), (~F.col("own"), VISITORS, "n_visit"))]
+    n_blocks = [F.ceil(F.count_if(own) / rows_for(size, F.col("dim"))).cast("int").alias(name) for own, size, name in ((F.col("own"), BLOCK, "n_own"), (~F.col("own"), VISITORS, "n_visit"))]
     blocks = assigned.groupBy("dim", "cell").agg(*n_blocks).where("n_own > 0")
     at = F.xxhash64("rep")
     block = F.when(F.col("own"), F.pmod(at, F.col("n_own"))).otherwise(F.col("n_own") + F.pmod(at, F.greatest("n_visit", F.lit(1))))
@@ -112,7 +127,7 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
         a, b = pdf[pdf["block"] == lo], pdf[pdf["block"] == hi]
 
         def read(p: pd.DataFrame):
-            return p["rep"].to_numpy(), p["cnt"].to_numpy(), np.frombuffer(b"".join(p["x"]), np.float64).reshape(-1, dim)
+            return p["rep"].to_numpy(), p["cnt"].to_numpy(), unit(np.frombuffer(b"".join(p["x"]), np.float32 if single else np.float64).reshape(-1, dim))
 
         if not len(a) or not len(b):
             return pd.DataFrame({"rep": [], "n": [], "to": [], "link": []})

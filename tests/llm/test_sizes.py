@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from chronoweave.llm import shingles
+import numpy as np
+
+from chronoweave.llm import embed_dedup, shingles
 
 
 def test_sample_of_shingles_grows_with_the_corpus(spark, monkeypatch):
@@ -11,3 +13,15 @@ def test_sample_of_shingles_grows_with_the_corpus(spark, monkeypatch):
     assert counts[0] == 40
     assert 350 < counts[1] < 650 and 4_500 < counts[2] < 5_500
     assert shingles.sampled_rows(spark.range(0)).count() == 0
+
+
+def test_vectors_of_floats_travel_in_four_bytes_a_component_and_lose_nothing():
+    v = np.random.default_rng(1).normal(size=(50, 7)).astype(np.float32)
+    sent = embed_dedup.packed(list(v), True)
+    assert {len(x) for x in sent} == {28} and {len(x) for x in embed_dedup.packed(list(v), False)} == {56}
+    back = np.frombuffer(b"".join(sent), np.float32).reshape(-1, 7)
+    assert np.array_equal(embed_dedup.unit(back), embed_dedup.unit(list(v)))
+
+
+def test_blocks_hold_fewer_long_vectors():
+    assert [embed_dedup.rows_for(16_384, d) for d in (3, 64, 128, 4_096)] == [16_384, 16_384, 8_192, 2_048]
