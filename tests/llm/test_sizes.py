@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
-from chronoweave.llm import embed_dedup, shingles
+from chronoweave.llm import embed_dedup, phrases, shingles
+from chronoweave.llm.common import Tables
 
 
 def test_sample_of_shingles_grows_with_the_corpus(spark, monkeypatch):
@@ -25,3 +26,19 @@ def test_vectors_of_floats_travel_in_four_bytes_a_component_and_lose_nothing():
 
 def test_blocks_hold_fewer_long_vectors():
     assert [embed_dedup.rows_for(16_384, d) for d in (3, 64, 128, 4_096)] == [16_384, 16_384, 8_192, 2_048]
+
+
+def test_lists_of_chunks_are_built_one_at_a_time(spark, monkeypatch):
+    seen, put = {}, Tables.put
+
+    def watched(self, name, df, *more):
+        seen[name] = more
+        return put(self, name, df, *more)
+
+    monkeypatch.setattr(Tables, "put", watched)
+    docs = spark.createDataFrame([("a b c a b c", "en")] * 12, "text string, lang string").repartition(4)
+    before = spark.conf.get(phrases.LISTS_AT_ONCE)
+    found = {r["phrase"]: r["a"] for r in phrases.mine_phrases(docs, covered=101).collect()}
+    assert found == {"a b": 24, "b c": 24, "c a": 12, "a b c": 24, "b c a": 12, "c a b": 12}
+    assert seen["pairs-2"] == seen["pairs-3"] == ({phrases.LISTS_AT_ONCE: "1"},)
+    assert spark.conf.get(phrases.LISTS_AT_ONCE) == before
