@@ -28,26 +28,40 @@ def lookup(pairs: DataFrame, vectors: DataFrame, question: str, paragraph: str,
     return pairs.join(q, question).join(p, paragraph)
 
 
-def inverted_index(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, term, tf, dl (the document's length)."""
+def inverted_index(docs: DataFrame, id_col: str, text_col: str, terms: DataFrame | None = None) -> DataFrame:
+    """id, term, tf, dl (the document's length); `terms` (term): of just these."""
     words = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("w"))
-    return words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term")).groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+    words = words.select("id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    words = words if terms is None else words.join(terms, "term", "left_semi")
+    return words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf"))
+
+
+#: Rows of the queries' terms that may be broadcast.
+BROADCAST_TERMS = 500_000
 
 
 def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id_col: str, text_col: str, k1: float = 1.5, b: float = 0.75, epsilon: float = 0.25) -> DataFrame:
     """Okapi BM25: query_id, id, score for pairs that share a term; all others score 0.
 
     Terms in more than half of the documents get epsilon times the mean weight. Query terms keep their multiplicity.
+
+    Documents cross one exchange, by id; their terms and scores are counted and added up where they then are, against the queries' terms, which
+    are broadcast. Only where these are too many (counted) do both sides meet by term and the scores by pair.
     """
-    index = inverted_index(docs, id_col, text_col)
+    words = docs.select(F.col(id_col).alias("id"), text.tokens(F.col(text_col)).alias("w"))
     size = docs.select(F.count("*").cast("double").alias("n"), F.avg(text.token_count(F.col(text_col))).alias("avg_dl"))
-    df = index.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))
     raw = F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5)
     df = df.withColumn("idf", raw)
     floor = df.agg((epsilon * F.avg("idf")).alias("least"))
     df = df.crossJoin(F.broadcast(floor)).select("term", "avg_dl", F.when(F.col("idf") < 0, F.col("least")).otherwise(F.col("idf")).alias("idf"))
     asked = queries.select(F.col(query_id).alias("query_id"), F.explode(text.tokens(F.col(query_text))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    hits = asked.join(df, "term").join(index, "term")
+    by_term = asked.groupBy("term").agg(F.collect_list(F.struct("query_id", "qtf")).alias("asked")).join(df, "term")
+    if asked.count() <= BROADCAST_TERMS:
+        index, by_term = inverted_index(docs.repartition(id_col), id_col, text_col, F.broadcast(by_term.select("term"))), F.broadcast(by_term)
+    else:
+        index = inverted_index(docs, id_col, text_col)
+    hits = index.join(by_term, "term").select("id", "tf", "dl", "idf", "avg_dl", F.inline("asked"))
     tf = F.col("tf").cast("double")
     weight = F.col("qtf") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     return hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
