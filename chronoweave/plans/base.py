@@ -26,6 +26,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that one task sorts at a time, before runs or cuts multiply them.
+TASK_ROWS = 150_000
+
+
+def in_parts(n: int, *keyed: tuple[DataFrame, str]) -> list[DataFrame]:
+    """Tables dealt out by their keys into as many parts as n rows ask for, so what a task sorts grows with no table; small ones stay as they are."""
+    if n <= TASK_ROWS:
+        return [df for df, _ in keyed]
+    return [df.repartition(max(-(-n // TASK_ROWS), df.sparkSession.sparkContext.defaultParallelism), key) for df, key in keyed]
+
+
 def day(e: str) -> str:
     """SQL: days since the calendar's first day."""
     return f"date_diff('day', DATE '1000-01-01', CAST({e} AS DATE))"

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, temporal
-from .base import CANDIDATES, day, kl_similarity, query, table
+from .base import CANDIDATES, day, in_parts, kl_similarity, query, table
 
 _FORMS_SQL = """f AS (
   SELECT o_orderkey, form, CASE form WHEN 1 THEN strftime(d, '%Y-%m-%d') WHEN 2 THEN strftime(d, '%Y-%m') WHEN 3 THEN strftime(d, '%Y') WHEN 4 THEN substr(strftime(d, '%Y'), 1, 3) || '0s'
@@ -215,11 +215,12 @@ def interval_gaussian(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as questions, their lines as candidates: q, idx, q and p intervals, a second score, gold."""
-    rows = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
+    orders, lines = in_parts(table(spark, sf_dir, "lineitem").count(), (table(spark, sf_dir, "orders"), "o_orderkey"), (table(spark, sf_dir, "lineitem"), "l_orderkey"))
+    rows = orders.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     qa, pa = temporal.day_index(F.col("o_orderdate").cast("date")), temporal.day_index(F.col("l_shipdate").cast("date"))
-    lines = W.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")  # line numbers repeat
+    order = W.partitionBy("o_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")  # line numbers repeat
     return rows.select(
-        F.col("o_orderkey").alias("q"), F.row_number().over(lines).alias("idx"), qa.alias("qa"), (qa + 30).alias("qb"), pa.alias("pa"), (pa + F.col("l_linenumber") * 7).alias("pb"),
+        F.col("o_orderkey").alias("q"), F.row_number().over(order).alias("idx"), qa.alias("qa"), (qa + 30).alias("qb"), pa.alias("pa"), (pa + F.col("l_linenumber") * 7).alias("pb"),
         (F.col("l_quantity") / (1 + F.col("l_discount"))).alias("sem"), (F.col("l_returnflag") == "R").alias("is_gold"),
     )
 
