@@ -127,25 +127,88 @@ ROUND_STEP = 1_103_515_245
 POISSON = tuple(int(PRIME * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(12))
 
 
+#: Rows that a task of the bootstrap draws weights for, at most and at least, and weights that it makes at a time.
+TASK_DRAWS, LEAST_DRAWS, DRAW_BLOCK = 50_000, 1_000, 1 << 16
+
+
+def _fold(x: np.ndarray, t: np.ndarray) -> None:
+    """x modulo PRIME, which is 2^31 - 1, but for a multiple of it: the high bits are added to the low ones."""
+    np.right_shift(x, np.uint64(31), out=t)
+    np.bitwise_and(x, np.uint64(PRIME), out=x)
+    np.add(x, t, out=x)
+
+
+def poisson_weights(a: np.ndarray, c: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """How often each row (keys a, c, below PRIME) counts in each round (steps: round * ROUND_STEP % PRIME), a line for each row. All of uint64."""
+    x = a[:, None] * steps
+    x += c[:, None]
+    t, u = np.empty_like(x), np.empty_like(x)
+    _fold(x, t)  # below 2^32
+    np.multiply(x, x, out=u)
+    _fold(u, t)
+    _fold(u, t)  # below 2^31 + 8
+    np.multiply(u, u, out=u)
+    _fold(u, t)  # below 2^32
+    u *= x  # the fifth power permutes the numbers below the prime
+    _fold(u, t)
+    _fold(u, t)
+    if u.max(initial=0) >= PRIME:
+        u[u >= PRIME] -= np.uint64(PRIME)
+    u = u.astype(np.uint32)
+    w = (u >= POISSON[0]).view(np.uint8)
+    for k in POISSON[1:5]:
+        w += u >= k
+    flat, many = w.reshape(-1), np.flatnonzero(u >= POISSON[5])
+    for k in POISSON[5:]:
+        flat[many] += u.reshape(-1)[many] >= k
+    return w
+
+
 def bootstrap_ci(paired: DataFrame, by: str, row: str, diff: str = "d", rounds: int = 10_000, level: float = 0.95, seed: int = 42) -> DataFrame:
     """by, mean, low, high: percentile interval of the mean difference over `rounds` resamples.
 
     In each round each row counts as often as a Poisson draw says, which given their sum is a draw with replacement of as many rows. The
     draw is a function of (seed, row, round): two keys of the row from its md5, mixed with the round by arithmetic modulo a
-    prime. So rounds are sums by (by, round) that partial aggregation shrinks where the rows are, rows never meet in one task, and
-    reruns agree. `row` names the row within its group.
+    prime. Rows are written once and dealt out evenly; each task adds up its own rows' weights by (by, round), and only these sums meet, so
+    rows never do and reruns agree. `row` names the row within its group.
     """
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(row).cast("string")))
     a, c = (F.conv(F.substring(key, k, 8), 16, 10).cast("bigint") % PRIME for k in (1, 9))
-    rows = paired.select(F.col(by).alias("by"), F.col(diff).alias("d"), a.alias("a"), c.alias("c"))
-    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"))
-    rows = rows.withColumn("x", (F.col("a") * (F.col("round").cast("bigint") * ROUND_STEP % PRIME) + F.col("c")) % PRIME)
-    square = F.col("x") * F.col("x") % PRIME
-    rows = rows.withColumn("u", square * square % PRIME * F.col("x") % PRIME)  # the fifth power permutes the numbers below the prime
-    weight = sum((F.col("u") >= t).cast("int") for t in POISSON)
-    means = rows.withColumn("w", weight).groupBy("by", "round").agg(F.try_divide(F.sum(F.col("w") * F.col("d")), F.sum("w")).alias("m"))
+    rows = cut(paired.where(F.col(by).isNotNull()).select(F.col(by).alias("by"), F.col(diff).cast("double").alias("d"), a.alias("a"), c.alias("c")))
+    n = rows.count()
+    tasks = max(1, n // TASK_DRAWS, min(n // LEAST_DRAWS, 3 * rows.sparkSession.sparkContext.defaultParallelism))
+    steps = (np.arange(1, rounds + 1, dtype=np.uint64) * np.uint64(ROUND_STEP)) % np.uint64(PRIME)
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: dict = {}
+
+        def flush() -> Iterator[pd.DataFrame]:
+            for name, (total, known) in found.items():
+                yield pd.DataFrame({"by": [name] * rounds, "round": np.arange(rounds), "w": total[0].astype(np.int64), "wd": total[1] if known else [None] * rounds})
+            found.clear()
+
+        for b in batches:
+            for name, own in b.groupby("by"):
+                total, known = found.get(name, (np.zeros((2, rounds)), False))
+                x, y = own["a"].to_numpy(np.uint64), own["c"].to_numpy(np.uint64)
+                sides = np.stack([np.ones(len(own)), own["d"].to_numpy(np.float64)])
+                high = min(len(own), 32)
+                wide = max(1, DRAW_BLOCK // high)
+                for i in range(0, len(own), high):
+                    for k in range(0, rounds, wide):
+                        w = poisson_weights(x[i : i + high], y[i : i + high], steps[k : k + wide])
+                        total[:, k : k + wide] += sides[:, i : i + high] @ w.astype(np.float64)
+                found[name] = total, known or bool(own["known"].any())
+            if len(found) > 64:
+                yield from flush()
+        yield from flush()
+
+    dealt = rows.select("by", F.coalesce("d", F.lit(0.0)).alias("d"), "a", "c", F.col("d").isNotNull().alias("known")).repartition(tasks, "a", "c")
+    kind = rows.schema["by"].dataType.simpleString()
+    drawn = dealt.mapInPandas(sums, f"by {kind}, round int, w bigint, wd double")
+    means = drawn.groupBy("by", "round").agg(F.try_divide(F.sum("wd"), F.sum("w")).alias("m"))
     ends = means.groupBy("by").agg(F.percentile("m", F.array(F.lit((1 - level) / 2), F.lit((1 + level) / 2))).alias("p"))
-    mean = paired.groupBy(F.col(by).alias("by")).agg(F.avg(diff).alias("mean"))
+    mean = rows.groupBy("by").agg(F.avg("d").alias("mean"))
     return mean.join(ends, "by").select(F.col("by").alias(by), "mean", F.col("p")[0].alias("low"), F.col("p")[1].alias("high"))
 
 
