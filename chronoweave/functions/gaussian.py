@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .temporal import day_index, day_interval, ground, let
+from .temporal import day_index, day_interval, days_between, ground, let
 
 #: What the vector similarity is divided by.
 TEMPERATURE = 0.05
@@ -42,6 +42,12 @@ def bounds_similarity(q: Column, d: Column) -> Column:
     return let(both, lambda i: interval_similarity(i["q"]["a"], i["q"]["b"], i["d"]["a"], i["d"]["b"]))
 
 
+def similarity_of_bounds(q: Column, d: Column) -> Column:
+    """`bounds_similarity` of two columns, which it mentions several times."""
+    q, d = days_between(q), days_between(d)
+    return interval_similarity(q["a"], q["b"], d["a"], d["b"])
+
+
 def expression_similarity(e1: Column, anchor1: Column, e2: Column, anchor2: Column, lenient: bool = False) -> Column:
     s = bounds_similarity(ground(e1, anchor1), ground(e2, anchor2))
     return F.coalesce(s, F.lit(0.0)) if lenient else s

@@ -39,10 +39,6 @@ def day_index(day: Column) -> Column:
     return F.datediff(day, F.lit(FIRST_DAY).cast("date"))
 
 
-def _in_calendar(day: Column) -> Column:
-    return let(day, lambda d: F.when(d.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")), d))
-
-
 def date_kind(e: Column) -> Column:
     """yyyy-mm-dd, yyyy-mm, yyyy, yyyys, or null."""
     first = date_bounds(e)["start"]
@@ -50,17 +46,24 @@ def date_kind(e: Column) -> Column:
 
 
 def date_bounds(e: Column) -> Column:
+    """Plain conditions and casts: Spark compiles them, where it would interpret what stands inside a `let`."""
     year = _int(F.substring(e, 1, 4))
-    day = _in_calendar(F.try_to_date(e, "yyyy-MM-dd"))
-    month = _in_calendar(F.try_to_date(F.concat(e, F.lit("-01")), "yyyy-MM-dd"))
+    day = F.when(F.length(e) == 10, e).try_cast("date")  # the cast takes white space at the end
+    month = F.concat(e, F.lit("-01")).try_cast("date")
     part = F.regexp_extract(e, _DECADE, 1)
     low = F.when(part == "mid", 4).when(part == "late", 7).otherwise(0)
     high = F.when(part == "early", 3).when(part == "mid", 6).otherwise(9)
+    inside = [d.between(F.lit(FIRST_DAY).cast("date"), F.lit(LAST_DAY).cast("date")) for d in (day, month)]
+    first, last = (int(d[:4]) for d in (FIRST_DAY, LAST_DAY))
+
+    def bounds(start: Column, end: Column) -> Column:
+        return F.struct(start.alias("start"), end.alias("end"))
+
     return (
-        F.when(e.rlike(_YMD), _interval(day, day))
-        .when(e.rlike(_YM), _interval(month, F.last_day(month)))
-        .when(e.rlike(_Y), _interval(_in_calendar(F.make_date(year, F.lit(1), F.lit(1))), F.make_date(year, F.lit(12), F.lit(31))))
-        .when(e.rlike(_DECADE), _interval(F.make_date(year + low, F.lit(1), F.lit(1)), F.make_date(year + high, F.lit(12), F.lit(31))))
+        F.when(e.rlike(_YMD), F.when(inside[0], bounds(day, day)))
+        .when(e.rlike(_YM), F.when(inside[1], bounds(month, F.last_day(month))))
+        .when(e.rlike(_Y), F.when(year.between(first, last), bounds(F.make_date(year, F.lit(1), F.lit(1)), F.make_date(year, F.lit(12), F.lit(31)))))
+        .when(e.rlike(_DECADE), bounds(F.make_date(year + low, F.lit(1), F.lit(1)), F.make_date(year + high, F.lit(12), F.lit(31))))
     )
 
 
@@ -99,7 +102,7 @@ def _ordered(a: Column, b: Column) -> Column:
 
 
 def offset_bounds(e: Column, anchor: Column) -> Column:
-    return let(offset_kind(e), lambda kind: _of_kind(kind, e, anchor))
+    return F.when(e.contains(" P"), let(offset_kind(e), lambda kind: _of_kind(kind, e, anchor)))
 
 
 def _of_kind(kind: Column, e: Column, anchor: Column) -> Column:
@@ -135,8 +138,8 @@ def reference_bounds(e: Column, anchor: Column) -> Column:
 
 def interval_bounds(e: Column) -> Column:
     """"a,b": from the first day of a to the last of b."""
-    sides = F.split(e, ",")
-    return F.when(F.size(sides) >= 2, _interval(date_bounds(F.get(sides, F.lit(0)))["start"], date_bounds(F.get(sides, F.lit(1)))["end"]))
+    start, end = date_bounds(F.substring_index(e, ",", 1))["start"], date_bounds(F.substring_index(F.substring_index(e, ",", 2), ",", -1))["end"]
+    return F.when(e.contains(","), F.when(start.isNotNull() & end.isNotNull(), F.struct(start.alias("start"), end.alias("end"))))
 
 
 def ground(e: Column, anchor: Column) -> Column:
@@ -144,9 +147,14 @@ def ground(e: Column, anchor: Column) -> Column:
     return F.coalesce(date_bounds(e), offset_bounds(e, anchor), F.when(is_reference(e), reference_bounds(e, anchor)), interval_bounds(e))
 
 
+def days_between(i: Column) -> Column:
+    """`day_interval` of a column, which it mentions several times."""
+    return F.when(i["start"] <= i["end"], F.struct(day_index(i["start"]).alias("a"), day_index(i["end"]).alias("b")))
+
+
 def day_interval(bounds: Column) -> Column:
     """struct<a, b> of day indices; null if the start is after the end."""
-    return let(bounds, lambda i: F.when(i["start"] <= i["end"], F.struct(day_index(i["start"]).alias("a"), day_index(i["end"]).alias("b"))))
+    return let(bounds, days_between)
 
 
 def month_year_index(text: Column) -> Column:

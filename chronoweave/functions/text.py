@@ -84,8 +84,13 @@ def uniform(seed: int, *key: Column) -> Column:
 
 
 def choose(u: Column, options: list) -> Column:
-    """The option that u in [0, 1) falls on."""
-    return F.get(F.array(*[o if isinstance(o, Column) else F.lit(o) for o in options]), F.floor(u * len(options)).cast("int"))
+    """The option that u in [0, 1) falls on; of columns only that one is computed."""
+    if any(isinstance(o, Column) for o in options):
+        at, out = F.floor(u * len(options)), None
+        for k, o in enumerate(o if isinstance(o, Column) else F.lit(o) for o in options):
+            out = F.when(at == k, o) if out is None else out.when(at == k, o)
+        return out
+    return F.get(F.array(*[F.lit(o) for o in options]), F.floor(u * len(options)).cast("int"))
 
 
 def date_to_text(e: Column, u: Column) -> Column:

@@ -16,6 +16,7 @@ from ..functions.temporal import FIRST_DAY, LAST_DAY, date_bounds, ground, integ
 from ..functions.text import choose, uniform
 from .benchmarks import positions
 from .ranking import value_ranks
+from .rows import fixed
 
 # Shares of date, offset, reference and interval among partner expressions.
 KINDS = (0.30, 0.04, 0.01, 0.65)
@@ -25,11 +26,6 @@ GRAINS = (0.1, 0.3, 0.3, 0.3)
 SPANS = ((365, 7300), (365, 7300), (30, 730), (1, 365))
 
 
-def fixed(rows: DataFrame, **columns: Column) -> DataFrame:
-    """rows with columns that later expressions refer to rather than repeat: a generator of one row is between them."""
-    return rows.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
-
-
 def by_share(u: Column, shares: tuple[float, ...], options: list[Column]) -> Column:
     out, total = None, 0.0
     for share, option in zip(shares[:-1], options[:-1], strict=True):
@@ -89,28 +85,45 @@ def random_reference(seed: int, key: Column) -> Column:
     return choose(uniform(seed, key, F.lit("ref")), ["PRESENT_REF", "THIS MO", "THIS NI"])
 
 
-def random_interval(seed: int, key: Column, first: Column | None = None, last: Column | None = None, grains: tuple[float, ...] = GRAINS) -> Column:
-    """The first day of a random date, and a random date of any grain from there to the end of a span, which is longer the coarser the first date was; the earlier start stands first."""
-    first, last = first if first is not None else F.lit(FIRST_DAY).cast("date"), last if last is not None else F.lit(LAST_DAY).cast("date")
+def _begun(seed: int, key: Column, day: Column, grains: tuple[float, ...]) -> Column:
+    """An interval's first day, from its random day, and the longest span that may follow."""
     grain, w = uniform(seed, key, F.lit("igrain")), uniform(seed, key, F.lit("span"))
+    decade = F.make_date(F.year(day) - F.year(day) % 10, F.lit(1), F.lit(1))
+    start = by_share(grain, grains, [decade, F.trunc(day, "year"), F.trunc(day, "month"), day])
+    return F.struct(start.alias("start"), by_share(grain, grains, [(low + F.floor(w * (high - low + 1))).cast("int") for low, high in SPANS]).alias("days"))
+
 
-    def begun(day: Column) -> Column:
-        decade = F.make_date(F.year(day) - F.year(day) % 10, F.lit(1), F.lit(1))
-        start = by_share(grain, grains, [decade, F.trunc(day, "year"), F.trunc(day, "month"), day])
-        return F.struct(start.alias("start"), by_share(grain, grains, [(low + F.floor(w * (high - low + 1))).cast("int") for low, high in SPANS]).alias("days"))
+def _ended(seed: int, key: Column, x: Column, last: Column, grains: tuple[float, ...]) -> Column:
+    """The interval's random second date."""
+    return random_date(seed, F.concat_ws("/", key.cast("string"), F.lit("to")), x["start"], F.least(F.date_add(x["start"], x["days"]), last), grains)
 
-    def ended(x: Column) -> Column:
-        second = random_date(seed, F.concat_ws("/", key.cast("string"), F.lit("to")), x["start"], F.least(F.date_add(x["start"], x["days"]), last), grains)
-        return F.struct(F.date_format(x["start"], "yyyy-MM-dd").alias("a"), x["start"].alias("start"), second.alias("b"))
 
-    def ordered(x: Column) -> Column:
-        return F.when(date_bounds(x["b"])["start"] < x["start"], F.concat_ws(",", x["b"], x["a"])).otherwise(F.concat_ws(",", x["a"], x["b"]))
+def _joined(start: Column, second: Column) -> Column:
+    a = F.date_format(start, "yyyy-MM-dd")
+    return F.when(date_bounds(second)["start"] < start, F.concat_ws(",", second, a)).otherwise(F.concat_ws(",", a, second))
+
+
+def random_interval(seed: int, key: Column, first: Column | None = None, last: Column | None = None, grains: tuple[float, ...] = GRAINS) -> Column:
+    """The first day of a random date, and a random date of any grain from there to the end of a span, which is longer the coarser the first date was; the earlier start stands first."""
+    first, last = first if first is not None else F.lit(FIRST_DAY).cast("date"), last if last is not None else F.lit(LAST_DAY).cast("date")
+    begun = let(random_day(uniform(seed, key, F.lit("from")), first, last), lambda day: _begun(seed, key, day, grains))
+    ended = let(begun, lambda x: F.struct(x["start"].alias("start"), _ended(seed, key, x, last, grains).alias("b")))
+    return let(ended, lambda x: _joined(x["start"], x["b"]))
 
-    return let(let(let(random_day(uniform(seed, key, F.lit("from")), first, last), begun), ended), ordered)
 
+def random_expressions(rows: DataFrame, name: str, seed: int, key: Column, shares: tuple[float, ...] = KINDS) -> DataFrame:
+    """rows with a random expression each under this name: a date, an offset, a reference or an interval, by shares."""
+    first, last = (F.lit(d).cast("date") for d in (FIRST_DAY, LAST_DAY))
+    rows = fixed(rows, _kind=uniform(seed, key, F.lit("kind")))
 
-def random_expression(seed: int, key: Column, shares: tuple[float, ...] = KINDS) -> Column:
-    return by_share(uniform(seed, key, F.lit("kind")), shares, [random_date(seed, key), random_offset(seed, key), random_reference(seed, key), random_interval(seed, key)])
+    def if_interval(c: Column) -> Column:
+        return by_share(F.col("_kind"), shares, [F.lit(None), F.lit(None), F.lit(None), c])
+
+    rows = fixed(rows, _day=if_interval(random_day(uniform(seed, key, F.lit("from")), first, last)))
+    rows = fixed(rows, _begun=if_interval(_begun(seed, key, F.col("_day"), GRAINS)))
+    rows = fixed(rows, _second=if_interval(_ended(seed, key, F.col("_begun"), last, GRAINS)))
+    options = [random_date(seed, key), random_offset(seed, key), random_reference(seed, key), _joined(F.col("_begun.start"), F.col("_second"))]
+    return fixed(rows, **{name: by_share(F.col("_kind"), shares, options)}).drop("_kind", "_day", "_begun", "_second")
 
 
 def close_expressions(rows: DataFrame, e: str, anchor: str, key: str, seed: int = 42) -> DataFrame:
@@ -135,57 +148,75 @@ def close_expressions(rows: DataFrame, e: str, anchor: str, key: str, seed: int
     return fixed(rows, close=made).drop("_own", "_span", "_kind", "_coin", "_first", "_last", "_offset")
 
 
+def _days_text(g: Column) -> Column:
+    start, end = F.date_format(g["start"], "yyyy-MM-dd"), F.date_format(g["end"], "yyyy-MM-dd")
+    return F.when(g["start"] == g["end"], start).when(g.isNotNull(), F.concat_ws(",", start, end))
+
+
 def own_days(e: Column, anchor: Column) -> Column:
     """The days that e stands for, as an expression: one day, or the first and last."""
-    return let(ground(e, anchor), lambda g: F.when(g["start"] == g["end"], F.date_format(g["start"], "yyyy-MM-dd")).when(
-        g.isNotNull(), F.concat_ws(",", F.date_format(g["start"], "yyyy-MM-dd"), F.date_format(g["end"], "yyyy-MM-dd"))))
+    return let(ground(e, anchor), _days_text)
 
 
 def expression_text(e: Column, u: Column) -> Column:
     """The expression in words."""
     family, n, unit = (F.regexp_extract(e, r"^(OFFSET|THIS|NEXT_IMMEDIATE|PREV_IMMEDIATE) P(-?\d+)([DWMY])", i) for i in (1, 2, 3))
     n = F.when(family == "PREV_IMMEDIATE", F.abs(n.try_cast("int"))).otherwise(n.try_cast("int"))
-    sides = F.split(e, ",")
+    sides = F.substring_index(e, ",", 1), F.substring_index(F.substring_index(e, ",", 2), ",", -1)
     return (
         F.when(family != "", text.offset_to_text(family, unit, n, u)).when(e.isin("PRESENT_REF", "THIS MO", "THIS NI"), text.reference_to_text(e, u))
-        .when(F.size(sides) > 1, text.interval_to_text(text.date_to_text(F.get(sides, F.lit(0)), u), text.date_to_text(F.get(sides, F.lit(1)), u), u)).otherwise(text.date_to_text(e, u))
+        .when(e.contains(","), text.interval_to_text(text.date_to_text(sides[0], u), text.date_to_text(sides[1], u), u)).otherwise(text.date_to_text(e, u))
     )
 
 
 def synthetic_pairs(spark: SparkSession, n: int, seed: int = 42) -> DataFrame:
-    """sent0, sent0_date, sent1, sent1_date, score: n expressions with four random partners and their own interval each."""
-    rows = spark.range(n).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    """sent0, sent0_date, sent1, sent1_date, score: n expressions with four random partners and their own interval each.
+
+    What belongs to an expression is made before it meets its partners.
+    """
     own, other = F.col("id").cast("string"), F.concat_ws("/", "id", "j")
     first, last = F.lit("1900-01-01").cast("date"), F.lit(LAST_DAY).cast("date")
-    rows = fixed(
-        rows, e0=random_expression(seed, own), d0=random_day(uniform(seed, own, F.lit("a0")), first, last),
-        other=random_expression(seed + 1, other), d1=random_day(uniform(seed, other, F.lit("a1")), first, last),
+    rows = random_expressions(spark.range(n), "e0", seed, own)
+    rows = fixed(rows, d0=random_day(uniform(seed, own, F.lit("a0")), first, last))
+    rows = _first_side(rows, seed).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = random_expressions(rows, "other", seed + 1, other)
+    rows = fixed(rows, d1=random_day(uniform(seed, other, F.lit("a1")), first, last), e1=F.when(F.col("j") == 4, _days_text(F.col("g0"))).otherwise(F.col("other")))
+    return _second_side(rows.drop("other"), seed)
+
+
+def _first_side(rows: DataFrame, seed: int) -> DataFrame:
+    """rows (id, e0, d0) with g0 and sent0; those that don't ground within the calendar are dropped."""
+    rows = fixed(rows, g0=ground(F.col("e0"), F.col("d0")), u0=uniform(seed, F.col("id"), F.lit("t0")))
+    rows = rows.where((F.col("g0.start") >= F.lit(FIRST_DAY).cast("date")) & (F.col("g0.start") <= F.col("g0.end")))
+    return fixed(rows, sent0=expression_text(F.col("e0"), F.col("u0"))).drop("u0")
+
+
+def _second_side(rows: DataFrame, seed: int) -> DataFrame:
+    """Of what `_first_side` gives, with j, e1 and d1: the tuples."""
+    rows = fixed(rows, g1=ground(F.col("e1"), F.col("d1")), u1=uniform(seed, F.col("id"), F.col("j"), F.lit("t1")))
+    rows = rows.where(F.col("g1.start") >= F.lit(FIRST_DAY).cast("date"))
+    rows = fixed(rows, score=gaussian.similarity_of_bounds(F.col("g0"), F.col("g1"))).where("score IS NOT NULL")
+    return rows.select(
+        "sent0", F.date_format("d0", "yyyy-MM-dd").alias("sent0_date"),
+        expression_text(F.col("e1"), F.col("u1")).alias("sent1"), F.date_format("d1", "yyyy-MM-dd").alias("sent1_date"), "score",
     )
-    rows = fixed(rows, g=ground(F.col("e0"), F.col("d0")))
-    start, end = F.date_format("g.start", "yyyy-MM-dd"), F.date_format("g.end", "yyyy-MM-dd")
-    own_days = F.when(F.col("g.start") == F.col("g.end"), start).otherwise(F.concat_ws(",", start, end))
-    rows = fixed(rows, e1=F.when(F.col("j") == 4, own_days).otherwise(F.col("other")))
-    return labelled(rows.select("id", "j", "e0", "d0", "e1", "d1"), seed)
 
 
 def labelled(rows: DataFrame, seed: int = 42) -> DataFrame:
     """rows (id, j, e0, d0, e1, d1) as training tuples; pairs that don't ground within the calendar are dropped."""
-    rows = fixed(rows, g0=ground(F.col("e0"), F.col("d0")), g1=ground(F.col("e1"), F.col("d1")), u0=uniform(seed, F.col("id"), F.lit("t0")), u1=uniform(seed, F.col("id"), F.col("j"), F.lit("t1")))
-    first = F.lit(FIRST_DAY).cast("date")
-    rows = rows.withColumn("score", gaussian.bounds_similarity(F.col("g0"), F.col("g1"))).where(F.col("score").isNotNull() & (F.col("g0.start") >= first) & (F.col("g1.start") >= first))
-    return rows.select(
-        expression_text(F.col("e0"), F.col("u0")).alias("sent0"), F.date_format("d0", "yyyy-MM-dd").alias("sent0_date"),
-        expression_text(F.col("e1"), F.col("u1")).alias("sent1"), F.date_format("d1", "yyyy-MM-dd").alias("sent1_date"), "score",
-    )
+    return _second_side(_first_side(rows, seed), seed)
 
 
 def document_pairs(entries: DataFrame, seed: int = 42) -> DataFrame:
     """entries (id, text, values array<string>, dct date): the text against four random expressions and each value's own days, all at the document's date."""
-    rows = entries.withColumn("e0", F.explode("values")).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
+    rows = fixed(entries, sent0=text.one_line(F.col("text"))).drop("text").withColumn("e0", F.explode("values"))
+    rows = fixed(rows, g0=ground(F.col("e0"), F.col("dct"))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(4))))
     key = F.concat_ws("/", "id", "e0", "j")
-    rows = fixed(rows, e1=F.when(F.col("j") == 4, own_days(F.col("e0"), F.col("dct"))).otherwise(random_expression(seed, key)), u=uniform(seed, key, F.lit("t")))
-    rows = rows.withColumn("score", gaussian.expression_similarity(F.col("e0"), F.col("dct"), F.col("e1"), F.col("dct"))).where("score IS NOT NULL")
-    return rows.select(text.one_line(F.col("text")).alias("sent0"), F.date_format("dct", "yyyy-MM-dd").alias("sent0_date"), expression_text(F.col("e1"), F.col("u")).alias("sent1"), F.date_format("dct", "yyyy-MM-dd").alias("sent1_date"), "score")
+    rows = random_expressions(rows, "other", seed, key)
+    rows = fixed(rows, e1=F.when(F.col("j") == 4, _days_text(F.col("g0"))).otherwise(F.col("other")), u=uniform(seed, key, F.lit("t")))
+    rows = fixed(rows, g1=ground(F.col("e1"), F.col("dct")))
+    rows = fixed(rows, score=gaussian.similarity_of_bounds(F.col("g0"), F.col("g1"))).where("score IS NOT NULL")
+    return rows.select("sent0", F.date_format("dct", "yyyy-MM-dd").alias("sent0_date"), expression_text(F.col("e1"), F.col("u")).alias("sent1"), F.date_format("dct", "yyyy-MM-dd").alias("sent1_date"), "score")
 
 
 def relation_phrases(rows: DataFrame, month: str, years: str, months: str, back: str) -> DataFrame:
