@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import gaussian, text
-from ..functions.temporal import day_interval, ground
+from ..functions.temporal import days_between, ground
+from .rows import fixed
 
 # Fixed value: the anchor of texts that have no reference date.
 DEFAULT_DATE = "2021-11-09"
@@ -67,9 +68,15 @@ def bm25(queries: DataFrame, docs: DataFrame, query_id: str, query_text: str, id
     return hits.groupBy("query_id", "id").agg(F.sum(weight).alias("score"))
 
 
+def _grounded(expressions: DataFrame, key: str, expr: str = "expr", anchor: str = "anchor") -> DataFrame:
+    """key, i: the days of each expression, null where it doesn't resolve. Grounded in a column of its own, so once."""
+    g = fixed(expressions.select(F.col(key), F.col(expr).alias("_e"), F.col(anchor).alias("_anchor")), _g=ground(F.col("_e"), F.col("_anchor")))
+    return g.select(key, days_between(F.col("_g")).alias("i"))
+
+
 def text_gaussians(expressions: DataFrame, key: str, expr: str = "expr", anchor: str = "anchor") -> DataFrame:
     """Per text: mixture mean and variance (mu, var) and covering interval (a, b) of its resolvable expressions."""
-    grounded = expressions.select(key, day_interval(ground(F.col(expr), F.col(anchor))).alias("i")).where("i IS NOT NULL")
+    grounded = _grounded(expressions, key, expr, anchor).where("i IS NOT NULL")
     m = gaussian.moments(F.col("i.a"), F.col("i.b"))
     rows = grounded.select(key, "i", m["mu"].alias("m"), m["var"].alias("v"))
     return rows.groupBy(key).agg(F.avg("m").alias("mu"), (F.avg("v") + F.var_pop("m")).alias("var"), F.min("i.a").alias("a"), F.max("i.b").alias("b"))
@@ -89,7 +96,7 @@ def tagger_similarity(pairs: DataFrame, expressions: DataFrame, mode: str, quest
         s = gaussian.clamped_similarity(F.col("q"), F.col("p")) if mode == "merge" else gaussian.interval_similarity(F.col("q.a"), F.col("q.b"), F.col("p.a"), F.col("p.b"))
         return both.select(F.col("_question").alias(question), F.col("_paragraph").alias(paragraph), F.coalesce(s, F.lit(0.0)).alias("score"))
     fold = {"max": F.max, "mean": F.avg, "product": F.product}[mode]
-    e = expressions.select(F.col(key), day_interval(ground(F.col("expr"), F.col("anchor"))).alias("i"))
+    e = _grounded(expressions, key)
     q = e.select(F.col(key).alias("_question"), F.col("i").alias("q"), F.lit(True).alias("has_q"))
     p = e.select(F.col(key).alias("_paragraph"), F.col("i").alias("p"), F.lit(True).alias("has_p"))
     both = pairs.join(q, "_question", "left").join(p, "_paragraph", "left")
