@@ -239,7 +239,10 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
                 bucket = ((hashes[order] >> np.uint64(32)) * np.uint64(spread) >> np.uint64(32)).astype(np.int64)
                 asked, edge = [asked[i] for i in order.tolist()], np.searchsorted(bucket, np.arange(spread + 1))
                 rows = [(b, chunk, squeeze(pickle.dumps(asked[edge[b] : edge[b + 1]]))) for b in np.flatnonzero(np.diff(edge)).tolist()]
+                asked = hashes = order = bucket = None
                 yield pd.DataFrame(rows, columns=["bucket", "chunk", "asked"])
+                rows = None
+                trim()
 
     def distinct(blobs) -> list[str]:
         return sorted({w for x in blobs for w in pickle.loads(expand(x))})
@@ -252,6 +255,8 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
             else:
                 rows += [(k, a, min(a, before), w[max(0, a - before) : a + SEGMENT]) for a in range(0, len(w), SEGMENT)]
         out = pd.DataFrame(rows, columns=["k", "base", "skip", "part"])
+        del rows
+        trim()
         return out.assign(bucket=key[0])[["bucket", "k", "base", "skip", "part"]]
 
     def answer(asked: pa.Table, paths: pa.Table) -> pa.Table:
