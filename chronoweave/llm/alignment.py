@@ -1,9 +1,13 @@
 """How the tokens of two tokenizers line up, byte by byte.
 
 Tokenizer A is byte-level, B has pieces with byte fallback. Both encode a space and the text, so both sequences spell the
-same bytes; where an A and a B token end at the same byte the text can be cut, and the tokens between two cuts are a group. The
-texts of a whole Arrow batch are laid end to end, the ends of all A and of all B tokens are counted by byte once, and
-prefix sums at the documents' own byte offsets give each document its part back.
+same bytes; where an A and a B token end at the same byte the text can be cut, and the tokens between two cuts are a group.
+
+No token of either tokenizer reaches over a single space between two characters that are no white space into what stands before it,
+so texts are cut there into parts, each of which has the tokens in any text that it has alone. Parts are encoded and
+aligned once for an Arrow batch, however often its texts have them: they are laid end to end, the ends of all A and of all B
+tokens are counted by byte once, and prefix sums at the parts' own byte offsets give each its share back. A text's tokens,
+groups and links are those of its parts in a row.
 
 A link is an A and a B token whose bytes end together. No token of either vocabulary is empty (checked), so every cut
 has one link. How often the corpus has a link between two ids is counted over batches: each batch sends its distinct
@@ -20,12 +24,15 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +42,10 @@ from .common import Tables, batch_bytes
 
 #: Characters that a tokenizer gets at a time: its own objects take a hundred bytes a token.
 ENCODE_CHARS = 500_000
+#: Parts that a tokenizer gets as one text.
+JOIN = 200
+#: Where texts are cut into parts. Python's white space includes all that A's pattern takes for it.
+_CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
 def paths() -> tuple[str, str]:
@@ -57,6 +68,7 @@ class Pair:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.a = Tokenizer.from_file(a_path)
         self.a.encode_special_tokens = True
@@ -68,15 +80,27 @@ class Pair:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         assert all(self.a_bytes) and all(self.b_bytes), "an empty token would end where the one before it ends"
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
+        split = self.a.pre_tokenizer
+        self.can_cut = self.a.normalizer is None and isinstance(split, ByteLevel) and split.use_regex and not any("▁" in p.lstrip("▁") for p in pieces)
+
+    def cut(self, text: str) -> list[str]:
+        """The text's parts: each is encoded with a space before it."""
+        return _CUT.split(text) if self.can_cut else [text]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray] | None]:
         """For each text its A and B ids; None where they don't spell the text."""
-        got = zip(self.a.encode_batch([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True)
+        got = zip(self.a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True)
         for t, (x, b) in zip(texts, got, strict=True):
             a, want = x.ids, b" " + t.encode()
             same = b"".join([self.a_bytes[i] for i in a]) == want and b"".join([self.b_bytes[i] for i in b]) == want
             yield (np.array(a, np.int32), np.array(b, np.int32)) if same else None
 
+    @cached_property
+    def marks(self) -> np.ndarray:
+        """Every A id before a comma and before a bar, then every B id before a comma and before a semicolon."""
+        own = [f"{i}{s}" for s in ",|" for i in range(len(self.a_len))] + [f"{i}{s}" for s in ",;" for i in range(len(self.b_len))]
+        return np.array(own, object)
+
 
 @lru_cache(maxsize=2)
 def pair_of(a_path: str, b_path: str) -> Pair:
@@ -85,7 +109,7 @@ def pair_of(a_path: str, b_path: str) -> Pair:
 
 @dataclass
 class Batch:
-    """The tokens of a batch's documents one after the other. `_to` arrays end with each document, `_cut` arrays with each group."""
+    """The tokens of texts one after the other. `_to` arrays end with each text, `_cut` arrays with each group."""
 
     a: np.ndarray
     b: np.ndarray
@@ -100,41 +124,120 @@ def _flat(parts: list[np.ndarray]) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int32)
 
 
-def align_batch(texts: list[str | None], pair: Pair) -> Batch:
-    a, b, size = [], [], np.zeros((3, len(texts)), np.int64)
-    held: list[int] = []
+def _gather(to: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs end at `to`: the places of the runs `at`, one after the other, and where each ends there."""
+    first = np.concatenate([[0], to])
+    n = first[at + 1] - first[at]
+    ends = np.cumsum(n)
+    return np.repeat(first[at] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0), ends
+
+
+def _upto(ends: np.ndarray, to: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], ends])[to]
+
+
+def _encode_parts(parts: list[str], pair: Pair) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A ids, B ids, each part's numbers of both, and whether they spell it; other parts have none.
+
+    Parts are cut from joined texts again by bytes. Those that can't be joined go alone: with white space at an end, or U+2581,
+    which B gives back as a space.
+    """
+    alone = [not pair.can_cut or p[0].isspace() or p[-1].isspace() or "▁" in p for p in parts]
+    joined, single = ([i for i, x in enumerate(alone) if x is k] for k in (False, True))
+    lines = [joined[i : i + JOIN] for i in range(0, len(joined), JOIN)]
+    held: list[list[int]] = []
+    order: list[int] = []
+    a: list[np.ndarray] = []
+    b: list[np.ndarray] = []
 
     def flush() -> None:
-        for i, got in zip(held, pair.encode([texts[i] for i in held]), strict=True):
+        texts = [" ".join([parts[i] for i in line]) for line in held]
+        for line, got in zip(held, pair.encode(texts), strict=True):
             if got:
+                order.extend(line)
                 a.append(got[0])
                 b.append(got[1])
-                size[:, i] = len(got[0]), len(got[1]), pair.a_len[got[0]].sum()
+            elif len(line) > 1:
+                lines.extend([i] for i in line)
         held.clear()
 
+    lines.extend([i] for i in single)
     chars = 0
-    for i, t in enumerate(texts):
-        if t:
-            held.append(i)
-            chars += len(t)
-        if chars > ENCODE_CHARS:
+    for line in lines:  # grows by the parts of a line that isn't spelled
+        held.append(line)
+        chars += sum(len(parts[i]) for i in line)
+        if chars > ENCODE_CHARS or line is lines[-1]:
             flush()
             chars = 0
-    flush()
-    a, b = _flat(a), _flat(b)
-    a_to, b_to, byte_to = np.cumsum(size, axis=1)
-    total = int(byte_to[-1]) if len(texts) else 0
+    own = np.array(order, np.int64)
+    flat_a, flat_b = _flat(a), _flat(b)
+    ends = np.cumsum(pc.binary_length(pa.array(parts, pa.string())).to_numpy().astype(np.int64)[own] + 1) if parts else own
+    back = np.argsort(own)
+    ok = np.zeros(len(parts), bool)
+    ok[own] = True
+    out = []
+    for flat, size in ((flat_a, pair.a_len), (flat_b, pair.b_len)):
+        token_ends = np.cumsum(size[flat])
+        to = np.searchsorted(token_ends, ends, "right")
+        assert (token_ends[to - 1] == ends).all(), "a token reaches over a cut"
+        places, _ = _gather(to, back)
+        n = np.zeros(len(parts), np.int64)
+        n[own] = np.diff(to, prepend=0)
+        out += [flat[places], n]
+    return out[0], out[2], out[1], out[3], ok
+
+
+def _align(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, pair: Pair) -> Batch:
+    a_to, b_to = np.cumsum(n_a), np.cumsum(n_b)
     a_end, b_end = np.cumsum(pair.a_len[a]), np.cumsum(pair.b_len[b])
+    total = int(a_end[-1]) if len(a) else 0
     both = (np.bincount(a_end, minlength=total + 1) > 0) & (np.bincount(b_end, minlength=total + 1) > 0)
     cuts = np.flatnonzero(both)
-    group_to = np.cumsum(both, dtype=np.int64)[byte_to]
+    group_to = np.cumsum(both, dtype=np.int64)[_upto(a_end, a_to)]
     return Batch(a, b, a_to, b_to, group_to, np.searchsorted(a_end, cuts, "right"), np.searchsorted(b_end, cuts, "right"))
 
 
+@dataclass
+class Parts:
+    """The distinct parts of texts, aligned, and the parts `at` each place of the texts, which end at the places `to`."""
+
+    own: Batch
+    at: np.ndarray
+    to: np.ndarray
+
+    def texts(self) -> Batch:
+        """The texts' own tokens and groups."""
+        x = self.own
+        (a, a_end), (b, b_end), (g, g_end) = (_gather(to, self.at) for to in (x.a_to, x.b_to, x.group_to))
+        cuts = []
+        for cut, to, ends in ((x.a_cut, x.a_to, a_end), (x.b_cut, x.b_to, b_end)):
+            moved = ends - to[self.at]  # from the part's place among parts to that in the texts
+            cuts.append(cut[g] + np.repeat(moved, np.diff(g_end, prepend=0)))
+        return Batch(x.a[a], x.b[b], _upto(a_end, self.to), _upto(b_end, self.to), _upto(g_end, self.to), *cuts)
+
+
+def align_parts(texts: list[str | None], pair: Pair) -> Parts:
+    number: defaultdict[str, int] = defaultdict()
+    number.default_factory = number.__len__
+    at = [np.array(list(map(number.__getitem__, pair.cut(t))) if t else [], np.int32) for t in texts]
+    to = np.cumsum([len(x) for x in at], dtype=np.int64)
+    at = _flat(at).astype(np.int64)
+    a, b, n_a, n_b, ok = _encode_parts(list(number), pair)
+    if not ok.all():  # a text with a part that isn't spelled has no tokens
+        bad = np.concatenate([[0], np.cumsum(~ok[at])])
+        n = np.diff(to, prepend=0)
+        keep = bad[to] == bad[to - n]
+        at, to = at[np.repeat(keep, n)], np.cumsum(n * keep)
+    return Parts(_align(a, b, n_a, n_b, pair), at, to)
+
+
+def align_batch(texts: list[str | None], pair: Pair) -> Batch:
+    return align_parts(texts, pair).texts()
+
+
 def spelled(got: Batch, pair: Pair) -> list[str]:
-    """Each document's groups as `a1,a2|b1;a3|b2,b3`."""
-    marks = [f"{i}{s}".encode() for s in ",|" for i in range(len(pair.a_len))] + [f"{i}{s}".encode() for s in ",;" for i in range(len(pair.b_len))]
-    table, n_a, n_b = np.array(marks, object), len(pair.a_len), len(pair.b_len)
+    """Each text's groups as `a1,a2|b1;a3|b2,b3`."""
+    table, n_a, n_b = pair.marks, len(pair.a_len), len(pair.b_len)
     a_group, b_group = (np.searchsorted(cut, np.arange(len(x)), "right") for cut, x in ((got.a_cut, got.a), (got.b_cut, got.b)))
     b_before = np.concatenate([[0], got.b_cut])
     order = np.empty(len(got.a) + len(got.b), np.int64)
@@ -143,8 +246,16 @@ def spelled(got: Batch, pair: Pair) -> list[str]:
     b_last[got.b_cut - 1] = 1
     order[np.arange(len(got.a)) + b_before[a_group]] = got.a + n_a * a_last
     order[np.arange(len(got.b)) + (got.a_cut[b_group] if len(got.b) else 0)] = 2 * n_a + got.b + n_b * b_last
-    to = np.concatenate([[0], got.a_to + got.b_to])
-    return [b"".join(table[order[i:j]].tolist())[:-1].decode() for i, j in zip(to, to[1:])]
+    to = np.concatenate([[0], got.a_to + got.b_to]).tolist()
+    marks = table[order].tolist()
+    return ["".join(marks[i:j])[:-1] for i, j in zip(to, to[1:])]
+
+
+def text_sums(got: Parts, pair: Pair) -> list[str]:
+    """The SHA-256 of each text's groups; '' without any."""
+    own = np.array(spelled(got.own, pair) or [""], object)
+    to = np.concatenate([[0], got.to]).tolist()
+    return [hashlib.sha256(";".join(own[got.at[i:j]].tolist()).encode()).hexdigest() if i < j else "" for i, j in zip(to, to[1:])]
 
 
 def _documents(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -179,13 +290,19 @@ def _linked(docs: DataFrame, id_col: str, text_col: str, tokenizers: tuple[str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pair_of(a_path, b_path)
         for k, x in enumerate(batches):
-            got = align_batch(x.column("text").to_pylist(), pair)
-            codes = got.a[got.a_cut - 1].astype(np.int64) * len(pair.b_len) + got.b[got.b_cut - 1]
-            codes, at, n = np.unique(codes, return_inverse=True, return_counts=True)
-            sums = [hashlib.sha256(s.encode()).hexdigest() if s else "" for s in spelled(got, pair)]
+            got = align_parts(x.column("text").to_pylist(), pair)
+            own = got.own
+            codes, place = np.unique(own.a[own.a_cut - 1].astype(np.int64) * len(pair.b_len) + own.b[own.b_cut - 1], return_inverse=True)
+            links, link_end = _gather(own.group_to, got.at)
+            at = place.astype(np.int32)[links]
+            n = np.bincount(at, minlength=len(codes))
+            used = n > 0  # parts of texts without tokens have links of nobody
+            codes, n, at = codes[used], n[used], (np.cumsum(used) - 1)[at]
+            sums = text_sums(got, pair)
             chunk = TaskContext.get().partitionId() << 32 | k
             links = squeeze(np.ascontiguousarray(at.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes())
-            counts = [np.diff(to, prepend=0) for to in (got.a_to, got.b_to, got.group_to)]
+            ends = (np.cumsum(np.diff(own.a_to, prepend=0)[got.at]), np.cumsum(np.diff(own.b_to, prepend=0)[got.at]), link_end)
+            counts = [np.diff(_upto(e, got.to), prepend=0) for e in ends]
             lists = [x.column("id"), *(pa.array(c, pa.int64()) for c in counts), pa.array(sums, pa.string())]
             whole = [pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), v) for v in (*lists, pa.array(codes // len(pair.b_len), pa.int64()), pa.array(codes % len(pair.b_len), pa.int64()), pa.array(n, pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([links], pa.binary()), *whole], ["chunk", "links", "ids", "n_a", "n_b", "n_groups", "groups_sha256", "a_id", "b_id", "n"])

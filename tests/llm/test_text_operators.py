@@ -92,6 +92,24 @@ def test_aligned_groups_spell_the_texts(spark):
     assert (counts.groupby("b_id")["count"].transform("max") == counts["count"]).equals(counts["best"]) and counts["count"].sum() == sum(w[3] for w in by_hand(TEXTS))
 
 
+def test_alignment_encodes_each_part_once():
+    pair = alignment.Pair(*alignment.paths())
+    encode, seen = pair.encode, []
+
+    def counted(texts):
+        seen.extend(texts)
+        return encode(texts)
+
+    pair.encode = counted
+    texts = [t for _, t in TEXTS] + ["one two  three\n four", "one two", " two\x85 one ", "one ▁ two", "two \u00a0 \u00a0one.\n\ntwo ", "\x1c one \x1f two", "two"] * 40
+    got = alignment.align_batch(texts, pair)
+    assert sum(map(len, seen)) < sum(len(t or "") for t in texts[: len(TEXTS) + 14])
+    for i, t in enumerate(texts):
+        [ids] = encode([t]) if t else [None]
+        for flat, to, want in ((got.a, got.a_to, ids and ids[0]), (got.b, got.b_to, ids and ids[1])):
+            assert flat[to[i - 1] if i else 0 : to[i]].tolist() == ([] if want is None else want.tolist())
+
+
 def test_no_documents(spark):
     none = docs(spark).where("false")
     assert alignment.alignment_summary(none).count() == alignment.align_documents(none).count() == 0
