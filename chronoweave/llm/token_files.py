@@ -22,11 +22,13 @@ from __future__ import annotations
 import gc
 import os
 import re
+import string
 import struct
 import unicodedata
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -44,21 +46,26 @@ _NULL = -(1 << 63)
 #: Documents in a row while they are ids.
 RUN = 512
 #: Latin letters, of which a word is one pre-token; and punctuation that may follow, which is another.
-_LATIN, _TAIL = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$", ".,;:!?"
+_LATIN, _TAIL = r"^[A-Za-zÀ-ÖØ-öø-ÿ]+$", string.punctuation
+#: Plain words that the model gets as one text.
+JOIN = 5_000
+#: Plain words whose ids a worker keeps from batch to batch: about 200 bytes each.
+KNOWN = 250_000
 _COMPOSED = re.compile(r"([a-zß-öø-ÿ]+)([.,;:!?]*)")
 
 
 class WordEncoder:
     """Ids of texts, equal to those of the tokenizers library for a tokenizer that drops white space.
 
-    Each distinct word of a batch is encoded once: plain Latin words, apart from punctuation at their end, by the library's BPE
-    model, all others through its whole pipeline.
+    Each distinct word of a batch is encoded once: plain Latin words, apart from punctuation at their end, by the library with the
+    same BPE model behind a plain split, thousands at a time, all others through its whole pipeline. The first KNOWN plain words
+    are kept for later batches, until fewer than a quarter of a batch's words are among them.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
@@ -66,11 +73,43 @@ class WordEncoder:
         plain = [b for b in range(256) if chr(b) in shown]  # these bytes stand for themselves, the others follow in order
         other = iter(c for c in shown if ord(c) > 255)
         self.bytes = {b: chr(b) if b in plain else next(other) for b in range(256)}
+        self.known: dict[str, bytes] = {}
+        self.joined = Tokenizer(self.model)
+        self.joined.pre_tokenizer = WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(1 + max(vocab.values()), bool)  # ids that end a word
+        self.ends[[i for t, i in vocab.items() if t.endswith(self.model.end_of_word_suffix or "\0")]] = True
 
     def _latin(self, word: str) -> list[int]:
         shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.bytes)
         return [t.id for t in self.model.tokenize(shown)]
 
+    def _encode_latins(self, words: list[str]) -> Iterator[bytes]:
+        """Each word's ids, in four bytes each."""
+        shown = {**self.bytes, 32: " "}
+        for k in range(0, len(words), JOIN):
+            own = words[k : k + JOIN]
+            [got] = self.joined.encode_batch_fast([" ".join(own).encode().decode("latin-1").translate(shown)], add_special_tokens=False)
+            ids = np.array(got.ids, np.uint32)
+            to = np.flatnonzero(self.ends[ids]) + 1
+            if len(to) == len(own) and to[-1] == len(ids):
+                data, to = ids.tobytes(), [0, *(4 * to).tolist()]
+                yield from [data[i:j] for i, j in zip(to, to[1:])]
+            else:  # a model without ends of words
+                yield from [np.array(self._latin(w), np.uint32).tobytes() for w in own]
+
+    def _latins(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of distinct plain Latin words, and how many each has."""
+        own = list(map(self.known.get, words))
+        new = [k for k, x in enumerate(own) if x is None]
+        if len(self.known) >= KNOWN and 4 * (len(words) - len(new)) < len(words):
+            self.known.clear()
+        for k, x in zip(new, self._encode_latins([words[k] for k in new]), strict=True):
+            own[k] = x
+            if len(self.known) < KNOWN:
+                self.known[words[k]] = x
+        return np.frombuffer(b"".join(own), np.uint32).astype(np.int64), np.fromiter(map(len, own), np.int64, len(own)) // 4
+
     def _any(self, word: str) -> list[int]:
         m = None if word.isascii() else _COMPOSED.fullmatch(unicodedata.normalize("NFC", word).lower())
         if m:
@@ -85,12 +124,17 @@ class WordEncoder:
         # a stem and its tail each stand for themselves; any other word is a stem without a tail
         tail = pc.utf8_ltrim(pc.if_else(latin, low, ""), "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿ")
         stem, tail = pc.if_else(latin, stem, words).dictionary_encode(), tail.dictionary_encode()
-        plain = pc.match_substring_regex(stem.dictionary, _LATIN).to_pylist()
-        own = [self._latin(w) if p else self._any(w) for w, p in zip(stem.dictionary.to_pylist(), plain, strict=True)]
-        own += [self._any(w) if w else [] for w in tail.dictionary.to_pylist()]
-        size = np.fromiter(map(len, own), np.int64, len(own))
-        flat, first = np.fromiter((i for x in own for i in x), np.int64, int(size.sum())), np.cumsum(size) - size
-        pair = np.stack([stem.indices.to_numpy(zero_copy_only=False), tail.indices.to_numpy(zero_copy_only=False) + len(plain)], axis=1).astype(np.int64).ravel()
+        plain = pc.match_substring_regex(stem.dictionary, _LATIN)
+        flat, size = self._latins(stem.dictionary.filter(plain).to_numpy(zero_copy_only=False).tolist())
+        others = stem.dictionary.filter(pc.invert(plain)).to_pylist() + tail.dictionary.to_pylist()
+        own = [self._any(w) if w else [] for w in others]
+        flat = np.append(flat, np.array([i for x in own for i in x], np.int64))
+        plain, n_stems = plain.to_numpy(zero_copy_only=False), len(stem.dictionary)
+        order = np.append(np.argsort(~plain, kind="stable"), np.arange(n_stems, n_stems + len(tail.dictionary)))  # of stems and tails, as they stand in flat
+        n = np.append(size, np.array([len(x) for x in own], np.int64))
+        size, first = np.empty_like(n), np.empty_like(n)
+        size[order], first[order] = n, np.cumsum(n) - n
+        pair = np.stack([stem.indices.to_numpy(zero_copy_only=False), tail.indices.to_numpy(zero_copy_only=False) + n_stems], axis=1).astype(np.int64).ravel()
         n = size[pair]
         return flat[np.repeat(first[pair] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], n.reshape(-1, 2).sum(axis=1)
 
@@ -120,6 +164,12 @@ class WordEncoder:
         return parts[0] if parts else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
 
 
+@lru_cache(maxsize=1)
+def encoder_of(path: str) -> WordEncoder:
+    """Made once in a worker, which later tasks use again."""
+    return WordEncoder(path)
+
+
 def code_lengths(counts: np.ndarray, limit: int = LIMIT) -> np.ndarray:
     """Lengths of an optimal prefix code with no code longer than limit (package-merge); 0 for ids that don't occur."""
     lengths = np.zeros(len(counts), np.uint8)
@@ -242,7 +292,7 @@ def tokenize(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     batch_bytes(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = WordEncoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for b in batches:
             doc = [None if pd.isna(i) else int(i) for i in b["id"]]
             for a, ids, n in encoder.runs(b["text"], RUN):

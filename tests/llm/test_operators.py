@@ -328,6 +328,22 @@ def test_word_encoder(t):
     assert e.texts(pd.Series([t]))[0].tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_known_words_are_not_encoded_again(monkeypatch):
+    import public_tokenizers
+
+    e = token_files.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    first = e.texts(pd.Series(["Lorem ipsum,", "dolor éclair***"]))[0]
+    with monkeypatch.context() as m:
+        for name in ("tokenizer", "model", "joined"):
+            m.setattr(e, name, None, raising=False)
+        assert e.texts(pd.Series(["ipsum LOREM éclair"]))[0].tolist() == e.texts(pd.Series(["IPSUM lorem Éclair"]))[0].tolist()
+    assert first.tolist() == [*e.tokenizer.encode("Lorem ipsum,").ids, 1, *e.tokenizer.encode("dolor éclair***").ids, 1]
+    monkeypatch.setattr(token_files, "KNOWN", 3, raising=False)
+    for t in ("a bc def ghi a'b j' k_ l\\ m'' don't'", "n o p q r", "a bc def n'!#$%&*+/<=>?@[]^_`{|}~-", "é É. ü\"", "a bc"):
+        assert e.texts(pd.Series([t]))[0].tolist() == [*e.tokenizer.encode(t, add_special_tokens=False).ids, 1]
+        assert len(e.known) <= 4  # four are from before the bound
+
+
 # 8: SentencePiece
 
 def best_path(pieces, known, word):
