@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes
+from .common import TEXT_BYTES, batch_bytes, trim
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE = KINDS[:4]
@@ -144,12 +144,13 @@ def redact(text: str | None, spans: list[tuple[int, int, str, float]]) -> str |
 
 def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, spans array<struct<start,end,kind,score>>. Texts stay in their task."""
-    batch_bytes(docs.sparkSession)
+    batch_bytes(docs.sparkSession, TEXT_BYTES)
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             spans = [[{"start": a, "end": e, "kind": k, "score": s} for a, e, k, s in find_spans(t)] for t in b["text"]]
             yield pd.DataFrame({"id": b["id"], "spans": spans})
+        trim()
 
     rows = docs.select(docs[id_col].cast("string").alias("id"), docs[text_col].alias("text"))  # as a string: pandas would make floats of long integers beside a null
     found = rows.mapInPandas(scan, "id string, spans array<struct<start:bigint,end:bigint,kind:string,score:double>>")
@@ -158,11 +159,12 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def redact_documents(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with the personal data of its text column replaced; all rows, columns and types stay."""
-    batch_bytes(docs.sparkSession)
+    batch_bytes(docs.sparkSession, TEXT_BYTES)
 
     def scan(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series([redact(x, find_spans(x)) for x in t], dtype=object)
+        trim()
 
     return docs.withColumn(text_col, F.pandas_udf(scan, "string")(docs[text_col]))
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import Tables, among, batch_bytes, release, trim
+from .common import TEXT_BYTES, Tables, among, batch_bytes, release, trim
 from .components import components
 from .simhash import SEED
 
@@ -55,6 +55,7 @@ def _packed(docs: DataFrame) -> DataFrame:
     def packed(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series([squeeze((x or "").encode("utf-8", "surrogatepass")) for x in t])
+        trim()
 
     return docs.select("id", F.pandas_udf(packed, "binary")("text").alias("s"))
 
@@ -77,6 +78,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 out.append(common >= threshold * (len(x) + len(y) - common) - 1e-9)
             yield pd.Series(out, dtype=bool)
+        own.cache_clear()
+        trim()
 
     out = tables.put("similar", both.where(F.pandas_udf(similar, "boolean")("x", "y")).select("a", "b").distinct())
     tables.drop("wanted", "texts")
@@ -96,7 +99,7 @@ def sampled_rows(rows: DataFrame) -> DataFrame:
 
 def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, threshold: float = 0.8) -> DataFrame:
     """src, dst: links between ids that connect all documents that similarities of at least `threshold` connect."""
-    batch_bytes(docs.sparkSession)
+    batch_bytes(docs.sparkSession, TEXT_BYTES)
     tables = Tables(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).where("id IS NOT NULL")
     sample = sampled_rows(rows)
@@ -106,6 +109,7 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for t in b["text"]:
                 s = shingle_set(t, words)
                 yield pd.DataFrame({"token": np.r_[s, _whole(s)[:1]]})
+        trim()
 
     counted = sample.select("text").repartition(F.xxhash64("text")).mapInPandas(singles, "token bigint").groupBy("token").agg(F.count("*").alias("n"))
     top = counted.where(F.col("n") >= COMMON).orderBy(F.desc("n"), "token").limit(MOST_COMMON).toPandas().sort_values("token")

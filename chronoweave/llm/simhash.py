@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import load_sorted, store_sorted
-from .common import Tables, among, batch_bytes, release
+from .common import TEXT_BYTES, Tables, among, batch_bytes, release, trim
 from .components import components
 
 RADIUS = 3
@@ -63,11 +63,12 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """id, fp (the fingerprint's bits as a signed long)."""
-    batch_bytes(docs.sparkSession)
+    batch_bytes(docs.sparkSession, TEXT_BYTES)
 
     def prints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series(np.array([fingerprint(x, words) for x in t], np.uint64).view(np.int64))
+        trim()
 
     return docs.select(docs[id_col].alias("id"), F.pandas_udf(prints, "bigint")(docs[text_col]).alias("fp"))
 
@@ -77,17 +78,17 @@ _TWO = np.array([(1 << i) | (1 << j) for half in (0, 32) for i in range(half, ha
 _MIX, _UNMIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def _buckets(mixed: np.ndarray, n: int) -> np.ndarray:
-    """Bucket of each mixed variant, by its leading 32 bits, in ascending order of the variant."""
-    return ((mixed >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
-
-
 def _emit(fps: np.ndarray, masks: np.ndarray, n: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """bucket, mixed variants in order, the mask that made each."""
-    mixed = ((fps[:, None] ^ masks[None, :]) * _MIX).ravel()
+    """bucket, by the leading 32 bits, mixed variants in order, the mask that made each."""
+    mixed = (fps[:, None] ^ masks[None, :]).ravel()
+    mixed *= _MIX
     order = np.argsort(mixed)
-    mixed, mask = mixed[order], (order % len(masks)).astype(np.uint16)
-    edges = np.searchsorted(_buckets(mixed, n), np.arange(n + 1))
+    mixed = mixed[order]
+    order %= len(masks)
+    mask = order.astype(np.uint16)
+    del order
+    first = ((np.arange(n, dtype=np.uint64) << np.uint64(32)) + np.uint64(n - 1)) // np.uint64(n) << np.uint64(32)  # of each bucket
+    edges = np.r_[np.searchsorted(mixed, first), len(mixed)]
     for b in np.flatnonzero(np.diff(edges)):
         yield int(b), mixed[edges[b] : edges[b + 1]], mask[edges[b] : edges[b + 1]]
 
@@ -111,12 +112,36 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[own], nodes[label[own]]
 
 
+def _meet(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A bucket's links. Variants in two bits are most of it, and few meet a hub: each row's are looked up by themselves."""
+    near = pdf["near"].to_numpy(bool)
+    own = pdf[near]
+    key = np.concatenate([np.zeros(0, np.uint64), *map(load_sorted, own["variants"])])
+    fp = (key * _UNMIX) ^ _ONE[np.frombuffer(b"".join(own["masks"]), np.uint16)]
+    order = np.lexsort((fp, key))
+    key, fp = key[order], fp[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    hub_key, hub = key[first], fp[first]
+    x, y = [fp], [np.repeat(hub, np.diff(np.r_[first, len(key)]))]
+    for variants, masks in zip(pdf["variants"][~near], pdf["masks"][~near], strict=True) if len(hub_key) else ():
+        far_key = load_sorted(variants)
+        at = np.minimum(np.searchsorted(hub_key, far_key), len(hub_key) - 1)
+        met = np.flatnonzero(hub_key[at] == far_key)
+        x.append((far_key[met] * _UNMIX) ^ _TWO[np.frombuffer(masks, np.uint16)[met]])
+        y.append(hub[at[met]])
+    x, y = np.concatenate(x), np.concatenate(y)
+    near_enough = (x != y) & (np.bitwise_count(x ^ y) <= RADIUS)
+    x, y = _forest(x[near_enough], y[near_enough])
+    trim()
+    return pd.DataFrame({"src": x.view(np.int64), "dst": y.view(np.int64)})
+
+
 def links(prints: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> DataFrame:
     """prints (fp, distinct). Returns src, dst: links of at most three bits that connect all that such links connect."""
     spark = prints.sparkSession
     count = prints.count()
     n = max(1, -(-count * (len(_ONE) + len(_TWO) // 2) // bucket_variants))
-    batch_bytes(spark)
+    batch_bytes(spark, TEXT_BYTES)
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -127,35 +152,12 @@ def links(prints: DataFrame, bucket_variants: int = BUCKET_VARIANTS) -> DataFram
                     rows = [(b, near, store_sorted(v), m.tobytes()) for b, v, m in _emit(f, masks, n)] if len(f) else []
                     if rows:
                         yield pd.DataFrame(rows, columns=["bucket", "near", "variants", "masks"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        def read(rows: pd.DataFrame, masks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            if not len(rows):
-                return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-            mixed = np.concatenate([load_sorted(v) for v in rows["variants"]])
-            return mixed, (mixed * _UNMIX) ^ masks[np.frombuffer(b"".join(rows["masks"]), np.uint16)]
-
-        near = pdf["near"].to_numpy(bool)
-        key, fp = read(pdf[near], _ONE)
-        order = np.lexsort((fp, key))
-        key, fp = key[order], fp[order]
-        first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        hub_key, hub = key[first], fp[first]
-        far_key, far = read(pdf[~near], _TWO)
-        x, y = [fp], [np.repeat(hub, np.diff(np.r_[first, len(key)]))]
-        if len(hub_key) and len(far_key):
-            at = np.minimum(np.searchsorted(hub_key, far_key), len(hub_key) - 1)
-            met = hub_key[at] == far_key
-            x.append(far[met])
-            y.append(hub[at[met]])
-        x, y = np.concatenate(x), np.concatenate(y)
-        near_enough = (x != y) & (np.bitwise_count(x ^ y) <= RADIUS)
-        x, y = _forest(x[near_enough], y[near_enough])
-        return pd.DataFrame({"src": x.view(np.int64), "dst": y.view(np.int64)})
+                    rows = None
+        trim()
 
     # a fingerprint makes hundreds of variants, so tasks follow their number and not that of the table's few files
     variants = prints.select("fp").repartition(n, "fp").mapInPandas(emit, "bucket bigint, near boolean, variants binary, masks binary")
-    return variants.groupBy("bucket").applyInPandas(meet, "src bigint, dst bigint")
+    return variants.groupBy("bucket").applyInPandas(_meet, "src bigint, dst bigint")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:

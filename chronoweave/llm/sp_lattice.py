@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .chunks import expand, squeeze
-from .common import batch_bytes, shuffle_parts, text_of, trim
+from .common import TEXT_BYTES, batch_bytes, shuffle_parts, text_of, trim
 
 #: Characters of the documents that a Python worker holds at a time, characters for each bucket of the table of parts, and those of a segment.
 CHUNK_CHARS, BUCKET_CHARS, SEGMENT = 3_000_000, 6_000_000, 256
@@ -207,7 +207,7 @@ def _numbered(ids: list, codes: list[np.ndarray], words: list[str], pieces: Piec
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", *, chunk_chars: int = CHUNK_CHARS, bucket_chars: int = BUCKET_CHARS) -> DataFrame:
     """id, ids array<int>, exact (the ids decode to the text), for every row of docs."""
     spark, pieces = docs.sparkSession, Pieces(model)
-    batch_bytes(spark)
+    batch_bytes(spark, TEXT_BYTES)
 
     def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk = TaskContext.get().partitionId() << 32

@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_bytes, cut
+from .common import TEXT_BYTES, batch_bytes, cut, trim
 
 POSITIVES, UNLABELLED, FEATURES, LEAST_DOCS, LEAST_Z = 4_000, 12_000, 500, 5, 4.0
 THRESHOLD = 0.7
@@ -146,11 +146,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     u_ids = docs.select(docs[id_col].alias("id")).where(F.col("id").isNotNull() & learn).distinct().orderBy(order, "id").limit(unlabelled).select("id", F.lit(False).alias("positive"))
     ids = p_ids.union(u_ids)
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    batch_bytes(spark)
+    batch_bytes(spark, TEXT_BYTES)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield pd.DataFrame({"id": b["id"], "positive": b["positive"], "words": [features(t) for t in b["text"]]})
+        trim()
 
     kind = docs.schema[id_col].dataType.simpleString()
     sample = cut(texts.join(F.broadcast(cut(ids)), "id").select("id", "positive", "text").mapInPandas(split, f"id {kind}, positive boolean, words array<string>"))
@@ -176,11 +177,12 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
     """A column of docs: the score of each whole text, from 0 to 1."""
-    batch_bytes(docs.sparkSession)
+    batch_bytes(docs.sparkSession, TEXT_BYTES)
 
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for t in texts:
             yield pd.Series([model.score(x) for x in t], dtype=float)
+        trim()
 
     return F.pandas_udf(run, "double")(docs[text_col])
 
